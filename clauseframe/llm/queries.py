@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from clauseframe.llm.decontaminate import op10_decontamination
 from clauseframe.llm.ngram_join import op8_ngram_join
+from clauseframe.llm.packing import op1_packing
+from clauseframe.llm.token_counts import op9_token_counts
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op8_ngram_join": op8_ngram_join,
+    "op9_token_counts": op9_token_counts,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
