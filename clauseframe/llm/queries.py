@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from clauseframe.llm.decontaminate import op10_decontamination
+from clauseframe.llm.language_id import op5_language_id
 from clauseframe.llm.ngram_join import op8_ngram_join
 from clauseframe.llm.packing import op1_packing
 from clauseframe.llm.token_counts import op9_token_counts
+from clauseframe.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op5_language_id": op5_language_id,
+    "op6_toxicity": op6_toxicity,
     "op8_ngram_join": op8_ngram_join,
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
