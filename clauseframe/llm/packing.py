@@ -119,7 +119,7 @@ def _pack(path: str, end: int, length: int, most: int):
 
 
 def _merge(length: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         packer = Packer(length, 1, ((1 << 30) + int(key[0])) << 32)
         pdf = pdf.sort_values(["home", "place"])
         docs = [None if pd.isna(d) else int(d) for d in pdf["doc_id"]]
