@@ -1,8 +1,72 @@
-"""Corpus pipeline: the stages follow once their operators exist."""
+"""A corpus pipeline over `documents`: five stages, each on all that its predecessor kept.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next
+stage's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from clauseframe.llm import decontaminate, language_id, packing, toxicity
+from clauseframe.llm import textcore as tc
+from clauseframe.llm.ngram_join import BROADCAST_IDS, jaccard_components
+
+SURE = 0.5
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a letter and those whose language stays unsure."""
+    model = language_id.fit(docs, public_tokenizers.path(language_id.VOCABULARY))
+    scored = language_id.predict(docs, model)
+    return scored.where(f"lang_pred <> 'und' AND lang_score >= {SURE}").select(*docs.columns)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that score as toxic."""
+    model = toxicity.fit(docs, tc.read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where(f"toxic_score < {toxicity.THRESHOLD}").select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest doc_id of each group of near copies."""
+    parts = tc.written(jaccard_components(spark, docs), spark)
+    others = tc.written(parts.where("component_id <> doc_id").select("doc_id").distinct(), spark)
+    hint = F.broadcast if others.count() <= BROADCAST_IDS else (lambda df: df)
+    kept = docs.join(hint(others), "doc_id", "left_anti")
+    repeated = parts.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not repeated.isEmpty():
+        repeated = tc.written(repeated, spark)
+        kept = kept.join(repeated, "doc_id", "left_anti").union(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(*docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a passage of the benchmark."""
+    return decontaminate.without_contaminated(docs, tc.read_table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into training sequences."""
+    return packing.pack(spark, docs, public_tokenizers.path(packing.TOKENIZER))
+
+
+STAGES = [
+    ("language", known_language),
+    ("toxicity", not_toxic),
+    ("near_copies", one_of_each_group),
+    ("benchmark", without_benchmark),
+    ("packing", packed),
+]
+
+#: SQL can't express the language, toxicity and packing stages.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tc.read_table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = tc.written(stage(spark, docs, sf_dir), spark)
+    return docs
