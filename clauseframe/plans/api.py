@@ -100,7 +100,7 @@ def level_report(split: DataFrame, id_col: str = "law_id", deepest: int = 5) ->
     """One row for each document, the types of each level side by side."""
     at = lambda k: F.array_join(F.sort_array(F.transform(F.filter("levels", lambda x: x["level"] == k), lambda x: x["type"])), ", ")
     depth = F.coalesce(F.array_max(F.transform("levels", lambda x: x["level"])) + 1, F.lit(0))
-    return split.select(id_col, *[at(k).alias(f"level_{k}") for k in range(deepest + 1)], depth.alias("levels_n"), levels.level_bars(F.col("levels")).alias("level_chain"))
+    return split.select(id_col, F.col("meta.fragment_count").alias("fragment_count"), *[at(k).alias(f"level_{k}") for k in range(deepest + 1)], depth.alias("levels_n"), levels.level_bars(F.col("levels")).alias("level_chain"))
 
 
 def resume(todo: DataFrame, done: DataFrame, id_col: str = "law_id") -> DataFrame:
