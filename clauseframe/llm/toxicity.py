@@ -254,9 +254,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, landmark
     chosen = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1000003)) < share * 1000003)
     # `chosen` holds about 2 * per_class ids, so it may be broadcast; the limit is a bound, not a sample
     sample = docs.where("text IS NOT NULL").join(F.broadcast(chosen.limit(4 * per_class)), "doc_id")
-    bags = sample.select("doc_id", "text", "toxic", F.array_distinct(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\s]", ""), r"\s+")).alias("words"))
-    for seed in (1, 2):  # near copies count once
-        bags = bags.withColumn("key", F.expr(f"coalesce(array_min(transform(filter(words, w -> length(w) > 5), w -> xxhash64(w, {seed}))), doc_id)")).dropDuplicates(["key"]).drop("key")
+    words = F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\s]", ""), r"\s+")
+    bags = sample.select("doc_id", "text", "toxic", words.alias("words"))
+    for seed in (1, 2):  # near copies, which share their least run of three words, count once
+        runs = f"transform(sequence(1, greatest(size(words) - 2, 1)), i -> xxhash64(slice(words, i, 3), {seed}))"
+        bags = bags.withColumn("key", F.expr(f"array_min({runs})")).dropDuplicates(["key"]).drop("key")
+    bags = bags.withColumn("words", F.array_distinct("words"))
     bags = tc.written(bags, spark)
     n = {r["toxic"]: r["count"] for r in bags.groupBy("toxic").count().collect()}
     if not (n.get(0) and n.get(1)):
