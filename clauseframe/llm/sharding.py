@@ -89,10 +89,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = f"""
 WITH r AS (
-  SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(strlen(text), 0) AS n_bytes, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h
   FROM documents),
 l AS (SELECT r.*, d, h >> ({HASH_BITS} - d)::INT AS p FROM r, (SELECT unnest(range(0, 41)) AS d)),
 s AS (SELECT d, p, sum(n_bytes) AS b, count(DISTINCT h) AS k FROM l GROUP BY d, p),
-t AS (SELECT l.doc_id, l.n_bytes, l.h, count(*) FILTER (b > {SHARD_BYTES} AND k > 1) AS depth FROM l JOIN s USING (d, p) GROUP BY ALL)
+t AS (SELECT l.rid, l.doc_id, l.n_bytes, l.h, count(*) FILTER (b > {SHARD_BYTES} AND k > 1) AS depth FROM l JOIN s USING (d, p) GROUP BY ALL)
 SELECT doc_id, n_bytes, ((1::BIGINT << depth::INT) | (h >> ({HASH_BITS} - depth)::INT))::BIGINT AS shard_id, depth::INT AS depth, 0::BIGINT AS overflow_part FROM t
 """

@@ -48,9 +48,8 @@ class WordIds:
         # up to U+024F there is nothing to compose, so the normaliser is lower-casing alone
         if not (word.isprintable() and (word.isascii() or max(word) <= LAST_PLAIN)) or "<" in word and any(s in word for s in self.special):
             return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        if word.isalpha():
-            return self._part(word.lower())
-        return b"".join(map(self._part, self.split.findall(word.lower())))
+        low = word.lower()
+        return self._part(low) if low.isalpha() else b"".join(map(self._part, self.split.findall(low)))
 
     def ids(self, text: str) -> bytes:
         """The ids of a text, packed; a special string in it gives its id, as the library has it."""
