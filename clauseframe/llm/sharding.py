@@ -47,16 +47,15 @@ def shard(spark: SparkSession, docs: DataFrame, limit: int = SHARD_BYTES) -> Dat
     cells = rows.groupBy(_prefix(high).alias("cell")).agg(F.sum("n_bytes").alias("bytes"), F.min("h").alias("first"), F.max("h").alias("last"))
     open_cells, found = tc.written(cells, spark), []
     while True:
-        # a cell's depth: as many prefixes of it as are over the limit
-        levels = open_cells.select("cell", "bytes", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"))
+        # a cell's depth: as many prefixes of it as are over the limit and hold more than one hash
+        levels = open_cells.select("cell", "bytes", "first", "last", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"))
         levels = levels.withColumn("prefix", F.expr(f"shiftright(cell, cast({high} - depth as int))"))
-        over = levels.groupBy("depth", "prefix").agg(F.sum("bytes").alias("b")).where(F.col("b") > limit)
+        over = levels.groupBy("depth", "prefix").agg(F.sum("bytes").alias("b"), F.min("first").alias("first"), F.max("last").alias("last")).where((F.col("b") > limit) & (F.col("first") < F.col("last"))).select("depth", "prefix")
         depth = levels.join(over, ["depth", "prefix"], "left_semi").groupBy("cell").agg(F.max("depth").alias("last_over"))
         placed = open_cells.join(depth, "cell", "left").withColumn("depth", F.coalesce(F.col("last_over") + 1, F.lit(low))).drop("last_over")
         placed = tc.written(placed.withColumn("high", F.lit(high)), spark)
-        alone = F.expr("first = last")
-        found.append(placed.where((F.col("depth") <= high) | alone).withColumn("depth", F.least("depth", F.lit(high))))
-        rest = placed.where((F.col("depth") > high) & ~alone)
+        found.append(placed.where(F.col("depth") <= high))
+        rest = placed.where(F.col("depth") > high)
         if high >= HASH_BITS or rest.isEmpty():
             break
         split = rows.join(rest.select("cell"), _prefix(high) == F.col("cell"), "left_semi")
