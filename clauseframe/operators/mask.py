@@ -6,14 +6,35 @@ The rules are applied in order by a fold over the catalogue.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clauseframe.functions.catalog import FLAGS, HAN_MARK, MASK_RULES
 
 
+def needed(pattern: str) -> str:
+    """What a text must hold for a rule ever to match: the pattern without its looks around, which masks may change.
+
+    Lazy tails and Han runs are left out too, as a mask may stand in them.
+    """
+    out, depth, i = [], 0, 0
+    while i < len(pattern):
+        if depth or re.match(r"\(\?<?[!=]", pattern[i:]):
+            inside = re.match(r"\\.|\[(?:\\.|[^\]])*\]", pattern[i:])
+            i += inside.end() if inside else 1
+            depth += 0 if inside else {"(": 1, ")": -1}.get(pattern[i - 1], 0)
+            continue
+        out.append(pattern[i])
+        i += 1
+    return "".join(out).replace(r"[\s\S]*?", "").replace("[一-鿿]+", "")
+
+
 def _fold(text: Column, rules, step) -> Column:
-    table = F.array(*[F.struct(F.lit(FLAGS + p).alias("p"), F.lit(h).alias("h"), F.lit(t).alias("t")) for t, h, p in rules])
+    # patterns given as literals are compiled once; only the rules that a text can need are then applied, in order
+    found = [F.when(F.regexp_like(text, F.lit(FLAGS + needed(p))), F.struct(F.lit(FLAGS + p).alias("p"), F.lit(h).alias("h"), F.lit(t).alias("t"))) for t, h, p in rules]
+    table = F.filter(F.array(*found), lambda r: r.isNotNull())
     return F.aggregate(table, text, lambda acc, r: F.when(F.regexp_like(acc, r["p"]), step(acc, r)).otherwise(acc))
 
 
