@@ -12,10 +12,14 @@ How no link is lost while most documents never leave their own row:
 * What is left is collapsed by the digest of the set (equal sets are one node), and tested again with longer
   prefixes (l = 1 + floor(.25|A|)).
 * Groups: documents that share a least token under one of several hash orders are compared inside chunks of
-  bounded size (a hot key is salted into many chunks); links found give the first components, the groups.
-* Token-group matrix: tokens that occur in two or more groups, with these groups. For a document Q and a
-  group G other than its own, |Q & union(G)| >= t|Q| is necessary; the members of the groups that pass are
-  compared exactly. Pairs inside one group need no test, as they are connected already.
+  bounded size (a hot key is salted into many chunks, and gets a second turn with its most central
+  documents in each); links found give the first components.
+* Token-group matrix: components are cut into groups of bounded size. Tokens of one component alone cannot link it to
+  another; with these first and the rest by their number of documents, the larger set of a linked pair shares
+  one of its first |A| - ceil(t|A|) + 1 tokens with the first |B| - ceil(2t|B| / (1 + t)) + 1 of the smaller. The
+  matrix has the groups of the latter tokens; a document that meets a group of another component there is held against the
+  union of all the group's tokens, and opens it if the union covers t|A| of its tokens. The members of an opened
+  group are compared exactly, in the group's own task, until one links. Pairs inside one component need no test, as they are connected already.
 
 Tokens are 64-bit hashes of shingles. Equal hashes count as equal shingles.
 
@@ -39,6 +43,8 @@ from clauseframe.llm.components import connected_components
 
 CHUNK_DOCS, CHUNK_TOKENS = 128, 2_000_000
 ORDERS = 4
+CENTRES = 8
+QUERIES = 256
 BROADCAST_IDS = 4_000_000  # 32 MB of ids; beyond it the join is shuffled
 
 
@@ -94,10 +100,24 @@ def _emit_sets(batches):
             row += len(n)
 
 
+def _overlap(x: np.ndarray, y: np.ndarray, percent: int) -> int | None:
+    """Common tokens of two sorted sets; None if their sizes alone rule a link out."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    if 100 * len(small) < percent * len(large):
+        return None
+    at = np.searchsorted(large, small)
+    return int((large[np.minimum(at, len(large) - 1)] == small).sum())
+
+
 def _local_links(percent: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """A chunk's links, found with as few comparisons as its components need."""
-        pdf = pdf.sort_values("node")
+    def run(key, pdf):
+        """A chunk's links, found with as few comparisons as its components need, and its most central node.
+
+        The centre, whose tokens most of the chunk has, is a row without v; centres are compared first.
+        """
+        # a centre may stand in its own chunk again; rows of one doc_id with other texts stay
+        pdf = pdf.assign(same=[hash(np.asarray(x).tobytes()) for x in pdf["tokens"]])
+        pdf = pdf.sort_values(["first", "node"], ascending=[False, True]).drop_duplicates(["node", "same"])
         nodes, sets = pdf["node"].to_numpy(), [np.asarray(x) for x in pdf["tokens"]]
         parent = list(range(len(nodes)))
 
@@ -113,20 +133,43 @@ def _local_links(percent: int):
                 a, b = root(i), root(j)
                 if a == b:
                     continue
-                x, y = sets[i], sets[j]
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                if 100 * len(small) < percent * len(large):
-                    continue
-                at = np.searchsorted(large, small)
-                both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                if 100 * both >= percent * (len(x) + len(y) - both):
+                both = _overlap(sets[i], sets[j], percent)
+                if both is not None and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                     parent[max(a, b)] = min(a, b)
+                    found.append((nodes[i], nodes[j], None))
+        tokens, often = np.unique(np.concatenate(sets), return_counts=True)
+        central = [often[np.searchsorted(tokens, x)].mean() for x in sets]
+        best = int(np.argmax(central))
+        found.append((nodes[best], None, central[best] / len(sets)))
+        out = pd.DataFrame(found, columns=["u", "v", "central"]).astype({"u": "Int64", "v": "Int64"})
+        return out.assign(chunk=key[0])
+
+    return run
+
+
+def _cross_links(percent: int):
+    def run(pdf):
+        """One link of each query to a member of the opened group, if there is any: the members are one component already."""
+        sets = [np.asarray(x) for x in pdf["tokens"]]
+        nodes, member = pdf["node"].to_numpy(), pdf["member"].to_numpy()
+        found = []
+        for i in np.flatnonzero(~member):
+            for j in np.flatnonzero(member):
+                both = _overlap(sets[i], sets[j], percent)
+                if both is not None and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                     found.append((nodes[i], nodes[j]))
+                    break
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
     return run
 
 
+def _small(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """A slim table, written once; broadcast only if its number of rows is within the bound."""
+    df = tc.written(df, spark)
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def _shared(tokens: DataFrame, need) -> DataFrame:
     """Nodes of (node, n, token) that keep enough tokens which another node has too."""
     common = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
@@ -134,10 +177,63 @@ def _shared(tokens: DataFrame, need) -> DataFrame:
     return kept.where(F.col("c") >= need("n")).select("node")
 
 
-def _relabelled(spark: SparkSession, nodes: DataFrame, links: DataFrame) -> DataFrame:
-    parts = connected_components(spark, links)
-    joined = nodes.join(parts, nodes["node"] == parts["node"], "left").select(nodes["*"], F.coalesce(parts["component"], nodes["node"]).alias("part"))
-    return joined
+def _parts(spark: SparkSession, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, part) for all nodes: the smallest node that each is linked to, by any path."""
+    found = connected_components(spark, links)
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("part"))
+
+
+def _grouped_links(spark: SparkSession, nodes: DataFrame, percent: int) -> DataFrame:
+    """Links inside chunks of nodes that share a least token in one of several orders.
+
+    A key with more than one chunk gets a second turn, in which the centres of its chunks stand in every chunk: what
+    lies around one centre is then connected, wherever its parts were dealt.
+    """
+    orders = F.array(*[F.struct(F.lit(k).alias("k"), F.expr(f"array_min(transform(tokens, x -> xxhash64(x, {k})))").alias("key")) for k in range(ORDERS)])
+    keyed = tc.written(nodes.select("node", "n", F.explode(orders).alias("o")).select("node", "n", "o.k", "o.key"), spark)
+    sizes = keyed.groupBy("k", "key").agg(F.count("*").alias("c"), F.sum("n").alias("s")).where("c > 1")
+    chunks = F.greatest(F.ceil(F.col("c") / CHUNK_DOCS), F.ceil(F.col("s") / CHUNK_TOKENS))
+    placed = keyed.drop("n").join(sizes.select("k", "key", chunks.alias("chunks")), ["k", "key"]).select("node", "k", "key", "chunks", F.xxhash64("k", "key", F.pmod(F.xxhash64("node", "k"), "chunks")).alias("chunk"), F.lit(0).alias("first"))
+    placed = tc.written(placed, spark)
+    schema = "u long, v long, central double, chunk long"
+
+    def turn(rows: DataFrame) -> DataFrame:
+        rows = _small(rows.select("node", "chunk", "first"), spark)
+        return tc.written(nodes.select("node", "tokens").join(rows, "node").groupBy("chunk").applyInPandas(_local_links(percent), schema), spark)
+
+    found = turn(placed)
+    links = found.where("v IS NOT NULL").select("u", "v")
+    many = placed.where("chunks > 1")
+    if not many.isEmpty():
+        dealt = many.select("k", "key", "chunk").distinct()
+        centres = found.where("v IS NULL").join(dealt, "chunk").groupBy("k", "key", F.pmod("chunk", F.lit(CENTRES)).alias("slice")).agg(F.max_by("u", F.struct("central", "u")).alias("node"))
+        again = many.select("node", "chunk", "first").union(centres.join(dealt, ["k", "key"]).select("node", "chunk", F.lit(1).alias("first")))
+        links = links.union(turn(again).where("v IS NOT NULL").select("u", "v"))
+    return links
+
+
+def _open_links(spark: SparkSession, grouped: DataFrame, percent: int) -> DataFrame:
+    """The token-group matrix: links between components. grouped: (node, n, tokens, part, group)."""
+    tokens = grouped.select("node", "n", "part", "group", F.explode("tokens").alias("token"))
+    known = tokens.groupBy("token").agg(F.count("*").alias("f"), F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("token", "f")
+    ranked = tokens.join(known, "token").groupBy("node", "n", "part", "group").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("open"))
+    # tokens of one component alone come first in the order, then the others by their number of documents
+    for name, least in (("probe", f"ceil({percent} * n / 100)"), ("index", f"ceil({2 * percent} * n / {100 + percent})")):
+        ranked = ranked.withColumn(name, F.expr(f"transform(slice(open, 1, cast(greatest(0, n - {least} + 1 - (n - size(open))) as int)), x -> x.token)"))
+    ranked = tc.written(ranked.where("size(probe) > 0").select("node", "n", "part", "group", "probe", "index"), spark)
+    matrix = ranked.select(F.explode("index").alias("token"), F.col("group").alias("other")).distinct()
+    near = ranked.select("node", "n", "part", F.explode("probe").alias("token")).join(matrix, "token").where("part <> other.part").select("node", "n", "other").distinct()
+    near = tc.written(near, spark)
+    unions = grouped.join(near.select(F.col("other").alias("group")).distinct(), "group", "left_semi").select(F.col("group").alias("other"), F.explode("tokens").alias("token")).groupBy("other").agg(F.collect_set("token").alias("union"))
+    bound = near.join(grouped.select("node", "tokens"), "node").join(unions, "other").where(f"100 * size(array_intersect(tokens, union)) >= {percent} * n")
+    opened = tc.written(bound.select("node", "other").distinct(), spark)
+    slices = opened.groupBy("other").agg(F.ceil(F.count("*") / QUERIES).alias("slices"))
+    asked = opened.join(slices, "other").withColumn("slice", F.pmod(F.xxhash64("node"), "slices")).drop("slices")
+    place = ["other.part", "other.slot", "slice"]
+    queries = asked.join(grouped.select("node", "tokens"), "node").select(*place, "node", "tokens", F.lit(False).alias("member"))
+    members = asked.select("other", "slice").distinct().join(grouped.select(F.col("group").alias("other"), "node", "tokens"), "other").select(*place, "node", "tokens", F.lit(True).alias("member"))
+    found = queries.union(members).groupBy("part", "slot", "slice").applyInPandas(_cross_links(percent), "u long, v long")
+    return tc.written(found, spark)
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -148,54 +244,33 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 75)
     # 1. documents with enough shared tokens in their prefixes
     emitted = known.mapInArrow(_emit_prefixes(percent, 0.05), "doc_id long, n long, tokens array<long>")
     rows = emitted.select(F.col("doc_id").alias("node"), "n", F.explode("tokens").alias("token"))
-    ids = tc.written(_shared(rows, _needed(0.05, percent)).distinct(), spark)
-    hint = F.broadcast if ids.count() <= BROADCAST_IDS else (lambda df: df)
-    marked = docs.join(hint(ids.withColumn("wanted", F.lit(True))), docs["doc_id"] == ids["node"], "left").select(docs["doc_id"], docs["text"], F.coalesce("wanted", F.lit(False)).alias("wanted"))
-    table = tc.written(marked.mapInArrow(_emit_sets, "doc_id long, n long, digest binary, tokens array<long>"), spark)
+    ids = _small(_shared(rows, _needed(0.05, percent)).distinct().withColumn("wanted", F.lit(True)), spark)
+    marked = docs.join(ids, docs["doc_id"] == ids["node"], "left").select(docs["doc_id"], docs["text"], F.coalesce("wanted", F.lit(False)).alias("wanted"))
+    table = marked.mapInArrow(_emit_sets, "doc_id long, n long, digest binary, tokens array<long>")
+    table = tc.written(table.withColumn("rid", F.monotonically_increasing_id()), spark)
 
     # 2. equal sets are one node, the smallest doc_id
     member = table.where("digest IS NOT NULL").select("doc_id", "digest").distinct()
-    same = member.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    heads = table.where("digest IS NOT NULL").select("doc_id", "digest", "n", "tokens").join(same.select("digest", "node"), "digest").where("doc_id = node").dropDuplicates(["digest"]).select("digest", "node", "n", "tokens")
-    heads = tc.written(heads, spark)
+    same = tc.written(table.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "rid")).alias("head")).select("digest", F.col("head.doc_id").alias("node"), F.col("head.rid").alias("rid")), spark)
+    heads = table.join(_small(same.select("rid"), spark), "rid", "left_semi").select(F.col("doc_id").alias("node"), "n", "tokens")
     first = heads.select("node", "n", F.explode(F.expr(f"slice(tokens, 1, cast(least(n, n - ceil({percent} * n / 100) + 1 + floor(0.25 * n)) as int))")).alias("token"))
-    likely = _shared(first, _needed(0.25, percent))
-    nodes = tc.written(heads.join(likely.distinct(), "node", "left_semi"), spark)
-
-    # 3. groups: chunks of nodes that share a least token in one of several orders
-    orders = F.array(*[F.struct(F.lit(k).alias("k"), F.expr(f"array_min(transform(tokens, x -> xxhash64(x, {k})))").alias("key")) for k in range(ORDERS)])
-    keyed = nodes.select("node", "n", F.explode(orders).alias("o")).select("node", "n", "o.k", "o.key")
-    sizes = keyed.groupBy("k", "key").agg(F.count("*").alias("c"), F.sum("n").alias("s")).where("c > 1")
-    chunks = F.greatest(F.ceil(F.col("c") / CHUNK_DOCS), F.ceil(F.col("s") / CHUNK_TOKENS))
-    placed = keyed.drop("n").join(sizes, ["k", "key"]).select("node", F.xxhash64("k", "key", F.pmod(F.xxhash64("node", "k"), chunks)).alias("chunk"))
-    local = placed.join(nodes, "node").select("chunk", "node", "tokens").groupBy("chunk").applyInPandas(_local_links(percent), "u long, v long")
-    links = tc.written(local.distinct(), spark)
-    grouped = tc.written(_relabelled(spark, nodes, links), spark)
-
-    # 4. token-group matrix, over tokens that two groups have
-    tokens = grouped.select("node", "n", "part", F.explode("tokens").alias("token"))
-    open_tokens = tokens.groupBy("token").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("token")
-    asked = tokens.join(open_tokens, "token", "left_semi")
-    able = asked.groupBy("node", "n").agg(F.count("*").alias("c")).where(100 * F.col("c") >= percent * F.col("n")).select("node")
-    asked = tc.written(asked.join(able, "node", "left_semi"), spark)
-    matrix = asked.select("token", F.col("part").alias("other")).distinct()
-    bound = asked.join(matrix, "token").where("part <> other").groupBy("node", "n", "other").agg(F.count("*").alias("c"))
-    opened = bound.where(100 * F.col("c") >= percent * F.col("n")).select("node", "n", "other")
-    sizes = asked.select(F.col("node").alias("v"), F.col("n").alias("vn"), F.col("part").alias("other")).distinct()
-    pairs = opened.join(sizes, "other").where(f"100 * n >= {percent} * vn AND 100 * vn >= {percent} * n")
-    pairs = pairs.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
-    x, y = (grouped.select(F.col("node").alias(k), F.col("n").alias(f"{k}n"), F.col("tokens").alias(f"{k}t")) for k in "uv")
-    both = pairs.join(x, "u").join(y, "v").withColumn("both", F.size(F.array_intersect("ut", "vt")).cast("long"))
-    far = both.where(f"100 * both >= {percent} * (un + vn - both)").select("u", "v")
-    far = tc.written(far, spark)
-    if far.isEmpty():
-        final = grouped.select("node", "part")
-    else:
-        final = _relabelled(spark, nodes.select("node"), links.union(far)).select("node", "part")
+    likely = _small(_shared(first, _needed(0.25, percent)).distinct(), spark)
+    # nodes with one doc_id (repeated rows with other texts) are one node of the graph, but sets of their own
+    nodes = tc.written(heads.join(likely, "node", "left_semi"), spark)
+
+    # 3. groups, 4. token-group matrix
+    links = _grouped_links(spark, nodes, percent)
+    names = nodes.groupBy("node").agg(F.sum("n").alias("n"))
+    parts = tc.written(_parts(spark, names, links).join(names, "node"), spark)
+    slots = parts.groupBy("part").agg(F.ceil(F.greatest(F.count("*") / CHUNK_DOCS, F.sum("n") / CHUNK_TOKENS)).alias("slots"))
+    dealt = _small(parts.drop("n").join(slots, "part").select("node", "part", F.struct("part", F.pmod(F.xxhash64("node"), "slots").alias("slot")).alias("group")), spark)
+    grouped = nodes.join(dealt, "node").select("node", "n", "tokens", "part", "group")
+    far = _open_links(spark, grouped, percent)
+    final = parts.select("node", "part") if far.isEmpty() else _parts(spark, names, links.union(far))
 
     # 5. back to the rows
-    parts = same.join(final, "node", "left").select("digest", F.coalesce("part", "node").alias("part"))
-    whole = member.join(parts, "digest").groupBy("doc_id").agg(F.min("part").alias("component_id"))
+    classes = same.join(final, "node", "left").select("digest", F.coalesce("part", "node").alias("part"))
+    whole = member.join(classes, "digest").groupBy("doc_id").agg(F.min("part").alias("component_id"))
     return table.select("doc_id", F.col("n").alias("n_shingles")).join(whole, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
