@@ -253,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, landmark
     share = F.when(F.col("toxic") == 1, per_class / counts[1]).otherwise(per_class / counts[0])
     chosen = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1000003)) < share * 1000003)
     # `chosen` holds about 2 * per_class ids, so it may be broadcast; the limit is a bound, not a sample
-    sample = docs.where("text IS NOT NULL").join(F.broadcast(chosen.limit(4 * per_class)), "doc_id")
+    sample = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen.limit(4 * per_class)), "doc_id")
     words = F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\s]", ""), r"\s+")
     bags = sample.select("doc_id", "text", "toxic", words.alias("words"))
     for seed in (1, 2):  # near copies, which share their least run of three words, count once
