@@ -4,10 +4,10 @@ A page is cut into blocks at block-level tags. A classifier with fixed weights g
 words, link share and length; the score becomes the block's two terminal capacities (the cost of calling it
 boilerplate and of calling it content). Smoothness edges join blocks that follow one another, and blocks that follow
 one another under the same parent; they are stronger the more ancestors two blocks share. The minimum cut,
-found by augmenting paths, labels all blocks at once.
+found by Dinic's algorithm, labels all blocks of a page at once, however many they are. Blocks whose own score outweighs
+all their edges are labelled before it, so that flow runs among the doubtful ones only.
 
-Scripts, styles, head, comments in the markup and form controls never become blocks. Pages of more than `MOST_BLOCKS` blocks are cut
-in consecutive stretches of so many blocks; every block is labelled.
+Scripts, styles, head, comments in the markup and form controls never become blocks.
 
 Edge cases: null and empty pages give an empty text; a tag cut off at the end of a page is dropped, unclosed elements
 end with the page; character references are decoded; repeated rows are extracted each. Other columns are ignored.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from clauseframe.llm import textcore as tc
 
 SMOOTH = 1.0
-MOST_BLOCKS = 400
+LEAST = 1e-9
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img nobr".split())
 SILENT = frozenset("script style head title noscript template textarea select option button svg math iframe object canvas audio video".split())
@@ -188,57 +188,85 @@ def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, i
     """Which nodes stay on the source's side. source, sink: terminal capacities; edges have one in both directions."""
     n = len(source)
     graph: list[dict[int, float]] = [{} for _ in range(n)]
-    excess = []
-    for i in range(n):
-        through = min(source[i], sink[i])
-        excess.append(source[i] - through)
-        sink[i] -= through
     for a, b, w in edges:
         graph[a][b] = graph[a].get(b, 0.0) + w
         graph[b][a] = graph[b].get(a, 0.0) + w
+    # a node whose terminals outweigh all its edges has its side in every minimum cut; its edges become its neighbours' terminals
+    net, around = [s - t for s, t in zip(source, sink)], [sum(g.values()) for g in graph]
+    side: list[bool | None] = [None] * n
+    todo = list(range(n))
+    while todo:
+        i = todo.pop()
+        if side[i] is None and (net[i] > around[i] + LEAST or net[i] <= -around[i]):
+            side[i] = net[i] > 0
+            for j, w in graph[i].items():
+                net[j] += w if side[i] else -w
+                around[j] -= w
+                del graph[j][i]
+                todo.append(j)
+            graph[i] = {}
+    rest = [i for i in range(n) if side[i] is None]
+    reached = _reached(net, graph, rest) if rest else {}
+    return [i in reached if side[i] is None else side[i] for i in range(n)]
+
+
+def _reached(net: list[float], graph: list[dict[int, float]], nodes: list[int]) -> dict[int, int]:
+    """The nodes that the source still reaches after a maximum flow, found by Dinic's phases. net: a node's excess, or its room to the sink below 0."""
     while True:
-        before = {i: -1 for i in range(n) if excess[i] > 1e-9}
-        queue, end = deque(before), -1
+        level = {i: 0 for i in nodes if net[i] > LEAST}
+        queue, ends = deque(level), False
         while queue:
             i = queue.popleft()
-            if sink[i] > 1e-9:
-                end = i
-                break
+            ends |= net[i] < -LEAST
             for j, room in graph[i].items():
-                if room > 1e-9 and j not in before:
-                    before[j] = i
+                if room > LEAST and j not in level:
+                    level[j] = level[i] + 1
                     queue.append(j)
-        if end < 0:
-            return [i in before for i in range(n)]
-        path = [end]
-        while before[path[-1]] >= 0:
-            path.append(before[path[-1]])
-        flow = min(excess[path[-1]], sink[end], *(graph[path[k + 1]][path[k]] for k in range(len(path) - 1)))
-        excess[path[-1]] -= flow
-        sink[end] -= flow
-        for k in range(len(path) - 1):
-            graph[path[k + 1]][path[k]] -= flow
-            graph[path[k]][path[k + 1]] += flow
+        if not ends:
+            return level
+        onward = {i: iter([j for j in graph[i] if level.get(j) == level[i] + 1]) for i in level}
+        at = {i: next(onward[i], -1) for i in level}
+        for start in [i for i in level if level[i] == 0]:
+            path = [start]
+            while path and net[start] > LEAST:
+                i = path[-1]
+                if net[i] < -LEAST:
+                    flow = min(net[start], -net[i], *(graph[u][v] for u, v in zip(path, path[1:])))
+                    net[start] -= flow
+                    net[i] += flow
+                    keep = len(path)
+                    for k in range(len(path) - 1, 0, -1):
+                        u, v = path[k - 1], path[k]
+                        graph[u][v] -= flow
+                        graph[v][u] += flow
+                        if graph[u][v] <= LEAST:
+                            keep = k
+                    del path[keep:]
+                    continue
+                while at[i] >= 0 and graph[i][at[i]] <= LEAST:
+                    at[i] = next(onward[i], -1)
+                if at[i] >= 0:
+                    path.append(at[i])
+                else:  # nothing leads on from here in this phase
+                    path.pop()
+                    if path:
+                        at[path[-1]] = next(onward[path[-1]], -1)
 
 
 def labelled(html: str) -> list[tuple[str, bool]]:
     """The blocks of a page in order, each with whether it is content."""
     found, holders = blocks(html)
-    out = []
-    for at in range(0, len(found), MOST_BLOCKS):
-        some = found[at : at + MOST_BLOCKS]
-        scores = [score(*b, holders) for b in some]
-        source = [math.log1p(math.exp(min(s, 30))) for s in scores]
-        sink = [math.log1p(math.exp(min(-s, 30))) for s in scores]
-        edges, last = [], {}
-        for i, (node, _, _) in enumerate(some):
-            if i:
-                edges.append((i - 1, i, SMOOTH * _closeness(some[i - 1][0], node)))
-            if last.get(node.parent, i - 1) != i - 1:
-                edges.append((last[node.parent], i, SMOOTH / 2))
-            last[node.parent] = i
-        out += zip((b[1] for b in some), minimum_cut(source, sink, edges))
-    return out
+    scores = [score(*b, holders) for b in found]
+    source = [math.log1p(math.exp(min(s, 30))) for s in scores]
+    sink = [math.log1p(math.exp(min(-s, 30))) for s in scores]
+    edges, last = [], {}
+    for i, (node, _, _) in enumerate(found):
+        if i:
+            edges.append((i - 1, i, SMOOTH * _closeness(found[i - 1][0], node)))
+        if last.get(node.parent, i - 1) != i - 1:
+            edges.append((last[node.parent], i, SMOOTH / 2))
+        last[node.parent] = i
+    return list(zip((b[1] for b in found), minimum_cut(source, sink, edges)))
 
 
 def main_text(html: str | None) -> str:

@@ -131,6 +131,27 @@ def test_minimum_cut_is_minimal():
         assert cost(main_text.minimum_cut(list(source), list(sink), edges)) == pytest.approx(best)
 
 
+def test_minimum_cut_of_a_long_chain():
+    rng = np.random.default_rng(4)
+    for spread in (0.3, 1.0, 3.0):
+        n = 3000
+        net = rng.normal(0, spread, n)
+        source, sink, w = np.maximum(net, 0), np.maximum(-net, 0), rng.random(n - 1)
+        kept, dropped = sink[0], source[0]  # the least cost by the last node's side
+        for i in range(1, n):
+            kept, dropped = sink[i] + min(kept, dropped + w[i - 1]), source[i] + min(dropped, kept + w[i - 1])
+        side = np.array(main_text.minimum_cut(list(source), list(sink), [(i, i + 1, float(w[i])) for i in range(n - 1)]))
+        assert np.where(side, sink, source).sum() + w[side[1:] != side[:-1]].sum() == pytest.approx(min(kept, dropped))
+
+
+@pytest.mark.parametrize(("odd", "around", "keeps"), [('<p><a href="/x">line</a> more ab</p>', "<p>" + "word " * 30 + "</p>", True), ("<p>" + "word " * 12 + "</p>", '<p><a href="/x">' + "link " * 4 + "</a></p>", False)])
+def test_labels_do_not_depend_on_the_place_in_a_long_page(odd, around, keeps):
+    for at in (5, 398, 399, 400, 401, 799, 800):
+        page = "<html><body><div><section>" + around * at + odd + around * (900 - at) + "</section></div></body></html>"
+        labels = [kept for _, kept in main_text.labelled(page)]
+        assert len(labels) == 901 and labels[at] is keeps, at
+
+
 def test_gif_columns(docs, texts):
     for r in gif_media.media_columns(docs).collect():
         if r["doc_id"] not in (None, 1):
