@@ -10,8 +10,8 @@ of doc_id. Word counts and expected piece counts are aggregated by Spark; what r
 (the vocabulary times the languages, at most `MOST_LANGUAGES`).
 
 Edge cases: null texts and texts without a letter are `und` with score 0; characters outside the vocabulary have a
-small fixed probability; equal scores go to the alphabetically first language; very long words are scored
-whole; rows with null lang are not learned from; repeated rows are scored each. Without any labelled row, all texts are `und`.
+small fixed probability; equal scores go to the alphabetically first language; words of any length are scored and learned from
+whole, with all segmentations; rows with null lang are not learned from; repeated rows are scored each. Without any labelled row, all texts are `und`.
 """
 
 from __future__ import annotations
@@ -35,7 +35,9 @@ PER_LANGUAGE = 2_000
 MOST_LANGUAGES = 512
 ROUNDS = 3
 CACHED = 250_000
-LONGEST_PIECE = 8
+CACHED_LENGTH = 64
+STRETCH = 8_192
+MOST_CHARACTERS = 1 << 19
 UNKNOWN = math.log(1e-9)
 MARK = "▁"
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -44,104 +46,138 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 class Pieces:
     """A vocabulary as a sorted table of substring hashes."""
 
-    def __init__(self, path: str, longest: int = LONGEST_PIECE):
+    def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
-        self.names = [p for p in (model.id_to_piece(i) for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))) if len(p) <= longest]
-        self.longest = longest
-        self.powers = np.cumprod(np.array([1] + [int(_PRIME)] * longest, dtype=np.uint64), dtype=np.uint64)
-        keys = np.array([self._hash(p) for p in self.names], dtype=np.uint64)
+        self.names = [p for p in (model.id_to_piece(i) for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))]
+        self.longest = max(map(len, self.names))
+        self.begins = np.zeros(1 << 20, dtype=bool)  # by the upper bits of their hashes, all beginnings of pieces
+        keys = np.empty(len(self.names), dtype=np.uint64)
+        for i, piece in enumerate(self.names):
+            h = 0
+            for k, ch in enumerate(piece):
+                h = (h * int(_PRIME) + ord(ch)) & 0xFFFFFFFFFFFFFFFF
+                self.begins[(h ^ k + 1) >> 44] = True
+            keys[i] = h ^ len(piece)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.arange(len(order))[order]
 
-    def _hash(self, piece: str) -> int:
-        h = 0
-        for ch in piece:
-            h = (h * int(_PRIME) + ord(ch)) & 0xFFFFFFFFFFFFFFFF
-        return (h ^ len(piece)) & 0xFFFFFFFFFFFFFFFF
-
-    def lattice(self, words: list[str]):
-        """Words as columns of equal length steps: lengths, and by (end, size) the piece that ends there or -1."""
+    def _found(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All pieces inside words: the word's number, first character, size and piece."""
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        width = int(lengths.max())
-        code = np.zeros((len(words), width), dtype=np.uint64)
-        code[np.arange(width) < lengths[:, None]] = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
-        run = np.zeros((len(words), width + 1), dtype=np.uint64)
-        for t in range(width):
-            run[:, t + 1] = run[:, t] * _PRIME + code[:, t]
-        table = {}
-        for size in range(1, min(self.longest, width) + 1):
-            h = (run[:, size:] - run[:, :-size] * self.powers[size]) ^ np.uint64(size)
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            table[size] = np.where(self.keys[at] == h, self.ids[at], -1)
-        return lengths, table
-
-    def forward(self, lengths: np.ndarray, table: dict, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scaled forward sums (words, ends, languages) and their log scales."""
-        n, width, langs = len(lengths), int(lengths.max()), prob.shape[1]
-        alpha = np.zeros((n, width + 1, langs))
-        alpha[:, 0] = 1
-        scale = np.zeros((n, width + 1, langs))
-        for t in range(1, width + 1):
-            total = alpha[:, t - 1] * math.exp(UNKNOWN)
-            best = scale[:, t - 1]
-            for size in range(1, min(self.longest, t) + 1):
-                ids = table[size][:, t - size]
-                rows = np.flatnonzero(ids >= 0)
-                if len(rows):
-                    total[rows] += alpha[rows, t - size] * np.exp(scale[rows, t - size] - best[rows]) * prob[ids[rows]]
-            peak = np.maximum(total, 1e-300)
-            alpha[:, t], scale[:, t] = total / peak, best + np.log(peak)
-        return alpha, scale
-
-    def log_prob(self, words: list[str], prob: np.ndarray) -> np.ndarray:
-        """log P(word | language), summed over all segmentations; words of like length together."""
-        out = np.zeros((len(words), prob.shape[1]))
+        code = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        row = np.repeat(np.arange(len(words)), lengths)
+        ends = np.cumsum(lengths)
+        at, h, stop = np.arange(len(code)), np.zeros(len(code), dtype=np.uint64), ends[row]
+        got = []
+        for size in range(1, self.longest + 1):
+            inside = at + size <= stop
+            at, h, stop = at[inside], h[inside], stop[inside]
+            h = h * _PRIME + code[at + size - 1]
+            key = h ^ np.uint64(size)
+            open_ = self.begins[key >> np.uint64(44)]
+            at, h, stop, key = at[open_], h[open_], stop[open_], key[open_]
+            if not len(at):
+                break
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = np.flatnonzero(self.keys[place] == key)
+            got.append((at[hit], np.full(len(hit), size), self.ids[place[hit]]))
+        at, size, piece = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, dtype=np.int64),) * 3
+        return row[at], at - (ends - lengths)[row[at]], size, piece
+
+    def _from_left(self, words: list[str], a: int, b: int):
+        """Pieces that end after character a and not after b: word, end, size, piece."""
+        base = max(0, a - self.longest + 1)
+        row, start, size, piece = self._found([w[base:b] for w in words] if b - a < max(map(len, words)) else words)
+        end = start + size + base
+        keep = end > a
+        return row[keep], end[keep], size[keep], piece[keep]
+
+    def _from_right(self, words: list[str], a: int, b: int):
+        """The same, with characters counted from the ends of the words."""
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        base = np.maximum(lengths - b, 0)
+        row, start, size, piece = self._found([w[k : max(k, len(w) - a - 1 + self.longest)] for w, k in zip(words, base.tolist())])
+        end = (lengths - base)[row] - start
+        keep = end > a
+        return row[keep], end[keep], size[keep], piece[keep]
+
+    def _sums(self, words: list[str], side, prob: np.ndarray):
+        """Yield t, x, scale: the sum over all segmentations of the first (or last) t characters is x * exp(scale), by word and language.
+
+        Only the last `longest` sums are kept, and pieces are looked up for STRETCH characters at a time, so memory doesn't follow
+        a word's length. A sum is at least 1e-9 times the one before, so that scaling once in `longest` steps is enough.
+        """
+        n, width, back = len(words), max(map(len, words)), self.longest
+        sums = np.zeros((2 * back, n, prob.shape[1]))
+        sums[back - 1] = 1
+        scale = np.zeros((n, prob.shape[1]))
+        stretch = -(-STRETCH // back) * back
+        for a in range(0, width, stretch):
+            b = min(a + stretch, width)
+            row, end, size, piece = side(words, a, b)
+            kind = end * (back + 1) + size
+            order = np.argsort(kind, kind="stable")
+            row, piece, kind = row[order], piece[order], kind[order]
+            cuts = np.flatnonzero(np.diff(kind, prepend=-1))
+            groups = [*zip((kind[cuts] // (back + 1)).tolist(), (kind[cuts] % (back + 1)).tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(kind)]), (0, 0, 0, 0)]
+            g = 0
+            for t in range(a + 1, b + 1):
+                k = back + (t - 1) % back
+                total = np.multiply(sums[k - 1], math.exp(UNKNOWN), out=sums[k])
+                while groups[g][0] == t:
+                    _, width_, lo, to = groups[g]
+                    r = row[lo:to]
+                    total[r] += sums[k - width_][r] * prob[piece[lo:to]]
+                    g += 1
+                yield t, total, scale
+                if k == 2 * back - 1:
+                    peak = total.copy()
+                    sums[:back] = sums[back:] / peak
+                    scale += np.log(peak)
+
+    def _alike(self, words: list[str], most: int):
+        """Numbers of words, those of like length together."""
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
         at = 0
         while at < len(order):
             to = at + 1
-            while to < len(order) and to - at < 8192 and len(words[order[to]]) <= len(words[order[at]]) + 2:
+            while to < len(order) and to - at < most and len(words[order[to]]) <= len(words[order[at]]) + 2 and (to - at) * len(words[order[to]]) < MOST_CHARACTERS:
                 to += 1
-            # a very long word is taken in parts, whose borders every segmentation keeps
-            some = [words[i] for i in order[at:to]]
-            if len(some[0]) > 256:
-                for i, w in zip(order[at:to], some):
-                    out[i] = self.log_prob([w[k : k + 256] for k in range(0, len(w), 256)], prob).sum(axis=0)
-            else:
-                lengths, table = self.lattice(some)
-                _, scale = self.forward(lengths, table, prob)
-                out[order[at:to]] = scale[np.arange(len(some)), lengths]
+            yield order[at:to]
             at = to
+
+    def log_prob(self, words: list[str], prob: np.ndarray) -> np.ndarray:
+        """log P(word | language), summed over all segmentations; words of like length together."""
+        out = np.zeros((len(words), prob.shape[1]))
+        for some in self._alike(words, 8192):
+            lengths, some = np.array([len(words[i]) for i in some]), np.array(some)
+            first = int(lengths.min())
+            for t, x, scale in self._sums([words[i] for i in some], self._from_left, prob):
+                if t >= first:
+                    done = np.flatnonzero(lengths == t)
+                    out[some[done]] = np.log(x[done]) + scale[done]
         return out
 
     def expected(self, words: list[str], counts: np.ndarray, prob: np.ndarray) -> np.ndarray:
-        """Expected uses of every piece in words of one language, by forward and backward sums."""
+        """Expected uses of every piece in words of one language, by sums from both ends. Memory: 16 bytes a character of the longest word."""
         out = np.zeros(len(self.names))
-        for at in range(0, len(words), 4096):
-            some, weight = words[at : at + 4096], counts[at : at + 4096]
-            lengths, table = self.lattice(some)
-            alpha, ascale = (x[:, :, 0] for x in self.forward(lengths, table, prob[:, None]))
-            n, width = len(some), int(lengths.max())
-            beta = np.full((n, width + 1), -np.inf)
-            beta[np.arange(n), lengths] = 0
-            la = ascale + np.log(np.maximum(alpha, 1e-300))
-            lp = np.log(prob)
-            for t in range(width - 1, -1, -1):
-                acc = np.logaddexp(beta[:, t], beta[:, t + 1] + UNKNOWN)
-                for size in range(1, min(self.longest, width - t) + 1):
-                    ids = table[size][:, t]
-                    acc = np.where(ids >= 0, np.logaddexp(acc, beta[:, t + size] + lp[np.maximum(ids, 0)]), acc)
-                beta[:, t] = acc
-            whole = la[np.arange(n), lengths]
-            for size, found in table.items():
-                ends = np.arange(size, width + 1)
-                ok = (found >= 0) & (ends[None, :] <= lengths[:, None])
-                w, k = np.nonzero(ok)
-                share = np.exp(la[w, k] + lp[found[w, k]] + beta[w, k + size] - whole[w])
-                np.add.at(out, found[w, k], share * weight[w])
+        lp = np.log(prob)
+        for numbers in self._alike(words, 4096):
+            some, weight = [words[i] for i in numbers], counts[numbers]
+            lengths = np.array([len(w) for w in some])
+            width = int(lengths.max())
+            left, right = np.zeros((2, width + 1, len(some)))
+            for to, side in ((left, self._from_left), (right, self._from_right)):
+                for t, x, scale in self._sums(some, side, prob[:, None]):
+                    to[t] = np.log(x[:, 0]) + scale[:, 0]
+            whole = left[lengths, np.arange(len(some))]
+            for a in range(0, width, STRETCH):
+                row, end, size, piece = self._from_left(some, a, min(a + STRETCH, width))
+                share = np.exp(left[end - size, row] + lp[piece] + right[lengths[row] - end, row] - whole[row])
+                out += np.bincount(piece, share * weight[row], minlength=len(out))
         return out
 
 
@@ -185,7 +221,7 @@ def fit(docs: DataFrame, vocabulary: str, per_language: int = PER_LANGUAGE, roun
     # a threshold on the hash keeps about so many of each language; no group is gathered or sorted
     share = known.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
     sample = known.select("doc_id", "text", "lang").join(F.broadcast(share.limit(100_000)), "lang").where("pmod(xxhash64(doc_id, 5), 1000003) < share * 1000003")
-    words = sample.select("lang", F.explode(F.split("text", r"\s+")).alias("word")).where("word <> '' AND length(word) <= 64")
+    words = sample.select("lang", F.explode(F.split("text", r"\s+")).alias("word")).where("word <> ''")
     counts = tc.written(words.groupBy("lang", "word").agg(F.count("*").alias("n")), spark)
     size = len(pieces(vocabulary).names)
     prob = np.full((size, max(len(langs), 1)), 1.0 / size)
@@ -209,8 +245,9 @@ class Scorer:
             self.known, self.table = {}, self.table[:0]
         known = self.known
         new = list({w for words in cut for w in words if w not in known})
+        new.sort(key=len)
+        at, kept = len(known), sum(len(w) <= CACHED_LENGTH for w in new)
         if new:
-            at = len(known)
             got = pieces(self.model.path).log_prob([MARK + w for w in new], self.model.prob.astype(np.float64))
             self.table = np.concatenate([self.table[:at], got.astype(np.float32)])
             known.update(zip(new, range(at, at + len(new))))
@@ -218,6 +255,10 @@ class Scorer:
         for i, words in enumerate(cut):
             if words:
                 out[i] = self.table[np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0, dtype=np.float64)
+        if kept < len(new):  # longer words are not remembered
+            for w in new[kept:]:
+                del known[w]
+            self.table = self.table[: at + kept]
         return out
 
 

@@ -1,7 +1,9 @@
 """Language, toxicity, page text and GIF columns."""
 
 import hashlib
+import math
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -34,6 +36,67 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(pieces.log_prob([long], prob)).all()
 
 
+def _vocabulary():
+    """The normal pieces of the model file."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(language_id.VOCABULARY))
+    return [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+
+
+def test_sums_with_all_pieces_of_the_model_file():
+    names = _vocabulary()
+    pieces = language_id.Pieces(public_tokenizers.path(language_id.VOCABULARY))
+    assert pieces.names == names and pieces.longest == max(map(len, names)) == 16
+    prob = np.random.default_rng(1).random((len(names), 2))
+    prob /= prob.sum(axis=0)
+    ids = {p: i for i, p in enumerate(names)}
+
+    def chart(word, p, unknown):
+        out = [Fraction(1)]  # exact numbers do not underflow
+        for t in range(1, len(word) + 1):
+            out.append(out[t - 1] * unknown + sum(out[k] * p[word[k:t]] for k in range(max(0, t - 16), t) if word[k:t] in p))
+        return math.log(out[-1].numerator) - math.log(out[-1].denominator)
+
+    # the borders of 256, of a stretch and of `longest` lie inside pieces
+    long = ["▁" + "x" * k + "information" * 40 for k in range(3)]
+    words = ["▁something", "▁different", "▁information", "▁responsibility", *long]
+    tables = [{n: Fraction(float(prob[ids[n], j])) for n in ids} for j in range(2)]
+    want = [[chart(w, t, Fraction(float(np.exp(language_id.UNKNOWN)))) for t in tables] for w in words]
+    assert np.allclose(pieces.log_prob(words, prob), want, rtol=1e-9)
+
+
+def test_stretches_change_nothing(monkeypatch):
+    pieces = language_id.Pieces(public_tokenizers.path(language_id.VOCABULARY))
+    prob = np.random.default_rng(2).random((len(pieces.names), 2))
+    prob /= prob.sum(axis=0)
+    words = ["▁" + "information" * 30, "▁" + "differenttalk" * 26 + "s", "▁short", "▁日本語"]
+    whole, uses = pieces.log_prob(words, prob), pieces.expected(words, np.array([1.0, 2.0, 3.0, 1.0]), prob[:, 0])
+    monkeypatch.setattr(language_id, "STRETCH", 32)
+    assert np.allclose(pieces.log_prob(words, prob), whole) and np.allclose(pieces.expected(words, np.array([1.0, 2.0, 3.0, 1.0]), prob[:, 0]), uses)
+    # expected uses are the derivatives of the log sums
+    k = pieces.names.index("information") if "information" in pieces.names else int(uses.argmax())
+    step = 1e-6
+    up, down = (np.where(np.arange(len(prob)) == k, prob[:, 0] * (1 + d), prob[:, 0])[:, None] for d in (step, -step))
+    slope = (pieces.log_prob(words, up) - pieces.log_prob(words, down))[:, 0] @ [1.0, 2.0, 3.0, 1.0] / (2 * step)
+    assert uses[k] > 0 and uses[k] == pytest.approx(slope, rel=1e-3)
+
+
+def test_languages_without_spaces(spark):
+    import random
+
+    rng = random.Random(5)
+    kinds = {"ja": "のにはをたがでてとしれさある", "zh": "的一是不了人我在有他这中大来"}
+    text = lambda k: "".join(rng.choice(kinds[k]) for _ in range(120))
+    rows = [(i, text(k), k) for i, k in enumerate(["ja", "zh"] * 40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(table, public_tokenizers.path(language_id.VOCABULARY), rounds=1)
+    assert np.abs(model.prob[:, 0] - model.prob[:, 1]).max() > 0.01
+    new = spark.createDataFrame([(i, text(k), k) for i, k in enumerate(["ja", "zh"] * 10)], "doc_id long, text string, lang string")
+    got = language_id.predict(new, model).collect()
+    assert all(r["lang"] == r["lang_pred"] and r["lang_score"] > 0.99 for r in got)
+
+
 def test_language(spark, docs, none):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     got = language_id.op5_language_id(spark, SF).join(table.select("doc_id", "lang"), "doc_id").toPandas()
