@@ -2,9 +2,8 @@
 
 `decode` reads any GIF: it follows the extension and image blocks, decodes each frame's LZW stream (codes that grow
 from the minimum size to 12 bits), and `composed` draws the frames on the canvas with their palettes, transparency and disposal.
-`encode` stores 8-bit samples as frames with a grey palette. Its code streams hold every sample as a literal and clear the
-table before codes would grow; such streams are recognised by the decoder and unpacked with array operations, all
-others are decoded code by code.
+`encode` stores 8-bit samples as frames with a grey palette, with codes that grow and a table that is cleared when full.
+`frame_rows` takes files and returns their timed frames with the histogram of the composed canvas.
 
 Media columns of a text: its UTF-8 bytes filled with spaces to a multiple of 192 are the samples, 192 a row, at most 64 rows
 a frame; the columns hold digests of what is read back, and the feature is frames, duration and colour histogram.
@@ -27,7 +26,6 @@ from pyspark.sql import DataFrame, SparkSession
 from clauseframe.llm import textcore as tc
 
 ROW, ROWS, DELAY = 192, 64, 10
-LITERALS = 254  # between clear codes: one more would make codes grow to ten bits
 BINS = 16
 _GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
 
@@ -63,25 +61,42 @@ def _sub_blocks(data: bytes) -> bytes:
     return body.tobytes() + (bytes([len(rest)]) + rest if rest else b"") + b"\0"
 
 
-def _literal_stream(samples: np.ndarray) -> bytes:
-    n = len(samples)
-    groups = -(-n // LITERALS)
-    codes = np.zeros(groups * (LITERALS + 1), dtype=np.uint16).reshape(groups, LITERALS + 1)
-    codes[:, 0] = 256
-    flat = np.zeros(groups * LITERALS, dtype=np.uint16)
-    flat[:n] = samples
-    codes[:, 1:] = flat.reshape(groups, LITERALS)
-    total = n + groups
-    codes = np.append(codes.ravel()[:total], 257).astype(np.uint16)
-    padded = np.zeros(-(-len(codes) // 8) * 8, dtype=np.uint16)
-    padded[: len(codes)] = codes
-    c = padded.reshape(-1, 8)
-    out = np.zeros((len(c), 9), dtype=np.uint8)
-    for k in range(9):
-        low = c[:, k] << k if k < 8 else 0
-        high = c[:, k - 1] >> (9 - k) if k else 0
-        out[:, k] = (low | high) & 0xFF
-    return out.tobytes()[: -(-len(codes) * 9 // 8)]
+def lzw_encode(samples: bytes) -> bytes:
+    """Codes of 8-bit samples that grow from 9 to 12 bits; the table is cleared when it is full."""
+    table: dict[int, int] = {}
+    following, width, bits, held = 258, 9, 256, 9
+    out = bytearray()
+    now = samples[0]
+    for sample in samples[1:]:
+        key = now << 8 | sample
+        if key in table:
+            now = table[key]
+            continue
+        bits |= now << held
+        held += width
+        if following < 4096:
+            table[key] = following
+            following += 1
+            if following > 1 << width and width < 12:
+                width += 1
+        else:
+            bits |= 256 << held
+            held += width
+            table.clear()
+            following, width = 258, 9
+        if held >= 256:
+            out += (bits & ((1 << 256) - 1)).to_bytes(32, "little")
+            bits >>= 256
+            held -= 256
+        now = sample
+    bits |= now << held
+    held += width
+    # the decoder adds an entry for that code, too
+    if following == 1 << width and width < 12:
+        width += 1
+    bits |= 257 << held
+    held += width
+    return bytes(out + bits.to_bytes(-(-held // 8), "little"))
 
 
 def encode(samples: np.ndarray, width: int = ROW, rows: int = ROWS, delay: int = DELAY) -> bytes:
@@ -92,35 +107,12 @@ def encode(samples: np.ndarray, width: int = ROW, rows: int = ROWS, delay: int =
     out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), _GREY]
     for at in range(0, len(samples), width * rows):
         part = samples[at : at + width * rows]
-        out += [struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 1 << 2, delay, 0, 0), struct.pack("<BHHHHB", 0x2C, 0, 0, width, len(part) // width, 0), b"\x08", _sub_blocks(_literal_stream(part))]
+        out += [struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 1 << 2, delay, 0, 0), struct.pack("<BHHHHB", 0x2C, 0, 0, width, len(part) // width, 0), b"\x08", _sub_blocks(lzw_encode(part.tobytes()))]
     return b"".join([*out, b"\x3b"])
 
 
-def _unpacked(data: bytes, n: int) -> np.ndarray | None:
-    """The samples of a stream of nine-bit literals with regular clear codes; None for other streams."""
-    groups = -(-n // LITERALS)
-    total = n + groups + 1
-    size = -(-total * 9 // 8)
-    if len(data) < size:
-        return None
-    padded = np.zeros(-(-total // 8) * 9, dtype=np.uint8)
-    padded[:size] = np.frombuffer(data, dtype=np.uint8, count=size)
-    b = padded.reshape(-1, 9).astype(np.uint16)
-    codes = np.empty((len(b), 8), dtype=np.uint16)
-    for k in range(8):
-        codes[:, k] = ((b[:, k] >> k) | (b[:, k + 1] << (8 - k))) & 511
-    codes = codes.ravel()[:total]
-    clear = np.zeros(total - 1, dtype=bool)
-    clear[:: LITERALS + 1] = True
-    if codes[-1] != 257 or (codes[:-1][clear] != 256).any() or (codes[:-1][~clear] > 255).any():
-        return None
-    return codes[:-1][~clear].astype(np.uint8)
-
-
 def lzw_decode(data: bytes, least: int, n: int) -> np.ndarray:
     """n samples from LZW codes that start at least + 1 bits."""
-    if least == 8 and (fast := _unpacked(data, n)) is not None:
-        return fast
     clear, end = 1 << least, (1 << least) + 1
     table: list[bytes] = []
     width, last, out, size = least + 1, None, [], 0
@@ -229,16 +221,16 @@ def composed(gif: Gif):
             canvas = before
 
 
-def histogram(gif: Gif, bins: int = BINS) -> np.ndarray:
-    """Pixels of all frames by the brightness of their colour."""
-    out = np.zeros(bins, dtype=np.int64)
-    for f in gif.frames:
-        light = (f.palette.astype(np.uint32) @ np.array([299, 587, 114], dtype=np.uint32)) // 1000
-        counts = np.bincount(f.indices.ravel(), minlength=len(light))[: len(light)]
-        if f.transparent is not None and f.transparent < len(counts):
-            counts[f.transparent] = 0
-        np.add.at(out, light * bins // 256, counts)
-    return out
+def histogram(canvas: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """Visible pixels of an RGBA canvas by the brightness of their colour."""
+    seen = canvas[canvas[..., 3] > 0][:, :3].astype(np.uint32)
+    light = (seen @ np.array([299, 587, 114], dtype=np.uint32)) // 1000
+    return np.bincount(light * bins // 256, minlength=bins)
+
+
+def timed_frames(gif: Gif) -> list[tuple[int, int, list[int]]]:
+    """(index, delay, histogram) of what is shown after each frame."""
+    return [(i, delay, histogram(canvas).tolist()) for i, (delay, canvas) in enumerate(composed(gif))]
 
 
 def _columns(data: bytes) -> tuple:
@@ -246,8 +238,9 @@ def _columns(data: bytes) -> tuple:
     media = encode(np.frombuffer(payload, dtype=np.uint8))
     gif = decode(media)
     back = b"".join(f.indices.tobytes() for f in gif.frames)
-    bars = histogram(gif)
-    feature = f"frames={len(gif.frames)};centiseconds={sum(f.delay for f in gif.frames)};histogram={','.join(map(str, bars))}"
+    shown = timed_frames(gif)
+    bars = np.sum([bars for _, _, bars in shown], axis=0)
+    feature = f"frames={len(shown)};centiseconds={sum(delay for _, delay, _ in shown)};histogram={','.join(map(str, bars))}"
     return len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
 
@@ -282,5 +275,22 @@ def media_files(docs: DataFrame) -> DataFrame:
     return tc.text_only(docs).mapInArrow(_files, "doc_id long, media binary")
 
 
+def _frames(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            media = batch.column("media")[i].as_py()
+            rows = timed_frames(decode(media)) if media is not None else []
+            if rows:
+                index, delay, bars = zip(*rows)
+                doc = pa.array([batch.column("doc_id")[i].as_py()] * len(rows), pa.int64())
+                yield pa.RecordBatch.from_arrays([doc, pa.array(index, pa.int32()), pa.array(delay, pa.int32()), pa.array(bars, pa.list_(pa.int64()))], ["doc_id", "frame", "delay", "histogram"])
+
+
+def frame_rows(files: DataFrame) -> DataFrame:
+    """files (doc_id, media) -> (doc_id, frame, delay, histogram): a row for each frame of each GIF."""
+    files = files.selectExpr("cast(doc_id as long) AS doc_id", "cast(media as binary) AS media")
+    return files.mapInArrow(_frames, "doc_id long, frame int, delay int, histogram array<bigint>")
+
+
 def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(tc.read_table(spark, sf_dir, "documents"))

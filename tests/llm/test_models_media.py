@@ -266,3 +266,21 @@ def test_frames_disposal_and_transparency():
     assert shown == [(7, [red, green]), (7, [red, red]), (7, [green, green]), (7, [clear, green])]
     with pytest.raises(ValueError):
         gif_media.decode(b"nothing")
+
+
+def test_encoded_codes_grow():
+    for n, top in ((192, 256), (192 * 64, 3), (192 * 200, 256), (192 * 64, 256)):
+        samples = np.random.default_rng(n).integers(0, top, n).astype(np.uint8)
+        assert (np.concatenate([f.indices.ravel() for f in gif_media.decode(gif_media.encode(samples)).frames]) == samples).all()
+    text = np.frombuffer(b"the same words again " * 192 * 4, dtype=np.uint8)
+    assert len(gif_media.encode(text)) < len(text) / 2
+
+
+def test_frame_rows(spark, docs):
+    import struct
+
+    head = b"GIF89a" + struct.pack("<HHBBB", 2, 1, 0x80, 0, 0) + bytes([255, 255, 255, 0, 0, 0])
+    frame = lambda kind, index, px: struct.pack("<BBBBHBB", 0x21, 0xF9, 4, kind, 7, index, 0) + struct.pack("<BHHHHB", 0x2C, 0, 0, 2, 1, 0) + b"\x02" + gif_media._sub_blocks(_lzw(px, 2))  # noqa: E731, SLF001
+    media = head + frame(1 << 2, 0, [0, 1]) + frame(1 << 2 | 1, 1, [1, 0]) + b"\x3b"
+    got = gif_media.frame_rows(spark.createDataFrame([(1, media), (2, None)], "doc_id long, media binary")).orderBy("frame").collect()
+    assert [(r["doc_id"], r["frame"], r["delay"], r["histogram"][0], r["histogram"][15]) for r in got] == [(1, 0, 7, 1, 1), (1, 1, 7, 0, 2)]
