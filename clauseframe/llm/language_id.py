@@ -5,9 +5,11 @@ sum over all its segmentations into pieces, which a forward algorithm computes;
 its words' log probabilities. The piece probabilities are fitted by expectation-maximisation over the same
 sums (forward-backward), from the word counts of each language.
 
-Learning uses a bounded sample of labelled rows: at most `per_language` documents a language, in the order of a hash
+Learning uses a bounded sample of labelled rows: about `per_language` documents a language, by a hash
 of doc_id. Word counts and expected piece counts are aggregated by Spark; what reaches the driver is the model
-(the vocabulary times the languages, at most `MOST_LANGUAGES`).
+(the vocabulary times the languages), `TOGETHER` languages at a time.
+
+`predict` can also hold each text against a plain model in which all pieces are alike, so that text in no known language shows.
 
 Edge cases: null texts and texts without a letter are `und` with score 0; characters outside the vocabulary have a
 small fixed probability; equal scores go to the alphabetically first language; words of any length are scored and learned from
@@ -18,7 +20,6 @@ from __future__ import annotations
 
 import math
 import uuid
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ from clauseframe.llm import textcore as tc
 
 VOCABULARY = "piece_bpe_32k.model"
 PER_LANGUAGE = 2_000
-MOST_LANGUAGES = 512
+TOGETHER = 32
 ROUNDS = 3
 CACHED = 250_000
 CACHED_LENGTH = 64
@@ -152,7 +153,7 @@ class Pieces:
     def log_prob(self, words: list[str], prob: np.ndarray) -> np.ndarray:
         """log P(word | language), summed over all segmentations; words of like length together."""
         out = np.zeros((len(words), prob.shape[1]))
-        for some in self._alike(words, 8192):
+        for some in self._alike(words, max(64, 65_536 // max(prob.shape[1], 8))):
             lengths, some = np.array([len(words[i]) for i in some]), np.array(some)
             first = int(lengths.min())
             for t, x, scale in self._sums([words[i] for i in some], self._from_left, prob):
@@ -181,9 +182,8 @@ class Pieces:
         return out
 
 
-@lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
-    return Pieces(path)
+    return tc.held(f"pieces {path}", lambda: Pieces(path))
 
 
 class Model:
@@ -196,14 +196,15 @@ def _words(text: str) -> list[str]:
 
 
 def held_out(remainder: int, of: int):
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of)) == remainder
+    """Whether the hash of doc_id has that remainder; a missing doc_id is never held out."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of)) == remainder, F.lit(False))
 
 
-def _expect(path: str, langs: list[str], prob: np.ndarray):
+def _expect(path: str, langs: list[str], broadcast):
     index = {x: i for i, x in enumerate(langs)}
 
     def run(batches):
-        v = pieces(path)
+        v, prob = pieces(path), broadcast.value
         for pdf in batches:
             for lang, some in pdf[pdf["lang"].isin(index)].groupby("lang"):
                 got = v.expected([MARK + w for w in some["word"]], some["n"].to_numpy(dtype=float), prob[:, index[lang]])
@@ -217,27 +218,37 @@ def fit(docs: DataFrame, vocabulary: str, per_language: int = PER_LANGUAGE, roun
     """docs (doc_id, text, lang): learn from the rows with a language, at most `per_language` of each."""
     spark = docs.sparkSession
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    langs = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect())
     # a threshold on the hash keeps about so many of each language; no group is gathered or sorted
-    share = known.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
-    sample = known.select("doc_id", "text", "lang").join(F.broadcast(share.limit(100_000)), "lang").where("pmod(xxhash64(doc_id, 5), 1000003) < share * 1000003")
-    words = sample.select("lang", F.explode(F.split("text", r"\s+")).alias("word")).where("word <> ''")
-    counts = tc.written(words.groupBy("lang", "word").agg(F.count("*").alias("n")), spark)
-    size = len(pieces(vocabulary).names)
-    prob = np.full((size, max(len(langs), 1)), 1.0 / size)
-    for _ in range(rounds if langs else 0):
-        got = counts.mapInPandas(_expect(vocabulary, langs, prob), "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
-        total = np.full(prob.shape, 0.01)
-        total[got["piece"].to_numpy(), got["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()] += got["n"].to_numpy()
-        prob = total / total.sum(axis=0)
-    return Model(vocabulary, langs, prob)
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    langs = sorted(sizes)
+    size = len(Pieces(vocabulary).names)
+    whole = np.full((size, len(langs)), 1.0 / size, dtype=np.float32)
+    for at in range(0, len(langs), TOGETHER):
+        some = langs[at : at + TOGETHER]  # languages are learned apart, so a few at a time give the same model
+        share = F.broadcast(spark.createDataFrame([(x, per_language / sizes[x]) for x in some], "lang string, share double"))
+        sample = known.select("doc_id", "text", "lang").join(share, "lang").where("pmod(xxhash64(doc_id, 5), 1000003) < share * 1000003")
+        words = sample.select("lang", F.explode(F.split("text", r"\s+")).alias("word")).where("word <> ''")
+        counts = tc.written(words.groupBy("lang", "word").agg(F.count("*").alias("n")), spark)
+        prob, index = np.full((size, len(some)), 1.0 / size), {x: i for i, x in enumerate(some)}
+        for _ in range(rounds):
+            sent = spark.sparkContext.broadcast(prob)
+            got = counts.mapInPandas(_expect(vocabulary, some, sent), "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+            sent.destroy()
+            total = np.full(prob.shape, 0.01)
+            total[got["piece"].to_numpy(), got["lang"].map(index).to_numpy()] += got["n"].to_numpy()
+            prob = total / total.sum(axis=0)
+        whole[:, at : at + len(some)] = prob
+    return Model(vocabulary, langs, whole)
 
 
 class Scorer:
-    """Scores texts; remembers the words of one model, a bounded number of them."""
+    """Scores texts; remembers the words of one model, a bounded number of them. `plain`: with a last column for the plain model."""
 
-    def __init__(self, model: Model):
-        self.model, self.known, self.table = model, {}, np.zeros((0, len(model.langs)), dtype=np.float32)
+    def __init__(self, model: Model, plain: bool):
+        self.langs, self.pieces, self.known = model.langs, Pieces(model.path), {}
+        even = np.full((len(model.prob), int(plain)), 1.0 / len(model.prob), dtype=np.float32)
+        self.prob = np.hstack([model.prob, even])
+        self.table = np.zeros((0, self.prob.shape[1]), dtype=np.float32)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         cut = [t.split() for t in texts]
@@ -248,10 +259,10 @@ class Scorer:
         new.sort(key=len)
         at, kept = len(known), sum(len(w) <= CACHED_LENGTH for w in new)
         if new:
-            got = pieces(self.model.path).log_prob([MARK + w for w in new], self.model.prob.astype(np.float64))
+            got = self.pieces.log_prob([MARK + w for w in new], self.prob.astype(np.float64))
             self.table = np.concatenate([self.table[:at], got.astype(np.float32)])
             known.update(zip(new, range(at, at + len(new))))
-        out = np.zeros((len(texts), len(self.model.langs)))
+        out = np.zeros((len(texts), self.prob.shape[1]))
         for i, words in enumerate(cut):
             if words:
                 out[i] = self.table[np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0, dtype=np.float64)
@@ -262,44 +273,44 @@ class Scorer:
         return out
 
 
-_scorers: dict[str, Scorer] = {}
-
-
-def _scorer(model: Model) -> Scorer:
-    if model.name not in _scorers:
-        _scorers.clear()
-        _scorers[model.name] = Scorer(model)
-    return _scorers[model.name]
-
-
-def _predict(broadcast):
+def _predict(broadcast, name: str, plain: bool, names: list[str]):
     def run(batches):
-        scorer = _scorer(broadcast.value)
-        langs = np.array([*scorer.model.langs, "und"], dtype=object)
+        scorer = tc.held(f"languages {name} {plain}", lambda: Scorer(broadcast.value, plain))
+        langs = np.array([*scorer.langs, "und"], dtype=object)
+        n = len(langs) - 1
         for batch in batches:
-            preds, sures = [], []
+            preds, sures, gains = [], [], []
             for at, to, _, _ in tc.text_blocks(batch.column("text")):
                 texts = [t or "" for t in batch.column("text").slice(at, to - at).to_pylist()]
-                able = np.array([any(map(str.isalpha, t)) for t in texts], dtype=bool) & (len(langs) > 1)
-                pick, sure = np.full(len(texts), len(langs) - 1), np.zeros(len(texts))
+                able = np.array([any(map(str.isalpha, t)) for t in texts], dtype=bool) & (n > 0)
+                pick, sure, gain = np.full(len(texts), n), np.zeros(len(texts)), np.zeros(len(texts))
                 if able.any():
                     total = scorer.scores([t if ok else "" for t, ok in zip(texts, able)])
-                    best = total.argmax(axis=1)
-                    odds = np.exp(total - total.max(axis=1, keepdims=True))
+                    best = total[:, :n].argmax(axis=1)
+                    odds = np.exp(total[:, :n] - total[:, :n].max(axis=1, keepdims=True))
                     pick, sure = np.where(able, best, pick), np.where(able, 1 / odds.sum(axis=1), 0.0)
+                    if plain:
+                        gain = np.where(able, (total[:, :n].max(axis=1) - total[:, n]) / np.maximum([len(t) for t in texts], 1), 0.0)
                 preds.append(langs[pick])
                 sures.append(sure)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(preds) if preds else [], pa.string()), pa.array(np.concatenate(sures) if sures else [], pa.float64())], [*batch.schema.names, "lang_pred", "lang_score"])
+                gains.append(gain)
+            join = lambda parts: np.concatenate(parts) if parts else []
+            made = [pa.array(join(preds), pa.string()), pa.array(join(sures), pa.float64()), pa.array(join(gains), pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made[: len(names)]], [*batch.schema.names, *names])
 
     return run
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and lang_score (the probability of that language); all columns of docs stay."""
-    clash = [c for c in docs.columns if c in ("lang_pred", "lang_score")]
-    docs = docs.drop(*clash)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
-    return docs.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), schema)
+def predict(docs: DataFrame, model: Model, pred: str = "lang_pred", score: str = "lang_score", gain: str | None = None) -> DataFrame:
+    """docs with the language and its probability, and (gain) by how much a character is likelier in it than in the plain model.
+
+    All columns of docs stay, but for those of the given names, which are replaced.
+    """
+    names = [pred, score, *([gain] if gain else [])]
+    taken = {c.lower() for c in names}
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in taken])
+    schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), *[T.StructField(c, T.DoubleType()) for c in names[1:]]])
+    return docs.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), model.name, gain is not None, names), schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from clauseframe.llm import textcore as tc
 from clauseframe.llm.components import connected_components
 
-CHUNK_DOCS, CHUNK_TOKENS = 128, 2_000_000
+CHUNK_DOCS, CHUNK_TOKENS = 128, 500_000
 ORDERS = 4
 CENTRES = 8
 QUERIES = 256
@@ -76,6 +76,7 @@ def _needed(slack: float, percent: int):
 
 def _emit_prefixes(percent: int, slack: float):
     def run(batches):
+        tc.release()
         for batch in batches:
             row = 0
             for tokens, at in _sets(batch.column("text")):
@@ -89,6 +90,7 @@ def _emit_prefixes(percent: int, slack: float):
 
 def _emit_sets(batches):
     """Size and digest for every row; the set itself only where `wanted`."""
+    tc.release()
     for batch in batches:
         row = 0
         for tokens, at in _sets(batch.column("text")):
@@ -115,6 +117,7 @@ def _local_links(percent: int):
 
         The centre, whose tokens most of the chunk has, is a row without v; centres are compared first.
         """
+        tc.release()
         # a centre may stand in its own chunk again; rows of one doc_id with other texts stay
         pdf = pdf.assign(same=[hash(np.asarray(x).tobytes()) for x in pdf["tokens"]])
         pdf = pdf.sort_values(["first", "node"], ascending=[False, True]).drop_duplicates(["node", "same"])
@@ -150,6 +153,7 @@ def _local_links(percent: int):
 def _cross_links(percent: int):
     def run(pdf):
         """One link of each query to a member of the opened group, if there is any: the members are one component already."""
+        tc.release()
         sets = [np.asarray(x) for x in pdf["tokens"]]
         nodes, member = pdf["node"].to_numpy(), pdf["member"].to_numpy()
         found = []

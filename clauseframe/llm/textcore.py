@@ -6,8 +6,10 @@ follow the length of a batch. A word is a run of bytes other than 0x20 and 0x09-
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,35 @@ _POWER = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]):
+    """What a Python worker keeps from task to task (a vocabulary, words met before): one thing at a time, as workers are reused by later stages."""
+    if name not in _held:
+        release()
+        _held[name] = make()
+    return _held[name]
+
+
+def release() -> None:
+    """Drop what is held, and give the memory back to the system."""
+    if _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that is not taken, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))
@@ -122,7 +153,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder of this session that driver and executors share."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not conf:
-        # only without a cluster's own setting, as in tests on one machine
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = "file:///tmp/checkpoints/clauseframe"
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")

@@ -16,7 +16,6 @@ text are ordinary text. Other columns are ignored.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -112,11 +111,6 @@ class RankMerger:
         return out
 
 
-@lru_cache(maxsize=2)
-def _merger(path: str) -> RankMerger:
-    return RankMerger(path)
-
-
 _PRETOKEN = re.compile(" +[^ \n]*|\n+[^ \n]*")
 
 
@@ -124,7 +118,7 @@ class TokenCounter:
     """Counts tokens of texts; remembers a bounded number of pre-tokens."""
 
     def __init__(self, path: str):
-        self.merger, self.known = _merger(path), {}
+        self.merger, self.known = RankMerger(path), {}
 
     def counts(self, texts: list[str]) -> list[int]:
         cut = [_PRETOKEN.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
@@ -137,9 +131,8 @@ class TokenCounter:
         return [sum(map(known.__getitem__, parts)) for parts in cut]
 
 
-@lru_cache(maxsize=2)
 def _counter(path: str) -> TokenCounter:
-    return TokenCounter(path)
+    return tc.held(f"token counter {path}", lambda: TokenCounter(path))
 
 
 def _rows(path: str, limit: int):

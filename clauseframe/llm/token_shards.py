@@ -20,7 +20,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -60,9 +59,8 @@ class ByteIds:
         return b"".join(map(known.__getitem__, parts))
 
 
-@lru_cache(maxsize=2)
 def _ids(path: str) -> ByteIds:
-    return ByteIds(path)
+    return tc.held(f"byte ids {path}", lambda: ByteIds(path))
 
 
 def _sequences(path: str, end: int, length: int):

@@ -44,7 +44,6 @@ WINDOW = 24
 CACHED = 300_000
 THRESHOLD = 0.3
 FLOOR = -1.0
-MARGINS = [*(f"margin_{k}" for k in range(TOPS)), "margin_words"]
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789àáâãäåæçèéêëìíîïñòóôõöùúûüß"
 _CODE = np.full(0x250, 1, dtype=np.int64)
@@ -213,34 +212,25 @@ class Scorer:
         return out
 
 
-_scorers: dict[str, Scorer] = {}
-
-
-def _scorer(model: Model) -> Scorer:
-    if model.name not in _scorers:
-        _scorers.clear()
-        _scorers[model.name] = Scorer(model)
-    return _scorers[model.name]
-
-
-def _tops(broadcast):
+def _tops(broadcast, name: str, column: str):
     def run(batches):
-        scorer = _scorer(broadcast.value)
+        scorer = tc.held(f"toxicity {name}", lambda: Scorer(broadcast.value))
         for batch in batches:
             got = [np.zeros((0, TOPS + 1))]
             for at, to, _, _ in tc.text_blocks(batch.column("text")):
                 texts = [t or "" for t in batch.column("text").slice(at, to - at).to_pylist()]
                 got.append(scorer.tops(texts))
             got = np.concatenate(got)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, got.T.copy())], [*batch.schema.names, *MARGINS])
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(0, got.size + 1, TOPS + 1, dtype=np.int32)), pa.array(got.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, rows], [*batch.schema.names, column])
 
     return run
 
 
-def margins(docs: DataFrame, model: Model) -> DataFrame:
-    docs = docs.drop(*MARGINS)
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.DoubleType()) for c in MARGINS]])
-    return docs.mapInArrow(_tops(docs.sparkSession.sparkContext.broadcast(model)), schema)
+def margins(docs: DataFrame, model: Model, column: str) -> DataFrame:
+    """docs with an array: the highest margins of each text, and the logarithm of its number of words."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.ArrayType(T.DoubleType()))])
+    return docs.mapInArrow(_tops(docs.sparkSession.sparkContext.broadcast(model), model.name, column), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, landmarks: int = LANDMARKS) -> Model:
@@ -314,21 +304,22 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, landmark
             if more:
                 negative += more
                 xn = np.vstack([xn, kernel.values(more) @ root])
-    seen = margins(bags.select("text", "toxic"), model).select("toxic", *MARGINS).toPandas()
+    seen = margins(bags.select("text", "toxic"), model, "tops").select("toxic", "tops").toPandas()
     # the classes keep the shares that they have among all labels
-    curve = _logistic(seen[MARGINS].to_numpy(), seen["toxic"].to_numpy(dtype=float))
+    curve = _logistic(np.vstack(seen["tops"]), seen["toxic"].to_numpy(dtype=float))
     return Model(weights, float(w[-1]), curve)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with toxic_score (0 to 1); all columns of docs stay."""
-    docs = docs.drop(*[c for c in docs.columns if c == "toxic_score"])
+def score(docs: DataFrame, model: Model, column: str = "toxic_score") -> DataFrame:
+    """docs with a score (0 to 1); all columns of docs stay, but for one of that name, which is replaced."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower() == column.lower()])
     if model.weights is None:
-        return docs.withColumn("toxic_score", F.lit(0.0))
+        return docs.withColumn(column, F.lit(0.0))
+    tops = tc.fresh([*docs.columns, column], "tops")
     x = F.lit(float(model.curve[-1]))
-    for c, a in zip(MARGINS, model.curve):
-        x = x + F.lit(float(a)) * F.col(c)
-    return margins(docs, model).withColumn("toxic_score", 1 / (1 + F.exp(-x))).drop(*MARGINS)
+    for k, a in enumerate(model.curve[:-1]):
+        x = x + F.lit(float(a)) * F.col(tops)[k]
+    return margins(docs, model, tops).withColumn(column, 1 / (1 + F.exp(-x))).drop(tops)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

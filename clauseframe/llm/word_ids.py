@@ -9,10 +9,11 @@ from __future__ import annotations
 import json
 import os
 from array import array
-from functools import lru_cache
 
 import regex
 
+from clauseframe.llm import textcore as tc
+
 CACHED = 250_000
 LAST_PLAIN = "\u024f"
 _TO_SPACE = str.maketrans("\n\t", "  ")
@@ -69,6 +70,5 @@ class WordIds:
         return b"".join(map(known.__getitem__, words))
 
 
-@lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    return tc.held(f"word ids {path}", lambda: WordIds(path))
