@@ -18,38 +18,55 @@ SURE = 0.5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter and those whose language stays unsure."""
+    """Drop documents without a letter, those unsure between languages, and those that no language explains.
+
+    A language explains a text if it makes the text likelier than a model without a language, in which all pieces are alike.
+    Null, empty and blank texts go; repeated rows are judged each; an empty table, or one without any lang, keeps nothing.
+    """
     model = language_id.fit(docs, public_tokenizers.path(language_id.VOCABULARY))
-    scored = language_id.predict(docs, model)
-    return scored.where(f"lang_pred <> 'und' AND lang_score >= {SURE}").select(*docs.columns)
+    pred, score, gain = (tc.fresh(docs.columns, c) for c in ("lang_pred", "lang_score", "lang_gain"))
+    scored = language_id.predict(docs, model, pred, score, gain)
+    return scored.where((F.col(pred) != "und") & (F.col(score) >= SURE) & (F.col(gain) > 0)).select(*docs.columns)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that score as toxic."""
-    model = toxicity.fit(docs, tc.read_table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(f"toxic_score < {toxicity.THRESHOLD}").select(*docs.columns)
+    """Drop documents that score as toxic.
+
+    Null and empty texts have the lowest score and stay; repeated rows are scored each; without labels of both classes all stay.
+    """
+    model, score = toxicity.fit(docs, tc.read_table(spark, sf_dir, "labels")), tc.fresh(docs.columns, "toxic_score")
+    return toxicity.score(docs, model, score).where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group of near copies."""
-    parts = tc.written(jaccard_components(spark, docs), spark)
-    others = tc.written(parts.where("component_id <> doc_id").select("doc_id").distinct(), spark)
+    """Keep one document of each group of near copies: the one with the smallest doc_id (a missing one comes last).
+
+    Rows are grouped by their texts alone, so rows that repeat a doc_id with another text stay; of equal rows one stays. Null
+    and blank texts are no copies of anything and stay.
+    """
+    row = tc.fresh(docs.columns, "row_number")
+    docs = tc.written(docs.withColumn(row, F.monotonically_increasing_id()), spark)
+    parts = jaccard_components(spark, docs.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    parts = tc.written(parts, spark)
+    # rows outside groups need not be looked at again
+    grouped = parts.join(parts.where("component_id <> row").select("component_id").distinct(), "component_id", "left_semi")
+    named = grouped.join(docs.select(F.col(row).alias("row"), "doc_id"), "row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row"))
+    others = tc.written(grouped.join(first, ["component_id", "row"], "left_anti").select(F.col("row").alias(row)), spark)
     hint = F.broadcast if others.count() <= BROADCAST_IDS else (lambda df: df)
-    kept = docs.join(hint(others), "doc_id", "left_anti")
-    repeated = parts.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not repeated.isEmpty():
-        repeated = tc.written(repeated, spark)
-        kept = kept.join(repeated, "doc_id", "left_anti").union(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)
+    return docs.join(hint(others), row, "left_anti").drop(row)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a passage of the benchmark."""
+    """Drop documents that hold a passage of the benchmark.
+
+    Null and blank texts hold none and stay; repeated rows are judged each; an empty benchmark keeps all.
+    """
     return decontaminate.without_contaminated(docs, tc.read_table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into training sequences."""
+    """Pack what is left into training sequences: a row for each piece. Null and empty texts are one end id; other columns are left out."""
     return packing.pack(spark, docs, public_tokenizers.path(packing.TOKENIZER))
 
 
