@@ -1,15 +1,21 @@
 """GIF media columns: LZW code streams, palettes, disposal, transparency and timed frames.
 
-`decode` reads any GIF: it follows the extension and image blocks, decodes each frame's LZW stream (codes that grow
+`decode` reads GIFs: it follows the extension and image blocks and decodes the frames' LZW streams (codes that grow
 from the minimum size to 12 bits), and `composed` draws the frames on the canvas with their palettes, transparency and disposal.
-`encode` stores 8-bit samples as frames with a grey palette, with codes that grow and a table that is cleared when full.
-`frame_rows` takes files and returns their timed frames with the histogram of the composed canvas.
+`encode` stores 8-bit samples as frames of one canvas with a colour palette: the first frame is whole, and in the others a sample
+that equals what the canvas shows there is transparent, so only drawing the frames in order gives the samples back.
 
-Media columns of a text: its UTF-8 bytes filled with spaces to a multiple of 192 are the samples, 192 a row, at most 64 rows
-a frame; the columns hold digests of what is read back, and the feature is frames, duration and colour histogram.
+Many streams are coded at once. The encoder goes through all of them side by side, a sample of each at a time, with one hash
+table of (code, sample) for each. The decoder reads all codes, as their widths follow from their places, and takes
+a table entry for what it is: the output of one code and the first sample of the next. So each sample
+of the output points at an earlier one, and pointers are followed until they meet a plain code.
+
+Media columns of a text: its UTF-8 bytes filled with spaces to a multiple of 192 are the samples, 192 a row, at most 16 rows
+a frame. The columns hold digests of what is read back from the canvas, and the timed frames with their colour histograms.
 
 Edge cases: null and empty texts are one row of spaces; very long texts have many frames; equal texts have equal columns; repeated
-rows are stored each. Other columns are ignored. Damaged files raise ValueError.
+rows are stored each; an empty table gives an empty result. Samples of 255 (none in UTF-8) switch transparency off for their
+text. Other columns are ignored. Damaged files raise ValueError.
 """
 
 from __future__ import annotations
@@ -25,9 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clauseframe.llm import textcore as tc
 
-ROW, ROWS, DELAY = 192, 64, 10
-BINS = 16
-_GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
+ROW, ROWS, DELAY = 192, 16, 10
+TOGETHER = 2048  # streams that are coded side by side
+BLOCK_BYTES = 2 << 20
+MOST_CODE = 4096
+UNSEEN = 255  # the transparent sample
+_I = np.arange(256, dtype=np.uint8)
+#: Every sample has a colour of its own, which its red tells.
+PALETTE = np.stack([_I, _I * np.uint8(37), 255 - _I], axis=1)
 
 
 @dataclass
@@ -61,102 +72,207 @@ def _sub_blocks(data: bytes) -> bytes:
     return body.tobytes() + (bytes([len(rest)]) + rest if rest else b"") + b"\0"
 
 
-def lzw_encode(samples: bytes) -> bytes:
-    """Codes of 8-bit samples that grow from 9 to 12 bits; the table is cleared when it is full."""
-    table: dict[int, int] = {}
-    following, width, bits, held = 258, 9, 256, 9
-    out = bytearray()
-    now = samples[0]
-    for sample in samples[1:]:
-        key = now << 8 | sample
-        if key in table:
-            now = table[key]
-            continue
-        bits |= now << held
-        held += width
-        if following < 4096:
-            table[key] = following
-            following += 1
-            if following > 1 << width and width < 12:
-                width += 1
-        else:
-            bits |= 256 << held
-            held += width
-            table.clear()
-            following, width = 258, 9
-        if held >= 256:
-            out += (bits & ((1 << 256) - 1)).to_bytes(32, "little")
-            bits >>= 256
-            held -= 256
-        now = sample
-    bits |= now << held
-    held += width
-    # the decoder adds an entry for that code, too
-    if following == 1 << width and width < 12:
-        width += 1
-    bits |= 257 << held
-    held += width
-    return bytes(out + bits.to_bytes(-(-held // 8), "little"))
-
-
-def encode(samples: np.ndarray, width: int = ROW, rows: int = ROWS, delay: int = DELAY) -> bytes:
-    """A GIF of 8-bit samples; their number must be a positive multiple of `width`."""
-    if not len(samples) or len(samples) % width:
-        raise ValueError("the samples must fill whole rows")
-    height = min(rows, len(samples) // width)
-    out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), _GREY]
-    for at in range(0, len(samples), width * rows):
-        part = samples[at : at + width * rows]
-        out += [struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 1 << 2, delay, 0, 0), struct.pack("<BHHHHB", 0x2C, 0, 0, width, len(part) // width, 0), b"\x08", _sub_blocks(lzw_encode(part.tobytes()))]
-    return b"".join([*out, b"\x3b"])
-
-
-def lzw_decode(data: bytes, least: int, n: int) -> np.ndarray:
-    """n samples from LZW codes that start at least + 1 bits."""
-    clear, end = 1 << least, (1 << least) + 1
-    table: list[bytes] = []
-    width, last, out, size = least + 1, None, [], 0
-    bits = held = 0
-    for byte in data:
-        bits |= byte << held
-        held += 8
-        while held >= width:
-            code = bits & ((1 << width) - 1)
-            bits >>= width
-            held -= width
-            if code == clear:
-                table, width, last = [bytes([i]) for i in range(clear)] + [b"", b""], least + 1, None
-                continue
-            if code == end or size >= n:
-                held = 0
-                break
-            if not table:
-                table = [bytes([i]) for i in range(clear)] + [b"", b""]
-            if last is None:
-                entry = table[code]
-            elif code < len(table):
-                entry = table[code]
-            elif code == len(table):
-                entry = last + last[:1]
-            else:
-                raise ValueError("an LZW code is ahead of its table")
-            if last is not None and len(table) < 4096:
-                table.append(last + entry[:1])
-                if len(table) == 1 << width and width < 12:
-                    width += 1
-            out.append(entry)
-            size += len(entry)
-            last = entry
-        else:
-            continue
-        break
-    samples = np.frombuffer(b"".join(out)[:n], dtype=np.uint8)
-    if len(samples) < n:
+def _width(place: np.ndarray, least: int) -> np.ndarray:
+    """Bits of the code at a place after a clear code: enough for the table as it is then, at most 12."""
+    size = (1 << least) + 2 + np.maximum(place - 1, 0)
+    return np.clip(np.frexp(size)[1], least + 1, 12)
+
+
+def lzw_encode(streams: list[np.ndarray]) -> list[bytes]:
+    """Codes of non-empty streams of 8-bit samples, from 9 to 12 bits; a table is cleared when it is full."""
+    out = []
+    for at in range(0, len(streams), TOGETHER):
+        out += _encoded(streams[at : at + TOGETHER])
+    return out
+
+
+def _encoded(streams: list[np.ndarray]) -> list[bytes]:
+    sizes = np.array([len(s) for s in streams])
+    order = np.argsort(-sizes, kind="stable")  # those that still go on are always the first
+    n, longest = len(streams), int(sizes.max())
+    size = sizes[order]
+    flat = np.concatenate([streams[i] for i in order]).astype(np.int64)
+    begin = np.cumsum(size) - size
+    slots = 4096 if longest <= 3072 else 8192
+    table = np.zeros(n * slots, dtype=np.uint32)  # code << 8 | sample, and in the lower 12 bits the code of both
+    home = np.arange(n) * slots
+    # at most a code for each sample, one clear code for each 3,000 and at the beginning, and the end code
+    room = size + size // 3000 + 3
+    put = np.cumsum(room) - room
+    first = put.copy()
+    codes = np.zeros(int(room.sum()), dtype=np.uint16)
+    codes[put] = 256
+    put += 1
+    following = np.full(n, 258)
+    now = flat[begin].copy()
+    going = np.searchsorted(-size, -np.arange(1, longest), side="left")  # how many have a sample at each place
+    for k, m in enumerate(going.tolist(), 1):
+        sample = flat[begin[:m] + k]
+        key = now[:m] << 8 | sample
+        slot = home[:m] + ((key * 40503 >> 4) & (slots - 1))
+        held = table[slot]
+        same = (held >> 12 == key) & (held > 0)
+        look = np.flatnonzero(~same & (held > 0))
+        while len(look):  # another key's place: the next one
+            at = slot[look] + 1
+            at = np.where(at == home[look] + slots, home[look], at)
+            slot[look] = at
+            got = table[at]
+            held[look] = got
+            same[look] = (got >> 12 == key[look]) & (got > 0)
+            look = look[(got > 0) & ~same[look]]
+        new = np.flatnonzero(~same)
+        codes[put[new]] = now[new]
+        put[new] += 1
+        full = new[following[new] == MOST_CODE] if k > MOST_CODE - 260 else new[:0]
+        if len(full):
+            codes[put[full]] = 256
+            put[full] += 1
+            table.reshape(n, slots)[full] = 0
+            following[full] = 257
+        fresh = new if not len(full) else new[following[new] > 257]
+        table[slot[fresh]] = key[fresh] << 12 | following[fresh]
+        following[new] += 1
+        now[:m] = held & 4095
+        now[new] = sample[new]
+    codes[put], codes[put + 1] = now, 257
+    counts = put + 2 - first
+    # the place of each code after the last clear code gives its width
+    where = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+    code = codes[where]
+    index = np.arange(len(code))
+    clear = code == 256
+    since = index - np.maximum.accumulate(np.where(clear, index, 0)) - 1
+    heads = np.cumsum(counts) - counts
+    before = np.empty(len(code), dtype=np.int64)  # a clear code is as wide as any code in its place
+    before[1:], before[0] = since[:-1] + 1, 0
+    before[heads] = 0
+    width = _width(np.where(clear, before, since), 8)
+    total = np.add.reduceat(width, heads)
+    # fill each stream to whole bytes by a code of no more than 7 zero bits
+    ends = np.cumsum(counts)
+    code, width = np.insert(code, ends, 0), np.insert(width, ends, -total % 8)
+    bits = np.unpackbits(code.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
+    data = np.packbits(bits[np.arange(16) < width[:, None]], bitorder="little").tobytes()
+    to = np.cumsum((total + 7) // 8)
+    out: list[bytes] = [b""] * n
+    for i, a, b in zip(order.tolist(), [0, *to[:-1].tolist()], to.tolist()):
+        out[i] = data[a:b]
+    return out
+
+
+def _codes(streams: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All codes of all streams but clear and end codes, in order: the stream, the code, and the index of the first code with the same table."""
+    sizes = np.array([len(s) for s in streams], dtype=np.int64)
+    data = np.frombuffer(b"".join(streams) + bytes(4), dtype=np.uint8).astype(np.uint32)
+    stop = np.cumsum(sizes) * 8
+    at, place = stop - sizes * 8, np.zeros(len(sizes), dtype=np.int64)  # the next bit, and its place after the last clear code
+    tables = np.zeros(len(sizes), dtype=np.int64)
+    clear = 1 << least
+    wide = np.concatenate([[0], np.cumsum(_width(np.arange(MOST_CODE + 1), least))])
+    bit = lambda p: wide[np.minimum(p, MOST_CODE)] + 12 * np.maximum(p - MOST_CODE, 0)
+    live, got, most = np.arange(len(sizes)), [], 1  # a stream mostly begins with a clear code
+    while len(live):
+        count = np.minimum((stop[live] - at[live]) // (least + 1), most)
+        live, count = live[count > 0], count[count > 0]
+        if not len(live):
+            break
+        heads = np.cumsum(count) - count
+        k = np.arange(int(count.sum())) - np.repeat(heads, count)
+        s = np.repeat(live, count)
+        p = place[s] + k
+        pos, width = at[s] + bit(p) - bit(place[s]), _width(np.minimum(p, MOST_CODE), least)
+        byte = np.minimum(pos >> 3, len(data) - 3)
+        code = ((data[byte] | data[byte + 1] << 8 | data[byte + 2] << 16) >> (pos & 7).astype(np.uint32)) & ((1 << width) - 1).astype(np.uint32)
+        over = pos + width > stop[s]
+        mark = (code == clear) | (code == clear + 1) | over
+        first = np.minimum.reduceat(np.where(mark, k, 1 << 30), heads)
+        keep = k < np.repeat(first, count)
+        got.append((s[keep], tables[s[keep]], code[keep].astype(np.int64)))
+        hit = first < count
+        here = heads + np.minimum(first, count - 1)
+        again = hit & (code[here] == clear) & ~over[here]
+        at[live] = pos[here] + width[here]
+        place[live] = np.where(again, 0, p[here] + 1)
+        tables[live[again]] += 1
+        live, most = live[again | ~hit], MOST_CODE
+    s, t, code = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, dtype=np.int64),) * 3
+    order = np.argsort(s, kind="stable")
+    s, t, code = s[order], t[order], code[order]
+    index = np.arange(len(s))
+    new = np.ones(len(s), dtype=bool)
+    new[1:] = (s[1:] != s[:-1]) | (t[1:] != t[:-1])
+    return s, code, np.maximum.accumulate(np.where(new, index, 0)) if len(s) else index
+
+
+def lzw_decode(streams: list[bytes], least: int, sizes: list[int]) -> list[np.ndarray]:
+    """The first sizes[i] samples of each stream; codes start at least + 1 bits."""
+    out = []
+    for at in range(0, len(streams), TOGETHER):
+        out += _decoded(streams[at : at + TOGETHER], least, sizes[at : at + TOGETHER])
+    return out
+
+
+def _decoded(streams: list[bytes], least: int, sizes: list[int]) -> list[np.ndarray]:
+    stream, code, begin = _codes(streams, least)
+    index = np.arange(len(code))
+    plain = code < 1 << least
+    # an entry is what the code at its place gave, and one sample more
+    entry = np.where(plain, index, begin + code - (1 << least) - 2)
+    if (entry[~plain] >= index[~plain]).any():
+        raise ValueError("an LZW code is ahead of its table")
+    length, jump = (~plain).astype(np.int64), entry.copy()
+    while not plain[jump].all():
+        length += length[jump]
+        jump = jump[jump]
+    length += 1
+    start = np.cumsum(length) - length
+    total = int(length.sum())
+    back = np.repeat((start - start[entry]).astype(np.int32), length)
+    source = np.arange(total, dtype=np.int32) - back
+    value = np.zeros(total, dtype=np.uint8)
+    value[start[plain]] = code[plain]
+    known = np.zeros(total, dtype=bool)
+    known[start[plain]] = True
+    todo = np.flatnonzero(~known[source])
+    while len(todo):
+        source[todo] = source[source[todo]]
+        todo = todo[~known[source[todo]]]
+    samples = value[source]
+    made = np.zeros(len(streams) + 1, dtype=np.int64)
+    np.add.at(made, stream + 1, length)
+    at = np.cumsum(made)
+    if (made[1:] < sizes).any():
         raise ValueError("an LZW stream ends early")
-    return samples
-
-
-def decode(media: bytes) -> Gif:
+    return [samples[a : a + n] for a, n in zip(at[:-1].tolist(), sizes)]
+
+
+def encode(payloads: list[np.ndarray], width: int = ROW, rows: int = ROWS, delay: int = DELAY) -> list[bytes]:
+    """A GIF for each array of 8-bit samples; their number must be a positive multiple of `width`."""
+    area, parts, frames = width * rows, [], []
+    for samples in payloads:
+        if not len(samples) or len(samples) % width:
+            raise ValueError("the samples must fill whole rows")
+        clear = not (samples == UNSEEN).any()
+        shown = samples.copy()
+        if clear and len(samples) > area:
+            shown[area:][samples[area:] == samples[:-area]] = UNSEEN
+        cut = [shown[k : k + area] for k in range(0, len(shown), area)]
+        parts += cut
+        frames.append((len(samples), clear, len(cut)))
+    coded, at, out = lzw_encode(parts), 0, []
+    for n, clear, count in frames:
+        gif = [b"GIF89a", struct.pack("<HHBBB", width, min(rows, n // width), 0xF7, 0, 0), PALETTE.tobytes()]
+        for k in range(count):
+            see_through = clear and k > 0
+            gif += [struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 1 << 2 | see_through, delay, UNSEEN if see_through else 0, 0), struct.pack("<BHHHHB", 0x2C, 0, 0, width, len(parts[at + k]) // width, 0), b"\x08", _sub_blocks(coded[at + k])]
+        at += count
+        out.append(b"".join([*gif, b"\x3b"]))
+    return out
+
+
+def _blocks(media: bytes) -> tuple[Gif, list[tuple[int, bytes, bool]]]:
+    """A GIF without samples, and for each frame the least code size, the code stream and whether it is interlaced."""
     if media[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, background, _ = struct.unpack_from("<HHBBB", media, 6)
@@ -175,7 +291,7 @@ def decode(media: bytes) -> Gif:
 
     if flags & 0x80:
         shared, at = palette(at, flags)
-    frames, control = [], (0, 0, None)
+    frames, streams, control = [], [], (0, 0, None)
     while at < len(media) and media[at] != 0x3B:
         if media[at] == 0x21:
             data, after = sub_blocks(at + 2)
@@ -190,84 +306,110 @@ def decode(media: bytes) -> Gif:
             if kind & 0x80:
                 own, at = palette(at, kind)
             data, after = sub_blocks(at + 1)
-            indices = lzw_decode(data, media[at], w * h).reshape(h, w)
-            if kind & 0x40:  # interlaced: rows in four passes
-                order = [r for first, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for r in range(first, h, step)]
-                plain = np.empty_like(indices)
-                plain[order] = indices
-                indices = plain
-            frames.append(Frame(left, top, w, h, *control, own, indices))
+            streams.append((media[at], data, bool(kind & 0x40)))
+            frames.append(Frame(left, top, w, h, *control, own, np.zeros((0, 0), dtype=np.uint8)))
             control, at = (0, 0, None), after
         else:
             raise ValueError("an unknown block")
-    return Gif(width, height, background, frames)
+    return Gif(width, height, background, frames), streams
+
+
+def decode(files: list[bytes]) -> list[Gif]:
+    """GIFs with the samples of their frames; the streams of all files are decoded together."""
+    parsed, by_size = [_blocks(m) for m in files], {}
+    for gif, streams in parsed:
+        for frame, (least, data, woven) in zip(gif.frames, streams):
+            by_size.setdefault(least, []).append((frame, data, woven))
+    for least, some in by_size.items():
+        got = lzw_decode([data for _, data, _ in some], least, [f.width * f.height for f, _, _ in some])
+        for (frame, _, woven), samples in zip(some, got):
+            frame.indices = samples.reshape(frame.height, frame.width)
+            if woven:  # rows in four passes
+                order = [r for first, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for r in range(first, frame.height, step)]
+                plain = np.empty_like(frame.indices)
+                plain[order] = frame.indices
+                frame.indices = plain
+    return [gif for gif, _ in parsed]
 
 
 def composed(gif: Gif):
-    """The canvas after each frame as (delay, RGBA): transparent samples leave what is there; disposal 2 clears
+    """The canvas after each frame as (frame, RGBA): transparent samples leave what is there; disposal 2 clears
     a frame's area and 3 restores what was there before."""
     canvas = np.zeros((gif.height, gif.width, 4), dtype=np.uint8)
     for f in gif.frames:
         before = canvas.copy() if f.disposal == 3 else None
         area = canvas[f.top : f.top + f.height, f.left : f.left + f.width]
         indices = f.indices[: area.shape[0], : area.shape[1]]
-        drawn = np.ones(indices.shape, dtype=bool) if f.transparent is None else indices != f.transparent
-        area[drawn, :3] = f.palette[np.minimum(indices[drawn], len(f.palette) - 1)]
-        area[drawn, 3] = 255
-        yield f.delay, canvas.copy()
+        colours = np.full((256, 4), 255, dtype=np.uint8)
+        colours[: len(f.palette), :3] = f.palette
+        colours[len(f.palette) :, :3] = f.palette[-1]
+        drawn = colours[indices]
+        area[...] = drawn if f.transparent is None else np.where((indices == f.transparent)[..., None], area, drawn)
+        yield f, canvas.copy()
         if f.disposal == 2:
             area[:] = 0
         elif f.disposal == 3:
             canvas = before
 
 
-def histogram(canvas: np.ndarray, bins: int = BINS) -> np.ndarray:
-    """Visible pixels of an RGBA canvas by the brightness of their colour."""
-    seen = canvas[canvas[..., 3] > 0][:, :3].astype(np.uint32)
-    light = (seen @ np.array([299, 587, 114], dtype=np.uint32)) // 1000
-    return np.bincount(light * bins // 256, minlength=bins)
+def histogram(canvas: np.ndarray) -> np.ndarray:
+    """Visible pixels of an RGBA canvas by colour: four steps of red, green and blue each."""
+    pixels = np.ascontiguousarray(canvas).view("<u4").ravel()
+    bins = (pixels >> 2 & 48) | (pixels >> 12 & 12) | (pixels >> 22 & 3)
+    return np.bincount(bins[pixels >> 24 > 0], minlength=64)
 
 
-def timed_frames(gif: Gif) -> list[tuple[int, int, list[int]]]:
-    """(index, delay, histogram) of what is shown after each frame."""
-    return [(i, delay, histogram(canvas).tolist()) for i, (delay, canvas) in enumerate(composed(gif))]
+def timed_frames(gif: Gif) -> list[tuple[int, int, int, list[int]]]:
+    """(index, delay, disposal, histogram) of what is shown after each frame."""
+    return [(i, f.delay, f.disposal, histogram(canvas).tolist()) for i, (f, canvas) in enumerate(composed(gif))]
 
 
-def _columns(data: bytes) -> tuple:
-    payload = data + b" " * (-len(data) % ROW or (0 if data else ROW))
-    media = encode(np.frombuffer(payload, dtype=np.uint8))
-    gif = decode(media)
-    back = b"".join(f.indices.tobytes() for f in gif.frames)
-    shown = timed_frames(gif)
-    bars = np.sum([bars for _, _, bars in shown], axis=0)
-    feature = f"frames={len(shown)};centiseconds={sum(delay for _, delay, _ in shown)};histogram={','.join(map(str, bars))}"
-    return len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature
+def payload(data: bytes) -> np.ndarray:
+    """A text's bytes as samples, with spaces to whole rows."""
+    return np.frombuffer(data + b" " * (-len(data) % ROW or (0 if data else ROW)), dtype=np.uint8)
 
 
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+def _columns(data: bytes, media: bytes, gif: Gif) -> tuple:
+    back, shown = [], []
+    for i, (f, canvas) in enumerate(composed(gif)):
+        back.append(canvas[: f.height, : f.width, 0].tobytes())
+        shown.append({"frame": i, "delay": f.delay, "disposal": f.disposal, "histogram": histogram(canvas)})
+    back = b"".join(back)
+    bars = np.sum([x["histogram"] for x in shown], axis=0)
+    feature = f"frames={len(shown)};centiseconds={sum(x['delay'] for x in shown)};colours={','.join(map(str, bars))}"
+    return len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, shown
 
 
-def _rows(batches):
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
+SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames array<struct<frame:int,delay:int,disposal:int,histogram:array<int>>>"
+_NAMES = "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature frames".split()
+_SHOWN = pa.list_(pa.struct([("frame", pa.int32()), ("delay", pa.int32()), ("disposal", pa.int32()), ("histogram", pa.list_(pa.int32()))]))
+_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), _SHOWN]
+
+
+def _stored(batches):
+    """(ids, texts as bytes, GIFs) of a bounded number of bytes, or of one text."""
     for batch in batches:
-        for at, to, data, offsets in tc.text_blocks(batch.column("text")):
+        for at, to, data, offsets in tc.text_blocks(batch.column("text"), BLOCK_BYTES):
             raw = data.tobytes()
-            rows = [_columns(raw[offsets[i] : offsets[i + 1]]) for i in range(to - at)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), *(pa.array(c, k) for c, k in zip(zip(*rows), _KINDS))], names)
+            texts = [raw[offsets[i] : offsets[i + 1]] for i in range(to - at)]
+            yield batch.column("doc_id").slice(at, to - at), texts, encode([payload(t) for t in texts])
+
+
+def _rows(batches):
+    tc.release()
+    for ids, texts, media in _stored(batches):
+        rows = [_columns(*x) for x in zip(texts, media, decode(media))]
+        yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(zip(*rows), _KINDS))], _NAMES)
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> the digests and features of each text's stored form."""
+    """docs (doc_id, text) -> the digests, feature and timed frames of each text's stored form."""
     return tc.text_only(docs).mapInArrow(_rows, SCHEMA)
 
 
 def _files(batches):
-    for batch in batches:
-        for at, to, data, offsets in tc.text_blocks(batch.column("text")):
-            raw = [bytes(data[offsets[i] : offsets[i + 1]]) for i in range(to - at)]
-            media = [encode(np.frombuffer(d + b" " * (-len(d) % ROW or (0 if d else ROW)), dtype=np.uint8)) for d in raw]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), pa.array(media, pa.binary())], ["doc_id", "media"])
+    for ids, _, media in _stored(batches):
+        yield pa.RecordBatch.from_arrays([ids, pa.array(media, pa.binary())], ["doc_id", "media"])
 
 
 def media_files(docs: DataFrame) -> DataFrame:
@@ -279,17 +421,17 @@ def _frames(batches):
     for batch in batches:
         for i in range(batch.num_rows):
             media = batch.column("media")[i].as_py()
-            rows = timed_frames(decode(media)) if media is not None else []
+            rows = timed_frames(decode([media])[0]) if media is not None else []
             if rows:
-                index, delay, bars = zip(*rows)
+                index, delay, disposal, bars = zip(*rows)
                 doc = pa.array([batch.column("doc_id")[i].as_py()] * len(rows), pa.int64())
-                yield pa.RecordBatch.from_arrays([doc, pa.array(index, pa.int32()), pa.array(delay, pa.int32()), pa.array(bars, pa.list_(pa.int64()))], ["doc_id", "frame", "delay", "histogram"])
+                yield pa.RecordBatch.from_arrays([doc, *(pa.array(c, pa.int32()) for c in (index, delay, disposal)), pa.array(bars, pa.list_(pa.int64()))], ["doc_id", "frame", "delay", "disposal", "histogram"])
 
 
 def frame_rows(files: DataFrame) -> DataFrame:
-    """files (doc_id, media) -> (doc_id, frame, delay, histogram): a row for each frame of each GIF."""
+    """files (doc_id, media) -> (doc_id, frame, delay, disposal, histogram): a row for each frame of each GIF."""
     files = files.selectExpr("cast(doc_id as long) AS doc_id", "cast(media as binary) AS media")
-    return files.mapInArrow(_frames, "doc_id long, frame int, delay int, histogram array<bigint>")
+    return files.mapInArrow(_frames, "doc_id long, frame int, delay int, disposal int, histogram array<bigint>")
 
 
 def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -222,7 +222,15 @@ def test_gif_columns(docs, texts):
             payload = data + b" " * (-len(data) % 192 or (0 if data else 192))
             assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
     files = {r["doc_id"]: bytes(r["media"]) for r in gif_media.media_files(docs).collect()}
-    assert b"".join(f.indices.tobytes() for f in gif_media.decode(files[4]).frames).decode().rstrip() == dict(texts)[4]
+    gif = gif_media.decode([files[10]])[0]
+    shown = b"".join(canvas[: f.height, :, 0].tobytes() for f, canvas in gif_media.composed(gif))
+    assert shown.decode().rstrip() == dict(texts)[10] and len(gif.frames) > 5
+    # the samples alone are not the text: what is transparent comes from the frames before
+    assert {f.transparent for f in gif.frames[1:]} == {gif_media.UNSEEN} and b"".join(f.indices.tobytes() for f in gif.frames) != shown
+
+
+def test_gif_of_no_documents(none):
+    assert gif_media.media_columns(none).count() == 0
 
 
 def _lzw(samples, least):
@@ -252,7 +260,7 @@ def _lzw(samples, least):
 @pytest.mark.parametrize(("least", "n"), [(2, 50), (8, 300), (8, 20000), (4, 9000)])
 def test_lzw_with_growing_codes(least, n):
     samples = (np.random.default_rng(n).integers(0, 1 << least, n) // 2).astype(np.uint8)
-    assert (gif_media.lzw_decode(_lzw(samples.tolist(), least), least, n) == samples).all()
+    assert (gif_media.lzw_decode([_lzw(samples.tolist(), least)], least, [n])[0] == samples).all()
 
 
 def test_frames_disposal_and_transparency():
@@ -260,20 +268,34 @@ def test_frames_disposal_and_transparency():
 
     head = b"GIF89a" + struct.pack("<HHBBB", 2, 1, 0x80, 0, 0) + bytes([255, 0, 0, 0, 255, 0])
     frame = lambda kind, index, px: struct.pack("<BBBBHBB", 0x21, 0xF9, 4, kind, 7, index, 0) + struct.pack("<BHHHHB", 0x2C, 0, 0, 2, 1, 0) + b"\x02" + gif_media._sub_blocks(_lzw(px, 2))  # noqa: E731, SLF001
-    gif = gif_media.decode(head + frame(1 << 2, 0, [0, 1]) + frame(3 << 2 | 1, 1, [1, 0]) + frame(2 << 2, 0, [1, 1]) + frame(1 << 2 | 1, 0, [0, 1]) + b"\x3b")
-    shown = [(d, c[0].tolist()) for d, c in gif_media.composed(gif)]
+    gif = gif_media.decode([head + frame(1 << 2, 0, [0, 1]) + frame(3 << 2 | 1, 1, [1, 0]) + frame(2 << 2, 0, [1, 1]) + frame(1 << 2 | 1, 0, [0, 1]) + b"\x3b"])[0]
+    shown = [(f.delay, c[0].tolist()) for f, c in gif_media.composed(gif)]
     red, green, clear = [255, 0, 0, 255], [0, 255, 0, 255], [0, 0, 0, 0]
     assert shown == [(7, [red, green]), (7, [red, red]), (7, [green, green]), (7, [clear, green])]
     with pytest.raises(ValueError):
-        gif_media.decode(b"nothing")
+        gif_media.decode([b"nothing"])
+
 
+def test_encoded_streams_equal_a_plain_encoder():
+    rng = np.random.default_rng(7)
+    streams = [rng.integers(0, top, n).astype(np.uint8) for n in (1, 2, 3, 192, 3072, 3700) for top in (1, 2, 5, 256)]
+    coded = gif_media.lzw_encode(streams)
+    assert coded == [_lzw(s.tolist(), 8) for s in streams]
+    assert all((a == b).all() for a, b in zip(gif_media.lzw_decode(coded, 8, list(map(len, streams))), streams))
 
-def test_encoded_codes_grow():
-    for n, top in ((192, 256), (192 * 64, 3), (192 * 200, 256), (192 * 64, 256)):
-        samples = np.random.default_rng(n).integers(0, top, n).astype(np.uint8)
-        assert (np.concatenate([f.indices.ravel() for f in gif_media.decode(gif_media.encode(samples)).frames]) == samples).all()
+
+def test_full_tables_and_unseen_samples():
+    rng = np.random.default_rng(8)
+    streams = [rng.integers(0, top, 30_000).astype(np.uint8) for top in (3, 256)]  # tables are cleared on the way
+    assert all((a == b).all() for a, b in zip(gif_media.lzw_decode(gif_media.lzw_encode(streams), 8, [30_000] * 2), streams))
+    for top in (255, 256):  # with samples of 255, nothing is transparent
+        samples = rng.integers(0, top, 192 * 40).astype(np.uint8)
+        gif = gif_media.decode(gif_media.encode([samples]))[0]
+        assert b"".join(c[: f.height, :, 0].tobytes() for f, c in gif_media.composed(gif)) == samples.tobytes()
     text = np.frombuffer(b"the same words again " * 192 * 4, dtype=np.uint8)
-    assert len(gif_media.encode(text)) < len(text) / 2
+    assert len(gif_media.encode([text])[0]) < len(text) / 2
+    with pytest.raises(ValueError):
+        gif_media.lzw_decode([_lzw([1, 2, 3], 8)], 8, [9])
 
 
 def test_frame_rows(spark, docs):
@@ -283,4 +305,4 @@ def test_frame_rows(spark, docs):
     frame = lambda kind, index, px: struct.pack("<BBBBHBB", 0x21, 0xF9, 4, kind, 7, index, 0) + struct.pack("<BHHHHB", 0x2C, 0, 0, 2, 1, 0) + b"\x02" + gif_media._sub_blocks(_lzw(px, 2))  # noqa: E731, SLF001
     media = head + frame(1 << 2, 0, [0, 1]) + frame(1 << 2 | 1, 1, [1, 0]) + b"\x3b"
     got = gif_media.frame_rows(spark.createDataFrame([(1, media), (2, None)], "doc_id long, media binary")).orderBy("frame").collect()
-    assert [(r["doc_id"], r["frame"], r["delay"], r["histogram"][0], r["histogram"][15]) for r in got] == [(1, 0, 7, 1, 1), (1, 1, 7, 0, 2)]
+    assert [(r["doc_id"], r["frame"], r["delay"], r["histogram"][0], r["histogram"][63]) for r in got] == [(1, 0, 7, 1, 1), (1, 1, 7, 0, 2)]
