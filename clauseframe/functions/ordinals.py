@@ -6,26 +6,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clauseframe.functions.catalog import DOCUMENT_TYPE, FLAGS, MARKERS
+from clauseframe.functions.sql import applied, let, raw
 
 _WIDE = "０１２３４５６７８９"
 # Digits and units of Chinese numerals.
 _DIGITS, _UNITS = "零一二三四五六七八九", {"十": 10, "百": 100, "千": 1000}
 
 
-def cn_to_int(text: Column) -> Column:
-    """十 -> 10, 一百零五 -> 105, 十二万三千 -> 123000. A digit after a digit replaces it; other characters count as zero."""
-    chars = F.filter(F.split(F.replace(F.btrim(text), F.lit("〇"), F.lit("零")), ""), lambda c: c != "")
-    state = lambda t, s, d: F.struct(t.cast("long").alias("total"), s.cast("long").alias("part"), d.cast("long").alias("digit"))
+def _cn(text: str) -> str:
+    state = lambda t, s, d: f"named_struct('total', {t}, 'part', {s}, 'digit', {d})"
+    units = " ".join(f"WHEN '{unit}' THEN {state('n.total', f'n.part + greatest(n.digit, 1L) * {value}L', '0L')}" for unit, value in _UNITS.items())
+    other = state("n.total", "n.part", f"cast(greatest(instr('{_DIGITS}', c) - 1, 0) AS bigint)")
+    step = f"CASE c WHEN '万' THEN {state('n.total + (n.part + n.digit) * 10000L', '0L', '0L')} {units} WHEN '零' THEN n ELSE {other} END"
+    return f"aggregate(filter(split(replace(btrim({text}), '〇', '零'), ''), c -> c <> ''), {state('0L', '0L', '0L')}, (n, c) -> {step}, n -> n.total + n.part + n.digit)"
 
-    def step(acc: Column, c: Column) -> Column:
-        t, s, d = acc["total"], acc["part"], acc["digit"]
-        out = F.when(c == "万", state(t + (s + d) * 10000, F.lit(0), F.lit(0)))
-        for unit, value in _UNITS.items():
-            out = out.when(c == unit, state(t, s + F.greatest(d, F.lit(1)) * value, F.lit(0)))
-        out = out.when(c == "零", acc)
-        return out.otherwise(state(t, s, F.greatest(F.instr(F.lit(_DIGITS), c) - 1, F.lit(0))))
 
-    return F.aggregate(chars, state(F.lit(0), F.lit(0), F.lit(0)), step, lambda a: a["total"] + a["part"] + a["digit"])
+def cn_to_int(text: Column) -> Column:
+    """十 -> 10, 一百零五 -> 105, 十二万三千 -> 123000. A digit after a digit replaces it; other characters count as zero."""
+    return applied(f"x -> {_cn('x')}", text)
 
 
 def int_to_cn(n: Column) -> Column:
@@ -43,26 +41,14 @@ def int_to_cn(n: Column) -> Column:
     return out
 
 
-def digits(text: Column) -> Column:
-    """Digits, also full-width ones, as a long; null if too long or not digits."""
-    return F.translate(text, _WIDE, "0123456789").try_cast("long")
-
-
-def ordinal(kind: str, group: Column) -> Column:
-    """The ordinal as an array of longs; null where it can't be read."""
-    if kind == "cn":
-        return F.array(cn_to_int(group))
-    if kind == "one":
-        return F.array(F.lit(1).cast("long"))
-    parts = F.transform(F.split(F.replace(group, F.lit("．"), F.lit(".")), r"\."), digits)
-    return F.when(F.forall(parts, lambda x: x.isNotNull()), parts)
+def ordinal_sql(kind: str, group: str) -> str:
+    """The ordinal as an array of longs; null where it can't be read. kind, group: SQL for the kind of ordinal and its text."""
+    dots = let(f"transform(split(replace({group}, '．', '.'), '[.]'), p -> try_cast(translate(p, '{_WIDE}', '0123456789') AS bigint))", "ps", "if(forall(ps, p -> p IS NOT NULL), ps, null)")
+    return f"CASE {kind} WHEN 'cn' THEN array({_cn(group)}) WHEN 'one' THEN array(1L) ELSE {dots} END"
 
 
 def get_ordinal(content: Column) -> Column:
     """The ordinal of the marker that a fragment begins with, or null."""
-    found = []
-    for name, kind, pattern in MARKERS:
-        if name != DOCUMENT_TYPE:
-            group = F.regexp_extract(content, FLAGS + r"\A(?:" + pattern + ")", 1)
-            found.append(F.when(group != "", ordinal(kind, group)))
-    return F.coalesce(*found)
+    begins = lambda pattern: raw(FLAGS + r"\A(?:" + pattern + ")")
+    found = [f"named_struct('kind', '{kind}', 'text', regexp_extract(x, {begins(pattern)}, 1))" for name, kind, pattern in MARKERS if name != DOCUMENT_TYPE]
+    return applied(f"x -> get(array_compact(transform(filter(array({', '.join(found)}), f -> f.text <> ''), f -> {ordinal_sql('f.kind', 'f.text')})), 0)", content)

@@ -3,64 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from clauseframe.functions import catalog as C
+from clauseframe.functions.sql import applied, grown, let, texts
+
+
+def _longest(ords: str) -> str:
+    return f"aggregate(array_sort(array_distinct({ords})), 0L, (a, x) -> if(x = a + 1, x, a), a -> if(a >= 2, a, 0L))"
+
+
+def _restarts(ords: str) -> str:
+    return grown("bigint", ords, {"at": "0L"}, {"at": "if(x = 1 OR a.at > 0 AND x = a.at + 1, x, a.at)"}, "a.at", "x = 1 AND a.at >= 2", "if(a.at >= 2, a.at, null)")
 
 
 def longest_run(ords: Column) -> Column:
     """N of the longest 1..N among the distinct values; 0 below 2."""
-    n = F.aggregate(F.array_sort(F.array_distinct(ords)), F.lit(0).cast("long"), lambda a, x: F.when(x == a + 1, x).otherwise(a))
-    return F.when(n >= 2, n).otherwise(F.lit(0).cast("long"))
+    return applied(f"o -> {_longest('o')}", ords)
 
 
 def restarts(ords: Column) -> Column:
     """The ends of the runs 1, 2, 3 ... in order: a 1 begins a run, repeats and gaps are skipped, runs of one are dropped."""
-    empty = F.expr("cast(array() as array<bigint>)")
-    state = lambda at, out: F.struct(at.cast("long").alias("at"), out.alias("out"))
-    closed = lambda a: F.when(a["at"] >= 2, F.concat(a["out"], F.array(a["at"]))).otherwise(a["out"])
-    step = lambda a, x: F.when(x == 1, state(F.lit(1), closed(a))).when((a["at"] > 0) & (x == a["at"] + 1), state(x, a["out"])).otherwise(a)
-    return F.aggregate(ords, state(F.lit(0), empty), step, closed)
+    return applied(f"o -> {_restarts('o')}", ords)
 
 
 def entries(markers: Column) -> Column:
     """A struct of statistics for every type of the catalogue, in its order."""
-
-    def entry(name: Column) -> Column:
-        own = F.filter(markers, lambda m: m["type"] == name)
-        return F.transform(F.array(own), lambda ms: _entry(name, ms))[0]
-
-    return F.transform(F.array(*[F.lit(t) for t in C.TYPES]), entry)
-
-
-def _entry(name: Column, ms: Column) -> Column:
-    scalars = F.transform(F.filter(ms, lambda m: F.size(m["ord"]) == 1), lambda m: m["ord"][0])
-    dotted = F.transform(F.filter(ms, lambda m: F.size(m["ord"]) > 1), lambda m: m["ord"])
-    head = lambda o: F.slice(o, F.lit(1), F.size(o) - 1)
-
-    def of_prefix(prefix: Column) -> Column:
-        lasts = F.transform(F.filter(dotted, lambda o: head(o) == prefix), lambda o: F.element_at(o, -1))
-        return F.struct(prefix.alias("prefix"), longest_run(lasts).alias("n"), restarts(lasts).alias("ends"))
-
-    tuples = F.filter(F.transform(F.array_distinct(F.transform(dotted, head)), of_prefix), lambda p: p["n"] >= 3)
-    ends = restarts(scalars)
-    tuple_n = F.coalesce(F.array_max(F.transform(tuples, lambda p: p["n"])), F.lit(0).cast("long"))
-    tuple_gc = F.aggregate(tuples, F.lit(0), lambda a, p: a + F.size(p["ends"]))
-    count = F.size(ms)
-    return F.struct(
-        name.alias("type"),
-        count.alias("count"),
-        F.transform(ms, lambda m: m["ord"]).alias("ordinals"),
-        F.transform(ms, lambda m: F.struct(m["start"], m["end"])).alias("positions"),
-        ends.alias("scalar_groups"),
-        F.flatten(F.transform(tuples, lambda p: F.transform(p["ends"], lambda e: F.struct((-e).alias("less"), p["prefix"].alias("prefix"), e.alias("hi"))))).alias("tuple_groups"),
-        F.greatest(longest_run(scalars), tuple_n).cast("int").alias("max_n"),
-        (F.when((name == C.DOCUMENT_TYPE) & (count > 0), count).otherwise(F.size(ends)) + tuple_gc).cast("int").alias("group_count"),
-    )
-
-
-def of_type(entries_: Column, name: str) -> Column:
-    return entries_[C.TYPES.index(name)]
+    head = "slice(o, 1, size(o) - 1)"
+    of_prefix = let(f"transform(filter(d.dotted, o -> {head} = p), o -> element_at(o, -1))", "l", f"named_struct('prefix', p, 'n', {_longest('l')}, 'ends', {_restarts('l')})")
+    tuples = f"filter(transform(array_distinct(transform(d.dotted, o -> {head})), p -> {of_prefix}), q -> q.n >= 3)"
+    statistics = f"""named_struct('type', t, 'count', size(own), 'ordinals', transform(own, m -> m.ord), 'positions', transform(own, m -> named_struct('start', m.start, 'end', m.end)),
+        'scalar_groups', g.ends, 'tuple_groups', flatten(transform(g.tuples, p -> transform(p.ends, e -> named_struct('less', -e, 'prefix', p.prefix, 'hi', e)))),
+        'max_n', cast(greatest({_longest('d.scalars')}, coalesce(array_max(transform(g.tuples, p -> p.n)), 0L)) AS int),
+        'group_count', cast(if(t = '{C.DOCUMENT_TYPE}' AND size(own) > 0, size(own), size(g.ends)) + aggregate(g.tuples, 0, (a, p) -> a + size(p.ends)) AS int))"""
+    split = "named_struct('scalars', transform(filter(own, m -> size(m.ord) = 1), m -> m.ord[0]), 'dotted', transform(filter(own, m -> size(m.ord) > 1), m -> m.ord))"
+    entry = let("filter(ms, m -> m.type = t)", "own", let(split, "d", let(f"named_struct('ends', {_restarts('d.scalars')}, 'tuples', {tuples})", "g", statistics)))
+    return applied(f"ms -> transform({texts(C.TYPES)}, t -> {entry})", markers)
 
 
 # The parents that can hold a type, in order.
@@ -68,27 +45,17 @@ _DIGIT_PARENTS = ("中文顿号", "条", "括号", "括号数字", "数字点",
 _ARTICLE_PARENTS = ("中文顿号", "括号", "括号数字", "数字点", "数字点点")
 
 
-def _mostly_after(entry: Column, first: Column) -> Column:
-    """More than half of a type's markers begin at or after a place."""
-    inside = F.size(F.filter(entry["positions"], lambda p: p["start"] >= first))
-    return (2 * inside > entry["count"]) & first.isNotNull()
-
-
-def _first(entry: Column) -> Column:
-    return F.array_min(F.transform(entry["positions"], lambda p: p["start"]))
-
-
 def suppressions(found: Column) -> Column:
     """A reason or null for every type, in the catalogue's order. Spans tile from a parent's first marker to the end of the text."""
-    articles = [of_type(found, t) for t in C.ARTICLE_TYPES]
-    reasons: dict[str, Column] = {}
-    has_spine = (articles[0]["max_n"] >= 3) | (articles[1]["max_n"] >= 3)
-    first = F.least(_first(articles[0]), _first(articles[1]))
+    at = {t: f"e[{i}]" for i, t in enumerate(C.TYPES)}
+    first = lambda t: f"array_min({at[t]}.positions.start)"
+    # more than half of a type's markers begin at or after a place
+    after = lambda t, place: f"coalesce(2 * size(filter({at[t]}.positions, p -> p.start >= {place})) > {at[t]}.count, false)"
+    article, digits = (at[t] for t in C.ARTICLE_TYPES)
+    reasons: dict[str, str] = {}
     for name in ("数字点", "数字点点"):
-        own = of_type(found, name)
-        reasons[name] = F.when(has_spine & (own["count"] > 0) & _mostly_after(own, first), F.lit("条内抑制"))
-    for name, parents, label, allowed in (("数字顿号", _DIGIT_PARENTS, "包容抑制", F.lit(True)), ("条", _ARTICLE_PARENTS, "条包裹抑制", articles[0]["max_n"] <= 4)):
-        own = of_type(found, name)
-        tests = [F.when(allowed & (own["count"] > 0) & (of_type(found, p)["count"] >= 2) & _mostly_after(own, _first(of_type(found, p))), F.lit(f"{label}({p})")) for p in parents]
-        reasons[name] = F.coalesce(*tests)
-    return F.array(*[reasons.get(t, F.lit(None).cast("string")) for t in C.TYPES])
+        reasons[name] = f"if(({article}.max_n >= 3 OR {digits}.max_n >= 3) AND {at[name]}.count > 0 AND {after(name, f'least({first(C.ARTICLE_TYPES[0])}, {first(C.ARTICLE_TYPES[1])})')}, '条内抑制', null)"
+    for name, parents, label, allowed in (("数字顿号", _DIGIT_PARENTS, "包容抑制", "true"), ("条", _ARTICLE_PARENTS, "条包裹抑制", f"{article}.max_n <= 4")):
+        tests = [f"if({allowed} AND {at[name]}.count > 0 AND {at[p]}.count >= 2 AND {after(name, first(p))}, '{label}({p})', null)" for p in parents]
+        reasons[name] = f"coalesce({', '.join(tests)})"
+    return applied(f"e -> array({', '.join(reasons.get(t, 'cast(null AS string)') for t in C.TYPES)})", found)

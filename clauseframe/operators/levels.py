@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,12 +57,13 @@ def infer_levels(types: list[str]) -> list[tuple[str, int]]:
 
 
 def _levels(column):
-    return pd.Series([None if types is None else [{"type": t, "level": lv} for t, lv in infer_levels([x for x in types if x is not None])] for types in column])
+    rows = [None if types is None else [{"type": t, "level": lv} for t, lv in infer_levels([x for x in types if x is not None])] for types in column.to_pylist()]
+    return pa.array(rows, pa.list_(pa.struct([("type", pa.string()), ("level", pa.int32())])))
 
 
-_levels.__annotations__ = {"column": pd.Series, "return": pd.Series}
+_levels.__annotations__ = {"column": pa.Array, "return": pa.Array}
 #: array<string> of types in order -> array<struct<type, level>>
-levels_udf = F.pandas_udf(_levels, T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("level", T.IntegerType())]))).asNondeterministic()  # so that the optimizer leaves it outside lambdas
+levels_udf = F.arrow_udf(_levels, T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("level", T.IntegerType())]))).asNondeterministic()  # so that the optimizer leaves it outside lambdas
 
 
 def level_chain(levels: Column) -> Column:
@@ -76,5 +77,3 @@ def level_bars(levels: Column) -> Column:
     depth = F.coalesce(F.array_max(F.transform(levels, lambda x: x["level"])), F.lit(-1))
     parts = F.transform(F.sequence(F.lit(0), F.greatest(depth, F.lit(0))), lambda k: F.array_join(F.sort_array(F.transform(F.filter(levels, lambda x: x["level"] == k), lambda x: x["type"])), "|"))
     return F.when(depth >= 0, F.array_join(parts, "→")).otherwise("-")
-
-

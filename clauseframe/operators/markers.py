@@ -1,81 +1,107 @@
-"""Markers with positions, guards against false ones, and overlaps resolved."""
+"""Markers with positions, guards against false ones, and overlaps resolved.
+
+Spans are found by a small vectorised function, as a marker's guards look at what stands around it in the text: a slice
+of a string there, but a walk from the beginning of the text for every look in an expression. All else are expressions.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clauseframe.functions import catalog as C
-from clauseframe.functions.ordinals import ordinal
+from clauseframe.functions.ordinals import ordinal_sql
+from clauseframe.functions.sql import applied, grown, texts
 
 MARKER = "struct<start:int,prio:int,less:int,seq:int,end:int,type:string,text:string,ord:array<bigint>>"
-Guard = Callable[[str, Column, Column], Column]
-
-
-def _spans(text: Column, pattern: str) -> Column:
-    """All matches as array<struct<start, end, text, group>>, by summing the lengths between them."""
-    p = F.lit(C.FLAGS + pattern)
-    whole, group, cut = F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(1)), F.split(text, p, -1)
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,text:string,group:string>>)")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text"), x["g"].alias("group")))).alias("out"))
-
-    rows = F.arrays_zip(F.slice(cut, F.lit(1), F.size(whole)).alias("p"), whole.alias("m"), group.alias("g"))
-    return F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])
-
-
-def _left(text: Column, start: Column) -> Column:
-    """What stands before a marker, without the blanks next to it; a short window unless that is all blank."""
-    near = F.rtrim(F.substring(text, F.greatest(start - 63, F.lit(1)), F.least(start, F.lit(64))), F.lit(C.BLANKS))
-    return F.when((near == "") & (start > 64), F.rtrim(F.substring(text, F.lit(1), start), F.lit(C.BLANKS))).otherwise(near)
-
-
-def _ruled_out(name: str, text: Column, m: Column) -> Column:
-    left = _left(text, m["start"])
-    like = lambda c, p: F.regexp_like(c, F.lit(C.FLAGS + p))
-    out = like(left, C.LEFT_OUT) | (like(left, C.SEEN) & ~like(left, C.OPINION))
-    if name in C.ARTICLE_TYPES:
-        before = F.regexp_replace(F.substring(text, F.lit(1), m["start"]), C.FLAGS + r"\s+\z", "")
-        out |= like(before, C.ARTICLE_LEFT_OUT) | like(before, r"\A按[^\n]+法\z")
-        out |= (F.contains(before, F.lit("按《")) & F.endswith(before, F.lit("》"))) | (F.contains(before, F.lit("按（")) & F.endswith(before, F.lit("）")))
-    if name in C.RIGHT_GUARDED:
-        five = F.substring(text, m["end"] + 1, F.lit(5))
-        for right, opening in C.PAIRS:
-            at, before = F.instr(five, right), F.instr(five, opening)
-            out |= (at > 0) & ((before == 0) | (before > at))
-        out |= like(F.substring(text, m["end"] + 1, F.lit(256)), r"^\s*[条章节]")
-    if name == C.DOCUMENT_TYPE:
-        out |= like(F.substring(text, m["end"] + 1, F.lit(256)), C.DOCUMENT_RIGHT_OUT)
-    return out
-
-
-def _of_type(text: Column, seq: int, guard: bool, extra: Guard | None) -> Column:
-    name, kind, pattern = C.MARKERS[seq]
-    prio = 0 if name == "数字直连中文" else 1 if name in ("数字点", "数字点点") else 2
-    spans = _spans(text, pattern)
-    if guard:
-        spans = F.filter(spans, lambda m: ~_ruled_out(name, text, m))
-    if extra is not None:
-        spans = F.filter(spans, lambda m: ~extra(name, F.substring(text, F.lit(1), m["start"]), F.substring(text, m["end"] + 1, F.length(text))))
-
-    def marker(m: Column) -> Column:
-        return F.struct(
-            m["start"].alias("start"),
-            F.lit(prio).alias("prio"),
-            (m["start"] - m["end"]).alias("less"),
-            F.lit(seq).alias("seq"),
-            m["end"].alias("end"),
-            F.lit(name).alias("type"),
-            m["text"].alias("text"),
-            ordinal(kind, m["group"]).alias("ord"),
-        )
-
-    return F.filter(F.transform(spans, marker), lambda m: m["ord"].isNotNull())
+SPAN = "struct<start:int,end:int,seq:int,text:string,group:string>"
+#: Whether a marker of a type is false, by the text before it and after it.
+Guard = Callable[[str, str, str], bool]
+NEAR = 64
+_PRIORITY = {"数字直连中文": 0, "数字点": 1, "数字点点": 1}
+
+
+@lru_cache(maxsize=1)
+def _patterns():
+    found = [re.compile(pattern) for _, _, pattern in C.MARKERS]
+    left, seen, opinion, article = map(re.compile, (C.LEFT_OUT, C.SEEN, C.OPINION, C.ARTICLE_LEFT_OUT))
+    return found, left, seen, opinion, article, re.compile(r"\s*[条章节]"), re.compile(C.DOCUMENT_RIGHT_OUT.lstrip("^"))
+
+
+class _Guards:
+    """What rules out markers of one text."""
+
+    def __init__(self, text: str):
+        self.text = text
+        # what the beginning of a text says about every article is looked up once
+        self.line, self.book, self.bracket = text.find("\n"), text.find("按《"), text.find("按（")
+
+    def _trimmed(self, start: int, blanks: str | None) -> int:
+        """Where the text before a place ends, without blanks."""
+        low = max(0, start - NEAR)
+        left = self.text[low:start].rstrip(blanks)
+        return low + len(left) if left or not low else len(self.text[:low].rstrip(blanks))
+
+    def _of_article(self, start: int, article: re.Pattern) -> bool:
+        end = self._trimmed(start, None)
+        if not end:
+            return False
+        last = self.text[end - 1]
+        if last == "法" and end > 2 and self.text[0] == "按" and not 0 < self.line < end:
+            return True
+        if last == "》" and 0 <= self.book <= end - 2 or last == "）" and 0 <= self.bracket <= end - 2:
+            return True
+        return bool(article.search(self.text[max(0, end - NEAR) : end]))
+
+    def out(self, name: str, start: int, end: int) -> bool:
+        _, left_out, seen, opinion, article, right_out, document = _patterns()
+        to = self._trimmed(start, C.BLANKS)
+        left = self.text[max(0, to - NEAR) : to]
+        if left_out.search(left) or seen.search(left) and not opinion.search(left):
+            return True
+        if name in C.ARTICLE_TYPES and self._of_article(start, article):
+            return True
+        if name in C.RIGHT_GUARDED:
+            five = self.text[end : end + 5]
+            for right, opening in C.PAIRS:
+                at, before = five.find(right), five.find(opening)
+                if at >= 0 and not 0 <= before < at:
+                    return True
+            if right_out.match(self.text, end):
+                return True
+        return name == C.DOCUMENT_TYPE and bool(document.match(self.text, end))
+
+
+def _spans(types: frozenset | None, guard: bool, extra: Guard | None):
+    def run(texts):
+        sizes, rows = [0], []
+        for text in texts.to_pylist():
+            own = []
+            guards = _Guards(text) if text and guard else None
+            for seq, pattern in enumerate(_patterns()[0] if text else ()):
+                name = C.TYPES[seq]
+                if types is not None and name not in types:
+                    continue
+                prio = _PRIORITY.get(name, 2)
+                for m in pattern.finditer(text):
+                    start, end = m.span()
+                    if guards and guards.out(name, start, end) or extra and extra(name, text[:start], text[end:]):
+                        continue
+                    own.append((start, prio, start - end, seq, end, m[0], m[1]))
+            own.sort()
+            rows += own
+            sizes.append(len(rows))
+        start, _, _, seq, end, whole, group = zip(*rows) if rows else ((),) * 7
+        parts = [pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(seq, pa.int32()), pa.array(whole, pa.string()), pa.array(group, pa.string())]
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(parts, ["start", "end", "seq", "text", "group"]), mask=texts.is_null() if texts.null_count else None)
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, f"array<{SPAN}>").asNondeterministic()  # so that the optimizer leaves it outside lambdas
 
 
 def raw_markers(text: Column, types=None, guard: bool = True, extra: Guard | None = None) -> Column:
@@ -83,14 +109,17 @@ def raw_markers(text: Column, types=None, guard: bool = True, extra: Guard | Non
 
     extra(type, left, right) may rule out more markers, by the text on either side.
     """
-    parts = [_of_type(text, seq, guard, extra) for seq, m in enumerate(C.MARKERS) if types is None or m[0] in types]
-    if not parts:
-        return F.expr(f"cast(array() as array<{MARKER}>)")
-    return F.array_sort(F.concat(*parts))
+    return ordered(_spans(None if types is None else frozenset(types), guard, extra)(text))
+
+
+def ordered(spans: Column) -> Column:
+    """Sorted spans as markers, without those whose ordinal can't be read."""
+    names, kinds = texts(C.TYPES), texts([kind for _, kind, _ in C.MARKERS])
+    prios = f"array({', '.join(str(_PRIORITY.get(t, 2)) for t in C.TYPES)})"
+    marker = f"named_struct('start', m.start, 'prio', {prios}[m.seq], 'less', m.start - m.end, 'seq', m.seq, 'end', m.end, 'type', {names}[m.seq], 'text', m.text, 'ord', {ordinal_sql(f'{kinds}[m.seq]', 'm.group')})"
+    return applied(f"ms -> filter(transform(ms, m -> {marker}), m -> m.ord IS NOT NULL)", spans)
 
 
 def without_overlaps(markers: Column) -> Column:
     """In order, each marker that begins after the last kept one ends."""
-    start = F.struct(F.lit(0).alias("end"), F.expr(f"cast(array() as array<{MARKER}>)").alias("out"))
-    step = lambda a, m: F.when(m["start"] >= a["end"], F.struct(m["end"].alias("end"), F.concat(a["out"], F.array(m)).alias("out"))).otherwise(a)
-    return F.aggregate(markers, start, step, lambda a: a["out"])
+    return applied("ms -> " + grown(MARKER, "ms", {"end": "0"}, {"end": "if(x.start >= a.end, x.end, a.end)"}, "x", "x.start >= a.end"), markers)

@@ -1,7 +1,7 @@
 """Masks for numbers that do not structure a text.
 
 `mask` keeps the length of the text, so offsets hold in both; `tokens` puts a tag in the place of each match.
-The rules are applied in order by a fold over the catalogue.
+The rules are applied in order by a fold over the catalogue; of the rules, only those that a text can need.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clauseframe.functions.catalog import FLAGS, HAN_MARK, MASK_RULES
+from clauseframe.functions.sql import applied, raw
 
 
 def needed(pattern: str) -> str:
@@ -31,34 +32,42 @@ def needed(pattern: str) -> str:
     return "".join(out).replace(r"[\s\S]*?", "").replace("[一-鿿]+", "")
 
 
-def _fold(text: Column, rules, step) -> Column:
-    # patterns given as literals are compiled once; only the rules that a text can need are then applied, in order
-    found = [F.when(F.regexp_like(text, F.lit(FLAGS + needed(p))), F.struct(F.lit(FLAGS + p).alias("p"), F.lit(h).alias("h"), F.lit(t).alias("t"))) for t, h, p in rules]
-    table = F.filter(F.array(*found), lambda r: r.isNotNull())
-    return F.aggregate(table, text, lambda acc, r: F.when(F.regexp_like(acc, r["p"]), step(acc, r)).otherwise(acc))
+def _literal(pattern: str) -> str:
+    """The longest text that every match of a pattern holds, as far as it can be read off; maybe none."""
+    parts = re.findall(r"\((?:\\.|\[(?:\\.|[^\]])*\]|[^()])*\)[?*+]?|\[(?:\\.|[^\]])*\][?*+]?(?:\{[^}]*\})?|\\.[?*+]?(?:\{[^}]*\})?|.[?*](?!\w)|.\{[^}]*\}|.", pattern)
+    if "|" in parts:
+        return ""
+    runs = "".join(p if len(p) == 1 and p not in "?*+^$." else "\0" for p in parts).split("\0")
+    return max(runs, key=len)
 
 
-def mask(text: Column, rules=MASK_RULES) -> Column:
-    """Every match becomes underscores of its length; rules that keep the Han class begin with a Han character."""
+def _fold(rules, step: str) -> str:
+    # patterns given as literals are compiled once; a text without a rule's literal isn't searched at all
+    found = []
+    for tag, han, pattern in rules:
+        must = needed(pattern)
+        test = f"regexp_like(x, {raw(FLAGS + must)})"
+        literal = _literal(must)
+        found.append(f"if({f'contains(x, {raw(literal)}) AND ' if literal else ''}{test}, named_struct('p', {raw(FLAGS + pattern)}, 'h', {str(han).lower()}, 't', '{tag}'), null)")
+    return f"x -> aggregate(array_compact(array({', '.join(found)})), x, (acc, r) -> if(regexp_like(acc, r.p), {step}, acc))"
 
-    def step(acc: Column, r: Column) -> Column:
-        blot = lambda m: F.when(r["h"], F.concat(F.lit(HAN_MARK), F.repeat(F.lit("_"), F.length(m) - 1))).otherwise(F.repeat(F.lit("_"), F.length(m)))
-        whole, cut = F.regexp_extract_all(acc, r["p"], F.lit(0)), F.split(acc, r["p"], -1)
-        return F.array_join(F.zip_with(cut, whole, lambda p, m: F.concat(p, F.coalesce(blot(m), F.lit("")))), "")
 
-    return _fold(text, rules, step)
+def mask(text: Column, rules=MASK_RULES) -> Column:
+    """Every match becomes underscores of its length; rules that keep the Han class begin with a Han character."""
+    blot = f"if(r.h, concat('{HAN_MARK}', repeat('_', length(m) - 1)), repeat('_', length(m)))"
+    return applied(_fold(rules, f"array_join(zip_with(split(acc, r.p, -1), regexp_extract_all(acc, r.p, 0), (p, m) -> concat(p, coalesce({blot}, ''))), '')"), text)
 
 
 def tokens(text: Column, rules=MASK_RULES) -> Column:
     """Every match becomes its rule's token, as effective paragraphs are counted by them."""
-    token = lambda r: F.concat(F.when(r["h"], F.lit(HAN_MARK)).otherwise(""), F.lit("___PB_"), r["t"], F.lit("_1___"))
-    return _fold(text, rules, lambda acc, r: F.regexp_replace(acc, r["p"], token(r)))
+    return applied(_fold(rules, f"regexp_replace(acc, r.p, concat(if(r.h, '{HAN_MARK}', ''), '___PB_', r.t, '_1___'))"), text)
 
 
 def count_effective_paragraphs(text: Column) -> Column:
     """Lines that are not blank and not one token; 1 at least."""
-    lines = F.filter(F.split(tokens(text), "\n", -1), lambda x: F.regexp_like(x, F.lit(FLAGS + r"\S")) & ~F.regexp_like(x, F.lit(FLAGS + r"^\s*___PB_\w+_\d+___\s*$")))
-    return F.greatest(F.size(lines), F.lit(1))
+    token = raw(FLAGS + r"^\s*___PB_\w+_\d+___\s*$")
+    blank = raw(FLAGS + r"\S")
+    return applied(rf"t -> greatest(size(filter(split(t, '\n', -1), x -> regexp_like(x, {blank}) AND NOT regexp_like(x, {token}))), 1)", tokens(text))
 
 
 def restore(masked: Column, original: Column, start: Column, end: Column) -> Column:

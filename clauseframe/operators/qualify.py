@@ -2,79 +2,55 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clauseframe.functions import catalog as C
+from clauseframe.functions.sql import applied, let, texts
 from clauseframe.functions.text import count_paragraphs
 from clauseframe.operators.mask import count_effective_paragraphs
 
 SHORT, LONG_PARAGRAPH = 1000, 70
-_STRINGS = "cast(array() as array<string>)"
-
 
-def _types(*names: str) -> Column:
-    return F.array(*[F.lit(n) for n in names])
 
-
-def _any(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests)
+def _tags() -> str:
+    """All tags of a document, from the qualified types s.tags and the statistics x.b."""
+    at = {t: f"x.b[{i}]" for i, t in enumerate(C.TYPES)}
+    has = lambda tags, t: f"array_contains({tags}, '{t}')"
+    # articles in chapters bring sections and parts with them
+    more = ", ".join(f"if({at[t]}.count > 0, '{t}', null)" for t in ("节", "编"))
+    whole = f"if({has('s.tags', '条')} AND {has('s.tags', '章')}, array_union(s.tags, array_compact(array({more}))), s.tags)"
+    # brackets that restart far more often than what holds them are fragments, unless dotted numbers were suppressed
+    dotted = " OR ".join(f"coalesce(x.c[{C.TYPES.index(t)}] = '条内抑制', false)" for t in ("数字点", "数字点点"))
+    broken = lambda t: " OR ".join(f"({has('u', ref)} AND {at[ref]}.group_count > 0 AND {at[t]}.group_count >= 3 * {at[ref]}.group_count AND {at[t]}.max_n <= 4)" for ref in ("中文顿号", "条", "数字条"))
+    gone = ", ".join(f"if(({broken(t)}) AND NOT ({dotted}), '{t}', null)" for t in ("括号", "括号数字"))
+    forced = ", ".join(f"if({at[t]}.count >= 3 AND {at[t]}.max_n >= 3, '{t}', null)" for t in ("中文是", "部分", "要素数字冒号"))
+    direct = f"if(size(array_except(v, {texts(['数字点', '数字点点'])})) = 0 AND {at['数字直连中文']}.count > 0, array('数字直连中文'), cast(array() AS array<string>))"
+    return let(whole, "u", let(f"array_union(array_except(u, array_compact(array({gone}))), array_compact(array({forced})))", "v", f"sort_array(array_union(v, {direct}))"))
 
 
 def report(text: Column, found: Column, reasons: Column) -> Column:
     """text: the cleaned text; found, reasons: the statistics and suppressions by type, both in the catalogue's order."""
-    at = {t: i for i, t in enumerate(C.TYPES)}
-    count, gc, run = ({t: found[at[t]][f] for t in C.TYPES} for f in ("count", "group_count", "max_n"))
-    free = {t: reasons[at[t]].isNull() for t in C.TYPES}
-    item = lambda t, n, g: F.struct(F.lit(t).alias("type"), n.cast("int").alias("n"), g.cast("int").alias("gc"))
-    general = {t: free[t] & (count[t] >= 3) & ((gc[t] >= 2) | ((gc[t] >= 1) & (run[t] >= 3))) for t in C.TYPES}
-    rows = [F.when(general[t], item(t, F.lit(0), count[t]) if t == C.DOCUMENT_TYPE else item(t, run[t], gc[t])) for t in C.TYPES]
-    rows.append(F.when(~general["中文顿号"] & free["中文顿号"] & (gc["中文顿号"] >= 1) & (run["中文顿号"] >= 2), item("中文顿号", run["中文顿号"], gc["中文顿号"])))
-    qualified = F.filter(F.array(*rows), lambda q: q.isNotNull())
-
-    chars = F.length(text)
-    bare = F.forall(found, lambda e: e["count"] == 0) | F.forall(found, lambda e: e["group_count"] == 0)
-    plain_kind = F.when(chars < SHORT, C.PLAIN).when(chars / count_effective_paragraphs(text) > LONG_PARAGRAPH, C.PLAIN_PARAGRAPHS).otherwise(C.PLAIN)
-
-    def structured(q: Column) -> Column:
-        top_n, top_gc = F.array_max(F.transform(q, lambda x: x["n"])), F.array_max(F.transform(q, lambda x: x["gc"]))
-        spine = F.transform(F.filter(q, lambda x: x["n"] == top_n), lambda x: x["type"])
-        satellite = F.transform(F.filter(q, lambda x: (x["gc"] == top_gc) & (x["n"] != top_n)), lambda x: x["type"])
-        tags = F.transform(q, lambda x: x["type"])
-        out = F.struct(spine.alias("spine_types"), satellite.alias("satellite_types"), top_n.alias("max_n"), top_gc.alias("max_gc"), tags.alias("tags"))
-        return out
-
-    def all_tags(tags: Column) -> Column:
-        has = lambda ts, t: F.array_contains(ts, F.lit(t))
-        # articles in chapters bring sections and parts with them
-        more = F.filter(F.array(*[F.when(count[t] > 0, F.lit(t)) for t in ("节", "编")]), lambda x: x.isNotNull())
-        tags = F.when(has(tags, "条") & has(tags, "章"), F.array_union(tags, more)).otherwise(tags)
-        # brackets that restart far more often than what holds them are fragments, unless dotted numbers were suppressed
-        dotted = _any([reasons[at[t]].eqNullSafe("条内抑制") for t in ("数字点", "数字点点")])
-        gone = []
-        for t in ("括号", "括号数字"):
-            broken = _any([has(tags, ref) & (gc[ref] > 0) & (gc[t] >= 3 * gc[ref]) & (run[t] <= 4) for ref in ("中文顿号", "条", "数字条")])
-            gone.append(F.when(broken & ~dotted, F.lit(t)))
-        tags = F.array_except(tags, F.filter(F.array(*gone), lambda x: x.isNotNull()))
-        forced = [F.when((count[t] >= 3) & (run[t] >= 3), F.lit(t)) for t in ("中文是", "部分", "要素数字冒号")]
-        tags = F.array_union(tags, F.filter(F.array(*forced), lambda x: x.isNotNull()))
-        only_dots = F.size(F.array_except(tags, _types("数字点", "数字点点"))) == 0
-        direct = F.when(only_dots & (count["数字直连中文"] > 0), _types("数字直连中文")).otherwise(F.expr(_STRINGS))
-        return F.sort_array(F.array_union(tags, direct))
-
-    whole = F.transform(
-        F.array(structured(qualified)),
-        lambda s: F.struct(
-            s["spine_types"].alias("spine_types"), s["satellite_types"].alias("satellite_types"), all_tags(s["tags"]).alias("all_tags"), s["max_n"].alias("max_n"), s["max_gc"].alias("max_gc"), F.lit(False).alias("is_plain"), chars.alias("char_count"), count_paragraphs(text).alias("para_count")
-        ),
-    )[0]
-    plain = lambda kind: F.struct(F.array(kind).alias("spine_types"), F.expr(_STRINGS).alias("satellite_types"), F.array(kind).alias("all_tags"), F.lit(0).alias("max_n"), F.lit(0).alias("max_gc"), F.lit(True).alias("is_plain"), chars.alias("char_count"), count_paragraphs(text).alias("para_count"))
-    return F.when(bare, plain(plain_kind)).when(F.size(qualified) == 0, plain(F.lit(C.PLAIN))).otherwise(whole)
+    general = "x.c[i] IS NULL AND e.count >= 3 AND (e.group_count >= 2 OR e.group_count >= 1 AND e.max_n >= 3)"
+    item = f"if(e.type = '{C.DOCUMENT_TYPE}', named_struct('type', e.type, 'n', 0, 'gc', e.count), named_struct('type', e.type, 'n', e.max_n, 'gc', e.group_count))"
+    # enumerations qualify by less, after all others
+    late = "e.type = '中文顿号' AND x.c[i] IS NULL AND e.group_count >= 1 AND e.max_n >= 2"
+    rows = lambda test: f"array_compact(transform(x.b, (e, i) -> if({test}, {item}, null)))"
+    qualified = f"concat({rows(general)}, {rows(f'{late} AND NOT ({general})')})"
+    plain = f"if(x.a < {SHORT}, '{C.PLAIN}', if(x.a / x.d > {LONG_PARAGRAPH}, '{C.PLAIN_PARAGRAPHS}', '{C.PLAIN}'))"
+    of_plain = lambda kind: f"named_struct('spine_types', array({kind}), 'satellite_types', cast(array() AS array<string>), 'all_tags', array({kind}), 'max_n', 0, 'max_gc', 0, 'is_plain', true, 'char_count', x.a, 'para_count', x.e)"
+    structured = let(
+        "named_struct('n', array_max(q.n), 'gc', array_max(q.gc), 'tags', q.type)",
+        "s",
+        f"named_struct('spine_types', transform(filter(q, y -> y.n = s.n), y -> y.type), 'satellite_types', transform(filter(q, y -> y.gc = s.gc AND y.n <> s.n), y -> y.type), 'all_tags', {_tags()}, 'max_n', s.n, 'max_gc', s.gc, 'is_plain', false, 'char_count', x.a, 'para_count', x.e)",
+    )
+    bare = "forall(x.b, e -> e.count = 0) OR forall(x.b, e -> e.group_count = 0)"
+    whole = let(qualified, "q", f"if({bare}, {of_plain(plain)}, if(size(q) = 0, {of_plain(repr(C.PLAIN))}, {structured}))")
+    # masks are laid once more for effective paragraphs, so only where these are asked for
+    asked = applied(f"x -> {bare.replace('x.b', 'x')}", found) & (F.length(text) >= SHORT)
+    return applied(f"x -> {whole}", F.length(text), found, reasons, F.when(asked, count_effective_paragraphs(text)), count_paragraphs(text))
 
 
 def split_types(rep: Column) -> Column:
     """The report's tags: spine and satellite types first, then the others."""
-    first = F.filter(F.concat(rep["spine_types"], rep["satellite_types"]), lambda t: F.array_contains(rep["all_tags"], t))
-    return F.array_union(first, rep["all_tags"])
+    return applied("r -> array_union(filter(concat(r.spine_types, r.satellite_types), t -> array_contains(r.all_tags, t)), r.all_tags)", rep)

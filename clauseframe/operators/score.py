@@ -7,7 +7,7 @@ a text is scored in order, by a small vectorised function; texts are independent
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -172,9 +172,10 @@ def score_ordinals(ords: list[tuple]) -> list[float]:
 
 
 def _scores(column):
-    return pd.Series([None if ords is None else [{"score": s, "kept": s >= KEEP} for s in score_ordinals([tuple(int(x) for x in o) for o in ords])] for ords in column])
+    rows = [None if ords is None else [{"score": s, "kept": s >= KEEP} for s in score_ordinals([tuple(o) for o in ords])] for ords in column.to_pylist()]
+    return pa.array(rows, pa.list_(pa.struct([("score", pa.float64()), ("kept", pa.bool_())])))
 
 
-_scores.__annotations__ = {"column": pd.Series, "return": pd.Series}
+_scores.__annotations__ = {"column": pa.Array, "return": pa.Array}
 #: array<array<bigint>> in order -> array<struct<score, kept>>
-score_udf = F.pandas_udf(_scores, T.ArrayType(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())]))).asNondeterministic()  # so that the optimizer leaves it outside lambdas
+score_udf = F.arrow_udf(_scores, T.ArrayType(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())]))).asNondeterministic()  # so that the optimizer leaves it outside lambdas

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from clauseframe.functions import catalog as C
 from clauseframe.functions.ordinals import get_ordinal
+from clauseframe.functions.sql import apart
 from clauseframe.functions.text import clean_html, count_paragraphs
 from clauseframe.operators import fragments as fr
 from clauseframe.operators import groups, levels, markers, mask, qualify
@@ -24,7 +25,7 @@ def with_markers(docs: DataFrame, text: str = "text", clean: bool = True, extra:
     """Adds clean_text, masked and markers (guarded, without overlaps)."""
     raw = F.col(text).cast("string")
     docs = docs.withColumn("clean_text", clean_html(raw) if clean else raw)
-    docs = docs.withColumn("masked", mask.mask(F.col("clean_text")))
+    docs = docs.withColumn("masked", apart(mask.mask(F.col("clean_text"))))
     return docs.withColumn("markers", markers.without_overlaps(markers.raw_markers(F.col("masked"), extra=extra)))
 
 
@@ -39,9 +40,9 @@ def analyse_documents(docs: DataFrame, text: str = "text", clean: bool = True) -
 def score_documents(docs: DataFrame, text: str = "text", clean: bool = True) -> DataFrame:
     """The other classifier: by the scores of numbered markers. Adds scores, spine_type, satellite_type, all_tags and counts."""
     docs = docs.withColumn("clean_text", clean_html(F.col(text).cast("string")) if clean else F.col(text).cast("string"))
-    docs = docs.withColumn("masked", mask.mask(F.col("clean_text")))
+    docs = docs.withColumn("masked", apart(mask.mask(F.col("clean_text"))))
     docs = docs.withColumn("markers", markers.without_overlaps(markers.raw_markers(F.col("masked"), C.SCORED)))
-    docs = docs.withColumn("scores", score_udf(F.transform("markers", lambda m: m["ord"])))
+    docs = docs.withColumn("scores", apart(F.col("markers.ord"))).withColumn("scores", score_udf("scores"))
     kept = F.transform(F.filter(F.arrays_zip("markers", "scores"), lambda x: x["scores"]["kept"]), lambda x: x["markers"]["type"])
     docs = docs.withColumn("kept_types", kept).withColumn("all_tags", F.array_distinct("kept_types"))
     counted = lambda names: F.transform(names, lambda t: F.struct(F.size(F.filter(F.col("kept_types"), lambda x: x == t)).alias("n"), (-F.array_position(F.col("all_tags"), t)).alias("first"), t.alias("type")))
@@ -56,13 +57,13 @@ def split_documents(docs: DataFrame, text: str = "text", clean: bool = True, max
     """Adds to analyse_documents: scores, levels, fragments (with levels and ordinals), meta and error."""
     docs = analyse_documents(docs, text, clean)
     docs = docs.withColumn("candidates", fr.candidates(F.col("markers"), F.col("split_types")))
-    docs = docs.withColumn("scores", score_udf(fr.scored_ordinals(F.col("candidates"))))
+    docs = docs.withColumn("scores", apart(fr.scored_ordinals(F.col("candidates")))).withColumn("scores", score_udf("scores"))
     docs = docs.withColumn("decided", fr.decided(F.col("candidates"), F.col("scores")))
     paragraph_mode = F.array_contains("split_types", F.lit(C.PLAIN_PARAGRAPHS))
     none = F.expr(f"cast(array() as array<{fr.FRAGMENT}>)")
     blank = F.coalesce(F.col("clean_text"), F.lit("")) == ""
     docs = docs.withColumn("cut", F.when(blank, none).when(paragraph_mode, fr.by_paragraphs(F.col("clean_text"))).otherwise(fr.cut(F.col("clean_text"), F.col("decided"))))
-    docs = docs.withColumn("levels", levels.levels_udf(F.transform("cut", lambda f: f["split_type"])))
+    docs = docs.withColumn("levels", apart(F.col("cut.split_type"))).withColumn("levels", levels.levels_udf("levels"))
     level = lambda t: F.filter(F.col("levels"), lambda x: x["type"] == t)
     docs = docs.withColumn("fragments", F.transform("cut", lambda f: f.withField("index_level", F.get(level(f["split_type"]), F.lit(0))["level"]).withField("ordinal", get_ordinal(f["content"]))))
     error = F.when(F.col(text).isNull(), MISSING).when(blank, EMPTY)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from clauseframe.functions import catalog as C
 from clauseframe.functions.ordinals import cn_to_int, get_ordinal, int_to_cn
+from clauseframe.functions.sql import apart
 from clauseframe.functions.text import clean_html
 from clauseframe.operators import groups, levels, markers, mask
 from clauseframe.operators.score import score_udf
@@ -67,7 +68,7 @@ SELECT law_id, rn::INT AS seq, '{type}' AS type, text,
 def _mark_query(name: str, before: str, after: str, kind: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = _texts(_lines(spark, sf_dir), F.concat(F.lit(before), F.col("cn"), F.lit(after + " 货物"), F.col("l_partkey"), F.lit("。")))
-        found = docs.withColumn("markers", markers.without_overlaps(markers.raw_markers(F.col("text"), [kind])))
+        found = docs.withColumn("text", apart(F.col("text"))).withColumn("markers", markers.without_overlaps(markers.raw_markers(F.col("text"), [kind])))
         return found.select("law_id", F.posexplode("markers").alias("i", "m")).select("law_id", (F.col("i") + 1).alias("seq"), "m.type", "m.text", "m.start", F.col("m.ord")[0].alias("ord"))
 
     run.__name__ = name
@@ -217,8 +218,8 @@ def level_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def inferred_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    types = _sequence(spark, sf_dir).groupBy("law_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "type"))), lambda x: x["type"]).alias("types"))
-    return types.select("law_id", levels.levels_udf("types").alias("levels")).select("law_id", levels.level_chain(F.col("levels")).alias("level_chain"))
+    types = _sequence(spark, sf_dir).groupBy("law_id").agg(F.sort_array(F.collect_list(F.struct("pos", "type")))["type"].alias("types"))
+    return types.withColumn("types", apart(F.col("types"))).select("law_id", levels.levels_udf("types").alias("levels")).select("law_id", levels.level_chain(F.col("levels")).alias("level_chain"))
 
 
 _PLAIN_RULES = ("FJ", "XT", "FIG", "KG", "TON", "PCT", "KM", "ZL", "ZX", "MD")
