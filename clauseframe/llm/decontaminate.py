@@ -1,66 +1,107 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 A benchmark item of n words has n - 4 five-word shingles (shorter items: the whole sequence is one). Every document window of
-as many shingles as an item gets a 64-bit SimHash; fingerprints are matched by multi-index Hamming blocks: 64 bits
-in 8 blocks, and two fingerprints within radius r agree in one block up to r // 8 bits, so looking up each
-block with its close values finds all pairs within the radius. Candidates are then verified exactly by
-the weighted Jaccard similarity of their shingle multisets (sum of the smaller counts by sum of the larger).
+as many shingles as an item that can reach the similarity at all gets a SimHash of 512 bits; to reach it, enough of its
+shingles must stand in the benchmark, which running sums tell.
 
-Windows without a shingle of the benchmark have similarity 0 and are not fingerprinted. The default radius is 24: with
-similarity 0.75 fingerprints differ in 11 bits on average, with a standard deviation of 3.
+Fingerprints are matched by multi-index Hamming blocks: 64 blocks of 8 bits, each with an index from its value to the items. If two
+fingerprints differ in at most RADIUS bits, at most RADIUS // 3 blocks differ in three bits or more; so each block is looked
+up with the 37 values within two bits, and an item found in all other blocks at least is within reach. Few pairs that are not
+near pass that count (for random fingerprints about one in 100,000), and no pair within the radius is lost. Candidates
+are then verified exactly by the weighted Jaccard similarity of their shingle multisets (sum of the smaller counts by sum of the larger).
 
-The benchmark is read in blocks of bounded size, each held against all documents; it is never joined with them,
-and no document leaves its row, so nothing is shuffled.
+With similarity 0.75 fingerprints differ in 88 bits on average, with a standard deviation of 8.5; the default radius is 128.
+
+The benchmark is read in blocks of bounded size, each held against all documents and broadcast; with more than one block, what each
+block finds is written before the next is read. Documents never leave their rows for it.
 
 Edge cases: null or blank documents and items match nothing; a document with fewer words than an item is one window;
-repeated rows give repeated hits; of equally similar windows the first is reported; an empty benchmark gives no hit.
+repeated rows give repeated hits; of equally similar windows the first is reported; an empty benchmark or table gives no hit.
 Other columns are ignored by `contamination` and kept by `without_contaminated`.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clauseframe.llm import textcore as tc
 
-RADIUS, PERCENT = 24, 75
-BLOCKS = 8
+RADIUS, PERCENT = 128, 75
+WORDS = 8
+BLOCKS = 8 * WORDS
+WITHIN = 2
 BLOCK_TEXT = 4_000_000  # bytes of items that are held at once
+STRETCH = 2_048
 _BITS = np.arange(64, dtype=np.uint64)
-_NEAR = np.array([[bin(a ^ b).count("1") for b in range(256)] for a in range(256)], dtype=np.uint8)
+#: What makes a block's value another one within two bits.
+_NEAR = np.array([x for x in range(256) if x.bit_count() <= WITHIN], dtype=np.int64)
+_FIRST = np.arange(BLOCKS, dtype=np.int64) * 256
 
 
 def fingerprints(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """SimHash of hashes[start:end] for each window, by running sums of the 64 bits."""
-    bits = ((hashes[:, None] >> _BITS) & np.uint64(1)).astype(np.int32)
-    sums = np.zeros((len(hashes) + 1, 64), dtype=np.int32)
-    np.cumsum(bits, axis=0, out=sums[1:])
-    more = 2 * (sums[ends] - sums[starts]) > (ends - starts)[:, None]
-    return np.packbits(more, axis=1, bitorder="little").view("<u8")[:, 0]
+    """SimHash of hashes[start:end] for each window, as rows of bytes, by running sums of the bits."""
+    out = np.empty((len(starts), BLOCKS), dtype=np.uint8)
+    half = (ends - starts)[:, None]
+    for k in range(WORDS):
+        word = tc.mix(hashes + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF))
+        sums = np.zeros((len(hashes) + 1, 64), dtype=np.int32)
+        np.cumsum((word[:, None] >> _BITS) & np.uint64(1), axis=0, dtype=np.int32, out=sums[1:])
+        out[:, 8 * k : 8 * k + 8] = np.packbits(2 * (sums[ends] - sums[starts]) > half, axis=1, bitorder="little")
+    return out
+
+
+class Index:
+    """The items of one size: their fingerprints, by the values of their blocks."""
+
+    def __init__(self, names: list[int], items: list[np.ndarray], radius: int):
+        self.names, self.radius, self.need = names, radius, BLOCKS - radius // (WITHIN + 1)
+        self.counts = [np.unique(h, return_counts=True) for h in items]
+        self.prints = np.concatenate([fingerprints(h, np.array([0]), np.array([len(h)])) for h in items])
+        keys = (_FIRST + self.prints).ravel()
+        order = np.argsort(keys, kind="stable")
+        self.items = (order // BLOCKS).astype(np.int32)
+        self.starts = np.searchsorted(keys[order], np.arange(256 * BLOCKS + 1))
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of a window and an item within the radius, and their distances."""
+        if self.need <= 0:  # a radius so wide that blocks rule nothing out
+            w, k = (x.ravel() for x in np.indices((len(prints), len(self.names))))
+        else:
+            key = (_FIRST[None, :, None] + (prints[:, :, None] ^ _NEAR)).reshape(len(prints), -1)
+            low = self.starts[key].ravel()
+            count = self.starts[key + 1].ravel() - low
+            at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            window = np.repeat(np.repeat(np.arange(len(prints)), key.shape[1]), count)
+            pair, found = np.unique(window * len(self.names) + self.items[at], return_counts=True)
+            w, k = np.divmod(pair[found >= self.need], len(self.names))
+        distance = np.bitwise_count(prints[w] ^ self.prints[k]).sum(axis=1, dtype=np.int64)
+        close = distance <= self.radius
+        return w[close], k[close], distance[close]
+
+    def shared(self, k: int, window: np.ndarray) -> int:
+        """The sum of the smaller counts of the shingles of a window and an item."""
+        names, counts = self.counts[k]
+        own, often = np.unique(window, return_counts=True)
+        at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+        return int(np.minimum(often, counts[at])[names[at] == own].sum())
 
 
 class Items:
     """Benchmark items with equal shingle width, indexed by window size."""
 
     def __init__(self, width: int, items: list[tuple[int, np.ndarray]], radius: int):
-        self.width, self.radius = width, radius
+        self.width = width
         self.all = np.unique(np.concatenate([h for _, h in items]))
         self.filter = np.zeros(1 << 20, dtype=bool)
         self.filter[(self.all & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        self.by_size: dict[int, tuple] = {}
         sizes: dict[int, list] = {}
         for item, h in items:
             sizes.setdefault(len(h), []).append((item, h))
-        for size, some in sizes.items():
-            prints = np.concatenate([fingerprints(h, np.array([0]), np.array([len(h)])) for _, h in some])
-            blocks = prints.view(np.uint8).reshape(-1, BLOCKS)
-            close = [_NEAR[:, blocks[:, b]] <= radius // BLOCKS for b in range(BLOCKS)]
-            self.by_size[size] = ([i for i, _ in some], [Counter(h.tolist()) for _, h in some], prints, close)
+        self.by_size = {size: Index([i for i, _ in some], [h for _, h in some], radius) for size, some in sizes.items()}
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
         maybe = np.flatnonzero(self.filter[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
@@ -69,37 +110,33 @@ class Items:
 
     def search(self, hashes: np.ndarray, hits: np.ndarray, percent: int):
         """The best window of each item in one document: (item, start, shingles, similarity, distance)."""
-        for size, (names, counts, prints, close) in self.by_size.items():
-            last = max(len(hashes) - size, 0)
+        known = np.zeros(len(hashes) + 1, dtype=np.int64)
+        known[hits + 1] = 1
+        known = np.cumsum(known)
+        for size, index in self.by_size.items():
             span = min(size, len(hashes))
-            mark = np.zeros(last + 2, dtype=np.int64)
-            np.add.at(mark, np.maximum(hits - span + 1, 0), 1)
-            np.add.at(mark, np.minimum(hits, last) + 1, -1)
-            starts = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
-            low, high = starts[0], starts[-1] + span
-            found = fingerprints(hashes[low:high], starts - low, starts - low + span)
-            blocks = found.view(np.uint8).reshape(-1, BLOCKS)
-            near = np.zeros((len(starts), len(names)), dtype=bool)
-            for b in range(BLOCKS):
-                near |= close[b][blocks[:, b]]
-            w, k = np.nonzero(near)
-            distance = np.bitwise_count(found[w] ^ prints[k])
+            # both of them share at most the known shingles of the window
+            starts = np.flatnonzero((100 + percent) * (known[span:] - known[: len(known) - span]) >= percent * (span + size))
             best: dict[int, tuple] = {}
-            for j in np.flatnonzero(distance <= self.radius):
-                window = Counter(hashes[starts[w[j]] : starts[w[j]] + span].tolist())
-                both = (window & counts[k[j]]).total()
-                either = span + size - both
-                if 100 * both >= percent * either:
-                    new = (both / either, -int(starts[w[j]]), int(distance[j]))
-                    best[k[j]] = max(best.get(k[j], new), new)
-            for i, (similarity, start, d) in best.items():
-                yield names[i], -start, span, similarity, d
-
-
-def _scan(groups: list[Items], percent: int, clean: bool):
-    """Rows with hits, or (clean) the rows that have none."""
-
-    def of(words, counts):
+            step = max(1, min(STRETCH, 4_000_000 // (BLOCKS * max(len(index.names), 16))))
+            for at in range(0, len(starts), step):
+                some = starts[at : at + step]
+                for part in np.split(some, np.flatnonzero(np.diff(some) > STRETCH) + 1):
+                    low, high = part[0], part[-1] + span
+                    for w, k, d in zip(*index.near(fingerprints(hashes[low:high], part - low, part - low + span))):
+                        both = index.shared(k, hashes[part[w] : part[w] + span])
+                        either = span + size - both
+                        if 100 * both >= percent * either:
+                            new = (both / either, -int(part[w]), int(d))
+                            best[k] = max(best.get(k, new), new)
+            for k, (similarity, start, d) in best.items():
+                yield index.names[k], -start, span, similarity, d
+
+
+def _scan(broadcast, percent: int, flag: str | None):
+    """Rows with hits, or all columns with a flag for the rows that have one."""
+
+    def of(groups, words, counts):
         for group in groups:
             hashes, at = tc.shingle_hashes(words, counts, group.width)
             if group.width < tc.SHINGLE:  # a text shorter than the item holds no whole item
@@ -108,21 +145,23 @@ def _scan(groups: list[Items], percent: int, clean: bool):
                 hashes[at[short]] = 0
             places = group.known(hashes)
             rows = np.searchsorted(at, places, side="right") - 1
-            for row in np.unique(rows):
-                for item, start, size, similarity, d in group.search(hashes[at[row] : at[row + 1]], places[rows == row] - at[row], percent):
-                    yield int(row), item, start, size + group.width - 1, similarity, d
+            heads = np.flatnonzero(np.diff(rows, prepend=-1))
+            for row, own in zip(rows[heads].tolist(), np.split(places, heads[1:])):
+                for item, start, size, similarity, d in group.search(hashes[at[row] : at[row + 1]], own - at[row], percent):
+                    yield row, item, start, size + group.width - 1, similarity, d
 
     def run(batches):
+        tc.release()
         for batch in batches:
             found, dirty = [], np.zeros(batch.num_rows, dtype=bool)
             for first, to, data, offsets in tc.text_blocks(batch.column("text")):
-                ids = None if clean else batch.column("doc_id").slice(first, to - first)
-                for row, *hit in of(*tc.word_hashes(data, offsets)):
+                ids = batch.column("doc_id").slice(first, to - first) if flag is None else None
+                for row, *hit in of(broadcast.value, *tc.word_hashes(data, offsets)):
                     dirty[first + row] = True
                     if ids is not None:
                         found.append((ids[row].as_py(), *hit))
-            if clean:
-                yield batch.filter(pa.array(~dirty))
+            if flag is not None:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dirty)], [*batch.schema.names, flag])
             elif found:
                 kinds = [pa.int64()] * 4 + [pa.float64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], ["doc_id", "item_id", "start_word", "n_words", "similarity", "distance"])
@@ -141,30 +180,48 @@ def _index(rows, radius: int) -> list[Items]:
     return [Items(w, some, radius) for w, some in groups.items()]
 
 
-def _blocks(benchmark: DataFrame):
-    """Rows of the benchmark, some megabytes of text at a time."""
+def _blocks(benchmark: DataFrame, radius: int):
+    """(number of blocks, broadcast index) of some megabytes of items' text at a time."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // BLOCK_TEXT)
     for k in range(n):
-        yield items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
+        yield n, spark.sparkContext.broadcast(_index(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect(), radius))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
     """docs (doc_id, text), benchmark (item_id, text) -> the best window of each document and item that match."""
-    schema = "doc_id long, item_id long, start_word long, n_words long, similarity double, distance long"
+    spark, schema = docs.sparkSession, "doc_id long, item_id long, start_word long, n_words long, similarity double, distance long"
     out = None
-    for rows in _blocks(benchmark):
-        part = tc.text_only(docs).mapInArrow(_scan(_index(rows, radius), percent, False), schema)
+    for n, index in _blocks(benchmark, radius):
+        part = tc.text_only(docs).mapInArrow(_scan(index, percent, None), schema)
+        if n > 1:
+            part = tc.written(part, spark)
+            index.destroy()
         out = part if out is None else out.union(part)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
     """The rows of docs, with all their columns, that match no item."""
-    for rows in _blocks(benchmark):
-        docs = docs.mapInArrow(_scan(_index(rows, radius), percent, True), docs.schema)
-    return docs
+    spark, columns = docs.sparkSession, docs.columns
+    flag, row = tc.fresh(columns, "contaminated"), tc.fresh(columns, "row_number")
+    dirty = None
+    for n, index in _blocks(benchmark, radius):
+        if n == 1:
+            return docs.mapInArrow(_scan(index, percent, flag), _with(docs, flag)).where(~F.col(flag)).select(*columns)
+        if dirty is None:
+            docs = tc.written(docs.withColumn(row, F.monotonically_increasing_id()), spark)
+        part = docs.select(row, "text")
+        part = tc.written(part.mapInArrow(_scan(index, percent, flag), _with(part, flag)).where(flag).select(row), spark)
+        index.destroy()
+        dirty = part if dirty is None else dirty.union(part)
+    return docs if dirty is None else docs.join(dirty.distinct(), row, "left_anti").select(*columns)
+
+
+def _with(df: DataFrame, flag: str) -> T.StructType:
+    return T.StructType([*df.schema.fields, T.StructField(flag, T.BooleanType())])
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

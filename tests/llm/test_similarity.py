@@ -3,6 +3,9 @@
 import re
 from collections import Counter
 
+import numpy as np
+import pytest
+
 from clauseframe.llm import decontaminate, ngram_join
 from tests.llm.conftest import sentence
 
@@ -71,7 +74,24 @@ def test_no_documents(spark, none):
     assert ngram_join.jaccard_components(spark, none).count() == 0
 
 
-def test_decontamination(spark, docs):
+def test_blocks_leave_few_pairs_and_lose_none():
+    rng = np.random.default_rng(1)
+    items = [rng.integers(0, 1 << 63, 40).astype(np.uint64) for _ in range(300)]
+    index = decontaminate.Index(list(range(300)), items, decontaminate.RADIUS)
+    windows = [rng.integers(0, 1 << 63, 40).astype(np.uint64) for _ in range(200)]
+    windows += [np.concatenate([items[k][:35], windows[k][:5]]) for k in range(100)]
+    prints = np.concatenate([decontaminate.fingerprints(w, np.array([0]), np.array([40])) for w in windows])
+    distance = np.array([[int(np.bitwise_count(p ^ q).sum()) for q in index.prints] for p in prints])
+    w, k, d = index.near(prints)
+    assert set(zip(w.tolist(), k.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(distance <= decontaminate.RADIUS))))
+    assert {(200 + i, i) for i in range(100)} <= set(zip(w.tolist(), k.tolist()))
+    agreeing = (np.bitwise_count(prints[:200, None] ^ index.prints[None]) <= decontaminate.WITHIN).sum(axis=2)
+    assert (agreeing >= index.need).mean() < 0.01
+
+
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_TEXT, 300])
+def test_decontamination(spark, docs, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_TEXT", block)
     items = [(i, sentence(800 + i, 15 + 5 * i)) for i in range(8)] + [(20, "three short words"), (21, None), (22, " ")]
     rows = [(i, sentence(i, 200) + " " + items[i][1].upper() + "\n" + sentence(i + 50, 90)) for i in range(8)]
     edited = items[7][1].split()
