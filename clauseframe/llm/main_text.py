@@ -7,7 +7,8 @@ one another under the same parent; they are stronger the more ancestors two bloc
 found by Dinic's algorithm, labels all blocks of a page at once, however many they are. Blocks whose own score outweighs
 all their edges are labelled before it, so that flow runs among the doubtful ones only.
 
-Scripts, styles, head, comments in the markup and form controls never become blocks.
+Scripts, styles, head, comments in the markup and form controls never become blocks. A head ends with its end tag or
+with the first thing that can't stand in one. Formulas and the fallbacks of media are text of the block around them.
 
 Edge cases: null and empty pages give an empty text; a tag cut off at the end of a page is dropped, unclosed elements
 end with the page; character references are decoded; repeated rows are extracted each. Other columns are ignored.
@@ -29,8 +30,13 @@ from clauseframe.llm import textcore as tc
 SMOOTH = 1.0
 LEAST = 1e-9
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img nobr".split())
-SILENT = frozenset("script style head title noscript template textarea select option button svg math iframe object canvas audio video".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img nobr"
+    " math mi mn mo ms mrow msup msub msubsup mfrac msqrt mroot mtext mspace mover munder munderover mstyle semantics object canvas audio video".split()
+)
+SILENT = frozenset("script style head title template textarea select option button svg annotation iframe".split())
+#: What may stand in a head; anything else ends it, as its end tag may be left out.
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
 AWAY = frozenset("nav footer aside form menu dialog fieldset".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -38,6 +44,8 @@ BAD = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert warning sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs topbar toolbar"
     " footer foot copyright legal disclaimer comment comments reply replies respond disqus discussion share sharing social related recommended recommendations more newsletter subscribe subscription signup login signin register popup modal overlay widget pagination pager paging search skip tags tagcloud trending popular sticky".split()
 )
+#: Of these, the ones that an article's own parts are called, too.
+WEAK = frozenset("more legal disclaimer copyright warning alert side foot tags popular search skip".split())
 HEADS = frozenset("header masthead head top".split())
 GOOD = frozenset("article content main post entry story body text prose hentry".split())
 _PART = re.compile(r"[^a-z0-9]+")
@@ -75,7 +83,14 @@ class _Blocks(HTMLParser):
             self.out.append((self.node, text, self.linked))
         self.text, self.linked = [], 0
 
+    def end_head(self):
+        if self.node.tag == "head":
+            self.silent -= 1
+            self.node = self.node.parent
+
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self.end_head()
         if tag in INLINE:
             self.in_link += tag == "a"
             return
@@ -118,6 +133,8 @@ class _Blocks(HTMLParser):
             self.node = self.node.parent
 
     def handle_data(self, data):
+        if self.node.tag == "head" and data.strip():
+            self.end_head()
         if not self.silent:
             self.text.append(data)
             if self.in_link:
@@ -147,13 +164,15 @@ def score(node: _Node, text: str, linked: int, holders: set) -> float:
         wraps = at in holders or at.main or at.tag in ("html", "body")
         if at.tag in AWAY and at not in holders:
             total -= 6
-        if at.tag == "header" and not inside:
+        if at.tag in ("header", "noscript") and not inside:
             total -= 6
         if at.hidden:
             total -= 6
         if not wraps:
-            if at.words & BAD:
+            if at.words & (BAD - WEAK if inside else BAD):
                 total -= 6
+            elif at.words & BAD:
+                total -= 1
             elif not inside and at.words & HEADS:
                 total -= 4
         if at.words & GOOD and not at.words & BAD:

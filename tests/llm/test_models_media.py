@@ -175,6 +175,28 @@ def test_main_text(start, end):
     assert main_text.main_text(PAGE.replace("{start}", start).replace("{end}", end)) == TEXT
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><title>t</title><body><article><p>One two three.</p></article></body></html>", "One two three."),
+        ("<title>t</title><meta charset=utf-8><style>p{}</style><article><p>One two three.</article>", "One two three."),
+        ("<html><head><title>t</title>" + "plain words " * 12, ("plain words " * 12).strip()),
+        ("<article><p>The <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><p>Next.</p></article>", "The x=2 holds. Next."),
+        ("<article><p>Seen.</p><video src=v>No video here.</video><object data=o>No object.</object></article>", "Seen. No video here.No object."),
+        ('<article><p>First.</p><p class="more">More of it.</p><div class="legal"><p>A law.</p></div><div class="ad">Buy now.</div></article>', "First. More of it. A law."),
+        ("<body><noscript>Please enable scripts in order to see all of this fine page as it was meant to be seen</noscript><article><p>Words.</p></article>", "Words."),
+        ("<article></article>", ""),
+        ("<article><p>Same.</p><p>Same.</p></article>", "Same. Same."),
+    ],
+)
+def test_odd_pages(page, text):
+    assert main_text.main_text(page) == text
+
+
+def test_no_pages(spark):
+    assert main_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "<article><p>Cut off in the middle of a ta<b"), (4, "u", "<article><p>Long. " + "word " * 50000 + "</p></article>"), (5, "u", "plain words")]
     got = {r["page_id"]: r for r in main_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect()}
