@@ -8,7 +8,7 @@ from __future__ import annotations
 
 FLAGS = "(?Ud)"
 
-#: Left out of a lexical comparison: the character that stands for "a Han character follows" in masks.
+#: Stands at the beginning of a mask that follows or precedes text as a Han character would.
 HAN_MARK = "龘"
 BLANKS = " \t\n\r　 "
 

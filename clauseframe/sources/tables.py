@@ -57,11 +57,15 @@ class JdbcConfig:
         return {"url": f"jdbc:mysql://{self.host}:{self.port}/{self.name}", "user": self.user, "password": self.password}
 
 
-def jdbc_documents(spark: SparkSession, config: JdbcConfig, name: str = "mt_kb_law_metadata", id_col: str = "law_id", text: str = "attachment_url") -> DataFrame:
-    """(law_id, text) from a table; filters on ids are pushed to the database."""
+def jdbc_documents(spark: SparkSession, config: JdbcConfig, name: str, id_col: str, text: str, parts: int = 1, bounds: tuple[int, int] | None = None) -> DataFrame:
+    """(law_id, text) from a table; filters on ids are pushed to the database.
+
+    With bounds, the least and greatest of numeric ids, the table is read in so many parts; otherwise by one task.
+    """
     if not config.configured():
         raise ValueError("the database is not configured: set LEGAL_DB_HOST and LEGAL_DB_PASSWORD")
-    return spark.read.format("jdbc").options(dbtable=name, **config.options()).load().select(F.col(id_col).alias("law_id"), F.col(text).alias("text"))
+    cut = {"partitionColumn": id_col, "lowerBound": str(bounds[0]), "upperBound": str(bounds[1]), "numPartitions": str(parts)} if bounds else {}
+    return spark.read.format("jdbc").options(dbtable=name, **cut, **config.options()).load().select(F.col(id_col).alias("law_id"), F.col(text).alias("text"))
 
 
 def write_reports(split: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -70,7 +70,7 @@ def test_jdbc_needs_configuration(spark, monkeypatch):
     config = tables.JdbcConfig.from_env()
     assert not config.configured()
     with pytest.raises(ValueError):
-        tables.jdbc_documents(spark, config)
+        tables.jdbc_documents(spark, config, "laws", "law_id", "text")
 
 
 def test_stream_equals_batch(spark, tmp_path):
