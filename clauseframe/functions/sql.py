@@ -48,3 +48,15 @@ def grown(kind: str, rows: str, state: dict[str, str], step: dict[str, str], ite
 def running(lengths: str) -> str:
     """The sum of all numbers before each."""
     return grown("int", lengths, {"at": "0"}, {"at": "a.at + x"}, "a.at")
+
+
+def tried(f):
+    """A function of one row that gives null where it fails, so that one document doesn't end the job."""
+
+    def run(*args):
+        try:
+            return f(*args)
+        except Exception:  # noqa: BLE001 - whatever a document brings, it is an error of that document only
+            return None
+
+    return run

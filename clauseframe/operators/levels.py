@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clauseframe.functions.sql import tried
+
 
 def containment(sequence: DataFrame) -> DataFrame:
     """(law_id, pos, type) -> (law_id, outer, inner, n): how often inner stands between two outer ones, or after a single outer one.
@@ -57,12 +59,13 @@ def infer_levels(types: list[str]) -> list[tuple[str, int]]:
 
 
 def _levels(column):
-    rows = [None if types is None else [{"type": t, "level": lv} for t, lv in infer_levels([x for x in types if x is not None])] for types in column.to_pylist()]
+    inferred = tried(lambda types: [{"type": t, "level": lv} for t, lv in infer_levels([x for x in types if x is not None])])
+    rows = [None if types is None else inferred(types) for types in column.to_pylist()]
     return pa.array(rows, pa.list_(pa.struct([("type", pa.string()), ("level", pa.int32())])))
 
 
 _levels.__annotations__ = {"column": pa.Array, "return": pa.Array}
-#: array<string> of types in order -> array<struct<type, level>>
+#: array<string> of types in order -> array<struct<type, level>>; null where it fails
 levels_udf = F.arrow_udf(_levels, T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("level", T.IntegerType())]))).asNondeterministic()  # so that the optimizer leaves it outside lambdas
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from clauseframe.functions import catalog as C
 from clauseframe.functions.ordinals import ordinal_sql
-from clauseframe.functions.sql import applied, grown, texts
+from clauseframe.functions.sql import applied, grown, texts, tried
 
 MARKER = "struct<start:int,prio:int,less:int,seq:int,end:int,type:string,text:string,ord:array<bigint>>"
 SPAN = "struct<start:int,end:int,seq:int,text:string,group:string>"
@@ -78,27 +78,32 @@ class _Guards:
 
 
 def _spans(types: frozenset | None, guard: bool, extra: Guard | None):
+    @tried
+    def of_text(text: str):
+        own = []
+        guards = _Guards(text) if guard else None
+        for seq, pattern in enumerate(_patterns()[0]):
+            name = C.TYPES[seq]
+            if types is not None and name not in types:
+                continue
+            prio = _PRIORITY.get(name, 2)
+            for m in pattern.finditer(text):
+                start, end = m.span()
+                if guards and guards.out(name, start, end) or extra and extra(name, text[:start], text[end:]):
+                    continue
+                own.append((start, prio, start - end, seq, end, m[0], m[1]))
+        return sorted(own)
+
     def run(texts):
-        sizes, rows = [0], []
+        sizes, rows, none = [0], [], []
         for text in texts.to_pylist():
-            own = []
-            guards = _Guards(text) if text and guard else None
-            for seq, pattern in enumerate(_patterns()[0] if text else ()):
-                name = C.TYPES[seq]
-                if types is not None and name not in types:
-                    continue
-                prio = _PRIORITY.get(name, 2)
-                for m in pattern.finditer(text):
-                    start, end = m.span()
-                    if guards and guards.out(name, start, end) or extra and extra(name, text[:start], text[end:]):
-                        continue
-                    own.append((start, prio, start - end, seq, end, m[0], m[1]))
-            own.sort()
-            rows += own
+            own = of_text(text) if text else None if text is None else []
+            none.append(own is None)
+            rows += own or []
             sizes.append(len(rows))
         start, _, _, seq, end, whole, group = zip(*rows) if rows else ((),) * 7
         parts = [pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(seq, pa.int32()), pa.array(whole, pa.string()), pa.array(group, pa.string())]
-        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(parts, ["start", "end", "seq", "text", "group"]), mask=texts.is_null() if texts.null_count else None)
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(parts, ["start", "end", "seq", "text", "group"]), mask=pa.array(none) if any(none) else None)
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, f"array<{SPAN}>").asNondeterministic()  # so that the optimizer leaves it outside lambdas
@@ -107,7 +112,7 @@ def _spans(types: frozenset | None, guard: bool, extra: Guard | None):
 def raw_markers(text: Column, types=None, guard: bool = True, extra: Guard | None = None) -> Column:
     """All markers of the given types (unknown names are ignored), sorted by start, priority, length and type order.
 
-    extra(type, left, right) may rule out more markers, by the text on either side.
+    extra(type, left, right) may rule out more markers, by the text on either side; null for a text on which it fails.
     """
     return ordered(_spans(None if types is None else frozenset(types), guard, extra)(text))
 

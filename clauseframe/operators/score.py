@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clauseframe.functions.sql import tried
+
 KEEP, SOLID = 4.0, 10.0
 REACH = 4  # how far a chain may jump
 FADE = 60  # beyond this distance a neighbour's energy is below the precision of a score
@@ -172,10 +174,11 @@ def score_ordinals(ords: list[tuple]) -> list[float]:
 
 
 def _scores(column):
-    rows = [None if ords is None else [{"score": s, "kept": s >= KEEP} for s in score_ordinals([tuple(o) for o in ords])] for ords in column.to_pylist()]
+    score = tried(lambda ords: [{"score": s, "kept": s >= KEEP} for s in score_ordinals([tuple(o) for o in ords])])
+    rows = [None if ords is None else score(ords) for ords in column.to_pylist()]
     return pa.array(rows, pa.list_(pa.struct([("score", pa.float64()), ("kept", pa.bool_())])))
 
 
 _scores.__annotations__ = {"column": pa.Array, "return": pa.Array}
-#: array<array<bigint>> in order -> array<struct<score, kept>>
+#: array<array<bigint>> in order -> array<struct<score, kept>>; null where scoring fails
 score_udf = F.arrow_udf(_scores, T.ArrayType(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())]))).asNondeterministic()  # so that the optimizer leaves it outside lambdas

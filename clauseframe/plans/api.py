@@ -1,12 +1,14 @@
 """The pipeline on DataFrames of documents. Every step stays in its row; nothing is shuffled, so batch and streams share it.
 
-Null or blank texts give an `error` and no fragments; other columns of the input pass through analyse_documents and
+Null or blank texts, and documents on which a step fails, give an `error` and no fragments; other columns of the input pass through analyse_documents and
 split_documents unless their names clash with those made here, which are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseframe.functions import catalog as C
@@ -18,6 +20,7 @@ from clauseframe.operators import groups, levels, markers, mask, qualify
 from clauseframe.operators.score import score_udf
 
 MISSING, EMPTY, TOO_MANY = "未获取到文本", "text is empty", "too many fragments"
+FAILED = "document could not be processed"
 MAX_FRAGMENTS = 10_000
 
 
@@ -54,7 +57,10 @@ def score_documents(docs: DataFrame, text: str = "text", clean: bool = True) ->
 
 
 def split_documents(docs: DataFrame, text: str = "text", clean: bool = True, max_fragments: int | None = None) -> DataFrame:
-    """Adds to analyse_documents: scores, levels, fragments (with levels and ordinals), meta and error."""
+    """Adds to analyse_documents: scores, levels, fragments (with levels and ordinals), meta and error.
+
+    A document with more than max_fragments gives an error and no fragments.
+    """
     docs = analyse_documents(docs, text, clean)
     docs = docs.withColumn("candidates", fr.candidates(F.col("markers"), F.col("split_types")))
     docs = docs.withColumn("scores", apart(fr.scored_ordinals(F.col("candidates")))).withColumn("scores", score_udf("scores"))
@@ -62,13 +68,16 @@ def split_documents(docs: DataFrame, text: str = "text", clean: bool = True, max
     paragraph_mode = F.array_contains("split_types", F.lit(C.PLAIN_PARAGRAPHS))
     none = F.expr(f"cast(array() as array<{fr.FRAGMENT}>)")
     blank = F.coalesce(F.col("clean_text"), F.lit("")) == ""
-    docs = docs.withColumn("cut", F.when(blank, none).when(paragraph_mode, fr.by_paragraphs(F.col("clean_text"))).otherwise(fr.cut(F.col("clean_text"), F.col("decided"))))
+    docs = docs.withColumn("cut", F.when(blank | F.col("scores").isNull(), none).when(paragraph_mode, fr.by_paragraphs(F.col("clean_text"))).otherwise(fr.cut(F.col("clean_text"), F.col("decided"))))
     docs = docs.withColumn("levels", apart(F.col("cut.split_type"))).withColumn("levels", levels.levels_udf("levels"))
     level = lambda t: F.filter(F.col("levels"), lambda x: x["type"] == t)
     docs = docs.withColumn("fragments", F.transform("cut", lambda f: f.withField("index_level", F.get(level(f["split_type"]), F.lit(0))["level"]).withField("ordinal", get_ordinal(f["content"]))))
-    error = F.when(F.col(text).isNull(), MISSING).when(blank, EMPTY)
+    failed = F.col("markers").isNull() | F.col("scores").isNull() | F.col("levels").isNull()
+    error = F.when(F.col(text).isNull(), MISSING).when(blank, EMPTY).when(failed, FAILED)
     if max_fragments is not None:
-        error = error.when(F.size("cut") > max_fragments, TOO_MANY)
+        over = F.size("cut") > max_fragments
+        error = error.when(over, TOO_MANY)
+        docs = docs.withColumn("fragments", F.when(~over, F.col("fragments")).otherwise(F.slice("fragments", 1, 0)))
     docs = docs.withColumn("error", error)
     meta = F.struct(F.length(F.col(text).cast("string")).alias("raw_char_count"), F.length("clean_text").alias("char_count"), F.size("cut").alias("fragment_count"), F.col("split_types").alias("all_tags"), levels.level_chain(F.col("levels")).alias("level_chain"))
     return docs.withColumn("meta", meta).drop("candidates", "decided", "cut")
@@ -91,6 +100,16 @@ def tool_result(split: DataFrame, id_col: str = "law_id") -> DataFrame:
     return split.select(id_col, F.when(F.col("error").isNotNull(), F.to_json(F.struct("error"))).otherwise(F.to_json(F.struct(shown.alias("fragments"), "meta"))).alias("result"))
 
 
+def split_text(spark: SparkSession, text: str | None, max_fragments: int | None = MAX_FRAGMENTS) -> dict:
+    """One text, as a call: its fragments and meta with the time taken, or an error. For many texts use split_documents."""
+    began = time.monotonic()
+    row = split_documents(spark.createDataFrame([(text,)], "text string"), max_fragments=max_fragments).select("fragments", "meta", "error").first().asDict(recursive=True)
+    if row["error"]:
+        return {"error": row["error"]}
+    shown = [{k: v for k, v in f.items() if k not in ("start", "end")} for f in row["fragments"]]
+    return {"fragments": shown, "meta": row["meta"] | {"processing_ms": round(1000 * (time.monotonic() - began))}}
+
+
 def document_report(split: DataFrame, id_col: str = "law_id") -> DataFrame:
     """One flat row for each document."""
     join = lambda c: F.array_join(c, ", ")

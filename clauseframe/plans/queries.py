@@ -6,12 +6,14 @@ lines are its articles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clauseframe.functions import catalog as C
 from clauseframe.functions.ordinals import cn_to_int, get_ordinal, int_to_cn
-from clauseframe.functions.sql import apart
+from clauseframe.functions.sql import apart, texts
 from clauseframe.functions.text import clean_html
 from clauseframe.operators import groups, levels, markers, mask
 from clauseframe.operators.score import score_udf
@@ -45,9 +47,9 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("l_orderkey").alias("law_id"), "l_partkey", "rn", int_to_cn(F.col("rn")).alias("cn"))
 
 
-def _texts(lines: DataFrame, line) -> DataFrame:
-    rows = lines.groupBy("law_id").agg(F.sort_array(F.collect_list(F.struct("rn", line.alias("line")))).alias("lines"), F.count("*").alias("n"))
-    return rows.select("law_id", "n", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
+def _texts(lines: DataFrame, line, *keys: str) -> DataFrame:
+    rows = lines.groupBy("law_id", *keys).agg(F.sort_array(F.collect_list(F.struct("rn", line.alias("line")))).alias("lines"), F.count("*").alias("n"))
+    return rows.select("law_id", *keys, "n", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
 
 
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +83,114 @@ _mark_query("markers_brackets", "（", "）", "括号")
 _mark_query("markers_enumeration", "", "、", "中文顿号")
 
 
+#: A form of each other type, as (type, text before the number, kind of number, text after it, text between marker and content).
+_FORMS = [
+    ("节", "第", "cn", "节", " "),
+    ("编", "第", "cn", "编", " "),
+    ("部分", "第", "cn", "部分", " "),
+    ("数字部分", "第", "n", "部分", " "),
+    ("要", "", "cn", "要", " "),
+    ("篇", "第", "cn", "篇", " "),
+    ("括号数字", "（", "n", "）", " "),
+    ("数字顿号", "", "n", "、", " "),
+    ("数字条", "第", "n", "条", " "),
+    ("数字章", "第", "n", "章", " "),
+    ("数字节", "第", "n", "节", " "),
+    ("数字点", "1.", "n", "", " "),
+    ("数字点点", "", "n", ".", " "),
+    ("数字直连中文", "", "n", "", ""),
+    ("文书类型", "《规划》", "", "", " "),
+    ("中文是", "", "cn", "是", " "),
+    ("要素数字冒号", "要素", "n", "：", " "),
+]
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(str(v).lower() if isinstance(v, bool) else f"'{v}'" for v in row) + ")" for row in rows)
+
+
+def _structs(names: str, rows) -> Column:
+    return F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names.split(), row)]) for row in rows]))
+
+
+@query(
+    f"""WITH{_LINES}, f(type, a, kind, b, tail) AS (VALUES {_values(_FORMS)}),
+m AS (SELECT law_id, type, rn, a || CASE kind WHEN 'cn' THEN cn WHEN 'n' THEN rn::VARCHAR ELSE '' END || b AS text, tail || '货物' || l_partkey || '。' AS rest, kind FROM x, f)
+SELECT law_id, type, rn::INT AS seq, text, (coalesce(sum(length(text) + length(rest) + 1) OVER (PARTITION BY law_id, type ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS start,
+ CASE WHEN kind = '' THEN 1 ELSE rn END::BIGINT AS ord FROM m"""
+)
+def markers_other_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir).withColumn("f", _structs("type a kind b tail", _FORMS)).select("*", "f.*")
+    number = F.when(F.col("kind") == "cn", F.col("cn")).when(F.col("kind") == "n", F.col("rn").cast("string")).otherwise("")
+    docs = _texts(lines, F.concat("a", number, "b", "tail", F.lit("货物"), "l_partkey", F.lit("。")), "type").withColumn("text", apart(F.col("text")))
+    found = docs.withColumn("markers", markers.raw_markers(F.col("text"))).withColumn("markers", F.filter("markers", lambda m: m["type"] == F.col("type")))
+    rows = found.select("law_id", F.posexplode(markers.without_overlaps(F.col("markers"))).alias("i", "m"))
+    return rows.select("law_id", "m.type", (F.col("i") + 1).alias("seq"), "m.text", "m.start", F.element_at("m.ord", -1).alias("ord"))
+
+
+#: A text's beginning, a type, and whether its marker there counts.
+_GUARDED = [
+    ("第五条 甲", "条", True),
+    ("根据第五条 甲", "条", False),
+    ("根据 　第五章 甲", "章", False),
+    ("见第五条 甲", "条", False),
+    ("意见第五条 甲", "条", True),
+    ("意 见要素3：甲", "要素数字冒号", True),
+    ("见要素3：甲", "要素数字冒号", False),
+    ("要素3：甲", "要素数字冒号", True),
+    ("给第五条 甲", "条", False),
+    ("给第五章 甲", "章", True),
+    ("的第5条 甲", "数字条", False),
+    ("的第5章 甲", "数字章", True),
+    ("按规定第五条 甲", "条", False),
+    ("按条例第5条 甲", "数字条", False),
+    ("按照第五条 甲", "条", True),
+    ("按某某法第五条 甲", "条", False),
+    ("依某某法第五条 甲", "条", True),
+    ("按《甲》第五条 乙", "条", False),
+    ("依《甲》第五条 乙", "条", True),
+    ("按《甲》第五章 乙", "章", True),
+    ("按（甲）第五条 乙", "条", False),
+    ("过第五编 甲", "编", False),
+    ("至少 第五篇 甲", "篇", False),
+    ("“第五节 甲", "节", False),
+    ("（第五部分 甲", "部分", False),
+    ("，第5部分 甲", "数字部分", False),
+    ("（五）甲", "括号", True),
+    ("单（五）甲", "括号", False),
+    ("至少（5）甲", "括号数字", False),
+    ("甲（5）乙", "括号数字", True),
+    ("五、甲", "中文顿号", True),
+    ("第五、甲", "中文顿号", False),
+    ("五、第六甲", "中文顿号", False),
+    ("、5、甲", "数字顿号", False),
+    ("单五是甲", "中文是", False),
+    ("五是甲", "中文是", True),
+    ("单五要甲", "要", False),
+    ("3.1 甲乙", "数字点", True),
+    ("3.1 甲）乙", "数字点", False),
+    ("3.1 甲（乙）", "数字点", True),
+    ("3.1 条甲", "数字点", False),
+    ("3. 甲」", "数字点点", False),
+    ("3. 甲乙丙丁戊」", "数字点点", True),
+    ("3. 节甲", "数字点点", False),
+    ("3甲》", "数字直连中文", False),
+    ("3甲乙", "数字直连中文", True),
+    ("3章甲", "数字直连中文", False),
+    ("《规划》 甲", "文书类型", True),
+    ("《规划》）", "文书类型", False),
+    ("《通知》 》", "文书类型", False),
+    ("根据《通知》甲", "文书类型", False),
+]
+
+
+@query(f"SELECT o_orderkey AS law_id, t AS begins, type, kept FROM orders, (VALUES {_values(_GUARDED)}) v(t, type, kept)")
+def guards_of_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = _spread(tables.table(spark, sf_dir, "orders").select("o_orderkey")).select(F.col("o_orderkey").alias("law_id"), _structs("t type kept", _GUARDED).alias("c")).select("law_id", F.col("c.t").alias("begins"), "c.type")
+    found = cases.withColumn("text", apart(F.concat("begins", F.lit("丁。"), F.col("law_id").cast("string")))).withColumn("markers", markers.raw_markers(F.col("text")))
+    return found.select("law_id", "begins", "type", F.exists("markers", lambda m: m["type"] == F.col("type")).alias("kept"))
+
+
 @query(
     r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
  replace(replace(replace(replace(replace(regexp_replace(html, '<[A-Za-z/!][^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'),
@@ -179,6 +289,55 @@ def report_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.document_report(api.split_documents(_spread(_articles(spark, sf_dir))))
 
 
+#: Items of each article in nested texts, by type: text before the number, kind of number, text after it, and how many there are.
+_ITEMS = {"括号": ("（", "cn", "）", 3), "数字点": ("1.", "n", " ", 3), "数字顿号": ("", "n", "、", 3), "中文顿号": ("", "cn", "、", 2)}
+
+
+def _nested_sql(item: str) -> str:
+    """Each order has a chapter for two articles, one section, and items in every article; from these counts follow the statistics and so the report."""
+    size = _ITEMS[item][3]
+    held = {"括号": "CASE WHEN n IN (3, 4) THEN '条包裹抑制(括号)' END", "中文顿号": "CASE WHEN n IN (3, 4) THEN '条包裹抑制(中文顿号)' END", "数字点": "CASE WHEN n IN (3, 4) THEN '条包裹抑制(数字点)' END", "数字顿号": "NULL"}[item]
+    own = {"数字点": "CASE WHEN n >= 3 THEN '条内抑制' END", "数字顿号": "CASE WHEN n >= 2 THEN '包容抑制(条)' END"}.get(item, "NULL")
+    run = lambda k: f"CASE WHEN {k} >= 2 THEN {k} ELSE 0 END, CASE WHEN {k} >= 2 THEN 1 ELSE 0 END"
+    late = "OR item = '中文顿号' AND gc >= 1 AND hi >= 2"
+    direct = "CASE WHEN tags = ['数字点'] THEN ['数字直连中文'] ELSE [] END"
+    return f"""WITH d AS (SELECT l_orderkey AS law_id, count(*) AS n, (count(*) + 1) // 2 AS c FROM lineitem GROUP BY 1),
+s(law_id, place, item, cnt, hi, gc, reason) AS (SELECT law_id, 0, '条', n, {run('n')}, {held} FROM d UNION ALL SELECT law_id, 1, '章', c, {run('c')}, NULL FROM d
+ UNION ALL SELECT law_id, {C.TYPES.index(item)}, '{item}', {size} * n, {size}, n, {own} FROM d),
+q AS (SELECT * FROM s WHERE reason IS NULL AND (cnt >= 3 AND (gc >= 2 OR gc >= 1 AND hi >= 3) {late})),
+t AS (SELECT law_id, max(hi) AS n, max(gc) AS gc, list(item ORDER BY place) AS u FROM q GROUP BY law_id),
+p AS (SELECT q.law_id, coalesce(list(item ORDER BY place) FILTER (q.hi = t.n), []) AS spine, coalesce(list(item ORDER BY place) FILTER (q.gc = t.gc AND q.hi <> t.n), []) AS sat FROM q JOIN t USING (law_id) GROUP BY 1),
+v AS (SELECT d.law_id, t.n, t.gc, spine, sat, list_sort(list_filter(list_concat(u, CASE WHEN list_contains(u, '条') AND list_contains(u, '章') THEN ['节'] ELSE [] END), lambda e: NOT (e = '括号' AND list_contains(u, '条') AND d.n >= 3))) AS tags FROM d LEFT JOIN t USING (law_id) LEFT JOIN p USING (law_id)),
+w AS (SELECT law_id, coalesce(n, 0) AS n, coalesce(gc, 0) AS gc, coalesce(spine, ['{C.PLAIN}']) AS spine, coalesce(sat, []) AS sat, CASE WHEN n IS NULL THEN ['{C.PLAIN}'] ELSE list_concat(tags, {direct if item == "数字点" else "[]"}) END AS tags FROM v)
+SELECT w.law_id, array_to_string(list_concat(list_filter(list_concat(spine, sat), lambda e: list_contains(tags, e)), list_filter(tags, lambda e: NOT list_contains(list_concat(spine, sat), e))), ',') AS split_types, array_to_string(spine, ',') AS spine_types, array_to_string(sat, ',') AS satellite_types,
+ array_to_string(tags, ',') AS all_tags, n::INT AS max_n, gc::INT AS max_gc, coalesce((SELECT string_agg(item || ':' || reason, ',' ORDER BY place) FROM s WHERE s.law_id = w.law_id), '') AS reasons FROM w"""
+
+
+def _nested_query(name: str, item: str) -> None:
+    before, kind, after, size = _ITEMS[item]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        chapter = F.when(F.col("rn") % 2 == 1, F.concat(F.lit("第"), int_to_cn(F.floor((F.col("rn") + 1) / 2)), F.lit("章 总则\n"), F.when(F.col("rn") == 1, F.lit("第一节 分则\n")).otherwise(""))).otherwise("")
+        number = lambda j: int_to_cn(F.lit(j)) if kind == "cn" else F.lit(str(j))
+        items = [F.concat(F.lit("\n" + before), number(j), F.lit(after + "甲"), "l_partkey", F.lit("。")) for j in range(1, size + 1)]
+        docs = _texts(_lines(spark, sf_dir), F.concat(chapter, F.lit("第"), "cn", F.lit("条 货物"), "l_partkey", F.lit("。"), *items))
+        if item == "数字点":
+            docs = docs.withColumn("text", F.concat("text", F.lit("\n9货物。")))
+        out = api.analyse_documents(_spread(docs))
+        join = lambda c: F.array_join(c, ",")
+        reasons = F.array_compact(F.zip_with(F.expr(texts(C.TYPES)), "reasons", lambda t, r: F.concat(t, F.lit(":"), r)))
+        return out.select("law_id", join("split_types").alias("split_types"), *[join(f"report.{c}").alias(c) for c in ("spine_types", "satellite_types", "all_tags")], "report.max_n", "report.max_gc", join(reasons).alias("reasons"))
+
+    run.__name__ = name
+    query(_nested_sql(item))(run)
+
+
+_nested_query("nested_brackets", "括号")
+_nested_query("nested_dots", "数字点")
+_nested_query("nested_digits", "数字顿号")
+_nested_query("nested_enumeration", "中文顿号")
+
+
 @query(_WHOLE + " SELECT law_id, CASE WHEN n >= 3 THEN n ELSE 1 END::INT AS fragment_count, CASE WHEN n >= 3 THEN '条' ELSE '' END AS level_0, '' AS level_1, CASE WHEN n >= 3 THEN 1 ELSE 0 END::INT AS levels_n, CASE WHEN n >= 3 THEN '条' ELSE '-' END AS level_chain FROM t")
 def report_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.level_report(api.split_documents(_spread(_articles(spark, sf_dir)))).select("law_id", "fragment_count", "level_0", "level_1", "levels_n", "level_chain")
@@ -241,6 +400,27 @@ def mask_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("law_id"), "l_linenumber", "l_partkey", mask.tokens(text, rules).alias("masked"))
 
 
+#: Texts in which what is masked stands in « », after = where the mask begins as a Han character.
+_MASKED = """«不一» «3模块» «3类» 3类型 «12字» «12亿元» «3篇» «附3» «3种» 3种类 «3套» «3毫克» «3Abc» «3毫升» «3克» 3克服 «3小时» «2020年1月2日» «2020-01-02» «二〇二三年三月五日» 二〇二〇年
+«国发〔2020〕5号» «13812345678» «010-12345678» «2021年» «3年» 3年度 «2025» 2031 «=见3.2» «5号» «5.5%» «1/3»， «5万» «3米» «3月5日» «3月» «2季度» 5季度 «3至» «3项» «3分» 3分类 «）至»
+«=3表» «=表3» «=附件3» «=统一» «=合一» «3mm» «25℃» «30°» «=5′» «3HRC» «=图3.2» «=3部分» «=3千克» «=3吨» «3日内» «3天» 3天然 «=3台» 3台账 «=1、2、3» «=第一、第»二 «=3级» «=m3»
+«3瓶» «3家» 3家庭 «3人» «3处» «+五» «30度» «3份» «=条件3» «=（一）、（二）» «3张» «30岁» «=专栏3» «=专项3» «3批» «3倍» «3剂» 3剂量 «007» «=均一» «=唯一» «=科目三» «=Ⅳ» «=IV» «=第3列»
+«=第二款» «=第3.1节» «=第三段» 第三条 3、 3.1""".split()
+
+
+def _laid(case: str) -> tuple[str, str]:
+    """The text of a case, and how it looks with masks."""
+    blot = lambda m: C.HAN_MARK + "_" * (len(m[2]) - 1) if m[1] else "_" * len(m[2])
+    return f"。{re.sub('«=?|»', '', case)}甲", f"。{re.sub('«(=?)(.*?)»', blot, case)}甲"
+
+
+@query(f"SELECT s_suppkey, t AS plain, m AS masked FROM supplier, (VALUES {_values(map(_laid, _MASKED))}) v(t, m)")
+def mask_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = tables.table(spark, sf_dir, "supplier").select("s_suppkey", _structs("plain", [_laid(c)[:1] for c in _MASKED]).alias("c"))
+    rows = cases.select("s_suppkey", "c.plain").withColumn("plain", apart(F.col("plain")))
+    return rows.withColumn("masked", mask.mask(F.col("plain")))
+
+
 @query("SELECT doc_id, length(text)::INT AS n, true AS even, text FROM documents")
 def mask_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _spread(tables.table(spark, sf_dir, "documents")).withColumn("masked", mask.mask(F.col("text")))

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from clauseframe.functions.sql import tried
+from clauseframe.operators import markers
 from clauseframe.plans import api, queries
 from clauseframe.sources import tables
 from clauseframe.streaming import stream
@@ -44,6 +46,28 @@ def test_plain_and_missing(split):
     assert split["plain"]["report"]["is_plain"] and split["plain"]["report"]["para_count"] == 3
 
 
+def test_a_failing_document_is_an_error_of_its_own(spark):
+    docs = spark.createDataFrame([("good", ARTICLES), ("bad", "第一条 坏"), ("null", None)], "law_id string, text string")
+
+    def extra(kind: str, left: str, right: str) -> bool:
+        if "坏" in right:
+            raise RuntimeError("bad")
+        return False
+
+    found = docs.select("law_id", F.size(markers.raw_markers(F.col("text"), extra=extra)).alias("n"), markers.raw_markers(F.col("text"), extra=extra).isNull().alias("none"))
+    assert {(r[0], r[2]) for r in found.collect()} == {("good", False), ("bad", True), ("null", True)}
+    assert tried(lambda x: 1 // x)(0) is None and tried(lambda x: 1 // x)(1) == 1
+
+
+def test_fragment_cap_and_one_text(spark):
+    docs = spark.createDataFrame([("a", ARTICLES), ("b", "甲")], "law_id string, text string")
+    got = {r["law_id"]: (r["error"], len(r["fragments"]), r["meta"]["fragment_count"]) for r in api.split_documents(docs, max_fragments=9).collect()}
+    assert got == {"a": (api.TOO_MANY, 0, 10), "b": (None, 1, 1)}
+    one = api.split_text(spark, ARTICLES)
+    assert [f["ordinal"] for f in one["fragments"]] == [[i] for i in range(1, 11)] and one["meta"]["fragment_count"] == 10 and one["meta"]["processing_ms"] >= 0
+    assert api.split_text(spark, " ") == {"error": api.EMPTY} and api.split_text(spark, ARTICLES, 9) == {"error": api.TOO_MANY}
+
+
 def test_html(split):
     assert split["html"]["fragments"][0]["content"] == "第一条 遵守<法>。" and len(split["html"]["fragments"]) == 3
 
