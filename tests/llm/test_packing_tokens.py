@@ -81,6 +81,13 @@ def test_shards_hold_every_sequence_at_its_slot(spark, docs, texts, tmp_path):
     assert (stored[token_shards.permuted(np.arange(n), n)] == stream).all()
     for _ in range(2):  # a second run leaves what is there
         files = token_shards.write_shards(shards, f"file://{tmp_path}/out").collect()
+    for first, count in ((0, n), (5, 7), (n - 3, 3), (8, 8), (3, 0)):  # a reader goes on anywhere
+        got = sorted(token_shards.read_from(spark, f"file://{tmp_path}/out", first, count, 64, 8).collect())
+        assert [r["slot"] for r in got] == list(range(first, first + count))
+        assert all(r["ids"] == stored[r["slot"]].tolist() for r in got)
+    with pytest.raises(Exception, match="shard"):
+        token_shards.read_from(spark, f"file://{tmp_path}/out", n - 1, 9, 64, 8).collect()
+    assert [r["first_slot"] for r in rows] == list(range(0, n, 8)) and all(r["n_sequences"] == min(8, n - r["first_slot"]) for r in rows)
     assert len(files) == len(rows) and (tmp_path / "out/shard-000000000.bin").read_bytes() == rows[0]["payload"]
 
 
