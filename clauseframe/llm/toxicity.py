@@ -8,10 +8,13 @@ with squared hinge loss is trained. As the trained machine is linear in the land
 weight for each subsequence, and a word costs the same whatever the number of landmarks.
 
 A text is a bag of words: its highest margins and length, through a logistic curve, give the score. Runs of single characters
-are also read as one word.
+are also read as one word. Characters other than Latin letters and digits share the kernel's symbols with these, by a hash.
 
-Learning uses a bounded sample of the labelled rows (about `PER_CLASS` of each class, by a hash of doc_id), with near copies
-taken once; word counts by class are made by Spark, and of these only bounded lists reach the driver.
+Learning uses a bounded sample of the labelled rows (about `per_class` of each class, by a hash of doc_id), with near copies
+taken once (the one with the smallest doc_id). It begins with words that the labels tell apart: word counts by class are made by Spark, and of these
+only bounded lists reach the driver (`likely` telling words, `plain` clean ones, and a `pool` from which the nearest clean ones are added).
+Then the machine is trained on the labelled sentences as bags of words: every sentence counts once, by its word of the highest
+margin under the machine before, for `SENTENCE_ROUNDS` rounds; toxic sentences without a word of positive margin tell nothing and wait.
 
 Edge cases: null and empty texts have the lowest margins; words over `WINDOW` characters are read in overlapping
 windows, whole; repeated rows are scored each; without labels of both classes every score is 0.
@@ -36,7 +39,7 @@ PER_CLASS = 3_000
 LANDMARKS = 256
 LIKELY, PLAIN, POOL = 1_500, 4_000, 40_000
 BEGINNINGS = (4, 5, 6)
-ROUNDS = 4
+ROUNDS, SENTENCE_ROUNDS = 4, 2
 RIDGE = 1e-5
 TOPS = 3
 SPAN, DECAY = 7, 0.7
@@ -46,9 +49,11 @@ THRESHOLD = 0.3
 FLOOR = -1.0
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789àáâãäåæçèéêëìíîïñòóôõöùúûüß"
-_CODE = np.full(0x250, 1, dtype=np.int64)
-for _i, _c in enumerate(_LETTERS[:61]):
+_SYMBOLS = 61
+_CODE = 3 + (np.arange(0x110000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % _SYMBOLS
+for _i, _c in enumerate(_LETTERS[:_SYMBOLS]):
     _CODE[ord(_c)] = _i + 3
+_CODE = _CODE.astype(np.int8)
 _END = 2
 _SPELLED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
 _STEPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
@@ -57,8 +62,8 @@ _STEPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Words, with their ends, as padded rows of character codes, and their lengths."""
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    flat = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
-    flat = np.where(flat < len(_CODE), _CODE[np.minimum(flat, len(_CODE) - 1)], 1)
+    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    flat = _CODE[flat]
     out = np.zeros((len(words), int(lengths.max()) + 3), dtype=np.int32)
     out[:, :2] = _END  # two marks, as beginnings tell most
     place = np.arange(out.shape[1])
@@ -176,25 +181,25 @@ def word_margins(model: Model, words: list[str]) -> np.ndarray:
         keys, weights = _subsequences([parts[i] for i in some])
         sums = model.weights[keys] @ weights
         least = np.sqrt(np.maximum((keys > 0) @ weights**2, 1e-12))
-        able = np.flatnonzero(sums / least + model.bias > FLOOR)
+        able = np.flatnonzero(np.maximum(sums, 0) / least + model.bias > FLOOR)
         if len(able):
             got = sums[able] / _norms(keys[able], weights) + model.bias
             np.maximum.at(out, owner[some[able]], got)
     return out
 
 
+def _words(text: str) -> list[str]:
+    text = text.lower()
+    return text.split() + [m.replace(" ", "") for m in _SPELLED.findall(text)]
+
+
 class Scorer:
     def __init__(self, model: Model):
         self.model, self.known = model, {}
 
     def tops(self, texts: list[str]) -> np.ndarray:
         """The highest margins of each text's words, and the logarithm of their number."""
-        cut = []
-        for text in texts:
-            text = text.lower()
-            words = text.split()
-            words += [m.replace(" ", "") for m in _SPELLED.findall(text)]
-            cut.append(words)
+        cut = list(map(_words, texts))
         if len(self.known) > CACHED:
             self.known.clear()
         known = self.known
@@ -233,8 +238,32 @@ def margins(docs: DataFrame, model: Model, column: str) -> DataFrame:
     return docs.mapInArrow(_tops(docs.sparkSession.sparkContext.broadcast(model), model.name, column), schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, landmarks: int = LANDMARKS) -> Model:
-    """docs (doc_id, text), labels (doc_id, toxic): learn from a bounded sample of the labelled rows."""
+def witnesses(sentences: DataFrame, model: Model) -> DataFrame:
+    """(text, toxic) -> (toxic, word, margin): the word, or window of one, with the highest margin in each sentence that has any above FLOOR."""
+    shared = sentences.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                parts = sorted({w for word in _words(text or "") for w in _windows(word) if w})
+                if parts:
+                    got = word_margins(shared.value, parts)
+                    best = int(got.argmax())
+                    if got[best] > FLOOR:
+                        rows.append((toxic, parts[best], float(got[best])))
+            toxic, word, margin = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(word, pa.string()), pa.array(margin, pa.float64())], ["toxic", "word", "margin"])
+
+    return sentences.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, word string, margin double")
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, landmarks: int = LANDMARKS, likely_words: int = LIKELY, plain_words: int = PLAIN, pool_words: int = POOL) -> Model:
+    """docs (doc_id, text), labels (doc_id, toxic): learn from a bounded sample of the labelled rows.
+
+    Bounds of what is learned from: per_class labelled rows of each class; of the sample's words, likely_words telling ones,
+    plain_words clean ones to begin with, and pool_words from which the clean ones nearest to the machine are added.
+    """
     spark = docs.sparkSession
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
@@ -242,41 +271,46 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, landmark
         return Model(None, FLOOR, None)
     share = F.when(F.col("toxic") == 1, per_class / counts[1]).otherwise(per_class / counts[0])
     chosen = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1000003)) < share * 1000003)
-    # `chosen` holds about 2 * per_class ids, so it may be broadcast; the limit is a bound, not a sample
-    sample = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen.limit(4 * per_class)), "doc_id")
+    # the hash chooses about 2 * per_class ids, so they are few enough to be broadcast
+    if chosen.count() > 4 * per_class + 1000:
+        raise ValueError("far more labelled rows were chosen than per_class allows")
+    sample = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
     words = F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\s]", ""), r"\s+")
     bags = sample.select("doc_id", "text", "toxic", words.alias("words"))
     for seed in (1, 2):  # near copies, which share their least run of three words, count once
         runs = f"transform(sequence(1, greatest(size(words) - 2, 1)), i -> xxhash64(slice(words, i, 3), {seed}))"
-        bags = bags.withColumn("key", F.expr(f"array_min({runs})")).dropDuplicates(["key"]).drop("key")
-    bags = bags.withColumn("words", F.array_distinct("words"))
+        first = F.min_by(F.struct("doc_id", "text", "toxic", "words"), F.struct("doc_id", "text"))
+        bags = bags.groupBy(F.expr(f"array_min({runs})").alias("key")).agg(first.alias("one")).select("one.*")
+    # long words in the windows that scoring reads them in
+    cut = f"transform(words, w -> if(length(w) <= {WINDOW}, array(w), transform(sequence(1, length(w) - {WINDOW // 2}, {WINDOW // 2}), i -> substr(w, i, {WINDOW}))))"
+    bags = bags.withColumn("words", F.expr(f"array_distinct(flatten({cut}))"))
     bags = tc.written(bags, spark)
     n = {r["toxic"]: r["count"] for r in bags.groupBy("toxic").count().collect()}
     if not (n.get(0) and n.get(1)):
         return Model(None, FLOOR, None)
-    words = bags.select("toxic", F.explode("words").alias("word")).where(f"word <> '' AND length(word) <= {WINDOW}")
+    words = bags.select("toxic", F.explode("words").alias("word")).where("word <> ''")
     table = tc.written(words.groupBy("word").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")), spark)
     # a word, or a beginning that many words share, is telling if chance would hardly put it into toxic rows alone
     heads = F.array_distinct(F.flatten(F.transform("words", lambda w: F.array(*[F.left(w, F.lit(k)) for k in BEGINNINGS], w))))
-    units = bags.select("toxic", F.explode(heads).alias("unit")).where(f"length(unit) BETWEEN {BEGINNINGS[0]} AND {WINDOW}")
+    units = bags.select("toxic", F.explode(heads).alias("unit")).where("unit <> ''")
     units = units.groupBy("unit").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
     chance = n[1] / (n[0] + n[1])
     surprise = F.col("pos") * math.log(1 / chance) - F.col("neg") * math.log(1 / chance) * 2
-    telling = units.where(surprise > math.log(1e6)).orderBy(surprise.desc(), "unit").limit(LIKELY)
+    telling = units.where(surprise > math.log(1e6)).orderBy(surprise.desc(), "unit").limit(likely_words)
     own = F.array(*[F.left("word", F.lit(k)) for k in BEGINNINGS], F.col("word"))
     named = table.where("pos > neg").select("word", F.explode(F.array_distinct(own)).alias("unit")).join(F.broadcast(telling.select("unit", surprise.alias("surprise"))), "unit")
-    likely = named.groupBy("word").agg(F.max_by("unit", F.struct("surprise", "unit")).alias("unit")).orderBy("unit", "word").limit(20 * LIKELY).toPandas()
-    plain = table.where("pos < neg").orderBy(F.desc("neg"), "word").limit(PLAIN // 2).toPandas()
-    other = table.where("pos = 0").orderBy(F.xxhash64("word", F.lit(3)), "word").limit(POOL).toPandas()
+    likely = named.groupBy("word").agg(F.max_by("unit", F.struct("surprise", "unit")).alias("unit")).orderBy("unit", "word").limit(20 * likely_words).toPandas()
+    plain = table.where("pos < neg").orderBy(F.desc("neg"), "word").limit(plain_words // 2).toPandas()
+    other = table.where("pos = 0").orderBy(F.xxhash64("word", F.lit(3)), "word").limit(pool_words).toPandas()
     if likely.empty or plain.empty:
         return Model(None, FLOOR, None)
     # words of clean rows that share a telling beginning are left out, as neither kind
     begins = tuple(likely["unit"].unique())
     pool = [w for w in dict.fromkeys([*plain["word"], *other["word"]]) if not w.startswith(begins)]
-    negative = pool[:PLAIN]
+    negative = pool[:plain_words]
     # each telling beginning counts alike, however many words have it
     likely["turn"] = likely.groupby("unit").cumcount()
-    likely = likely.sort_values(["turn", "unit"])[:LIKELY]
+    likely = likely.sort_values(["turn", "unit"])[:likely_words]
     positive, support = likely["word"].tolist(), 1 / likely.groupby("unit")["word"].transform("count").to_numpy(dtype=float)
     chosen_marks = positive[: landmarks // 2] + negative[: landmarks // 2]
     kernel = Kernel(chosen_marks)
@@ -285,6 +319,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, landmark
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
     xp, xn = kernel.values(positive) @ root, kernel.values(negative) @ root
+
+    def trained(w: np.ndarray) -> Model:
+        weights = np.zeros(64**3, dtype=np.float32)
+        weights[kernel.used] = kernel.table[1:] @ (root @ w[:-1])
+        return Model(weights, float(w[-1]), np.zeros(TOPS + 2))
+
     good = np.ones(len(positive), dtype=bool)
     for k in range(ROUNDS):
         x = np.vstack([xp[good], xn])
@@ -294,20 +334,26 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, landmark
         now = xp @ w[:-1] + w[-1] > 0  # words that merely stand beside insults are given up
         if now.any():
             good = now
-        weights = np.zeros(64**3, dtype=np.float32)
-        weights[kernel.used] = kernel.table[1:] @ (root @ w[:-1])
-        model = Model(weights, float(w[-1]), np.zeros(TOPS + 2))
+        model = trained(w)
         if k + 1 < ROUNDS:  # the clean words that come nearest are learned too
-            near = np.argsort(-word_margins(model, pool), kind="stable")[: PLAIN // 3]
+            near = np.argsort(-word_margins(model, pool), kind="stable")[: plain_words // 3]
             had = set(negative)
             more = [pool[i] for i in near if pool[i] not in had]
             if more:
                 negative += more
                 xn = np.vstack([xn, kernel.values(more) @ root])
+    for _ in range(SENTENCE_ROUNDS):  # one word for each labelled sentence: the rows are as many as the sample's
+        told = witnesses(bags, model).where("toxic = 0 OR margin > 0").toPandas().sort_values(["toxic", "word"])
+        if told["toxic"].nunique() < 2:
+            break
+        xs, ys = kernel.values(told["word"].tolist()) @ root, np.where(told["toxic"] == 1, 1.0, -1.0)
+        share = np.where(ys > 0, 1 / (ys > 0).sum(), 1 / (ys < 0).sum())
+        w = _machine(np.vstack([xs, x]), np.concatenate([ys, y]), np.concatenate([share, weight]), RIDGE)
+        model = trained(w)
     seen = margins(bags.select("text", "toxic"), model, "tops").select("toxic", "tops").toPandas()
     # the classes keep the shares that they have among all labels
     curve = _logistic(np.vstack(seen["tops"]), seen["toxic"].to_numpy(dtype=float))
-    return Model(weights, float(w[-1]), curve)
+    return Model(model.weights, model.bias, curve)
 
 
 def score(docs: DataFrame, model: Model, column: str = "toxic_score") -> DataFrame:

@@ -125,6 +125,34 @@ def _abuse():
     return rows, labels
 
 
+def test_toxicity_of_other_scripts_and_long_words(spark):
+    plain = ["яблоко", "дерево", "солнце", "дорога", "письмо", "окно", "река", "город", "книга", "зима"]
+    rows, labels, rng = [], [], np.random.default_rng(1)
+    for i in range(240):
+        words = [plain[a] + plain[b][:c] for a, b, c in zip(*(rng.integers(0, n, 30) for n in (10, 10, 4)))]
+        if i % 5 == 0:
+            words[8] = ["дурачина", "дурачище", "x" * 40 + "дурачина"][i % 3]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 5 == 0)))
+    table, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    models = [toxicity.fit(t, marks) for t in (table, table.repartition(7, "text"))]
+    assert np.allclose(models[0].weights, models[1].weights) and np.isclose(models[0].bias, models[1].bias)
+    margin = toxicity.word_margins(models[0], ["дурачина", "дура-чина", "дуррачина", *plain])
+    assert margin[:3].min() > margin[3:].max()
+    got = {r["doc_id"]: r["toxic_score"] for r in toxicity.score(table, models[0]).collect()}
+    assert np.mean([(got[i] >= toxicity.THRESHOLD) == bool(t) for i, t in labels]) > 0.95
+
+
+def test_witnesses_are_the_strongest_words(spark):
+    rows, labels = _abuse()
+    table, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(table, marks)
+    for r in toxicity.witnesses(spark.createDataFrame([(t, m) for (_, t), (_, m) in zip(rows, labels)] + [("", 0), (None, 1)], "text string, toxic int"), model).collect():
+        assert np.isclose(r["margin"], toxicity.word_margins(model, [r["word"]])[0], atol=1e-5)
+    want = sum(toxicity.word_margins(model, t.split()).max() > toxicity.FLOOR for _, t in rows)
+    assert toxicity.witnesses(table.join(marks, "doc_id"), model).count() == want
+
+
 def test_toxicity(spark, docs, none):
     rows, labels = _abuse()
     table, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
