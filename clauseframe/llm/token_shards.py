@@ -36,7 +36,7 @@ RANKS, END = "byte_bpe_50k.tiktoken", 50256
 LENGTH, PER_SHARD, KEY = 1024, 2048, 20240229
 ROUNDS = 6
 CACHED = 250_000
-SHARDS_A_RANGE = 32
+SHARDS_A_RANGE = 8
 
 
 class ByteIds:
