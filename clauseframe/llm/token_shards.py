@@ -11,9 +11,8 @@ Ids are little-endian unsigned 16-bit. The last sequence of a partition is fille
 Edge cases: null and empty texts are one end id; very long texts run over many sequences; repeated rows are written each;
 an empty table gives no shard. Other columns are ignored.
 
-The tokenised sequences are written once to the shared folder, so a lost executor can't renumber them. They are then dealt out by
-ranges of slots, each of whole shards, and sorted, so that a task makes one shard after the other and holds one. `write_shards` stores
-the shards as files, each under a temporary name first; `read_from` reads on from any slot.
+The tokenised sequences are written once to the shared folder, so a lost executor can't renumber them; a shard is made by one task
+from a bounded number of rows. `write_shards` stores the shards as files, each under a temporary name first; `read_from` reads on from any slot.
 """
 
 from __future__ import annotations
@@ -36,7 +35,6 @@ RANKS, END = "byte_bpe_50k.tiktoken", 50256
 LENGTH, PER_SHARD, KEY = 1024, 2048, 20240229
 ROUNDS = 6
 CACHED = 250_000
-SHARDS_A_RANGE = 8
 
 
 class ByteIds:
@@ -103,27 +101,12 @@ def permuted(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _shards(length: int, per_shard: int):
-    """Rows in the order of their slots -> a row for each shard; only one shard is held at a time."""
-    names = ["shard_id", "first_slot", "n_sequences", "stride_bytes", "n_tokens", "sha256", "payload"]
-
-    def row(shard: int, parts: list[bytes], n: int) -> pa.RecordBatch:
-        payload = b"".join(parts)
-        values = [shard, shard * per_shard, len(parts), 2 * length, n, hashlib.sha256(payload).hexdigest(), payload]
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, [pa.int64()] * 5 + [pa.string(), pa.binary()])], names)
-
-    def run(batches):
-        now, parts, tokens = None, [], 0
-        for batch in batches:
-            for slot, n, ids in zip(*(batch.column(c).to_pylist() for c in ("slot", "n", "ids"))):
-                if slot // per_shard != now:
-                    if parts:
-                        yield row(now, parts, tokens)
-                    now, parts, tokens = slot // per_shard, [], 0
-                parts.append(ids)
-                tokens += n
-        if parts:
-            yield row(now, parts, tokens)
+def _shard(length: int, per_shard: int):
+    def run(key, table):
+        table = table.sort_by("slot")
+        payload = b"".join(table.column("ids").to_pylist())
+        row = [int(key[0].as_py()), int(key[0].as_py()) * per_shard, table.num_rows, 2 * length, sum(table.column("n").to_pylist()), hashlib.sha256(payload).hexdigest(), payload]
+        return pa.table([pa.array([x], t) for x, t in zip(row, [pa.int64()] * 5 + [pa.string(), pa.binary()])], names=["shard_id", "first_slot", "n_sequences", "stride_bytes", "n_tokens", "sha256", "payload"])
 
     return run
 
@@ -141,12 +124,9 @@ def materialise(spark: SparkSession, docs: DataFrame, ranks: str, end: int = END
     base = spark.createDataFrame(first, "part int, base long")
     slot = F.pandas_udf(lambda i: pd.Series(permuted(i.to_numpy(), total, key)), "long")
     placed = made.join(F.broadcast(base), "part").select(slot(F.col("base") + F.col("k")).alias("slot"), "n", "ids")
-    # the slots are dense, so the bounds of equal ranges of whole shards are known without a sample
-    shards = max(1, -(-total // per_shard))
-    ranges = min(shards, max(spark.sparkContext.defaultParallelism, -(-shards // SHARDS_A_RANGE)))
-    placed = placed.repartitionById(ranges, F.expr(f"cast((slot div {per_shard}) * {ranges} div {shards} as int)")).sortWithinPartitions("slot")
+    placed = placed.withColumn("shard", F.expr(f"cast(floor(slot / {per_shard}) as long)"))
     schema = "shard_id long, first_slot long, n_sequences long, stride_bytes long, n_tokens long, sha256 string, payload binary"
-    return placed.mapInArrow(_shards(length, per_shard), schema)
+    return placed.groupBy("shard").applyInArrow(_shard(length, per_shard), schema)
 
 
 def write_shards(shards: DataFrame, uri: str) -> DataFrame:
