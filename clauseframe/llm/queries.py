@@ -8,6 +8,7 @@ from clauseframe.llm.language_id import op5_language_id
 from clauseframe.llm.main_text import op2_main_text
 from clauseframe.llm.ngram_join import op8_ngram_join
 from clauseframe.llm.packing import op1_packing
+from clauseframe.llm.periodic_runs import op11_periodic_runs
 from clauseframe.llm.sharding import SQL as SHARDING_SQL
 from clauseframe.llm.sharding import op4_sharding
 from clauseframe.llm.token_counts import op9_token_counts
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
