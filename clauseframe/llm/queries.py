@@ -14,6 +14,8 @@ from clauseframe.llm.sharding import op4_sharding
 from clauseframe.llm.token_counts import op9_token_counts
 from clauseframe.llm.token_shards import op3_token_shards
 from clauseframe.llm.toxicity import op6_toxicity
+from clauseframe.llm.warc import SQL as WARC_SQL
+from clauseframe.llm.warc import op12_warc
 
 QUERIES = {
     "op1_packing": op1_packing,
@@ -27,8 +29,10 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_warc": op12_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_sharding": SHARDING_SQL,
+    "op12_warc": WARC_SQL,
 }
