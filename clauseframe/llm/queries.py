@@ -9,6 +9,8 @@ from clauseframe.llm.main_text import op2_main_text
 from clauseframe.llm.ngram_join import op8_ngram_join
 from clauseframe.llm.packing import op1_packing
 from clauseframe.llm.periodic_runs import op11_periodic_runs
+from clauseframe.llm.prefix_trie import SQL as TRIE_SQL
+from clauseframe.llm.prefix_trie import op13_prefix_trie
 from clauseframe.llm.sharding import SQL as SHARDING_SQL
 from clauseframe.llm.sharding import op4_sharding
 from clauseframe.llm.token_counts import op9_token_counts
@@ -30,9 +32,11 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_warc": op12_warc,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_sharding": SHARDING_SQL,
     "op12_warc": WARC_SQL,
+    "op13_prefix_trie": TRIE_SQL,
 }

@@ -73,8 +73,7 @@ def archive_records(pages: DataFrame, spark: SparkSession) -> DataFrame:
     shared = tc.written(rows.groupBy("sha", "bit").agg(F.count("*").alias("n"), first).where("n > 1"), spark)
     bitmap = F.broadcast(shared.select("bit").distinct())
     may, alone = pages.join(bitmap, "bit", "left_semi"), pages.join(bitmap, "bit", "left_anti")
-    none = F.lit(0).cast("long").alias("row")
-    met = may.select("page_id", "url", "sha", "html", none).groupBy("sha").agg(first, F.first("html").alias("html")).select("first.page_id", "first.url", "sha", "html")
+    met = may.withColumn("row", F.lit(0)).groupBy("sha").agg(first, F.first("html").alias("html")).select("first.page_id", "first.url", "sha", "html")
     response = _record("response", _uuid("'response'", "sha"), "''", "html", "octet_length(html)")
     copies = joined(rows, shared.select("sha", F.col("first.row").alias("first"), "n"), ["sha"], "n", rows.count()).where("row <> first")
     refers = f"'WARC-Refers-To: ' || {_uuid(repr('response'), 'sha')} || '\\r\\nWARC-Profile: {PROFILE}\\r\\n'"
