@@ -11,7 +11,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauseframe.functions import catalog as C
@@ -77,7 +77,9 @@ class _Guards:
         return name == C.DOCUMENT_TYPE and bool(document.match(self.text, end))
 
 
-def _spans(types: frozenset | None, guard: bool, extra: Guard | None):
+def _finder(types: frozenset | None, guard: bool, extra: Guard | None) -> Callable[[str], list | None]:
+    """A text's markers as (start, prio, less, seq, end, text, group), sorted; null where it fails."""
+
     @tried
     def of_text(text: str):
         own = []
@@ -94,6 +96,12 @@ def _spans(types: frozenset | None, guard: bool, extra: Guard | None):
                 own.append((start, prio, start - end, seq, end, m[0], m[1]))
         return sorted(own)
 
+    return of_text
+
+
+def _spans(types: frozenset | None, guard: bool, extra: Guard | None):
+    of_text = _finder(types, guard, extra)
+
     def run(texts):
         sizes, rows, none = [0], [], []
         for text in texts.to_pylist():
@@ -109,6 +117,30 @@ def _spans(types: frozenset | None, guard: bool, extra: Guard | None):
     return F.arrow_udf(run, f"array<{SPAN}>").asNondeterministic()  # so that the optimizer leaves it outside lambdas
 
 
+ROW = "start int, prio int, less int, seq int, end int, text string, group string"
+_ROW_KINDS = [pa.int32()] * 5 + [pa.string()] * 2
+
+
+def marker_rows(docs: DataFrame, id_col: str = "law_id", text: str = "text", types=None, guard: bool = True, extra: Guard | None = None) -> DataFrame:
+    """A row (id, start, prio, less, seq, end, type, text, ord) for each marker, for texts whose markers don't fit one row. Documents that fail give none."""
+    of_text = _finder(None if types is None else frozenset(types), guard, extra)
+
+    def run(batches):
+        for batch in batches:
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                own = of_text(t) if t else None
+                for at in range(0, len(own or ()), 10_000):
+                    part = own[at : at + 10_000]
+                    columns = [pa.array(c, k) for c, k in zip(zip(*part), _ROW_KINDS)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(part), pa.int64())), *columns], ["id", *(f.split()[0] for f in ROW.split(", "))])
+
+    source = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
+    found = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, {ROW}")
+    names, kinds = texts(C.TYPES), texts([kind for _, kind, _ in C.MARKERS])
+    columns = [F.col("id").alias(id_col), "start", "prio", "less", "seq", "end", F.expr(f"{names}[seq]").alias("type"), "text", F.expr(ordinal_sql(f"{kinds}[seq]", "group")).alias("ord")]
+    return found.select(*columns).where("ord IS NOT NULL")
+
+
 def raw_markers(text: Column, types=None, guard: bool = True, extra: Guard | None = None) -> Column:
     """All markers of the given types (unknown names are ignored), sorted by start, priority, length and type order.
 

@@ -122,15 +122,13 @@ class _Sequence:
             self.score = now
 
     def squeeze(self) -> None:
-        # both neighbours are read from the scores as they change, so the nearest solid ones are sought anew
-        for i in range(self.n):
-            if self.score[i] >= SOLID:
-                continue
-            left = next((j for j in range(i - 1, -1, -1) if self.score[j] >= SOLID), None)
-            right = next((j for j in range(i + 1, self.n) if self.score[j] >= SOLID), None)
-            if left is not None and right is not None and strength(self.ords[left], self.ords[right]):
-                mean = (abs(self.score[left]) + abs(self.score[right])) / 2
-                self.score[i] -= mean * ((6 - min(right - left, 6)) / 6) * 0.3
+        """Weak ordinals between two solid ones that continue one another lose; solid ones stay as they are, so one sweep finds all pairs."""
+        solid = [i for i, s in enumerate(self.score) if s >= SOLID]
+        for left, right in zip(solid, solid[1:]):
+            if strength(self.ords[left], self.ords[right]):
+                loss = (abs(self.score[left]) + abs(self.score[right])) / 2 * ((6 - min(right - left, 6)) / 6) * 0.3
+                for i in range(left + 1, right):
+                    self.score[i] -= loss
 
     def reset(self) -> None:
         """Chains after a longer one, and those that don't begin with 1, lose; short ones are strays."""

@@ -313,14 +313,17 @@ SELECT w.law_id, array_to_string(list_concat(list_filter(list_concat(spine, sat)
  array_to_string(tags, ',') AS all_tags, n::INT AS max_n, gc::INT AS max_gc, coalesce((SELECT string_agg(item || ':' || reason, ',' ORDER BY place) FROM s WHERE s.law_id = w.law_id), '') AS reasons FROM w"""
 
 
-def _nested_query(name: str, item: str) -> None:
+def _nested_docs(spark: SparkSession, sf_dir: str, item: str) -> DataFrame:
     before, kind, after, size = _ITEMS[item]
+    chapter = F.when(F.col("rn") % 2 == 1, F.concat(F.lit("第"), int_to_cn(F.floor((F.col("rn") + 1) / 2)), F.lit("章 总则\n"), F.when(F.col("rn") == 1, F.lit("第一节 分则\n")).otherwise(""))).otherwise("")
+    number = lambda j: int_to_cn(F.lit(j)) if kind == "cn" else F.lit(str(j))
+    items = [F.concat(F.lit("\n" + before), number(j), F.lit(after + "甲"), "l_partkey", F.lit("。")) for j in range(1, size + 1)]
+    return _texts(_lines(spark, sf_dir), F.concat(chapter, F.lit("第"), "cn", F.lit("条 货物"), "l_partkey", F.lit("。"), *items))
+
 
+def _nested_query(name: str, item: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        chapter = F.when(F.col("rn") % 2 == 1, F.concat(F.lit("第"), int_to_cn(F.floor((F.col("rn") + 1) / 2)), F.lit("章 总则\n"), F.when(F.col("rn") == 1, F.lit("第一节 分则\n")).otherwise(""))).otherwise("")
-        number = lambda j: int_to_cn(F.lit(j)) if kind == "cn" else F.lit(str(j))
-        items = [F.concat(F.lit("\n" + before), number(j), F.lit(after + "甲"), "l_partkey", F.lit("。")) for j in range(1, size + 1)]
-        docs = _texts(_lines(spark, sf_dir), F.concat(chapter, F.lit("第"), "cn", F.lit("条 货物"), "l_partkey", F.lit("。"), *items))
+        docs = _nested_docs(spark, sf_dir, item)
         if item == "数字点":
             docs = docs.withColumn("text", F.concat("text", F.lit("\n9货物。")))
         out = api.analyse_documents(_spread(docs))
@@ -375,7 +378,28 @@ def level_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("law_id", F.col("outer").alias("outer_type"), F.col("inner").alias("inner_type"))
 
 
-@query()
+#: Levels of the sequences q and the containments c: types with parents that have levels first, round by round, then what is left by first place;
+#: without an outermost type, all by mean distance and then again by their last parent.
+_LEVELS = """, ty AS (SELECT law_id, type, row_number() OVER (PARTITION BY law_id ORDER BY min(pos)) AS i, CASE WHEN count(*) > 1 THEN (max(pos) - min(pos)) / (count(*) - 1) ELSE (SELECT count(*) FROM q z WHERE z.law_id = q.law_id)::DOUBLE END AS mean FROM q GROUP BY law_id, type),
+pa AS (SELECT law_id, type, i, mean, coalesce((SELECT list(t2.i ORDER BY t2.i) FROM c JOIN ty t2 ON t2.law_id = c.law_id AND t2.type = c.outer_type LEFT JOIN c d ON c.law_id = d.law_id AND c.outer_type = d.inner_type AND c.inner_type = d.outer_type
+  WHERE c.law_id = ty.law_id AND c.inner_type = ty.type AND c.n > coalesce(d.n, 0)), []) AS up FROM ty),
+on1 AS (SELECT *, row_number() OVER (PARTITION BY law_id ORDER BY mean DESC, i) AS k1 FROM pa),
+on2 AS (SELECT a.law_id, a.i, any_value(a.type) AS type, any_value(a.up) AS up, any_value(a.k1) AS k1, max(b.k1) AS taken FROM on1 a LEFT JOIN on1 b ON a.law_id = b.law_id AND list_contains(a.up, b.i) GROUP BY a.law_id, a.i),
+st AS (SELECT law_id, list(type ORDER BY i) AS names, list(up ORDER BY i) AS ups, min(len(up)) > 0 AS cyclic, list_concat(list(i ORDER BY k1), list(i ORDER BY taken, i)) AS todo FROM on2 GROUP BY law_id),
+lv(law_id, names, ups, cyclic, todo, k, late, v) AS (
+ SELECT law_id, names, ups, cyclic, todo, 0, false, [NULL::BIGINT FOR z IN names] FROM st
+ UNION ALL
+ SELECT law_id, names, ups, cyclic, todo, k + 1, late OR len(ready) = 0, list_transform(v, lambda x, j: CASE WHEN list_contains(take, j) THEN 1 + coalesce(list_max([v[p] FOR p IN ups[j]]), -1) ELSE x END) FROM (
+  SELECT *, CASE WHEN cyclic THEN [todo[k + 1]] WHEN late OR len(ready) = 0 THEN [list_position([x IS NULL FOR x IN v], true)] ELSE ready END AS take FROM (
+   SELECT *, CASE WHEN cyclic OR late THEN [] ELSE list_filter(range(1, len(names) + 1), lambda j: v[j] IS NULL AND len(list_filter(ups[j], lambda p: v[p] IS NULL)) = 0) END AS ready FROM lv
+    WHERE CASE WHEN cyclic THEN k < len(todo) ELSE list_contains([x IS NULL FOR x IN v], true) END))),
+done AS (SELECT * FROM lv WHERE CASE WHEN cyclic THEN k = len(todo) ELSE NOT list_contains([x IS NULL FOR x IN v], true) END),
+each AS (SELECT law_id, unnest(names) AS type, unnest(range(1, len(names) + 1)) AS i, unnest(v) AS raw FROM done),
+dense AS (SELECT *, dense_rank() OVER (PARTITION BY law_id ORDER BY raw) - 1 AS level FROM each)
+SELECT law_id, string_agg(type || '(' || level || ')', ' > ' ORDER BY level, i) AS level_chain FROM dense GROUP BY law_id"""
+
+
+@query(_SEQUENCE.replace("WITH", "WITH RECURSIVE", 1) + _LEVELS)
 def inferred_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = _sequence(spark, sf_dir).groupBy("law_id").agg(F.sort_array(F.collect_list(F.struct("pos", "type")))["type"].alias("types"))
     return types.withColumn("types", apart(F.col("types"))).select("law_id", levels.levels_udf("types").alias("levels")).select("law_id", levels.level_chain(F.col("levels")).alias("level_chain"))
