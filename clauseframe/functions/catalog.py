@@ -137,7 +137,7 @@ TYPES = [name for name, _, _ in MARKERS]
 
 # Words and characters at the left that rule a marker out.
 LEFT_OUT = r"(根据|[‘“「『《〈（\[(〔｢、，]|[过第单]|至少)$"
-SEEN, OPINION = "见$", f"意[{BLANKS}]*见$"
+SEEN, OPINION = "见", "意"
 ARTICLE_LEFT_OUT = "(将|作为|给|的|对|按|按规定|按规范|按标准|按准则|按要求|按法规|按规章|按条例)$"
 ARTICLE_TYPES = ("条", "数字条")
 RIGHT_GUARDED = ("数字点", "数字点点", "数字直连中文")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 STRETCH = 64
 
@@ -50,13 +51,29 @@ def running(lengths: str) -> str:
     return grown("int", lengths, {"at": "0"}, {"at": "a.at + x"}, "a.at")
 
 
-def tried(f):
-    """A function of one row that gives null where it fails, so that one document doesn't end the job."""
+def checked(row: T.DataType) -> T.StructType:
+    """The type of rows with an error beside them; workers import this too, where a type can't be given as text."""
+    return T.StructType([T.StructField("rows", T.ArrayType(row)), T.StructField("error", T.StringType())])
+
+
+def explained(f):
+    """A function of one row that gives (what it finds, null), or (null, the exception's type and message), so that one document doesn't end the job.
+
+    Running out of memory is no fault of a document and does end it.
+    """
 
     def run(*args):
         try:
-            return f(*args)
-        except Exception:  # noqa: BLE001 - whatever a document brings, it is an error of that document only
-            return None
+            return f(*args), None
+        except MemoryError:
+            raise
+        except Exception as e:  # noqa: BLE001 - whatever a document brings, it is an error of that document only
+            return None, f"{type(e).__name__}: {e}"
 
     return run
+
+
+def tried(f):
+    """As explained, without the reason: null where it fails."""
+    run = explained(f)
+    return lambda *args: run(*args)[0]

@@ -40,6 +40,18 @@ def entries(markers: Column) -> Column:
     return applied(f"ms -> transform({texts(C.TYPES)}, t -> {entry})", markers)
 
 
+def group_labels(entry: Column) -> Column:
+    """The groups of a type as 1-5, or 6.1.1-3 below a prefix; those of dotted numbers with the longest first."""
+    dotted = "transform(array_sort(e.tuple_groups), g -> concat(array_join(cast(g.prefix AS array<string>), '.'), if(size(g.prefix) > 0, '.', ''), '1-', g.hi))"
+    return applied(f"e -> concat(transform(e.scalar_groups, n -> concat('1-', n)), {dotted})", entry)
+
+
+def first_ordinals(entry: Column, n: int = 8) -> Column:
+    """The first ordinals of a type as text, and how many more there are."""
+    shown = f"array_join(transform(slice(e.ordinals, 1, {n}), o -> array_join(cast(o AS array<string>), '.')), ', ')"
+    return applied(f"e -> concat({shown}, if(size(e.ordinals) > {n}, concat(' (+', size(e.ordinals) - {n}, ')'), ''))", entry)
+
+
 # The parents that can hold a type, in order.
 _DIGIT_PARENTS = ("中文顿号", "条", "括号", "括号数字", "数字点", "数字点点")
 _ARTICLE_PARENTS = ("中文顿号", "括号", "括号数字", "数字点", "数字点点")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clauseframe.functions.sql import tried
+from clauseframe.functions.sql import checked, explained
 
 
 def containment(sequence: DataFrame) -> DataFrame:
@@ -59,14 +59,19 @@ def infer_levels(types: list[str]) -> list[tuple[str, int]]:
 
 
 def _levels(column):
-    inferred = tried(lambda types: [{"type": t, "level": lv} for t, lv in infer_levels([x for x in types if x is not None])])
-    rows = [None if types is None else inferred(types) for types in column.to_pylist()]
-    return pa.array(rows, pa.list_(pa.struct([("type", pa.string()), ("level", pa.int32())])))
+    inferred = explained(lambda types: [{"type": t, "level": lv} for t, lv in infer_levels([x for x in types if x is not None])])
+    rows = [(None, None) if types is None else inferred(types) for types in column.to_pylist()]
+    return pa.array([{"rows": r, "error": e} for r, e in rows], pa.struct([("rows", pa.list_(pa.struct([("type", pa.string()), ("level", pa.int32())]))), ("error", pa.string())]))
 
 
 _levels.__annotations__ = {"column": pa.Array, "return": pa.Array}
-#: array<string> of types in order -> array<struct<type, level>>; null where it fails
-levels_udf = F.arrow_udf(_levels, T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("level", T.IntegerType())]))).asNondeterministic()  # so that the optimizer leaves it outside lambdas
+#: array<string> of types in order -> the levels as rows, or the error
+checked_levels = F.arrow_udf(_levels, checked(T.StructType([T.StructField("type", T.StringType()), T.StructField("level", T.IntegerType())]))).asNondeterministic()  # so that the optimizer leaves it outside lambdas
+
+
+def levels_udf(types) -> Column:
+    """array<string> of types in order -> array<struct<type, level>>; null where it fails."""
+    return checked_levels(types)["rows"]
 
 
 def level_chain(levels: Column) -> Column:

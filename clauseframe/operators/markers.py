@@ -16,21 +16,22 @@ from pyspark.sql import functions as F
 
 from clauseframe.functions import catalog as C
 from clauseframe.functions.ordinals import ordinal_sql
-from clauseframe.functions.sql import applied, grown, texts, tried
+from clauseframe.functions.sql import applied, explained, grown, texts
 
 MARKER = "struct<start:int,prio:int,less:int,seq:int,end:int,type:string,text:string,ord:array<bigint>>"
 SPAN = "struct<start:int,end:int,seq:int,text:string,group:string>"
 #: Whether a marker of a type is false, by the text before it and after it.
 Guard = Callable[[str, str, str], bool]
-NEAR = 64
+#: What rules a marker out ends at most so many characters before it, blanks aside.
+NEAR = 4
 _PRIORITY = {"数字直连中文": 0, "数字点": 1, "数字点点": 1}
 
 
 @lru_cache(maxsize=1)
 def _patterns():
     found = [re.compile(pattern) for _, _, pattern in C.MARKERS]
-    left, seen, opinion, article = map(re.compile, (C.LEFT_OUT, C.SEEN, C.OPINION, C.ARTICLE_LEFT_OUT))
-    return found, left, seen, opinion, article, re.compile(r"\s*[条章节]"), re.compile(C.DOCUMENT_RIGHT_OUT.lstrip("^"))
+    left, article = map(re.compile, (C.LEFT_OUT, C.ARTICLE_LEFT_OUT))
+    return found, left, article, re.compile(r"\s*[条章节]"), re.compile(C.DOCUMENT_RIGHT_OUT.lstrip("^"))
 
 
 class _Guards:
@@ -43,7 +44,7 @@ class _Guards:
 
     def _trimmed(self, start: int, blanks: str | None) -> int:
         """Where the text before a place ends, without blanks."""
-        low = max(0, start - NEAR)
+        low = max(0, start - 64)  # mostly it is near; else the whole text before is looked at
         left = self.text[low:start].rstrip(blanks)
         return low + len(left) if left or not low else len(self.text[:low].rstrip(blanks))
 
@@ -59,10 +60,11 @@ class _Guards:
         return bool(article.search(self.text[max(0, end - NEAR) : end]))
 
     def out(self, name: str, start: int, end: int) -> bool:
-        _, left_out, seen, opinion, article, right_out, document = _patterns()
+        _, left_out, article, right_out, document = _patterns()
         to = self._trimmed(start, C.BLANKS)
-        left = self.text[max(0, to - NEAR) : to]
-        if left_out.search(left) or seen.search(left) and not opinion.search(left):
+        if left_out.search(self.text[max(0, to - NEAR) : to]):
+            return True
+        if to and self.text[to - 1] == C.SEEN and self.text[max(0, self._trimmed(to - 1, C.BLANKS) - 1) : to - 1].rstrip(C.BLANKS) != C.OPINION:
             return True
         if name in C.ARTICLE_TYPES and self._of_article(start, article):
             return True
@@ -77,10 +79,10 @@ class _Guards:
         return name == C.DOCUMENT_TYPE and bool(document.match(self.text, end))
 
 
-def _finder(types: frozenset | None, guard: bool, extra: Guard | None) -> Callable[[str], list | None]:
-    """A text's markers as (start, prio, less, seq, end, text, group), sorted; null where it fails."""
+def _finder(types: frozenset | None, guard: bool, extra: Guard | None) -> Callable[[str], tuple[list | None, str | None]]:
+    """A text's markers as (start, prio, less, seq, end, text, group), sorted, and null; or null and the error."""
 
-    @tried
+    @explained
     def of_text(text: str):
         own = []
         guards = _Guards(text) if guard else None
@@ -103,18 +105,20 @@ def _spans(types: frozenset | None, guard: bool, extra: Guard | None):
     of_text = _finder(types, guard, extra)
 
     def run(texts):
-        sizes, rows, none = [0], [], []
+        sizes, rows, none, errors = [0], [], [], []
         for text in texts.to_pylist():
-            own = of_text(text) if text else None if text is None else []
+            own, error = of_text(text) if text else (None if text is None else [], None)
             none.append(own is None)
+            errors.append(error)
             rows += own or []
             sizes.append(len(rows))
         start, _, _, seq, end, whole, group = zip(*rows) if rows else ((),) * 7
         parts = [pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(seq, pa.int32()), pa.array(whole, pa.string()), pa.array(group, pa.string())]
-        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(parts, ["start", "end", "seq", "text", "group"]), mask=pa.array(none) if any(none) else None)
+        spans = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(parts, ["start", "end", "seq", "text", "group"]), mask=pa.array(none) if any(none) else None)
+        return pa.StructArray.from_arrays([spans, pa.array(errors, pa.string())], ["spans", "error"])
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, f"array<{SPAN}>").asNondeterministic()  # so that the optimizer leaves it outside lambdas
+    return F.arrow_udf(run, f"spans array<{SPAN}>, error string").asNondeterministic()  # so that the optimizer leaves it outside lambdas
 
 
 ROW = "start int, prio int, less int, seq int, end int, text string, group string"
@@ -128,7 +132,7 @@ def marker_rows(docs: DataFrame, id_col: str = "law_id", text: str = "text", typ
     def run(batches):
         for batch in batches:
             for i, t in enumerate(batch.column(1).to_pylist()):
-                own = of_text(t) if t else None
+                own, _ = of_text(t) if t else (None, None)
                 for at in range(0, len(own or ()), 10_000):
                     part = own[at : at + 10_000]
                     columns = [pa.array(c, k) for c, k in zip(zip(*part), _ROW_KINDS)]
@@ -146,7 +150,18 @@ def raw_markers(text: Column, types=None, guard: bool = True, extra: Guard | Non
 
     extra(type, left, right) may rule out more markers, by the text on either side; null for a text on which it fails.
     """
-    return ordered(_spans(None if types is None else frozenset(types), guard, extra)(text))
+    return ordered(found_spans(text, types, guard, extra)["spans"])
+
+
+def found_spans(text: Column, types=None, guard: bool = True, extra: Guard | None = None) -> Column:
+    """The spans of raw_markers, for `ordered`, and the error of a text on which it fails."""
+    return _spans(None if types is None else frozenset(types), guard, extra)(text)
+
+
+def type_sequence(text: Column, types: list[str]) -> Column:
+    """The types of all matches in order of place: without guards, and with those that overlap."""
+    found = F.filter(found_spans(text, types, guard=False)["spans"], lambda s: s["seq"] >= 0)
+    return applied(f"ss -> transform(ss, s -> {texts(C.TYPES)}[s.seq])", F.array_sort(F.transform(found, lambda s: F.struct(s["start"], s["seq"]))))
 
 
 def ordered(spans: Column) -> Column:

@@ -29,14 +29,30 @@ def _tags() -> str:
     return let(whole, "u", let(f"array_union(array_except(u, array_compact(array({gone}))), array_compact(array({forced})))", "v", f"sort_array(array_union(v, {direct}))"))
 
 
-def report(text: Column, found: Column, reasons: Column) -> Column:
-    """text: the cleaned text; found, reasons: the statistics and suppressions by type, both in the catalogue's order."""
+def _qualified() -> str:
+    """The types that structure a text, of the statistics x.b and suppressions x.c, with their longest run and groups."""
     general = "x.c[i] IS NULL AND e.count >= 3 AND (e.group_count >= 2 OR e.group_count >= 1 AND e.max_n >= 3)"
     item = f"if(e.type = '{C.DOCUMENT_TYPE}', named_struct('type', e.type, 'n', 0, 'gc', e.count), named_struct('type', e.type, 'n', e.max_n, 'gc', e.group_count))"
     # enumerations qualify by less, after all others
     late = "e.type = '中文顿号' AND x.c[i] IS NULL AND e.group_count >= 1 AND e.max_n >= 2"
     rows = lambda test: f"array_compact(transform(x.b, (e, i) -> if({test}, {item}, null)))"
-    qualified = f"concat({rows(general)}, {rows(f'{late} AND NOT ({general})')})"
+    return f"concat({rows(general)}, {rows(f'{late} AND NOT ({general})')})"
+
+
+def qualified(found: Column, reasons: Column) -> Column:
+    """array<struct<type, n, gc>> of the types that qualify, in order; the report's tags come from them."""
+    return applied(f"x -> {_qualified()}", F.lit(None).cast("int"), found, reasons)
+
+
+def near_misses(q: Column) -> tuple[Column, Column]:
+    """Of qualified types: those whose longest run is one short of the longest, and those with one group less than the most; neither in the spine, nor satellites the latter."""
+    shown = lambda test: applied(f"q -> {let('named_struct(' + repr('n') + ', array_max(q.n), ' + repr('gc') + ', array_max(q.gc))', 'm', f'transform(filter(q, y -> {test}), y -> y.type)')}", q)
+    return shown("y.n >= m.n - 1 AND y.n <> m.n"), shown("y.gc >= m.gc - 1 AND y.n <> m.n AND y.gc <> m.gc")
+
+
+def report(text: Column, found: Column, reasons: Column) -> Column:
+    """text: the cleaned text; found, reasons: the statistics and suppressions by type, both in the catalogue's order."""
+    qualified = _qualified()
     plain = f"if(x.a < {SHORT}, '{C.PLAIN}', if(x.a / x.d > {LONG_PARAGRAPH}, '{C.PLAIN_PARAGRAPHS}', '{C.PLAIN}'))"
     of_plain = lambda kind: f"named_struct('spine_types', array({kind}), 'satellite_types', cast(array() AS array<string>), 'all_tags', array({kind}), 'max_n', 0, 'max_gc', 0, 'is_plain', true, 'char_count', x.a, 'para_count', x.e)"
     structured = let(

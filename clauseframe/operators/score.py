@@ -8,10 +8,11 @@ a text is scored in order, by a small vectorised function; texts are independent
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clauseframe.functions.sql import tried
+from clauseframe.functions.sql import checked, explained
 
 KEEP, SOLID = 4.0, 10.0
 REACH = 4  # how far a chain may jump
@@ -172,11 +173,16 @@ def score_ordinals(ords: list[tuple]) -> list[float]:
 
 
 def _scores(column):
-    score = tried(lambda ords: [{"score": s, "kept": s >= KEEP} for s in score_ordinals([tuple(o) for o in ords])])
-    rows = [None if ords is None else score(ords) for ords in column.to_pylist()]
-    return pa.array(rows, pa.list_(pa.struct([("score", pa.float64()), ("kept", pa.bool_())])))
+    score = explained(lambda ords: [{"score": s, "kept": s >= KEEP} for s in score_ordinals([tuple(o) for o in ords])])
+    rows = [(None, None) if ords is None else score(ords) for ords in column.to_pylist()]
+    return pa.array([{"rows": r, "error": e} for r, e in rows], pa.struct([("rows", pa.list_(pa.struct([("score", pa.float64()), ("kept", pa.bool_())]))), ("error", pa.string())]))
 
 
 _scores.__annotations__ = {"column": pa.Array, "return": pa.Array}
-#: array<array<bigint>> in order -> array<struct<score, kept>>; null where scoring fails
-score_udf = F.arrow_udf(_scores, T.ArrayType(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())]))).asNondeterministic()  # so that the optimizer leaves it outside lambdas
+#: array<array<bigint>> in order -> the scores as rows, or the error
+checked_scores = F.arrow_udf(_scores, checked(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())]))).asNondeterministic()  # so that the optimizer leaves it outside lambdas
+
+
+def score_udf(ords) -> Column:
+    """array<array<bigint>> in order -> array<struct<score, kept>>; null where scoring fails."""
+    return checked_scores(ords)["rows"]

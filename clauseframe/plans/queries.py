@@ -281,7 +281,7 @@ def fragments_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _WHOLE
-    + """ SELECT law_id, length(text)::INT AS char_count, CASE WHEN n >= 3 THEN n ELSE 1 END::INT AS fragment_count, CASE WHEN n >= 3 THEN '条' ELSE '纯文本' END AS split_types,
+    + """ SELECT law_id, length(text)::INT AS raw_char_count, length(text)::INT AS char_count, CASE WHEN n >= 3 THEN n ELSE 1 END::INT AS fragment_count, CASE WHEN n >= 3 THEN '条' ELSE '纯文本' END AS split_types,
  CASE WHEN n >= 3 THEN '条' ELSE '纯文本' END AS spine_types, '' AS satellite_types, CASE WHEN n >= 3 THEN n ELSE 0 END::INT AS max_n, CASE WHEN n >= 3 THEN 1 ELSE 0 END::INT AS max_gc,
  CASE WHEN n >= 3 THEN '条' ELSE '纯文本' END AS all_tags, n::INT AS para_count, NULL::VARCHAR AS error FROM t"""
 )
@@ -457,12 +457,19 @@ def id_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.ids_with_text(tables.table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query("SELECT c_custkey AS law_id, coalesce(length(d.text), 0)::INT AS raw_char_count, CASE WHEN d.text IS NULL THEN '未获取到文本' END AS error FROM customer LEFT JOIN documents d ON d.doc_id = c_custkey")
+@query(
+    r"""SELECT c_custkey AS law_id, coalesce(length(d.text), 0)::INT AS raw_char_count, CASE WHEN d.text IS NULL THEN '未获取到文本' END AS error,
+ md5(regexp_replace(coalesce(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  replace(replace(replace(replace(replace(regexp_replace(d.text, '<[A-Za-z/!][^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'),
+  '(^|[\s>])[-—]、', '\1一、', 'g'), '（[-—]）', '（一）', 'g'), '\([-—]\)', '(一)', 'g'), '[ \t\x{00a0}\x{3000}\r\f\x0b]+', ' ', 'g'), ' *\n[ \n]*', chr(10), 'g'), ' ' || chr(10)), ''), '[ \t\r\n\x{00a0}\x{3000}]', '', 'g')) AS content FROM customer LEFT JOIN documents d ON d.doc_id = c_custkey"""
+)
 def split_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's document; its fragments, joined, are its cleaned text but for blanks."""
     ids = tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("law_id"))
     source = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("law_id"), "text")
     out = api.split_by_ids(ids, source)
-    return out.select("law_id", F.coalesce("meta.raw_char_count", F.lit(0)).alias("raw_char_count"), "error")
+    content = F.regexp_replace(F.array_join(F.transform("fragments", lambda f: f["content"]), ""), r"[ \t\r\n\x{00a0}\x{3000}]", "")
+    return out.select("law_id", F.coalesce("meta.raw_char_count", F.lit(0)).alias("raw_char_count"), "error", F.md5(content).alias("content"))
 
 
 @query("SELECT o_orderkey AS law_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 2)")

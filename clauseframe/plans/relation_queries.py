@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from clauseframe.functions.sql import apart
 from clauseframe.operators import markers, relations
+from clauseframe.plans import api
 from clauseframe.plans.queries import _LEVELS, _LINES, _ORDER, ORACLE_SQL, QUERIES, _lines, _nested_docs, _spread, _texts, query
 from clauseframe.sources import tables
 
@@ -143,3 +145,26 @@ def group_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", *_ORDER.split(", "))
     rows = tables.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("law_id"), F.col("l_returnflag").alias("type"), F.row_number().over(w).cast("long").alias("start"), F.col("l_linenumber").alias("n"))
     return relations.group_marks(rows, ["law_id"], ("A", "N")).select("law_id", "type", "group_no", "hi", "first", "tag")
+
+
+@query(
+    f"""WITH d AS (SELECT l_orderkey AS law_id, count(*) AS n, (count(*) + 1) // 2 AS c FROM lineitem GROUP BY 1),
+s(law_id, type, count, lo, n, groups) AS (SELECT law_id, '条', n, n, n, 1 FROM d UNION ALL SELECT law_id, '章', c, c, c, 1 FROM d UNION ALL SELECT law_id, '节', 1, 1, 0, 0 FROM d UNION ALL SELECT law_id, '括号', 3 * n, 3, 3, n FROM d),
+t AS (SELECT s.law_id, s.type, s.count, CASE WHEN lo >= 2 THEN groups ELSE 0 END AS group_count, CASE WHEN lo >= 2 THEN lo ELSE 0 END AS max_n, CASE WHEN s.type = '条' AND d.n IN (3, 4) THEN '条包裹抑制(括号)' END AS reason,
+  array_to_string([CASE WHEN s.type = '括号' THEN 1 + (i - 1) % 3 ELSE i END FOR i IN range(1, least(8, s.count) + 1)], ', ') || CASE WHEN s.count > 8 THEN ' (+' || (s.count - 8) || ')' ELSE '' END AS ordinals,
+  CASE WHEN lo >= 2 THEN array_to_string(['1-' || lo FOR i IN range(groups)], ', ') ELSE '' END AS group_labels FROM s JOIN d USING (law_id)),
+q AS (SELECT *, reason IS NULL AND count >= 3 AND (group_count >= 2 OR group_count >= 1 AND max_n >= 3) AS ok FROM t),
+m AS (SELECT law_id, max(max_n) FILTER (ok) AS n, max(group_count) FILTER (ok) AS gc FROM q GROUP BY law_id)
+SELECT law_id, type, count::INT AS count, group_count::INT AS group_count, max_n::INT AS max_n, ordinals, group_labels, reason,
+ CASE WHEN NOT ok THEN NULL WHEN max_n = n THEN 'spine' WHEN group_count = gc THEN 'satellite' WHEN max_n >= n - 1 THEN 'near spine' WHEN group_count >= gc - 1 THEN 'near satellite' END AS part FROM q JOIN m USING (law_id)"""
+)
+def type_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each type of a nested text has: counts, groups, ordinals, suppression, and its part in the structure."""
+    return api.type_report(api.analyse_documents(_spread(_nested_docs(spark, sf_dir, "括号"))))
+
+
+@query(_PARTS + " SELECT law_id, string_agg(type, ',' ORDER BY start) AS types FROM placed WHERE type <> '节' GROUP BY law_id")
+def type_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw order of chosen types in each text, from which a batch analysis infers levels."""
+    docs = _spread(_nested_docs(spark, sf_dir, "括号")).withColumn("text", apart(F.col("text")))
+    return docs.select("law_id", F.array_join(markers.type_sequence(F.col("text"), ["章", "条", "括号"]), ",").alias("types"))

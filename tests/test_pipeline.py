@@ -59,6 +59,51 @@ def test_a_failing_document_is_an_error_of_its_own(spark):
     assert tried(lambda x: 1 // x)(0) is None and tried(lambda x: 1 // x)(1) == 1
 
 
+def test_an_error_says_what_failed(spark, monkeypatch):
+    """One document fails in each of the steps that can; the others and their fragments stay."""
+    from clauseframe.operators import levels, score
+
+    rows = [("good", ARTICLES), ("level", ARTICLES.replace("内容一", "坏级")), ("null", None)]
+    docs = spark.createDataFrame(rows, "law_id string, text string")
+
+    def extra(kind: str, left: str, right: str) -> bool:
+        if "坏级" in right:
+            raise KeyError("no such rule")
+        return False
+
+    found = markers.found_spans
+    monkeypatch.setattr(markers, "found_spans", lambda text, **more: found(text, **{**more, "extra": extra}))
+    got = {r["law_id"]: (r["error"], len(r["fragments"])) for r in api.split_documents(docs).collect()}
+    assert got == {"good": (None, 10), "level": (f"{api.FAILED}: KeyError: 'no such rule'", 0), "null": (api.MISSING, 0)}
+    # the two other steps keep the reason as well
+    bad = spark.createDataFrame([(1, [[1], [2]], ["条"]), (2, [[1], []], ["条", "章"])], "id long, ords array<array<long>>, types array<string>")
+    scores = {r["id"]: r["s"] for r in bad.select("id", score.checked_scores("ords").alias("s")).collect()}
+    assert scores[1]["error"] is None and scores[1]["rows"][0]["score"] == -2.0 and scores[2]["error"].startswith("IndexError") and scores[2]["rows"] is None
+    assert all(r["s"]["error"] is None and r["s"]["rows"] for r in bad.select(levels.checked_levels("types").alias("s")).collect())
+
+
+def test_guards_look_over_any_number_of_blanks(spark):
+    cases = [("意" + " " * n + "见第五条", True) for n in (0, 60, 70, 500)] + [("甲见" + " " * n + "第五条", False) for n in (0, 70)] + [("见第五条", False), ("见" + "\n" * 100 + "第五条", False), ("甲按规定" + "　" * 90 + "第五条", False)]
+    docs = spark.createDataFrame(cases, "text string, kept boolean")
+    assert docs.where((F.size(markers.raw_markers(F.col("text"), ["条"])) > 0) != F.col("kept")).collect() == []
+
+
+def test_split_by_ids_splits_each_text_once(spark):
+    source = spark.createDataFrame([("a", ARTICLES), ("a", "甲"), ("a", ARTICLES), ("b", "甲"), ("z", "乙"), (None, "丙")], "law_id string, text string")
+    out = api.split_by_ids(tables.ids_from_list(spark, ["a", "b", "b", "b", "c"]), source, parts=3)
+    got = sorted((r["law_id"], len(r["fragments"]), r["error"]) for r in out.collect())
+    assert [g[0] for g in got] == ["a", "b", "b", "b", "c"] and got[0][1] in (1, 10) and got[4][2] == api.MISSING
+    assert out.rdd.getNumPartitions() == 3  # the texts are not broadcast into one task
+
+
+def test_type_report_of_near_misses(spark):
+    text = "\n".join([f"第{c}章 甲" for c in "一二三四五"] + [f"第{c}条 乙" for c in "一二三四"] + ["6.1.1 甲", "6.1.2 乙", "6.1.3 丙"] + [f"{n}、丁" for n in range(1, 11)])
+    rows = {r["type"]: r for r in api.type_report(api.analyse_documents(spark.createDataFrame([(1, text)], "law_id long, text string"))).collect()}
+    assert rows["章"]["group_labels"] == "1-5" and rows["数字点"]["group_labels"] == "6.1.1-3" and rows["数字点"]["ordinals"] == "6.1.1, 6.1.2, 6.1.3"
+    assert rows["数字顿号"]["ordinals"] == "1, 2, 3, 4, 5, 6, 7, 8 (+2)" and rows["数字顿号"]["reason"] == "包容抑制(条)"
+    assert rows["章"]["part"] == "spine" and rows["条"]["part"] in ("satellite", "near spine")
+
+
 def test_fragment_cap_and_one_text(spark):
     docs = spark.createDataFrame([("a", ARTICLES), ("b", "甲")], "law_id string, text string")
     got = {r["law_id"]: (r["error"], len(r["fragments"]), r["meta"]["fragment_count"]) for r in api.split_documents(docs, max_fragments=9).collect()}
