@@ -141,6 +141,14 @@ def type_report(analysed: DataFrame, id_col: str = "law_id") -> DataFrame:
     return rows.select(id_col, "e.type", "e.count", "e.group_count", "e.max_n", groups.first_ordinals(F.col("e")).alias("ordinals"), F.array_join(groups.group_labels(F.col("e")), ", ").alias("group_labels"), F.expr("get(reasons, i)").alias("reason"), part.alias("part"))
 
 
+def fragment_rollup(split: DataFrame, by: str = "lang", id_col: str = "law_id") -> DataFrame:
+    """Fragments, documents and characters by class, type and level, with totals; `grouping` tells a total from a missing value."""
+    rows = split.select(id_col, by, F.explode("fragments").alias("f")).select(id_col, by, "f.split_type", "f.index_level", F.length("f.content").alias("size"))
+    sets = [[by, "split_type", "index_level"], [by, "split_type"], ["split_type", "index_level"], [by], []]
+    grouped = rows.groupingSets([[F.col(c) for c in s] for s in sets], by, "split_type", "index_level")
+    return grouped.agg(F.grouping_id().alias("grouping"), F.count("*").alias("fragments"), F.countDistinct(id_col).alias("documents"), F.sum("size").alias("characters"))
+
+
 def level_report(split: DataFrame, id_col: str = "law_id", deepest: int = 5) -> DataFrame:
     """One row for each document, the types of each level side by side."""
     at = lambda k: F.array_join(F.sort_array(F.transform(F.filter("levels", lambda x: x["level"] == k), lambda x: x["type"])), ", ")

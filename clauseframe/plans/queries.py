@@ -485,7 +485,8 @@ def score_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spread(rows).select("law_id", F.posexplode(F.arrays_zip("ords", score_udf("ords").alias("s"))).alias("pos", "x")).select("law_id", "pos", F.col("x.ords")[0].alias("ord"), F.round("x.s.score", 6).alias("score"), "x.s.kept")
 
 
-@query()
+#: A run 1 ... n of n >= 3 is credible as a whole; a shorter one is not.
+@query(_WHOLE + " SELECT law_id, NULL::VARCHAR AS spine_type, CASE WHEN n >= 3 THEN '条' END AS satellite_type, CASE WHEN n >= 3 THEN '条' ELSE '' END AS all_tags, 0 AS max_n, CASE WHEN n >= 3 THEN n ELSE 0 END::INT AS max_gc, n::INT AS para_count FROM t")
 def scored_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = api.score_documents(_spread(_articles(spark, sf_dir)))
     return out.select("law_id", "spine_type", "satellite_type", F.array_join("all_tags", ",").alias("all_tags"), "max_n", "max_gc", "para_count")
@@ -497,6 +498,11 @@ def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.document_report(api.split_documents(docs))
 
 
-@query()
+@query(
+    _WHOLE
+    + """ SELECT law_id, '{"fragments":[' || CASE WHEN n >= 3 THEN (SELECT string_agg('{"seq":' || rn || ',"content":"' || line || '","split_type":"条","index_level":0,"ordinal":[' || rn || '],"extra":""}', ',' ORDER BY rn) FROM m WHERE m.law_id = t.law_id)
+  ELSE '{"seq":1,"content":"' || replace(text, chr(10), '\\n') || '","ordinal":[1],"extra":""}' END || '],"meta":{"raw_char_count":' || length(text) || ',"char_count":' || length(text) || ',"fragment_count":' || CASE WHEN n >= 3 THEN n ELSE 1 END
+  || ',"all_tags":["' || CASE WHEN n >= 3 THEN '条' ELSE '纯文本' END || '"],"level_chain":"' || CASE WHEN n >= 3 THEN '条(0)' ELSE '-' END || '"}}' AS result FROM t"""
+)
 def tool_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.tool_result(api.split_documents(_spread(_articles(spark, sf_dir))))

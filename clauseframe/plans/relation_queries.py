@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clauseframe.functions.sql import apart
-from clauseframe.operators import markers, relations
+from clauseframe.operators import markers, relations, table_function
 from clauseframe.plans import api
-from clauseframe.plans.queries import _LEVELS, _LINES, _ORDER, ORACLE_SQL, QUERIES, _lines, _nested_docs, _spread, _texts, query
+from clauseframe.plans.queries import _LEVELS, _LINES, _ORDER, ORACLE_SQL, QUERIES, _articles, _lines, _nested_docs, _spread, _texts, query
 from clauseframe.sources import tables
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -168,3 +168,37 @@ def type_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw order of chosen types in each text, from which a batch analysis infers levels."""
     docs = _spread(_nested_docs(spark, sf_dir, "括号")).withColumn("text", apart(F.col("text")))
     return docs.select("law_id", F.array_join(markers.type_sequence(F.col("text"), ["章", "条", "括号"]), ",").alias("types"))
+
+
+@query(
+    """WITH v AS (SELECT 's' || l_suppkey AS law_id, l_linenumber::BIGINT AS n FROM lineitem UNION ALL SELECT l_returnflag || l_linestatus, l_orderkey FROM lineitem UNION ALL SELECT 'p' || l_linenumber, l_partkey - 3 FROM lineitem),
+d AS (SELECT DISTINCT law_id, n FROM v), r AS (SELECT law_id, n, row_number() OVER (PARTITION BY law_id ORDER BY n) AS k FROM d WHERE n >= 1)
+SELECT law_id, CASE WHEN coalesce(max(r.n) FILTER (r.n = k), 0) >= 2 THEN max(r.n) FILTER (r.n = k) ELSE 0 END::BIGINT AS max_n FROM (SELECT DISTINCT law_id FROM v) a LEFT JOIN r USING (law_id) GROUP BY law_id"""
+)
+def bitmap_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest 1..N of each key, few keys having most rows, from merged bitmaps."""
+    rows = tables.table(spark, sf_dir, "lineitem")
+    numbers = rows.selectExpr("'s' || l_suppkey AS law_id", "bigint(l_linenumber) AS n").union(rows.selectExpr("l_returnflag || l_linestatus", "l_orderkey")).union(rows.selectExpr("'p' || l_linenumber", "l_partkey - 3"))
+    return relations.longest_runs(numbers, ["law_id"])
+
+
+@query(_PARTS + " SELECT p.law_id, start, start + length(marker)::INT AS \"end\", p.type, marker AS text, (CASE type WHEN '章' THEN (p.rn + 1) // 2 WHEN '节' THEN 1 WHEN '条' THEN p.rn ELSE k - 2 END)::BIGINT AS ord FROM placed p")
+def lateral_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The markers of all nested texts by SQL, with the table function."""
+    table_function.register(spark)
+    docs = _spread(_nested_docs(spark, sf_dir, "括号"))
+    return spark.sql("SELECT law_id, m.start, m.end, m.type, m.text, marker_ordinal(m.kind, m.number)[0] AS ord FROM {docs}, LATERAL ordinal_markers(text) m", docs=docs)
+
+
+#: Fragments of the articles, with the priority of their order: each has its type, level and length.
+@query(
+    f"""WITH{_LINES}, m AS (SELECT law_id, rn, '第' || cn || '条 货物' || l_partkey || '。' AS line, count(*) OVER (PARTITION BY law_id) AS n FROM x),
+f AS (SELECT law_id, '条' AS split_type, 0 AS index_level, length(line) AS size FROM m WHERE n >= 3 UNION ALL SELECT law_id, NULL, NULL, sum(length(line) + 1) - 1 FROM m WHERE n < 3 GROUP BY law_id),
+j AS (SELECT f.*, o_orderpriority AS lang FROM f JOIN orders ON o_orderkey = law_id)
+SELECT lang, split_type, index_level::INT AS index_level, GROUPING(lang, split_type, index_level)::BIGINT AS grouping, count(*) AS fragments, count(DISTINCT law_id) AS documents, sum(size)::BIGINT AS characters FROM j
+GROUP BY GROUPING SETS ((lang, split_type, index_level), (lang, split_type), (split_type, index_level), (lang), ())"""
+)
+def fragment_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of fragments by class, type and level, and their totals, in one pass over the split."""
+    orders = tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("law_id"), F.col("o_orderpriority").alias("lang"))
+    return api.fragment_rollup(api.split_documents(_spread(_articles(spark, sf_dir).join(orders, "law_id"))))
