@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clauseframe.functions.sql import apart
+from clauseframe.functions.stored import shared_folder
 from clauseframe.operators import markers, relations, table_function
 from clauseframe.plans import api
-from clauseframe.plans.queries import _LEVELS, _LINES, _ORDER, ORACLE_SQL, QUERIES, _articles, _lines, _nested_docs, _spread, _texts, query
-from clauseframe.sources import tables
+from clauseframe.plans.queries import _LEVELS, _LINES, _ORDER, _WHOLE, ORACLE_SQL, QUERIES, _articles, _lines, _nested_docs, _spread, _texts, query
+from clauseframe.sources import tables, workbook
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -202,3 +205,20 @@ def fragment_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of fragments by class, type and level, and their totals, in one pass over the split."""
     orders = tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("law_id"), F.col("o_orderpriority").alias("lang"))
     return api.fragment_rollup(api.split_documents(_spread(_articles(spark, sf_dir).join(orders, "law_id"))))
+
+
+@query(
+    _WHOLE
+    + """, f AS (SELECT m.law_id, md5(string_agg(rn || line, '|' ORDER BY rn)) AS content, count(*) AS k FROM m JOIN t USING (law_id) WHERE t.n >= 3 GROUP BY m.law_id UNION ALL SELECT law_id, md5('1' || text), 1 FROM t WHERE n < 3)
+SELECT law_id::VARCHAR AS law_id, length(text)::VARCHAR AS raw_char_count, CASE WHEN n >= 3 THEN '条' ELSE '纯文本' END AS split_types, CASE WHEN n < 3 THEN n::VARCHAR END AS para_count, k AS fragments, content FROM t JOIN f USING (law_id)"""
+)
+def workbook_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of all articles written as spreadsheets and read back: both sheets, joined."""
+    path = f"{shared_folder(spark)}/workbooks-{uuid.uuid4().hex}"
+    workbook.write_report_workbooks(api.split_documents(_spread(_articles(spark, sf_dir))), path)
+    rows = workbook.read_workbooks(spark, path)
+    reports = workbook.sheet_table(rows, workbook.REPORT, ["law_id", "文本长度", "最终拆分类型", "段落数"])
+    parts = workbook.sheet_table(rows, workbook.FRAGMENTS, ["组", "序号", "内容"]).groupBy(F.col("组").alias("law_id"))
+    line = F.sort_array(F.collect_list(F.struct(F.col("序号").cast("int").alias("n"), "内容")))
+    parts = parts.agg(F.count("*").alias("fragments"), F.md5(F.array_join(F.transform(line, lambda x: F.concat(x["n"].cast("string"), x["内容"])), "|")).alias("content"))
+    return reports.select("law_id", F.col("文本长度").alias("raw_char_count"), F.col("最终拆分类型").alias("split_types"), F.col("段落数").alias("para_count")).join(parts, "law_id")
