@@ -144,8 +144,9 @@ def _local_links(percent: int):
         central = [often[np.searchsorted(tokens, x)].mean() for x in sets]
         best = int(np.argmax(central))
         found.append((nodes[best], None, central[best] / len(sets)))
-        out = pd.DataFrame(found, columns=["u", "v", "central"]).astype({"u": "Int64", "v": "Int64"})
-        return out.assign(chunk=key[0])
+        u, v, score = zip(*found)
+        # columns of their own: in a frame, a missing v would make all numbers doubles
+        return pd.DataFrame({"u": pd.array(u, "Int64"), "v": pd.array(v, "Int64"), "central": score}).assign(chunk=key[0])
 
     return run
 
@@ -270,7 +271,14 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 75)
     dealt = _small(parts.drop("n").join(slots, "part").select("node", "part", F.struct("part", F.pmod(F.xxhash64("node"), "slots").alias("slot")).alias("group")), spark)
     grouped = nodes.join(dealt, "node").select("node", "n", "tokens", "part", "group")
     far = _open_links(spark, grouped, percent)
-    final = parts.select("node", "part") if far.isEmpty() else _parts(spark, names, links.union(far))
+    # a doc_id with several texts links the nodes of all of them
+    several = member.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    owned = tc.written(member.join(several, "doc_id", "left_semi").join(same, "digest").select("doc_id", "node").distinct(), spark)
+    own = owned.join(owned.groupBy("doc_id").agg(F.min("node").alias("u")), "doc_id").where("u <> node").select("u", F.col("node").alias("v"))
+    if far.isEmpty() and own.isEmpty():
+        final = parts.select("node", "part")
+    else:
+        final = _parts(spark, names.select("node").union(owned.select("node")).distinct(), links.union(far).union(own))
 
     # 5. back to the rows
     classes = same.join(final, "node", "left").select("digest", F.coalesce("part", "node").alias("part"))

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import zlib
 
-import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 from pyspark import TaskContext
@@ -119,12 +118,12 @@ def _pack(path: str, end: int, length: int, most: int):
 
 
 def _merge(length: int):
-    def run(key, pdf):
-        packer = Packer(length, 1, ((1 << 30) + int(key[0])) << 32)
-        pdf = pdf.sort_values(["home", "place"])
-        docs = [None if pd.isna(d) else int(d) for d in pdf["doc_id"]]
-        packer.refill(zip(docs, pdf["start"], pdf["length"], pdf["doc_tokens"], pdf["ids"]))
-        return pd.DataFrame(packer.rows, columns=COLUMNS).astype({c: "Int64" for c in COLUMNS})
+    def run(key, table):
+        packer = Packer(length, 1, ((1 << 30) + key[0].as_py()) << 32)
+        table = table.sort_by([("home", "ascending"), ("place", "ascending")])
+        packer.refill(zip(*(table.column(c).to_pylist() for c in ("doc_id", "start", "length", "doc_tokens", "ids"))))
+        columns = list(zip(*packer.rows)) or [[]] * len(COLUMNS)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, TYPES)], COLUMNS)
 
     return run
 
@@ -136,7 +135,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end: int = END, l
     table = tc.text_only(docs).mapInArrow(_pack(tokenizer, end, length, open_windows), PIECE + ", ids binary")
     table = tc.written(table.withColumn("home", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()), spark)
     left = table.where("sequence_id IS NULL").withColumn("bucket", F.expr(f"cast(floor(home / {MERGED_PARTITIONS}) as long)"))
-    merged = left.groupBy("bucket").applyInPandas(_merge(length), PIECE)
+    merged = left.groupBy("bucket").applyInArrow(_merge(length), PIECE)
     return table.where("sequence_id IS NOT NULL").select(*COLUMNS).union(merged)
 
 

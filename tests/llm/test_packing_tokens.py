@@ -131,3 +131,9 @@ def test_empty_tables(spark, none):
     assert token_counts.count_tokens(none, PATH(token_counts.MODEL)).count() == 0
     assert token_shards.materialise(spark, none, PATH(token_shards.RANKS)).count() == 0
     assert sharding.shard(spark, none).count() == 0
+
+
+def test_packing_keeps_ids_that_doubles_cannot_hold(spark):
+    rows = [(2**53 + 1, "one two"), (2**53 + 3, "three four five"), (None, "six"), (-(2**62) - 1, None)]
+    got = packing.pack(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), PATH(packing.TOKENIZER)).collect()
+    assert {r["doc_id"] for r in got} == {r[0] for r in rows} and all(r["length"] > 0 for r in got)

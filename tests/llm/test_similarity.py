@@ -115,3 +115,13 @@ def test_decontamination(spark, docs, monkeypatch, block):
     kept = decontaminate.without_contaminated(df.selectExpr("*", "1 AS similarity"), bench)
     assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows} - {i for i, _ in want} and kept.columns == ["doc_id", "text", "similarity"]
     assert decontaminate.contamination(df, bench.limit(0)).count() == 0 and decontaminate.contamination(docs.limit(0), bench).count() == 0
+
+
+def test_large_ids_and_repeated_ids(spark):
+    """Ids that doubles can't hold, beside null; a doc_id whose texts link to two others joins them."""
+    base, big = sentence(21, 60), 2**53
+    other = sentence(22, 60)
+    rows = [(big + 1, base), (big + 3, base.replace(base.split()[30], "x", 1)), (big + 5, base.replace(base.split()[50], "y", 1)), (None, base), (big + 7, sentence(23, 60))]
+    rows += [(3, other), (5, other), (5, sentence(24, 60)), (7, sentence(24, 60) + " more"), (9, sentence(25, 40)), (9, sentence(26, 40)), (2, sentence(26, 40))]
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(big + 1, big + 1), (big + 3, big + 1), (big + 5, big + 1), (None, None), (big + 7, big + 7), (3, 3), (5, 3), (7, 3), (9, 2), (2, 2)}
