@@ -2,7 +2,9 @@
 
 A page is cut into blocks at block-level tags. A classifier with fixed weights gives each block a score from its tags, class and id
 words, link share and length; the score becomes the block's two terminal capacities (the cost of calling it
-boilerplate and of calling it content). Smoothness edges join blocks that follow one another, and blocks that follow
+boilerplate and of calling it content). What stands in an element that is no part of an article wherever it is (hidden, a form, an aside,
+a footer, or called an advert, a comment, a notice) has a capacity that nothing repays. Such an element isn't one if it holds the page's
+article, or, on a page without one, most of its text. Smoothness edges join blocks that follow one another, and blocks that follow
 one another under the same parent; they are stronger the more ancestors two blocks share. The minimum cut,
 found by Dinic's algorithm, labels all blocks of a page at once, however many they are. Blocks whose own score outweighs
 all their edges are labelled before it, so that flow runs among the doubtful ones only.
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -46,6 +48,11 @@ BAD = frozenset(
 )
 #: Of these, the ones that an article's own parts are called, too.
 WEAK = frozenset("more legal disclaimer copyright warning alert side foot tags popular search skip".split())
+#: Words of a name that only says how something else is: comments-open, no-sidebar.
+STATES = frozenset("no has with without is not enabled disabled open opened closed on off active allowed hide show layout page wrapper wrap container".split())
+#: Names of what readers write; however long it is, it isn't the text.
+READERS = frozenset("comment comments reply replies respond disqus discussion".split())
+HARD = -1000.0
 HEADS = frozenset("header masthead head top".split())
 GOOD = frozenset("article content main post entry story body text prose hentry".split())
 _PART = re.compile(r"[^a-z0-9]+")
@@ -54,39 +61,52 @@ _TELLTALE = re.compile(r"©|\(c\)\s*\d{4}|copyright|all rights reserved|cookie",
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "depth", "words", "hidden", "main", "links")
+    __slots__ = ("tag", "parent", "depth", "words", "bad", "hidden", "main", "size", "inside", "away", "sums")
 
     def __init__(self, tag: str, parent, attrs):
         self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
-        self.words, self.hidden, self.main = frozenset(), False, tag in ("article", "main")
+        self.words, self.bad, self.hidden, self.main, self.size = frozenset(), frozenset(), False, tag in ("article", "main"), 0
         for name, value in attrs:
             value = (value or "").lower()
             if name in ("class", "id", "role"):
-                self.words |= frozenset(_PART.split(value))
+                for token in value.split():
+                    words = frozenset(_PART.split(token))
+                    self.words |= words
+                    if not words & STATES:
+                        self.bad |= words & BAD
                 self.main |= name == "role" and value == "main"
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
                 self.hidden = True
 
 
 class _Blocks(HTMLParser):
-    """Collects (parent node, text, characters inside links)."""
+    """Collects (node, text, characters inside links, depth of the nearest node that holds this block and the one before)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.node = _Node("", None, ())
         self.out, self.text, self.linked, self.silent, self.in_link = [], [], 0, 0, 0
+        self.nodes, self.opened, self.low = [self.root], Counter(), 0
         self.holders: set = set()
 
     def cut(self):
         text = " ".join("".join(self.text).split())
         if text:
-            self.out.append((self.node, text, self.linked))
+            self.out.append((self.node, text, self.linked, self.low))
+            self.node.size += len(text)
+            self.low = self.node.depth
         self.text, self.linked = [], 0
 
+    def go_up(self, to):
+        while self.node is not to:
+            self.silent -= self.node.tag in SILENT
+            self.opened[self.node.tag] -= 1
+            self.node = self.node.parent
+        self.low = min(self.low, to.depth)
+
     def end_head(self):
         if self.node.tag == "head":
-            self.silent -= 1
-            self.node = self.node.parent
+            self.go_up(self.node.parent)
 
     def handle_starttag(self, tag, attrs):
         if tag not in IN_HEAD:
@@ -106,7 +126,10 @@ class _Blocks(HTMLParser):
         at = self.node
         while at.tag in ends and at.parent:
             at = at.parent
+        self.go_up(at)
         self.node = _Node(tag, at, attrs)
+        self.nodes.append(self.node)
+        self.opened[tag] += 1
         self.silent += tag in SILENT
         if self.node.main:
             while at is not None and at not in self.holders:
@@ -122,15 +145,13 @@ class _Blocks(HTMLParser):
         if tag in INLINE:
             self.in_link -= tag == "a" and self.in_link > 0
             return
+        if not self.opened[tag]:
+            return
         at = self.node
-        while at.parent is not None and at.tag != tag:
+        while at.tag != tag:
             at = at.parent
-        if at.parent is None:
-            return
         self.cut()
-        while self.node is not at.parent:
-            self.silent -= self.node.tag in SILENT
-            self.node = self.node.parent
+        self.go_up(at.parent)
 
     def handle_data(self, data):
         if self.node.tag == "head" and data.strip():
@@ -141,7 +162,8 @@ class _Blocks(HTMLParser):
                 self.linked += len(data.strip())
 
 
-def blocks(html: str) -> tuple[list[tuple], set]:
+def blocks(html: str) -> list[tuple]:
+    """(node, text, characters inside links, depth shared with the block before) in order; the nodes know what their ancestors say."""
     at = html.rfind("<")
     if at >= 0 and ">" not in html[at:] and (at + 1 == len(html) or html[at + 1].isalpha() or html[at + 1] in "/!?"):
         html = html[:at]
@@ -149,36 +171,51 @@ def blocks(html: str) -> tuple[list[tuple], set]:
     parser.feed(html)
     parser.close()
     parser.cut()
-    return parser.out, parser.holders
+    for node in reversed(parser.nodes[1:]):
+        node.parent.size += node.size
+    whole = parser.root.size
+    for node in parser.nodes:
+        above = node.parent
+        node.inside = node.main or above is not None and above.inside
+        node.away, node.sums = (above.away, above.sums) if above else ((False, False), (0.0, 0.0))
+        if above:
+            weighed = [_weight(node, parser.holders, inside, whole) for inside in (False, True)]
+            node.away = tuple(a or w is None for a, w in zip(node.away, weighed))
+            node.sums = tuple(t + (w or 0.0) for t, w in zip(node.sums, weighed))
+    return parser.out
+
+
+def _weight(node: _Node, holders: set, inside: bool, whole: int) -> float | None:
+    """What an element says about the blocks in it, of which `inside` says whether they stand in an article; none if they can't be content."""
+    # the element holds the article; or it holds most of a page without an article, and is no place for readers
+    wraps = node in holders or node.main or node.tag in ("html", "body")
+    most = not holders and 2 * node.size > whole and not node.bad & READERS
+    if node.hidden:
+        return None
+    if node.tag in AWAY and node not in holders and not most:
+        return None
+    total = 0.0
+    if node.tag in ("header", "noscript") and not inside:
+        total -= 6
+    if not wraps:
+        strong = node.bad - WEAK
+        if strong and not most:
+            return None
+        if node.bad:
+            total -= 1 if inside or most else 6
+        elif not inside and node.words & HEADS:
+            total -= 4
+    if node.words & GOOD and not node.bad:
+        total += 1.5
+    return total
 
 
-def score(node: _Node, text: str, linked: int, holders: set) -> float:
+def score(node: _Node, text: str, linked: int) -> float:
     """Positive: more likely content."""
-    inside = False
-    total, at = 0.0, node
-    while at is not None:
-        inside |= at.main
-        at = at.parent
-    at = node
-    while at.parent is not None:
-        wraps = at in holders or at.main or at.tag in ("html", "body")
-        if at.tag in AWAY and at not in holders:
-            total -= 6
-        if at.tag in ("header", "noscript") and not inside:
-            total -= 6
-        if at.hidden:
-            total -= 6
-        if not wraps:
-            if at.words & (BAD - WEAK if inside else BAD):
-                total -= 6
-            elif at.words & BAD:
-                total -= 1
-            elif not inside and at.words & HEADS:
-                total -= 4
-        if at.words & GOOD and not at.words & BAD:
-            total += 1.5
-        at = at.parent
-    total += 3 if inside else 0
+    inside = node.inside
+    if node.away[inside]:
+        return HARD
+    total = node.sums[inside] + (3 if inside else 0)
     words = text.count(" ") + 1
     total += min(2.0, words / 12) - (0.0 if inside else 0.8)
     if node.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
@@ -191,18 +228,6 @@ def score(node: _Node, text: str, linked: int, holders: set) -> float:
     return total
 
 
-def _closeness(a: _Node, b: _Node) -> float:
-    """The share of ancestors that two nodes have in common."""
-    deep = max(a.depth, b.depth, 1)
-    while a.depth > b.depth:
-        a = a.parent
-    while b.depth > a.depth:
-        b = b.parent
-    while a is not b:
-        a, b = a.parent, b.parent
-    return a.depth / deep
-
-
 def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Which nodes stay on the source's side. source, sink: terminal capacities; edges have one in both directions."""
     n = len(source)
@@ -274,14 +299,15 @@ def _reached(net: list[float], graph: list[dict[int, float]], nodes: list[int])
 
 def labelled(html: str) -> list[tuple[str, bool]]:
     """The blocks of a page in order, each with whether it is content."""
-    found, holders = blocks(html)
-    scores = [score(*b, holders) for b in found]
+    found = blocks(html)
+    scores = [score(*b[:3]) for b in found]
     source = [math.log1p(math.exp(min(s, 30))) for s in scores]
-    sink = [math.log1p(math.exp(min(-s, 30))) for s in scores]
+    sink = [-s if s == HARD else math.log1p(math.exp(min(-s, 30))) for s in scores]
     edges, last = [], {}
-    for i, (node, _, _) in enumerate(found):
+    for i, (node, _, _, shared) in enumerate(found):
         if i:
-            edges.append((i - 1, i, SMOOTH * _closeness(found[i - 1][0], node)))
+            # the share of ancestors that both have
+            edges.append((i - 1, i, SMOOTH * shared / max(found[i - 1][0].depth, node.depth, 1)))
         if last.get(node.parent, i - 1) != i - 1:
             edges.append((last[node.parent], i, SMOOTH / 2))
         last[node.parent] = i

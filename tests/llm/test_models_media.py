@@ -356,3 +356,65 @@ def test_frame_rows(spark, docs):
     media = head + frame(1 << 2, 0, [0, 1]) + frame(1 << 2 | 1, 1, [1, 0]) + b"\x3b"
     got = gif_media.frame_rows(spark.createDataFrame([(1, media), (2, None)], "doc_id long, media binary")).orderBy("frame").collect()
     assert [(r["doc_id"], r["frame"], r["delay"], r["histogram"][0], r["histogram"][63]) for r in got] == [(1, 0, 7, 1, 1), (1, 1, 7, 0, 2)]
+
+
+FIRST = "The first paragraph of the article tells at length what happened on that day in the town and who was there to see it all."
+SECOND = "The second paragraph goes on with the story, naming the people and the places, and ends the matter for all of its readers."
+ASIDE = "Twenty four words or more stand here which are not a part of the story at all but still look much like a paragraph of it to machines."
+
+
+@pytest.mark.parametrize("begin", ["<aside>", "<footer>", "<form>", "<nav>", '<div class="advert">', '<div class="comments">', '<div id="comment-list">', '<div class="newsletter">', '<div class="cookie-notice">', '<div style="display:none">', "<section hidden>", '<div class="sidebar-content">'])
+def test_what_is_no_part_of_an_article_goes_from_inside_it(begin):
+    tag = begin[1:].split()[0].strip(">")
+    page = f"<html><body><article><p>{FIRST}</p>{begin}<p>{ASIDE}</p><div><div><p>{ASIDE}</p></div></div></{tag}><p>{SECOND}</p></article></body></html>"
+    assert main_text.main_text(page) == f"{FIRST} {SECOND}"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="post-comments-enabled entry-content"><p>{a}</p><p>{b}</p></div>',
+        '<body class="no-sidebar comments-open"><form id="aspnetForm"><div><p>{a}</p><p>{b}</p></div><div class="footer"><p>Terms and so on</p></div></form></body>',
+        '<form class="search"><article class="has-newsletter"><p>{a}</p><p>{b}</p></article></form>',
+        '<div class="social"><div><p>{a}</p><p>{b}</p></div></div><div class="sidebar"><p>Some few words</p></div>',
+    ],
+)
+def test_a_name_or_a_form_round_the_page_keeps_it(page):
+    assert main_text.main_text(page.format(a=FIRST, b=SECOND)) == f"{FIRST} {SECOND}"
+
+
+def test_readers_comments_are_no_text_however_long():
+    page = f'<div class="content"><p>{FIRST}</p></div><div class="comments">' + f"<p>{ASIDE}</p>" * 20 + "</div>"
+    assert main_text.main_text(page) == FIRST
+
+
+def test_deep_pages_take_time_by_their_length():
+    import time
+
+    for page in ("<div><p>hi there" * 8000, "<div>" * 8000 + "</x>" * 8000 + "<p>hi there", "<p>hi" + "</div>" * 8000):
+        began = time.time()
+        main_text.main_text(page)
+        assert time.time() - began < 5
+
+
+def test_labels_are_a_minimum_cut_of_the_page():
+    """Small mixed pages: no other labelling of the blocks costs less, and blocks that can't be content never are."""
+    from itertools import product
+
+    rng = np.random.default_rng(9)
+    parts = ["<p>{}</p>", "<div>{}</div>", '<p><a href="/x">{}</a></p>', '<div class="ad">{}</div>', "<aside>{}</aside>", "<h2>{}</h2>"]
+    for _ in range(30):
+        page = "".join(rng.choice(parts).format("word " * int(rng.integers(1, 25)) + f"n{k}") for k in range(int(rng.integers(2, 8))))
+        found = main_text.blocks(page)
+        scores = [main_text.score(*b[:3]) for b in found]
+        costs = [(min(np.log1p(np.exp(min(s, 30))), 30), 1000 if s == main_text.HARD else np.log1p(np.exp(-s))) for s in scores]  # of leaving out, of keeping
+        edges = [(i - 1, i, found[i][3] / max(found[i - 1][0].depth, found[i][0].depth, 1)) for i in range(1, len(found))]
+        last = {}
+        for i, b in enumerate(found):
+            if last.get(b[0].parent, i - 1) != i - 1:
+                edges.append((last[b[0].parent], i, 0.5))
+            last[b[0].parent] = i
+        cost = lambda side: sum(c[1] if kept else c[0] for c, kept in zip(costs, side)) + sum(w for a, b, w in edges if side[a] != side[b])  # noqa: B023, E731
+        got = [kept for _, kept in main_text.labelled(page)]
+        assert cost(got) == pytest.approx(min(map(cost, product([True, False], repeat=len(found)))))
+        assert not any(kept and s == main_text.HARD for kept, s in zip(got, scores))
