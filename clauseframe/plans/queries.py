@@ -204,12 +204,15 @@ _DASHES = ["-、 甲", "—、 乙", "（-） 丙", "（—） 丁", "(-) 戊",
 
 
 @query(
-    "SELECT i::INT AS i, replace(replace(replace(replace(CASE WHEN substr(t, 2, 1) = '、' THEN '一' || substr(t, 2) ELSE t END, '（-）', '（一）'), '（—）', '（一）'), '(-)', '(一)'), '(—)', '(一)') AS text FROM (VALUES "
+    "SELECT l_orderkey, l_linenumber, l_partkey, i::INT AS i, replace(replace(replace(replace(CASE WHEN substr(t, 2, 1) = '、' THEN '一' || substr(t, 2) ELSE t END, '（-）', '（一）'), '（—）', '（一）'), '(-)', '(一)'), '(—)', '(一)') || l_partkey || '—' || l_suppkey AS text FROM lineitem JOIN (VALUES "
     + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_DASHES))
-    + ") v(i, t)"
+    + ") v(i, t) ON i = (l_orderkey + l_partkey) % 8"
 )
 def clean_dashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(_DASHES)), "i int, t string").select("i", clean_html(F.col("t")).alias("text"))
+    """Each line's goods after one of the forms; dashes between numbers stay."""
+    form = F.get(F.array(*map(F.lit, _DASHES)), F.col("i"))
+    rows = _spread(tables.table(spark, sf_dir, "lineitem")).withColumn("i", F.expr("int((l_orderkey + l_partkey) % 8)"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "i", clean_html(F.concat(form, "l_partkey", F.lit("—"), "l_suppkey")).alias("text"))
 
 
 @query(r"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda p: regexp_matches(p, '\S')))::INT AS para_count FROM documents")
@@ -217,9 +220,17 @@ def paragraph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.paragraph_counts(_spread(tables.table(spark, sf_dir, "documents")), "doc_id", "text")
 
 
-@query(f"SELECT rn::INT AS n, {_CN} AS cn, rn::BIGINT AS back FROM range(1, 100) t(rn)")
+#: A number from 1 to 9999, digit by digit: zeros between digits are read once, a leading ten has no one.
+_CN_LONG = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+ substr('零一二三四五六七八九', (n // 1000)::INT + 1, 1) || '千' || substr('零一二三四五六七八九', (n // 100 % 10)::INT + 1, 1) || '百' || substr('零一二三四五六七八九', (n // 10 % 10)::INT + 1, 1) || '十' || substr('零一二三四五六七八九', (n % 10)::INT + 1, 1),
+ '零[千百十]', '零', 'g'), '零+', '零', 'g'), '^零|零$', '', 'g'), '^一十', '十')"""
+
+
+@query(f"WITH k AS (SELECT o_orderkey, 1 + (o_orderkey * 7 + o_custkey) % 9999 AS n FROM orders) SELECT o_orderkey AS law_id, n, {_CN_LONG} AS cn, n AS back FROM k")
 def cn_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = spark.range(1, 100).select(F.col("id").cast("int").alias("n"), int_to_cn(F.col("id")).alias("cn"))
+    """A numeral for each order, and back."""
+    n = _spread(tables.table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("law_id"), F.expr("1 + (o_orderkey * 7 + o_custkey) % 9999").alias("n"))
+    n = n.withColumn("cn", int_to_cn(F.col("n")))
     return n.withColumn("back", cn_to_int(F.col("cn")))
 
 
@@ -235,14 +246,16 @@ _LEFTS = ["", "根据", "（", "见", "意见", "超过", "至少", "的", "、"
 
 
 @query(
-    "SELECT p AS left_text, NOT (regexp_matches(rtrim(p, ' 　'), '(根据|[‘“「『《〈（\\[(〔｢、，]|[过第单]|至少)$') OR (regexp_matches(rtrim(p, ' 　'), '见$') AND NOT regexp_matches(rtrim(p, ' 　'), '意见$'))"
-    " OR regexp_matches(rtrim(p, ' 　'), '(将|作为|给|的|对|按|按规定)$') OR (contains(p, '按《') AND suffix(p, '》'))) AS kept FROM (VALUES "
-    + ", ".join(f"('{t}')" for t in _LEFTS)
-    + ") v(p)"
+    "SELECT law_id, p AS left_text, NOT (regexp_matches(rtrim(p, ' 　'), '(根据|[‘“「『《〈（\\[(〔｢、，]|[过第单]|至少)$') OR (regexp_matches(rtrim(p, ' 　'), '见$') AND NOT regexp_matches(rtrim(p, ' 　'), '意见$'))"
+    " OR regexp_matches(rtrim(p, ' 　'), '(将|作为|给|的|对|按|按规定)$') OR (contains(p, '按《') AND suffix(p, '》'))) AS kept FROM (SELECT l_orderkey AS law_id, '货物' || l_partkey || '，重' || l_quantity::BIGINT || t AS p FROM lineitem JOIN (VALUES "
+    + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_LEFTS))
+    + f") v(i, t) ON i = (l_orderkey + l_partkey) % {len(_LEFTS)}) u"
 )
 def marker_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(t,) for t in _LEFTS], "left_text string")
-    return rows.select("left_text", (F.size(markers.raw_markers(F.concat("left_text", F.lit("第五条 正文")), ["条"])) > 0).alias("kept"))
+    """An article after each line's goods and what may stand before a reference."""
+    form = F.get(F.array(*map(F.lit, _LEFTS)), F.expr(f"int((l_orderkey + l_partkey) % {len(_LEFTS)})"))
+    rows = _spread(tables.table(spark, sf_dir, "lineitem")).select(F.col("l_orderkey").alias("law_id"), apart(F.concat(F.lit("货物"), "l_partkey", F.lit("，重"), F.col("l_quantity").cast("long"), form)).alias("left_text"))
+    return rows.select("law_id", "left_text", (F.size(markers.raw_markers(F.concat("left_text", F.lit("第五条 正文")), ["条"])) > 0).alias("kept"))
 
 
 @query("WITH" + _LINES + ", d AS (SELECT DISTINCT l_orderkey AS law_id, l_linenumber AS v FROM lineitem), r AS (SELECT law_id, v, row_number() OVER (PARTITION BY law_id ORDER BY v) AS k FROM d) SELECT law_id, (CASE WHEN coalesce(max(v) FILTER (v = k), 0) >= 2 THEN max(v) FILTER (v = k) ELSE 0 END)::BIGINT AS n FROM r GROUP BY law_id")
@@ -406,7 +419,8 @@ def inferred_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PLAIN_RULES = ("FJ", "XT", "FIG", "KG", "TON", "PCT", "KM", "ZL", "ZX", "MD")
-_NOISE = "'附件' || l_linenumber || '中表' || l_linenumber || '，重' || l_partkey || '吨或' || l_suppkey || '千克，占' || l_linenumber || '%，见图' || l_linenumber || '.2，' || l_linenumber || '月3日，科目' || l_linenumber || '、专栏7'"
+_YEAR = "CASE WHEN {0} BETWEEN 1949 AND 2030 THEN '___PB_YR_1___' ELSE {0}::VARCHAR END"  # what looks like a year is one
+_NOISE = f"'附件' || l_linenumber || '中表' || l_linenumber || '，重' || {_YEAR.format('l_partkey')} || '吨或' || {_YEAR.format('l_suppkey')} || '千克，占' || l_linenumber || '%，见图' || l_linenumber || '.2，' || l_linenumber || '月3日，科目' || l_linenumber || '、专栏7'"
 
 
 def _masked_sql(text: str) -> str:
@@ -416,12 +430,12 @@ def _masked_sql(text: str) -> str:
     return text
 
 
+#: The text needs these rules of all that are applied.
 @query(f"SELECT l_orderkey AS law_id, l_linenumber, l_partkey, {_masked_sql('(' + _NOISE + ')')} AS masked FROM lineitem")
 def mask_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = lambda *xs: F.concat(*[F.col(x) if x.startswith("l_") else F.lit(x) for x in xs])
     text = s("附件", "l_linenumber", "中表", "l_linenumber", "，重", "l_partkey", "吨或", "l_suppkey", "千克，占", "l_linenumber", "%，见图", "l_linenumber", ".2，", "l_linenumber", "月3日，科目", "l_linenumber", "、专栏7")
-    rules = [r for r in C.MASK_RULES if r[0] in _PLAIN_RULES]
-    return tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("law_id"), "l_linenumber", "l_partkey", mask.tokens(text, rules).alias("masked"))
+    return tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("law_id"), "l_linenumber", "l_partkey", mask.tokens(text, C.MASK_RULES).alias("masked"))
 
 
 #: Texts in which what is masked stands in « », after = where the mask begins as a Han character.

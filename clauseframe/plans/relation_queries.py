@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from clauseframe.functions.ordinals import int_to_cn
 from clauseframe.functions.sql import apart
 from clauseframe.functions.stored import shared_folder
 from clauseframe.operators import markers, relations, table_function
@@ -222,3 +223,54 @@ def workbook_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.sort_array(F.collect_list(F.struct(F.col("序号").cast("int").alias("n"), "内容")))
     parts = parts.agg(F.count("*").alias("fragments"), F.md5(F.array_join(F.transform(line, lambda x: F.concat(x["n"].cast("string"), x["内容"])), "|")).alias("content"))
     return reports.select("law_id", F.col("文本长度").alias("raw_char_count"), F.col("最终拆分类型").alias("split_types"), F.col("段落数").alias("para_count")).join(parts, "law_id")
+
+
+@query(
+    f"""WITH{_LINES}, m AS (SELECT law_id, rn, count(*) OVER (PARTITION BY law_id) AS n, '第' || cn || '条 自2025年' || (1 + rn % 9) || '月1日起，重' || l_partkey || '吨，见附件' || rn || '、表' || rn || '，按第2款。' AS line FROM x)
+SELECT law_id, rn::INT AS seq, line AS content FROM m WHERE n >= 3 UNION ALL SELECT law_id, 1, string_agg(line, chr(10) ORDER BY rn) FROM m WHERE n < 3 GROUP BY law_id"""
+)
+def restored_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles full of dates, weights and references, which are masked while the text is cut and stand in its fragments again."""
+    line = F.concat(F.lit("第"), "cn", F.lit("条 自2025年"), 1 + F.col("rn") % 9, F.lit("月1日起，重"), "l_partkey", F.lit("吨，见附件"), "rn", F.lit("、表"), "rn", F.lit("，按第2款。"))
+    return api.fragments_table(api.split_documents(_spread(_texts(_lines(spark, sf_dir), line)))).select("law_id", "seq", "content")
+
+
+#: A stray article at the end, which scoring rolls back.
+_STRAY = "第三十条 远"
+
+
+@query(
+    _PARTS
+    + f""", size AS (SELECT law_id, count(*) AS n FROM x GROUP BY law_id),
+b AS (SELECT p.*, size.n, CASE WHEN size.n >= 5 THEN type IN ('章', '节', '条') ELSE type = '括号' END AS cuts FROM placed p JOIN size USING (law_id)),
+g AS (SELECT *, count(*) FILTER (cuts) OVER (PARTITION BY law_id ORDER BY rn, k) AS piece FROM b),
+f AS (SELECT law_id, n, piece, string_agg(marker || rest, chr(10) ORDER BY rn, k) AS content, min_by(type, start) AS type FROM g GROUP BY ALL)
+SELECT law_id, row_number() OVER w::INT AS seq, content || CASE WHEN lead(piece) OVER w IS NULL THEN chr(10) || '{_STRAY}' ELSE '' END AS content, CASE WHEN piece > 0 THEN type END AS split_type,
+ CASE WHEN piece = 0 THEN NULL WHEN n < 5 THEN 0 WHEN type = '节' THEN 0 WHEN type = '章' THEN 1 ELSE 2 END::INT AS index_level, CASE WHEN n >= 5 AND lead(piece) OVER w IS NULL THEN 'rollback:条@30' ELSE '' END AS extra
+FROM f WINDOW w AS (PARTITION BY law_id ORDER BY piece)"""
+)
+def nested_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters, sections and articles with brackets, and a stray article at the end: fragments of several types, levels and a rollback."""
+    docs = _nested_docs(spark, sf_dir, "括号").withColumn("text", F.concat("text", F.lit("\n" + _STRAY)))
+    return api.fragments_table(api.split_documents(_spread(docs))).select("law_id", "seq", "content", "split_type", "index_level", "extra")
+
+
+@query(
+    f"""WITH{_LINES}, d AS (SELECT law_id, count(*) AS n FROM x GROUP BY law_id)
+SELECT law_id, 'forced' AS kind, CASE WHEN n >= 3 THEN '中文是,条' ELSE '纯文本' END AS all_tags, CASE WHEN n >= 3 THEN '条' ELSE '纯文本' END AS spine_types, CASE WHEN n >= 3 THEN n ELSE 0 END::INT AS max_n, CASE WHEN n >= 3 THEN 1 ELSE 0 END::INT AS max_gc FROM d
+UNION ALL SELECT law_id, 'kinds', CASE WHEN n >= 3 THEN '文书类型' ELSE '纯文本' END, CASE WHEN n >= 3 THEN '文书类型' ELSE '纯文本' END, 0, CASE WHEN n >= 3 THEN n ELSE 0 END::INT FROM d
+UNION ALL SELECT law_id, 'fallback', CASE WHEN n >= 5 THEN '括号,条' WHEN n >= 3 THEN '括号' ELSE '括号,数字点' END, CASE WHEN n >= 5 THEN '条' WHEN n >= 3 THEN '括号' ELSE '括号,数字点' END, CASE WHEN n >= 5 THEN n ELSE 3 END::INT, n::INT FROM d"""
+)
+def tag_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rules of the report: enumerations that count without groups, kinds of documents that count by their number, and brackets that stay because dotted numbers were suppressed."""
+    lines = _lines(spark, sf_dir)
+    article = F.concat(F.lit("第"), "cn", F.lit("条 货物。"))
+    # 三是, 二是, 一是 backwards: a run among the values, but no group
+    back = lines.withColumn("back", F.count("*").over(Window.partitionBy("law_id")) - F.col("rn") + 1)
+    backwards = _texts(back.withColumn("rn", F.col("rn") + 100), F.concat(int_to_cn(F.col("back")), F.lit("是甲乙"))).withColumnRenamed("text", "more")
+    forced = _texts(lines, article).join(backwards.select("law_id", "more"), "law_id").select("law_id", F.lit("forced").alias("kind"), F.concat_ws("\n", "text", "more").alias("text"))
+    kinds = _texts(lines, F.lit("《通知》 甲")).select("law_id", F.lit("kinds").alias("kind"), "text")
+    inner = "".join(f"\n（{c}）甲" for c in "一二三") + "".join(f"\n1.{k} 乙" for k in (1, 2, 3))
+    fallback = _texts(lines, F.concat(article, F.lit(inner))).select("law_id", F.lit("fallback").alias("kind"), "text")
+    out = api.analyse_documents(_spread(forced.union(kinds).union(fallback)))
+    return out.select("law_id", "kind", F.array_join("report.all_tags", ",").alias("all_tags"), F.array_join("report.spine_types", ",").alias("spine_types"), "report.max_n", "report.max_gc")
