@@ -11,8 +11,10 @@ A text is a bag of words: its highest margins and length, through a logistic cur
 are also read as one word. Characters other than Latin letters and digits share the kernel's symbols with these, by a hash.
 
 Learning uses a bounded sample of the labelled rows (about `per_class` of each class, by a hash of doc_id), with near copies
-taken once (the one with the smallest doc_id). It begins with words that the labels tell apart: word counts by class are made by Spark, and of these
-only bounded lists reach the driver (`likely` telling words, `plain` clean ones, and a `pool` from which the nearest clean ones are added).
+taken once (the one with the smallest doc_id). It begins with words that the labels tell apart, by counts that Spark makes. Toxic rows
+that no telling word explains are counted again by pairs of neighbouring words, so that an insult of two harmless words is learned as
+one. Against the telling words stands a working set of clean ones: it begins with `start` of them, and in each round all clean words of the
+sample are held against the machine in tasks, and those within its margin join; so no word of the sample is left out.
 Then the machine is trained on the labelled sentences as bags of words: every sentence counts once, by its word of the highest
 margin under the machine before, for `SENTENCE_ROUNDS` rounds; toxic sentences without a word of positive margin tell nothing and wait.
 
@@ -28,8 +30,9 @@ import re
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,8 +40,10 @@ from clauseframe.llm import textcore as tc
 
 PER_CLASS = 3_000
 LANDMARKS = 256
-LIKELY, PLAIN, POOL = 1_500, 4_000, 40_000
+START = 4_000
+EDGE = -1.0  # the machine's margin: clean words above it join the working set
 BEGINNINGS = (4, 5, 6)
+PAIRED = 2  # letters of both words that make a pair worth reading
 ROUNDS, SENTENCE_ROUNDS = 4, 2
 RIDGE = 1e-5
 TOPS = 3
@@ -157,8 +162,10 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, weights: np.ndarray | None, bias: float, curve: np.ndarray | None):
-        self.weights, self.bias, self.curve, self.name = weights, bias, curve, uuid.uuid4().hex
+    """The machine, the curve from margins to scores, and the beginnings of pairs of words that are read as one."""
+
+    def __init__(self, weights: np.ndarray | None, bias: float, curve: np.ndarray | None, pairs: frozenset[tuple[str, str]] = frozenset()):
+        self.weights, self.bias, self.curve, self.pairs, self.name = weights, bias, curve, pairs, uuid.uuid4().hex
 
 
 def _windows(word: str) -> list[str]:
@@ -188,9 +195,14 @@ def word_margins(model: Model, words: list[str]) -> np.ndarray:
     return out
 
 
-def _words(text: str) -> list[str]:
+def _words(text: str, pairs: frozenset[tuple[str, str]] = frozenset()) -> list[str]:
     text = text.lower()
-    return text.split() + [m.replace(" ", "") for m in _SPELLED.findall(text)]
+    words = text.split()
+    out = words + [m.replace(" ", "") for m in _SPELLED.findall(text)]
+    if pairs:
+        plain = [w if w.isalnum() else "".join(filter(str.isalnum, w)) for w in words]
+        out += [a + b for a, b in zip(plain, plain[1:]) if (a[:PAIRED], b[:PAIRED]) in pairs]
+    return out
 
 
 class Scorer:
@@ -199,7 +211,7 @@ class Scorer:
 
     def tops(self, texts: list[str]) -> np.ndarray:
         """The highest margins of each text's words, and the logarithm of their number."""
-        cut = list(map(_words, texts))
+        cut = [_words(t, self.model.pairs) for t in texts]
         if len(self.known) > CACHED:
             self.known.clear()
         known = self.known
@@ -246,7 +258,7 @@ def witnesses(sentences: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             rows = []
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                parts = sorted({w for word in _words(text or "") for w in _windows(word) if w})
+                parts = sorted({w for word in _words(text or "", shared.value.pairs) for w in _windows(word) if w})
                 if parts:
                     got = word_margins(shared.value, parts)
                     best = int(got.argmax())
@@ -258,11 +270,46 @@ def witnesses(sentences: DataFrame, model: Model) -> DataFrame:
     return sentences.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, word string, margin double")
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, landmarks: int = LANDMARKS, likely_words: int = LIKELY, plain_words: int = PLAIN, pool_words: int = POOL) -> Model:
+def unsettled(words: DataFrame, model: Model) -> DataFrame:
+    """(word) -> the words with a margin above EDGE."""
+    shared = words.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            above = word_margins(shared.value, batch.column("word").to_pylist()) > EDGE
+            yield batch.filter(pa.array(above))
+
+    return words.select("word").mapInArrow(run, "word string")
+
+
+def plain_words() -> Column:
+    """The words of a text in lower case, without what is no letter or digit."""
+    return F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\s]", ""), r"\s+")
+
+
+def _pairs(bags: DataFrame) -> DataFrame:
+    """The neighbouring words of each row, once each."""
+    both = "transform(sequence(1, size(plain) - 1), i -> struct(plain[i - 1] AS a, plain[i] AS b))"
+    plain = bags.withColumn("plain", F.filter(plain_words(), lambda w: w != ""))
+    return plain.where("size(plain) > 1").select(F.explode(F.array_distinct(F.expr(both))).alias("pair")).select("pair.*")
+
+
+def _telling_pairs(bags: DataFrame, likely: DataFrame, chance: float) -> DataFrame:
+    """(a, b): neighbours that chance would hardly put into toxic rows alone, among those rows that hold no likely word."""
+    toxic = bags.where("toxic = 1")
+    told = toxic.select("row", F.explode("words").alias("word")).join(likely, "word", "left_semi").select("row").distinct()
+    rare = math.log(1 / chance)
+    often = _pairs(toxic.join(told, "row", "left_anti")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("pos")).where(F.col("pos") * rare > math.log(1e6))
+    clean = _pairs(bags.where("toxic = 0")).join(often, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count(F.lit(1)).alias("neg"))
+    surprise = (F.col("pos") - 2 * F.coalesce("neg", F.lit(0))) * rare
+    return often.join(clean, ["a", "b"], "left").where(surprise > math.log(1e6)).select("a", "b")
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, landmarks: int = LANDMARKS, start: int = START) -> Model:
     """docs (doc_id, text), labels (doc_id, toxic): learn from a bounded sample of the labelled rows.
 
-    Bounds of what is learned from: per_class labelled rows of each class; of the sample's words, likely_words telling ones,
-    plain_words clean ones to begin with, and pool_words from which the clean ones nearest to the machine are added.
+    The bounds are per_class labelled rows of each class, and landmarks of the kernel. start is the size of the first working set of
+    clean words, which grows by all those that the machine doesn't settle.
     """
     spark = docs.sparkSession
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -275,16 +322,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, landmark
     if chosen.count() > 4 * per_class + 1000:
         raise ValueError("far more labelled rows were chosen than per_class allows")
     sample = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
-    words = F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\s]", ""), r"\s+")
-    bags = sample.select("doc_id", "text", "toxic", words.alias("words"))
-    for seed in (1, 2):  # near copies, which share their least run of three words, count once
+    bags = sample.select("doc_id", "text", "toxic", plain_words().alias("words"))
+    for seed in (1, 2):  # near copies, which mostly share their least run of three words, count once
         runs = f"transform(sequence(1, greatest(size(words) - 2, 1)), i -> xxhash64(slice(words, i, 3), {seed}))"
         first = F.min_by(F.struct("doc_id", "text", "toxic", "words"), F.struct("doc_id", "text"))
         bags = bags.groupBy(F.expr(f"array_min({runs})").alias("key")).agg(first.alias("one")).select("one.*")
     # long words in the windows that scoring reads them in
     cut = f"transform(words, w -> if(length(w) <= {WINDOW}, array(w), transform(sequence(1, length(w) - {WINDOW // 2}, {WINDOW // 2}), i -> substr(w, i, {WINDOW}))))"
     bags = bags.withColumn("words", F.expr(f"array_distinct(flatten({cut}))"))
-    bags = tc.written(bags, spark)
+    bags = tc.written(bags.withColumn("row", F.monotonically_increasing_id()), spark)
     n = {r["toxic"]: r["count"] for r in bags.groupBy("toxic").count().collect()}
     if not (n.get(0) and n.get(1)):
         return Model(None, FLOOR, None)
@@ -296,21 +342,31 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, landmark
     units = units.groupBy("unit").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
     chance = n[1] / (n[0] + n[1])
     surprise = F.col("pos") * math.log(1 / chance) - F.col("neg") * math.log(1 / chance) * 2
-    telling = units.where(surprise > math.log(1e6)).orderBy(surprise.desc(), "unit").limit(likely_words)
+    telling = units.where(surprise > math.log(1e6)).select("unit", surprise.alias("surprise"))
     own = F.array(*[F.left("word", F.lit(k)) for k in BEGINNINGS], F.col("word"))
-    named = table.where("pos > neg").select("word", F.explode(F.array_distinct(own)).alias("unit")).join(F.broadcast(telling.select("unit", surprise.alias("surprise"))), "unit")
-    likely = named.groupBy("word").agg(F.max_by("unit", F.struct("surprise", "unit")).alias("unit")).orderBy("unit", "word").limit(20 * likely_words).toPandas()
-    plain = table.where("pos < neg").orderBy(F.desc("neg"), "word").limit(plain_words // 2).toPandas()
-    other = table.where("pos = 0").orderBy(F.xxhash64("word", F.lit(3)), "word").limit(pool_words).toPandas()
-    if likely.empty or plain.empty:
-        return Model(None, FLOOR, None)
+    named = table.where("pos > neg").select("word", F.explode(F.array_distinct(own)).alias("unit")).join(telling, "unit")
+    named = tc.written(named.groupBy("word").agg(F.max_by("unit", F.struct("surprise", "unit")).alias("unit")), spark)
+    pairs = _telling_pairs(bags, named, chance).toPandas()
+    begins = sorted({(a[:PAIRED], b[:PAIRED]) for a, b in zip(pairs["a"], pairs["b"])})
     # words of clean rows that share a telling beginning are left out, as neither kind
-    begins = tuple(likely["unit"].unique())
-    pool = [w for w in dict.fromkeys([*plain["word"], *other["word"]]) if not w.startswith(begins)]
-    negative = pool[:plain_words]
+    heads = F.explode(F.expr("transform(sequence(1, length(word)), k -> left(word, k))"))
+    alike = table.where("pos < neg").select("word", heads.alias("unit")).join(named.select("unit"), "unit", "left_semi").select("word").distinct()
+    pool = table.where("pos < neg").join(alike, "word", "left_anti").select("word", "neg")
+    if begins:  # neighbours in clean rows that will be read as one word
+        near = spark.createDataFrame(begins, "a2 string, b2 string")
+        joined = _pairs(bags.where("toxic = 0")).join(near, F.expr(f"left(a, {PAIRED}) = a2 AND left(b, {PAIRED}) = b2"), "left_semi")
+        pool = pool.union(joined.groupBy(F.concat("a", "b")).agg(F.count(F.lit(1)).alias("neg")))
+    pool = tc.written(pool, spark)
+    often = pool.orderBy(F.desc("neg"), "word").limit(start // 2).toPandas()["word"]
+    other = pool.orderBy(F.xxhash64("word", F.lit(3)), "word").limit(start // 2).toPandas()["word"]
+    negative = list(dict.fromkeys([*often, *other]))
+    likely = named.toPandas().sort_values(["unit", "word"])
+    likely = pd.concat([likely, pd.DataFrame({"word": pairs["a"] + pairs["b"], "unit": pairs["a"] + " " + pairs["b"]})])
+    if likely.empty or not negative:
+        return Model(None, FLOOR, None)
     # each telling beginning counts alike, however many words have it
     likely["turn"] = likely.groupby("unit").cumcount()
-    likely = likely.sort_values(["turn", "unit"])[:likely_words]
+    likely = likely.sort_values(["turn", "unit"])
     positive, support = likely["word"].tolist(), 1 / likely.groupby("unit")["word"].transform("count").to_numpy(dtype=float)
     chosen_marks = positive[: landmarks // 2] + negative[: landmarks // 2]
     kernel = Kernel(chosen_marks)
@@ -323,7 +379,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, landmark
     def trained(w: np.ndarray) -> Model:
         weights = np.zeros(64**3, dtype=np.float32)
         weights[kernel.used] = kernel.table[1:] @ (root @ w[:-1])
-        return Model(weights, float(w[-1]), np.zeros(TOPS + 2))
+        return Model(weights, float(w[-1]), np.zeros(TOPS + 2), frozenset(begins))
 
     good = np.ones(len(positive), dtype=bool)
     for k in range(ROUNDS):
@@ -335,10 +391,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, landmark
         if now.any():
             good = now
         model = trained(w)
-        if k + 1 < ROUNDS:  # the clean words that come nearest are learned too
-            near = np.argsort(-word_margins(model, pool), kind="stable")[: plain_words // 3]
-            had = set(negative)
-            more = [pool[i] for i in near if pool[i] not in had]
+        if k + 1 < ROUNDS:  # the clean words that are not settled yet are learned too
+            more = sorted(set(unsettled(pool, model).toPandas()["word"]).difference(negative))
             if more:
                 negative += more
                 xn = np.vstack([xn, kernel.values(more) @ root])
@@ -353,7 +407,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, landmark
     seen = margins(bags.select("text", "toxic"), model, "tops").select("toxic", "tops").toPandas()
     # the classes keep the shares that they have among all labels
     curve = _logistic(np.vstack(seen["tops"]), seen["toxic"].to_numpy(dtype=float))
-    return Model(model.weights, model.bias, curve)
+    return Model(model.weights, model.bias, curve, model.pairs)
 
 
 def score(docs: DataFrame, model: Model, column: str = "toxic_score") -> DataFrame:

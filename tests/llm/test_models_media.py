@@ -153,6 +153,42 @@ def test_witnesses_are_the_strongest_words(spark):
     assert toxicity.witnesses(table.join(marks, "doc_id"), model).count() == want
 
 
+def test_an_insult_of_two_harmless_words(spark):
+    """Both words stand in clean rows as often, but never side by side; some toxic rows have a telling word instead."""
+    from tests.llm.conftest import sentence
+
+    rows, labels = [], []
+    for i in range(400):
+        w = sentence(i, 40).split()
+        toxic = i % 4 == 0
+        if toxic and i % 8 == 0:
+            w[9] = "gromblar"
+        elif toxic:
+            w[9:11] = ["Walking,", "carpet!"]
+        else:
+            w[9], w[20] = "walking", "carpet"
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    table, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(table, marks)
+    assert ("wa", "ca") in model.pairs
+    new = [(1, sentence(900, 30) + " walking carpet " + sentence(901, 30)), (2, sentence(902, 30) + " walking carpets " + sentence(903, 9))]
+    new += [(3, sentence(904, 30) + " carpet walking " + sentence(905, 30)), (4, "walking " + sentence(906, 30) + " carpet"), (5, "w a l k i n g"), (6, None)]
+    got = {r["doc_id"]: r["toxic_score"] >= toxicity.THRESHOLD for r in toxicity.score(spark.createDataFrame(new, "doc_id long, text string"), model).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: False, 5: False, 6: False}
+    seen = {r["doc_id"]: r["toxic_score"] >= toxicity.THRESHOLD for r in toxicity.score(table, model).collect()}
+    assert np.mean([seen[i] == bool(t) for i, t in labels]) > 0.97
+
+
+@pytest.mark.parametrize("start", [20, 4_000])
+def test_no_clean_word_of_the_sample_is_left_out(spark, start):
+    rows, labels = _abuse()
+    table, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(table, marks, start=start)
+    clean = sorted({w for (_, text), (_, toxic) in zip(rows, labels) if not toxic for w in text.split()})
+    assert toxicity.word_margins(model, clean).max() < 0 < toxicity.word_margins(model, ["gromblar", "skuntel", "vexidork"]).min()
+
+
 def test_toxicity(spark, docs, none):
     rows, labels = _abuse()
     table, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
