@@ -15,7 +15,8 @@ a frame. The columns hold digests of what is read back from the canvas, and the
 
 Edge cases: null and empty texts are one row of spaces; very long texts have many frames; equal texts have equal columns; repeated
 rows are stored each; an empty table gives an empty result. Samples of 255 (none in UTF-8) switch transparency off for their
-text. Other columns are ignored. Damaged files raise ValueError.
+text. Other columns are ignored. Damaged files raise ValueError in `decode`, and are a row
+with an error in `frame_rows`.
 """
 
 from __future__ import annotations
@@ -305,6 +306,10 @@ def _blocks(media: bytes) -> tuple[Gif, list[tuple[int, bytes, bool]]]:
             own = shared
             if kind & 0x80:
                 own, at = palette(at, kind)
+            if own is None:
+                raise ValueError("a frame without a palette")
+            if not 1 <= media[at] <= 8:
+                raise ValueError("an unknown code size")
             data, after = sub_blocks(at + 1)
             streams.append((media[at], data, bool(kind & 0x40)))
             frames.append(Frame(left, top, w, h, *control, own, np.zeros((0, 0), dtype=np.uint8)))
@@ -314,9 +319,16 @@ def _blocks(media: bytes) -> tuple[Gif, list[tuple[int, bytes, bool]]]:
     return Gif(width, height, background, frames), streams
 
 
+def _parsed(media: bytes) -> tuple[Gif, list[tuple[int, bytes, bool]]]:
+    try:
+        return _blocks(media)
+    except (struct.error, IndexError) as error:
+        raise ValueError("the file ends early") from error
+
+
 def decode(files: list[bytes]) -> list[Gif]:
     """GIFs with the samples of their frames; the streams of all files are decoded together."""
-    parsed, by_size = [_blocks(m) for m in files], {}
+    parsed, by_size = [_parsed(m) for m in files], {}
     for gif, streams in parsed:
         for frame, (least, data, woven) in zip(gif.frames, streams):
             by_size.setdefault(least, []).append((frame, data, woven))
@@ -417,21 +429,29 @@ def media_files(docs: DataFrame) -> DataFrame:
     return tc.text_only(docs).mapInArrow(_files, "doc_id long, media binary")
 
 
+_FRAME_SCHEMA = "doc_id long, frame int, delay int, disposal int, histogram array<bigint>, error string"
+_FRAME_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.string()]
+
+
 def _frames(batches):
     for batch in batches:
         for i in range(batch.num_rows):
-            media = batch.column("media")[i].as_py()
-            rows = timed_frames(decode([media])[0]) if media is not None else []
+            doc, media = batch.column("doc_id")[i].as_py(), batch.column("media")[i].as_py()
+            try:
+                rows = [(doc, *shown, None) for shown in timed_frames(decode([media])[0])] if media is not None else []
+            except ValueError as error:
+                rows = [(doc, None, None, None, None, str(error))]
             if rows:
-                index, delay, disposal, bars = zip(*rows)
-                doc = pa.array([batch.column("doc_id")[i].as_py()] * len(rows), pa.int64())
-                yield pa.RecordBatch.from_arrays([doc, *(pa.array(c, pa.int32()) for c in (index, delay, disposal)), pa.array(bars, pa.list_(pa.int64()))], ["doc_id", "frame", "delay", "disposal", "histogram"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _FRAME_KINDS)], "doc_id frame delay disposal histogram error".split())
 
 
 def frame_rows(files: DataFrame) -> DataFrame:
-    """files (doc_id, media) -> (doc_id, frame, delay, disposal, histogram): a row for each frame of each GIF."""
+    """files (doc_id, media) -> (doc_id, frame, delay, disposal, histogram, error): a row for each frame of each GIF.
+
+    A damaged file is one row with an error and nulls; null media and files without frames have no row.
+    """
     files = files.selectExpr("cast(doc_id as long) AS doc_id", "cast(media as binary) AS media")
-    return files.mapInArrow(_frames, "doc_id long, frame int, delay int, disposal int, histogram array<bigint>")
+    return files.mapInArrow(_frames, _FRAME_SCHEMA)
 
 
 def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -392,6 +392,13 @@ def test_frame_rows(spark, docs):
     media = head + frame(1 << 2, 0, [0, 1]) + frame(1 << 2 | 1, 1, [1, 0]) + b"\x3b"
     got = gif_media.frame_rows(spark.createDataFrame([(1, media), (2, None)], "doc_id long, media binary")).orderBy("frame").collect()
     assert [(r["doc_id"], r["frame"], r["delay"], r["histogram"][0], r["histogram"][63]) for r in got] == [(1, 0, 7, 1, 1), (1, 1, 7, 0, 2)]
+    bare = b"GIF89a" + struct.pack("<HHBBB", 2, 1, 0, 0, 0) + frame(1 << 2, 0, [0, 1])
+    rows = [(0, media), (1, b""), (2, b"GIF89a"), (3, bare), (4, head + b"?"), (5, media.replace(b"\x02" + gif_media._sub_blocks(_lzw([1, 0], 2)), b"\x0c\x00"))]  # noqa: SLF001
+    rows += [(100 + k, media[:k]) for k in range(len(media) - 1)]
+    got = gif_media.frame_rows(spark.createDataFrame(rows, "doc_id long, media binary")).collect()
+    errors = {r["doc_id"]: r["error"] for r in got if r["error"]}
+    assert {i: errors.get(i) for i in range(6)} == {0: None, 1: "not a GIF", 2: "the file ends early", 3: "a frame without a palette", 4: "an unknown block", 5: "an unknown code size"}
+    assert sum(r["doc_id"] == 0 for r in got) == 2 and all(r["frame"] is None for r in got if r["error"])
 
 
 FIRST = "The first paragraph of the article tells at length what happened on that day in the town and who was there to see it all."
