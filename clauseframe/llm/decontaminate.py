@@ -12,16 +12,21 @@ are then verified exactly by the weighted Jaccard similarity of their shingle mu
 
 With similarity 0.75 fingerprints differ in 88 bits on average, with a standard deviation of 8.5; the default radius is 128.
 
-The benchmark is read in blocks of bounded size, each held against all documents and broadcast; with more than one block, what each
-block finds is written before the next is read. Documents never leave their rows for it.
+A Spark job shingles the benchmark and indexes it in blocks of bounded size, each of which is broadcast by itself. One block is held against
+the documents at once. If there are more, documents are still read once: a bitmap of SLOTS bits over all shingles of the benchmark, put together by
+Spark, finds every stretch of a document that an item-sized window may come from, and these stretches, written as a table, are held against
+block after block. The bitmap says yes too often at worst, so no window is lost. The driver sees one block, the bitmap and the sizes of items
+that occur (n sizes take n * n / 2 words).
 
 Edge cases: null or blank documents and items match nothing; a document with fewer words than an item is one window;
-repeated rows give repeated hits; of equally similar windows the first is reported; an empty benchmark or table gives no hit.
-Other columns are ignored by `contamination` and kept by `without_contaminated`.
+repeated documents give repeated hits, repeated items (by item_id) one, their best; of equally similar windows the first is reported; an empty
+benchmark or table gives no hit. Other columns are ignored by `contamination` and kept by `without_contaminated`.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,12 +41,26 @@ BLOCKS = 8 * WORDS
 WITHIN = 2
 BLOCK_TEXT = 4_000_000  # bytes of items that are held at once
 STRETCH = 2_048
+SLOTS = 1 << 27
+CHUNK = 1 << 15  # bits of a bitmap that Spark puts together at once
 _BITS = np.arange(64, dtype=np.uint64)
 #: What makes a block's value another one within two bits.
 _NEAR = np.array([x for x in range(256) if x.bit_count() <= WITHIN], dtype=np.int64)
 _FIRST = np.arange(BLOCKS, dtype=np.int64) * 256
 
 
+def possible(known: np.ndarray, size: int, span: int, percent: int) -> np.ndarray:
+    """Where windows of `span` shingles begin that may be as similar to an item of `size`; known: running number of benchmark shingles."""
+    # both of them share at most the known shingles of the window
+    return np.flatnonzero((100 + percent) * (known[span:] - known[: max(len(known) - span, 0)]) >= percent * (span + size))
+
+
+def running(hits: np.ndarray, n: int) -> np.ndarray:
+    known = np.zeros(n + 1, dtype=np.int64)
+    known[hits + 1] = 1
+    return np.cumsum(known)
+
+
 def fingerprints(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """SimHash of hashes[start:end] for each window, as rows of bytes, by running sums of the bits."""
     out = np.empty((len(starts), BLOCKS), dtype=np.uint8)
@@ -108,15 +127,12 @@ class Items:
         at = np.minimum(np.searchsorted(self.all, hashes[maybe]), len(self.all) - 1)
         return maybe[self.all[at] == hashes[maybe]]
 
-    def search(self, hashes: np.ndarray, hits: np.ndarray, percent: int):
-        """The best window of each item in one document: (item, start, shingles, similarity, distance)."""
-        known = np.zeros(len(hashes) + 1, dtype=np.int64)
-        known[hits + 1] = 1
-        known = np.cumsum(known)
+    def search(self, hashes: np.ndarray, hits: np.ndarray, percent: int, total: int):
+        """The best window of each item in a stretch of a document of `total` shingles: (item, start, shingles, similarity, distance)."""
+        known = running(hits, len(hashes))
         for size, index in self.by_size.items():
-            span = min(size, len(hashes))
-            # both of them share at most the known shingles of the window
-            starts = np.flatnonzero((100 + percent) * (known[span:] - known[: len(known) - span]) >= percent * (span + size))
+            span = min(size, total)
+            starts = possible(known, size, span, percent)
             best: dict[int, tuple] = {}
             step = max(1, min(STRETCH, 4_000_000 // (BLOCKS * max(len(index.names), 16))))
             for at in range(0, len(starts), step):
@@ -133,91 +149,230 @@ class Items:
                 yield index.names[k], -start, span, similarity, d
 
 
+class Sieve:
+    """All shingles of a benchmark as a bitmap, and its items' sizes by shingle width."""
+
+    def __init__(self, chunks: list[tuple[int, bytes]], sizes: list[tuple[int, int]]):
+        self.bits = np.zeros((SLOTS // CHUNK, CHUNK // 8), dtype=np.uint8)
+        for k, bits in chunks:
+            self.bits[k] = np.frombuffer(bits, dtype=np.uint8)
+        self.bits = self.bits.ravel()
+        self.sizes: dict[int, list[int]] = {}
+        for width, size in sizes:
+            self.sizes.setdefault(width, []).append(size)
+
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        slot = _slots(hashes)
+        return np.flatnonzero(self.bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+
+    def stretches(self, width: int, hits: np.ndarray, n: int, percent: int):
+        """(from, to) of what windows cover that an item may be similar to."""
+        known, edge = running(hits, n), np.zeros(n + 1, dtype=np.int64)
+        for size in self.sizes[width]:
+            span = min(size, n)
+            starts = possible(known, size, span, percent)
+            edge[starts] += 1
+            edge[starts + span] -= 1
+        covered = np.concatenate([[False], np.cumsum(edge) > 0])
+        bounds = np.flatnonzero(covered[1:] != covered[:-1])
+        return zip(bounds[0::2].tolist(), bounds[1::2].tolist())
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def _with_hits(words: np.ndarray, counts: np.ndarray, width: int, known):
+    """(row, its shingles, places of those that are known) of each text of a block that has one."""
+    hashes, at = tc.shingle_hashes(words, counts, width)
+    if width < tc.SHINGLE:  # a text shorter than the item holds no whole item
+        short = np.flatnonzero((np.diff(counts) > 0) & (np.diff(counts) < width))
+        hashes = hashes.copy()
+        hashes[at[short]] = 0
+    places = known(hashes)
+    rows = np.searchsorted(at, places, side="right") - 1
+    heads = np.flatnonzero(np.diff(rows, prepend=-1))
+    for row, own in zip(rows[heads].tolist(), np.split(places, heads[1:])):
+        yield row, hashes[at[row] : at[row + 1]], own - at[row]
+
+
+def _better(best: dict, key, start: int, n_words: int, similarity: float, distance: int) -> None:
+    new = (similarity, -start, distance, n_words)
+    best[key] = max(best.get(key, new), new)
+
+
 def _scan(broadcast, percent: int, flag: str | None):
     """Rows with hits, or all columns with a flag for the rows that have one."""
 
-    def of(groups, words, counts):
-        for group in groups:
-            hashes, at = tc.shingle_hashes(words, counts, group.width)
-            if group.width < tc.SHINGLE:  # a text shorter than the item holds no whole item
-                short = np.flatnonzero((np.diff(counts) > 0) & (np.diff(counts) < group.width))
-                hashes = hashes.copy()
-                hashes[at[short]] = 0
-            places = group.known(hashes)
-            rows = np.searchsorted(at, places, side="right") - 1
-            heads = np.flatnonzero(np.diff(rows, prepend=-1))
-            for row, own in zip(rows[heads].tolist(), np.split(places, heads[1:])):
-                for item, start, size, similarity, d in group.search(hashes[at[row] : at[row + 1]], own - at[row], percent):
-                    yield row, item, start, size + group.width - 1, similarity, d
-
     def run(batches):
         tc.release()
         for batch in batches:
             found, dirty = [], np.zeros(batch.num_rows, dtype=bool)
             for first, to, data, offsets in tc.text_blocks(batch.column("text")):
+                best: dict[tuple, tuple] = {}
+                words, counts = tc.word_hashes(data, offsets)
+                for group in broadcast.value:
+                    for row, hashes, hits in _with_hits(words, counts, group.width, group.known):
+                        for item, start, size, similarity, d in group.search(hashes, hits, percent, len(hashes)):
+                            _better(best, (row, item), start, size + group.width - 1, similarity, d)
                 ids = batch.column("doc_id").slice(first, to - first) if flag is None else None
-                for row, *hit in of(broadcast.value, *tc.word_hashes(data, offsets)):
+                for (row, item), (similarity, start, d, n) in best.items():
                     dirty[first + row] = True
                     if ids is not None:
-                        found.append((ids[row].as_py(), *hit))
+                        found.append((ids[row].as_py(), item, -start, n, similarity, d))
             if flag is not None:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dirty)], [*batch.schema.names, flag])
             elif found:
-                kinds = [pa.int64()] * 4 + [pa.float64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], ["doc_id", "item_id", "start_word", "n_words", "similarity", "distance"])
+                yield _batch(found, HIT)
+
+    return run
+
+
+HIT = {"doc_id": pa.int64(), "item_id": pa.int64(), "start_word": pa.int64(), "n_words": pa.int64(), "similarity": pa.float64(), "distance": pa.int64()}
+HIT_SCHEMA = "doc_id long, item_id long, start_word long, n_words long, similarity double, distance long"
+ROW_HIT, ROW_HIT_SCHEMA = {"row": pa.int64()} | HIT, f"row long, {HIT_SCHEMA}"
+STRETCHES = {"row": pa.int64(), "doc_id": pa.int64(), "width": pa.int32(), "start": pa.int64(), "total": pa.int64(), "hashes": pa.binary()}
+STRETCHES_SCHEMA = "row long, doc_id long, width int, start long, total long, hashes binary"
+
+
+def _batch(rows: list[tuple], kinds: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], list(kinds))
+
+
+def _sift(broadcast, percent: int):
+    """The stretches of documents (row, doc_id, text) that may be like an item, as shingles."""
+
+    def run(batches):
+        tc.release()
+        for batch in batches:
+            for first, to, data, offsets in tc.text_blocks(batch.column("text")):
+                sieve, found = broadcast.value, []
+                words, counts = tc.word_hashes(data, offsets)
+                for width in sieve.sizes:
+                    for row, hashes, hits in _with_hits(words, counts, width, sieve.known):
+                        for low, high in sieve.stretches(width, hits, len(hashes), percent):
+                            names = (batch.column(c)[first + row].as_py() for c in ("row", "doc_id"))
+                            found.append((*names, width, low, len(hashes), hashes[low:high].tobytes()))
+                if found:
+                    yield _batch(found, STRETCHES)
 
     return run
 
 
-def _index(rows, radius: int) -> list[Items]:
-    groups: dict[int, list] = {}
-    for row in rows:
-        data = np.frombuffer((row["text"] or "").encode(), dtype=np.uint8)
-        words, counts = tc.word_hashes(data, np.array([0, len(data)]))
-        if len(words):
-            width = min(tc.SHINGLE, len(words))
-            groups.setdefault(width, []).append((row["item_id"], tc.shingle_hashes(words, counts, width)[0]))
-    return [Items(w, some, radius) for w, some in groups.items()]
+def _held_against(broadcast, percent: int):
+    """Hits of one block of items in stretches."""
 
+    def run(batches):
+        groups = {group.width: group for group in broadcast.value}
+        for batch in batches:
+            best: dict[tuple, tuple] = {}
+            for row, doc_id, width, low, total, own in zip(*(batch.column(c).to_pylist() for c in STRETCHES)):
+                if width in groups:
+                    hashes = np.frombuffer(own, dtype=np.uint64)
+                    for item, start, size, similarity, d in groups[width].search(hashes, groups[width].known(hashes), percent, total):
+                        _better(best, (row, doc_id, item), low + start, size + width - 1, similarity, d)
+            if best:
+                yield _batch([(*key, -start, n, similarity, d) for key, (similarity, start, d, n) in best.items()], ROW_HIT)
 
-def _blocks(benchmark: DataFrame, radius: int):
-    """(number of blocks, broadcast index) of some megabytes of items' text at a time."""
-    spark = benchmark.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // BLOCK_TEXT)
-    for k in range(n):
-        yield n, spark.sparkContext.broadcast(_index(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect(), radius))
+    return run
+
+
+def _shingled(batches):
+    """Items (block, item_id, text) as shingles; those without a word go."""
+    for batch in batches:
+        for first, to, data, offsets in tc.text_blocks(batch.column("text")):
+            words, counts = tc.word_hashes(data, offsets)
+            of_width = {w: tc.shingle_hashes(words, counts, w) for w in np.unique(np.minimum(np.diff(counts), tc.SHINGLE)).tolist() if w}
+            found = []
+            for k, n in enumerate(np.minimum(np.diff(counts), tc.SHINGLE).tolist()):
+                if n:
+                    hashes, at = of_width[n]
+                    found.append((batch.column("block")[first + k].as_py(), batch.column("item_id")[first + k].as_py(), n, hashes[at[k] : at[k + 1]].tobytes()))
+            if found:
+                yield _batch(found, {"block": pa.int64(), "item_id": pa.int64(), "width": pa.int32(), "hashes": pa.binary()})
+
+
+def _slots_of(batches):
+    for batch in batches:
+        slots = [_slots(np.frombuffer(h, dtype=np.uint64)) for h in batch.column("hashes").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *slots])))], ["slot"])
+
+
+def _indexed(radius: int):
+    def build(table: pa.Table) -> pa.Table:
+        groups: dict[int, list] = {}
+        for item, width, own in zip(*(table.column(c).to_pylist() for c in ("item_id", "width", "hashes"))):
+            groups.setdefault(width, []).append((item, np.frombuffer(own, dtype=np.uint64)))
+        index = pickle.dumps([Items(w, some, radius) for w, some in groups.items()])
+        return pa.table({"block": table.column("block").slice(0, 1), "index": pa.array([index], pa.binary())})
+
+    return build
+
+
+class Benchmark:
+    """A benchmark as blocks of indexed items, made by Spark jobs."""
+
+    def __init__(self, benchmark: DataFrame, radius: int):
+        self.spark = benchmark.sparkSession
+        items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+        self.blocks = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_TEXT)
+        block = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(self.blocks, 1))).alias("block")
+        self.items = items.distinct().select(block, "item_id", "text").mapInArrow(_shingled, "block long, item_id long, width int, hashes binary")
+        if self.blocks > 1:
+            self.items = tc.written(self.items, self.spark)
+        self.index = self.items.groupBy("block").applyInArrow(_indexed(radius), "block long, index binary")
+        if self.blocks > 1:
+            self.index = tc.written(self.index, self.spark)
+
+    def one(self, k: int):
+        """Block k as a broadcast."""
+        row = self.index.where(F.col("block") == k).first()
+        return self.spark.sparkContext.broadcast(pickle.loads(row["index"]) if row else [])
+
+    def sieve(self):
+        sizes = self.items.select("width", (F.octet_length("hashes") / 8).cast("long").alias("size")).distinct().collect()
+        slots = self.items.mapInArrow(_slots_of, "slot long")
+        chunk = F.shiftright("slot", CHUNK.bit_length() - 1).alias("chunk")
+        chunks = slots.groupBy(chunk).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(CHUNK - 1)).alias("bits")).collect()
+        return self.spark.sparkContext.broadcast(Sieve([tuple(c) for c in chunks], [tuple(s) for s in sizes]))
+
+    def hits(self, docs: DataFrame, percent: int) -> DataFrame:
+        """docs (row, doc_id, text), read once -> (row, doc_id, item_id ...), the best window of each row and item."""
+        sieve = self.sieve()
+        stretches = tc.written(docs.mapInArrow(_sift(sieve, percent), STRETCHES_SCHEMA), self.spark)
+        sieve.destroy()
+        out = None
+        for k in range(self.blocks):
+            index = self.one(k)
+            part = tc.written(stretches.mapInArrow(_held_against(index, percent), ROW_HIT_SCHEMA), self.spark)
+            index.destroy()
+            out = part if out is None else out.union(part)
+        # an item may be found in several stretches
+        best = F.max(F.struct("similarity", (-F.col("start_word")).alias("start"), "distance", "n_words")).alias("best")
+        return out.groupBy("row", "doc_id", "item_id").agg(best).select(
+            "row", "doc_id", "item_id", (-F.col("best.start")).alias("start_word"), "best.n_words", "best.similarity", "best.distance"
+        )
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
     """docs (doc_id, text), benchmark (item_id, text) -> the best window of each document and item that match."""
-    spark, schema = docs.sparkSession, "doc_id long, item_id long, start_word long, n_words long, similarity double, distance long"
-    out = None
-    for n, index in _blocks(benchmark, radius):
-        part = tc.text_only(docs).mapInArrow(_scan(index, percent, None), schema)
-        if n > 1:
-            part = tc.written(part, spark)
-            index.destroy()
-        out = part if out is None else out.union(part)
-    return spark.createDataFrame([], schema) if out is None else out
+    held = Benchmark(benchmark, radius)
+    if held.blocks <= 1:
+        return tc.text_only(docs).mapInArrow(_scan(held.one(0), percent, None), HIT_SCHEMA)
+    return held.hits(tc.text_only(docs).withColumn("row", F.monotonically_increasing_id()), percent).drop("row")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
     """The rows of docs, with all their columns, that match no item."""
-    spark, columns = docs.sparkSession, docs.columns
-    flag, row = tc.fresh(columns, "contaminated"), tc.fresh(columns, "row_number")
-    dirty = None
-    for n, index in _blocks(benchmark, radius):
-        if n == 1:
-            return docs.mapInArrow(_scan(index, percent, flag), _with(docs, flag)).where(~F.col(flag)).select(*columns)
-        if dirty is None:
-            docs = tc.written(docs.withColumn(row, F.monotonically_increasing_id()), spark)
-        part = docs.select(row, "text")
-        part = tc.written(part.mapInArrow(_scan(index, percent, flag), _with(part, flag)).where(flag).select(row), spark)
-        index.destroy()
-        dirty = part if dirty is None else dirty.union(part)
-    return docs if dirty is None else docs.join(dirty.distinct(), row, "left_anti").select(*columns)
+    held, columns = Benchmark(benchmark, radius), docs.columns
+    if held.blocks <= 1:
+        flag = tc.fresh(columns, "contaminated")
+        return docs.mapInArrow(_scan(held.one(0), percent, flag), _with(docs, flag)).where(~F.col(flag)).select(*columns)
+    row = tc.fresh(columns, "row_number")
+    docs = tc.written(docs.withColumn(row, F.monotonically_increasing_id()), held.spark)
+    texts = docs.select(F.col(row).alias("row"), F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    dirty = held.hits(texts, percent).select(F.col("row").alias(row)).distinct()
+    return docs.join(dirty, row, "left_anti").select(*columns)
 
 
 def _with(df: DataFrame, flag: str) -> T.StructType:

@@ -117,6 +117,29 @@ def test_decontamination(spark, docs, monkeypatch, block):
     assert decontaminate.contamination(df, bench.limit(0)).count() == 0 and decontaminate.contamination(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_reads_documents_once_in_blocks(spark, monkeypatch):
+    """Repeated items and documents, items over several blocks and stretches: as one block gives them, from one pass over the documents."""
+    items = [(i, sentence(900 + i, 12 + i % 9)) for i in range(40)] + [(3, sentence(903, 15)), (4, sentence(990, 30)), (50, sentence(930, 60)), (None, sentence(991, 20))]
+    rows = [(i // 2, " ".join(t for k in range(i % 4) for t in (sentence(i + k, 40), items[(7 * i + k) % 40][1]))) for i in range(60)]
+    rows += [(70, items[5][1] + " gap " * 50 + items[5][1]), (71, items[41][1] + " " + items[43][1]), (71, None), (None, items[42][1])]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = Counter(map(tuple, decontaminate.contamination(df, bench).collect()))
+    assert len(want) > 60 and any(i is None for _, i, *_ in want)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(decontaminate, "BLOCK_TEXT", 500)
+    got = decontaminate.contamination(df.mapInArrow(counted, df.schema), bench).collect()
+    assert Counter(map(tuple, got)) == want and seen.value == len(rows)
+    kept = [tuple(r) for r in decontaminate.without_contaminated(df, bench).collect()]
+    monkeypatch.undo()
+    assert Counter(kept) == Counter(tuple(r) for r in decontaminate.without_contaminated(df, bench).collect()) and (71, None) in kept
+
+
 def test_large_ids_and_repeated_ids(spark):
     """Ids that doubles can't hold, beside null; a doc_id whose texts link to two others joins them."""
     base, big = sentence(21, 60), 2**53
