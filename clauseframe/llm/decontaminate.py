@@ -10,6 +10,8 @@ up with the 37 values within two bits, and an item found in all other blocks at
 near pass that count (for random fingerprints about one in 100,000), and no pair within the radius is lost. Candidates
 are then verified exactly by the weighted Jaccard similarity of their shingle multisets (sum of the smaller counts by sum of the larger).
 
+The items of a size have an index for each cell of about CELL of them; a window is looked up in the cells of the anchors it holds (`Cells`).
+
 With similarity 0.75 fingerprints differ in 88 bits on average, with a standard deviation of 8.5; the default radius is 128.
 
 A Spark job shingles the benchmark and indexes it in blocks of bounded size, each of which is broadcast by itself. One block is held against
@@ -41,6 +43,7 @@ BLOCKS = 8 * WORDS
 WITHIN = 2
 BLOCK_TEXT = 4_000_000  # bytes of items that are held at once
 STRETCH = 2_048
+CELL = 16  # items that share an index, about
 SLOTS = 1 << 27
 CHUNK = 1 << 15  # bits of a bitmap that Spark puts together at once
 _BITS = np.arange(64, dtype=np.uint64)
@@ -52,7 +55,10 @@ _FIRST = np.arange(BLOCKS, dtype=np.int64) * 256
 def possible(known: np.ndarray, size: int, span: int, percent: int) -> np.ndarray:
     """Where windows of `span` shingles begin that may be as similar to an item of `size`; known: running number of benchmark shingles."""
     # both of them share at most the known shingles of the window
-    return np.flatnonzero((100 + percent) * (known[span:] - known[: max(len(known) - span, 0)]) >= percent * (span + size))
+    need = percent * (span + size)
+    if span >= len(known) or (100 + percent) * known[-1] < need:
+        return np.zeros(0, dtype=np.int64)
+    return np.flatnonzero((100 + percent) * (known[span:] - known[: len(known) - span]) >= need)
 
 
 def running(hits: np.ndarray, n: int) -> np.ndarray:
@@ -77,22 +83,37 @@ class Index:
     """The items of one size: their fingerprints, by the values of their blocks."""
 
     def __init__(self, names: list[int], items: list[np.ndarray], radius: int):
-        self.names, self.radius, self.need = names, radius, BLOCKS - radius // (WITHIN + 1)
+        self.names = names
         self.counts = [np.unique(h, return_counts=True) for h in items]
-        self.prints = np.concatenate([fingerprints(h, np.array([0]), np.array([len(h)])) for h in items])
-        keys = (_FIRST + self.prints).ravel()
+        self._look_up(np.concatenate([fingerprints(h, np.array([0]), np.array([len(h)])) for h in items]), radius)
+        self.starts = self._starts()
+
+    def _look_up(self, prints: np.ndarray, radius: int) -> None:
+        self.prints, self.radius, self.need = prints, radius, BLOCKS - radius // (WITHIN + 1)
+        keys = (_FIRST + prints).ravel()
         order = np.argsort(keys, kind="stable")
-        self.items = (order // BLOCKS).astype(np.int32)
-        self.starts = np.searchsorted(keys[order], np.arange(256 * BLOCKS + 1))
+        self.items, self.starts = (order // BLOCKS).astype(np.int32), None
+
+    def _starts(self) -> np.ndarray:
+        sizes = np.bincount((_FIRST + self.prints).ravel(), minlength=256 * BLOCKS)
+        return np.concatenate([[0], np.cumsum(sizes)])
+
+    def part(self, items: np.ndarray) -> Index:
+        """An index of some of the items, made when it is asked."""
+        out = Index.__new__(Index)
+        out.names, out.counts = [self.names[k] for k in items], [self.counts[k] for k in items]
+        out._look_up(self.prints[items], self.radius)
+        return out
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs of a window and an item within the radius, and their distances."""
         if self.need <= 0:  # a radius so wide that blocks rule nothing out
             w, k = (x.ravel() for x in np.indices((len(prints), len(self.names))))
         else:
+            starts = self._starts() if self.starts is None else self.starts
             key = (_FIRST[None, :, None] + (prints[:, :, None] ^ _NEAR)).reshape(len(prints), -1)
-            low = self.starts[key].ravel()
-            count = self.starts[key + 1].ravel() - low
+            low = starts[key].ravel()
+            count = starts[key + 1].ravel() - low
             at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
             window = np.repeat(np.repeat(np.arange(len(prints)), key.shape[1]), count)
             pair, found = np.unique(window * len(self.names) + self.items[at], return_counts=True)
@@ -109,10 +130,50 @@ class Index:
         return int(np.minimum(often, counts[at])[names[at] == own].sum())
 
 
+class Cells:
+    """The items of one size, in cells of about CELL, so that what a window is compared with does not grow with the benchmark.
+
+    An item of n shingles of which a window must share s has its n - s + 1 smallest as anchors: one of them at least is shared.
+    An item stands in the cells of its anchors, and a window is looked up in the cells of the anchors that it holds.
+    """
+
+    def __init__(self, names: list[int], items: list[np.ndarray], radius: int, percent: int):
+        self.whole, self.anchors = Index(names, items, radius), None
+        size = len(items[0])
+        own = [np.unique(np.sort(h)[: size - -(-percent * size // 100) + 1]) for h in items]
+        many = 1 << (sum(map(len, own)) // CELL).bit_length()
+        if len(items) <= CELL or percent <= 0:
+            return
+        self.whole.items = self.whole.starts = None  # asked by parts only
+        self.anchors, self.mask = np.unique(np.concatenate(own)), np.uint64(many - 1)
+        cell = (np.concatenate(own) & self.mask).astype(np.int64)
+        pairs = np.unique(cell * len(items) + np.repeat(np.arange(len(items)), [len(a) for a in own]))
+        cell, item = np.divmod(pairs, len(items))
+        heads = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.cells = dict(zip(cell[heads].tolist(), np.split(item, heads[1:])))
+
+    def of(self, hashes: np.ndarray, hits: np.ndarray, starts: np.ndarray, span: int):
+        """(an index, which of the windows are to be looked up in it), for windows of `span` from `starts`."""
+        if self.anchors is None:
+            yield self.whole, np.arange(len(starts))
+            return
+        own = hashes[hits]
+        at = np.minimum(np.searchsorted(self.anchors, own), len(self.anchors) - 1)
+        hits = hits[self.anchors[at] == own]
+        cell = (hashes[hits] & self.mask).astype(np.int64)
+        order = np.argsort(cell, kind="stable")
+        heads = np.flatnonzero(np.diff(cell[order], prepend=-1))
+        for c, places in zip(cell[order][heads].tolist(), np.split(hits[order], heads[1:])):
+            after = np.searchsorted(places, starts)
+            inside = np.flatnonzero((after < len(places)) & (places[np.minimum(after, len(places) - 1)] < starts + span))
+            if len(inside):
+                yield self.whole.part(self.cells[c]), inside
+
+
 class Items:
     """Benchmark items with equal shingle width, indexed by window size."""
 
-    def __init__(self, width: int, items: list[tuple[int, np.ndarray]], radius: int):
+    def __init__(self, width: int, items: list[tuple[int, np.ndarray]], radius: int, percent: int):
         self.width = width
         self.all = np.unique(np.concatenate([h for _, h in items]))
         self.filter = np.zeros(1 << 20, dtype=bool)
@@ -120,7 +181,7 @@ class Items:
         sizes: dict[int, list] = {}
         for item, h in items:
             sizes.setdefault(len(h), []).append((item, h))
-        self.by_size = {size: Index([i for i, _ in some], [h for _, h in some], radius) for size, some in sizes.items()}
+        self.by_size = {size: Cells([i for i, _ in some], [h for _, h in some], radius, percent) for size, some in sizes.items()}
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
         maybe = np.flatnonzero(self.filter[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
@@ -130,23 +191,28 @@ class Items:
     def search(self, hashes: np.ndarray, hits: np.ndarray, percent: int, total: int):
         """The best window of each item in a stretch of a document of `total` shingles: (item, start, shingles, similarity, distance)."""
         known = running(hits, len(hashes))
-        for size, index in self.by_size.items():
+        for size, cells in self.by_size.items():
             span = min(size, total)
             starts = possible(known, size, span, percent)
             best: dict[int, tuple] = {}
-            step = max(1, min(STRETCH, 4_000_000 // (BLOCKS * max(len(index.names), 16))))
-            for at in range(0, len(starts), step):
-                some = starts[at : at + step]
-                for part in np.split(some, np.flatnonzero(np.diff(some) > STRETCH) + 1):
+            for some in np.split(starts, np.flatnonzero(np.diff(starts) > STRETCH) + 1):
+                for at in range(0, len(some), STRETCH):
+                    part = some[at : at + STRETCH]
                     low, high = part[0], part[-1] + span
-                    for w, k, d in zip(*index.near(fingerprints(hashes[low:high], part - low, part - low + span))):
-                        both = index.shared(k, hashes[part[w] : part[w] + span])
-                        either = span + size - both
-                        if 100 * both >= percent * either:
-                            new = (both / either, -int(part[w]), int(d))
-                            best[k] = max(best.get(k, new), new)
-            for k, (similarity, start, d) in best.items():
-                yield index.names[k], -start, span, similarity, d
+                    prints = fingerprints(hashes[low:high], part - low, part - low + span)
+                    own = hits[np.searchsorted(hits, low) : np.searchsorted(hits, high)]
+                    for index, windows in cells.of(hashes, own, part, span):
+                        step = max(1, 4_000_000 // (BLOCKS * max(len(index.names), 16)))
+                        for first in range(0, len(windows), step):
+                            asked = windows[first : first + step]
+                            for w, k, d in zip(*index.near(prints[asked])):
+                                start = int(part[asked[w]])
+                                both = index.shared(k, hashes[start : start + span])
+                                either = span + size - both
+                                if 100 * both >= percent * either:
+                                    _better(best, index.names[k], start, span, both / either, int(d))
+            for item, (similarity, start, d, _) in best.items():
+                yield item, -start, span, similarity, d
 
 
 class Sieve:
@@ -298,12 +364,12 @@ def _slots_of(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *slots])))], ["slot"])
 
 
-def _indexed(radius: int):
+def _indexed(radius: int, percent: int):
     def build(table: pa.Table) -> pa.Table:
         groups: dict[int, list] = {}
         for item, width, own in zip(*(table.column(c).to_pylist() for c in ("item_id", "width", "hashes"))):
             groups.setdefault(width, []).append((item, np.frombuffer(own, dtype=np.uint64)))
-        index = pickle.dumps([Items(w, some, radius) for w, some in groups.items()])
+        index = pickle.dumps([Items(w, some, radius, percent) for w, some in groups.items()])
         return pa.table({"block": table.column("block").slice(0, 1), "index": pa.array([index], pa.binary())})
 
     return build
@@ -312,7 +378,7 @@ def _indexed(radius: int):
 class Benchmark:
     """A benchmark as blocks of indexed items, made by Spark jobs."""
 
-    def __init__(self, benchmark: DataFrame, radius: int):
+    def __init__(self, benchmark: DataFrame, radius: int, percent: int):
         self.spark = benchmark.sparkSession
         items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
         self.blocks = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_TEXT)
@@ -320,7 +386,7 @@ class Benchmark:
         self.items = items.distinct().select(block, "item_id", "text").mapInArrow(_shingled, "block long, item_id long, width int, hashes binary")
         if self.blocks > 1:
             self.items = tc.written(self.items, self.spark)
-        self.index = self.items.groupBy("block").applyInArrow(_indexed(radius), "block long, index binary")
+        self.index = self.items.groupBy("block").applyInArrow(_indexed(radius, percent), "block long, index binary")
         if self.blocks > 1:
             self.index = tc.written(self.index, self.spark)
 
@@ -356,7 +422,7 @@ class Benchmark:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
     """docs (doc_id, text), benchmark (item_id, text) -> the best window of each document and item that match."""
-    held = Benchmark(benchmark, radius)
+    held = Benchmark(benchmark, radius, percent)
     if held.blocks <= 1:
         return tc.text_only(docs).mapInArrow(_scan(held.one(0), percent, None), HIT_SCHEMA)
     return held.hits(tc.text_only(docs).withColumn("row", F.monotonically_increasing_id()), percent).drop("row")
@@ -364,7 +430,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
     """The rows of docs, with all their columns, that match no item."""
-    held, columns = Benchmark(benchmark, radius), docs.columns
+    held, columns = Benchmark(benchmark, radius, percent), docs.columns
     if held.blocks <= 1:
         flag = tc.fresh(columns, "contaminated")
         return docs.mapInArrow(_scan(held.one(0), percent, flag), _with(docs, flag)).where(~F.col(flag)).select(*columns)

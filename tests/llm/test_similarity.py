@@ -89,6 +89,29 @@ def test_blocks_leave_few_pairs_and_lose_none():
     assert (agreeing >= index.need).mean() < 0.01
 
 
+def test_cells_leave_few_items_and_lose_none(monkeypatch):
+    """A window of a large benchmark meets about a hundredth of the items, and all that it is similar to; other cells change nothing."""
+    rng = np.random.default_rng(2)
+    fresh = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
+    items = [fresh(40) for _ in range(20_000)]
+    items[1] = np.concatenate([items[0][:38], items[0][:2]])
+    cells = decontaminate.Cells(list(range(len(items))), items, decontaminate.RADIUS, 75)
+    for k in range(0, 20_000, 400):
+        text = np.concatenate([fresh(30), items[k][:17], fresh(5), items[k][22:], fresh(9)])
+        hits = np.concatenate([np.arange(30, 47), np.arange(52, 70)])
+        asked = list(cells.of(text, hits, np.arange(25, 36), 40))
+        assert any(k in index.names and 5 in windows for index, windows in asked)
+        assert sum(len(index.names) for index, _ in asked) < 400
+    few = [(k, h) for k, h in enumerate(items[:60])] + [(k, fresh(25)) for k in range(60, 70)]
+    text = np.concatenate([part for k in range(0, 70, 3) for part in (fresh(20), few[k][1][: -(k % 4) or None])])
+    got = []
+    for cell in (1, 4, 1000):
+        monkeypatch.setattr(decontaminate, "CELL", cell)
+        group = decontaminate.Items(5, few, decontaminate.RADIUS, 75)
+        got.append(sorted(group.search(text, group.known(text), 75, len(text))))
+    assert got[0] == got[1] == got[2] and {1} | set(range(0, 70, 3)) == {k for k, *_ in got[0]}
+
+
 @pytest.mark.parametrize("block", [decontaminate.BLOCK_TEXT, 300])
 def test_decontamination(spark, docs, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_TEXT", block)
