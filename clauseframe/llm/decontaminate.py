@@ -386,7 +386,8 @@ class Benchmark:
         self.items = items.distinct().select(block, "item_id", "text").mapInArrow(_shingled, "block long, item_id long, width int, hashes binary")
         if self.blocks > 1:
             self.items = tc.written(self.items, self.spark)
-        self.index = self.items.groupBy("block").applyInArrow(_indexed(radius, percent), "block long, index binary")
+        # as many partitions as blocks: small ones would be joined to one task else
+        self.index = self.items.repartition(max(self.blocks, 1), "block").groupBy("block").applyInArrow(_indexed(radius, percent), "block long, index binary")
         if self.blocks > 1:
             self.index = tc.written(self.index, self.spark)
 
