@@ -132,6 +132,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end: int = END, l
     """docs (doc_id, text) -> a row for each piece; see PIECE. `length` must be a power of two."""
     if length < 1 or length & (length - 1):
         raise ValueError("length must be a power of two")
+    tc.bounded_batches(spark)
     table = tc.text_only(docs).mapInArrow(_pack(tokenizer, end, length, open_windows), PIECE + ", ids binary")
     table = tc.written(table.withColumn("home", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()), spark)
     left = table.where("sequence_id IS NULL").withColumn("bucket", F.expr(f"cast(floor(home / {MERGED_PARTITIONS}) as long)"))

@@ -23,6 +23,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A language explains a text if it makes the text likelier than a model without a language, in which all pieces are alike.
     Null, empty and blank texts go; repeated rows are judged each; an empty table, or one without any lang, keeps nothing.
     """
+    tc.bounded_batches(spark)
     model = language_id.fit(docs, public_tokenizers.path(language_id.VOCABULARY))
     pred, score, gain = (tc.fresh(docs.columns, c) for c in ("lang_pred", "lang_score", "lang_gain"))
     scored = language_id.predict(docs, model, pred, score, gain)
@@ -34,6 +35,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have the lowest score and stay; repeated rows are scored each; without labels of both classes all stay.
     """
+    tc.bounded_batches(spark)
     model, score = toxicity.fit(docs, tc.read_table(spark, sf_dir, "labels")), tc.fresh(docs.columns, "toxic_score")
     return toxicity.score(docs, model, score).where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
@@ -44,6 +46,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rows are grouped by their texts alone, so rows that repeat a doc_id with another text stay; of equal rows one stays. Null
     and blank texts are no copies of anything and stay.
     """
+    tc.bounded_batches(spark)
     row = tc.fresh(docs.columns, "row_number")
     docs = tc.written(docs.withColumn(row, F.monotonically_increasing_id()), spark)
     parts = jaccard_components(spark, docs.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
@@ -62,6 +65,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Null and blank texts hold none and stay; repeated rows are judged each; an empty benchmark keeps all.
     """
+    tc.bounded_batches(spark)
     return decontaminate.without_contaminated(docs, tc.read_table(spark, sf_dir, "benchmark"))
 
 

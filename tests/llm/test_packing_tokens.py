@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -137,3 +138,14 @@ def test_packing_keeps_ids_that_doubles_cannot_hold(spark):
     rows = [(2**53 + 1, "one two"), (2**53 + 3, "three four five"), (None, "six"), (-(2**62) - 1, None)]
     got = packing.pack(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), PATH(packing.TOKENIZER)).collect()
     assert {r["doc_id"] for r in got} == {r[0] for r in rows} and all(r["length"] > 0 for r in got)
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('amber basil ', 1000) AS text")
+    packing.pack(spark, docs.limit(1), PATH(packing.TOKENIZER))
+    got = [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) > 36_000_000 and max(got) < 2 * packing.tc.BATCH_BYTES
