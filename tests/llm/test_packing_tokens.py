@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from clauseframe.llm import packing, sharding, token_counts, token_shards
+from clauseframe.llm import packing, sharding, token_counts, token_shards, word_ids
 from clauseframe.llm.word_ids import WordIds
 
 PATH = public_tokenizers.path
@@ -28,6 +28,18 @@ def test_word_ids_equal_the_library():
     assert [np.frombuffer(ids.ids(t), "<u4").tolist() for t in odd] == [x[:-1].tolist() for x in expected_ids(odd)]
 
 
+def test_words_met_again_are_cut_once(monkeypatch):
+    monkeypatch.setattr(word_ids, "CACHED", 40)
+    cut, part = [], WordIds._part
+    monkeypatch.setattr(WordIds, "_part", lambda self, x: cut.append(x) or part(self, x))
+    ids = WordIds(PATH(packing.TOKENIZER))
+    texts = [f"Often the, rare{'abcdefghij'[i % 10] * (1 + i // 10)} it's {'long' * 20}{i}." for i in range(300)]
+    assert [np.frombuffer(ids.ids(t), "<u4").tolist() for t in texts] == [x[:-1].tolist() for x in expected_ids(texts)]
+    assert cut.count("often") == cut.count("the") == cut.count(",") == 1
+    # the cache is bounded in words and in their length
+    assert len(ids.known) + len(ids.known.last) <= 80 and max(map(len, ids.known)) <= word_ids.LONG
+
+
 def test_packing_covers_every_id_once(spark, docs, texts):
     rows = packing.pack(spark, docs.repartition(3), PATH(packing.TOKENIZER), length=256, open_windows=4).collect()
     whole = defaultdict(list)
