@@ -19,23 +19,26 @@ def _star(both: DataFrame, small: bool) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether all links form stars: no node has two links to smaller nodes, or one of those and another to a larger node."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down")).union(edges.select("v", F.lit(0)))
+    return not ends.groupBy("node").agg(F.sum("down").alias("down"), F.count("*").alias("c")).where("down > 0 AND c > 1").agg(F.count("*")).first()[0]
+
+
 def connected_components(spark: SparkSession, links: DataFrame, most_rounds: int = 50) -> DataFrame:
     """links (u long, v long) -> (node, component): the smallest node reachable from each linked node.
 
     A node without a link is absent. Minima are pre-aggregated, so a node with very many links does
-    not gather them in one task; the number of rounds grows with the logarithm of the longest path.
+    not gather them in one task; the number of rounds grows with the logarithm of the longest path, and there is none
+    for links that are stars already. Both steps of a round are written, so that the driver plans each by itself.
     """
     edges = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), spark)
-    mark = None
-    for _ in range(most_rounds):
+    rounds = 0
+    while not _settled(edges):
+        if rounds == most_rounds:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        edges = _star(both, small=False)
-        edges = written(_star(edges.where("u > v"), small=True), spark)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == mark:
-            break
-        mark = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    stars = edges.groupBy("u").agg(F.min("v").alias("v"))
-    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        edges = written(_star(both, small=False), spark)
+        edges = written(_star(edges, small=True), spark)
+        rounds += 1
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -188,6 +188,16 @@ def _parts(spark: SparkSession, nodes: DataFrame, links: DataFrame) -> DataFrame
     return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("part"))
 
 
+def _joined(spark: SparkSession, parts: DataFrame, owned: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, part) for the nodes of both tables, after links between the parts: components are joined as wholes, their own links are not looked at again."""
+    parts = parts.select("node", "part")
+    for end in ("u", "v"):
+        links = links.join(parts.select(F.col("node").alias(end), "part"), end, "left").withColumn(end, F.coalesce("part", end)).drop("part")
+    found = _small(connected_components(spark, links).select(F.col("node").alias("part"), "component"), spark)
+    others = owned.select("node").distinct().join(parts, "node", "left_anti").select("node", F.col("node").alias("part"))
+    return parts.union(others).join(found, "part", "left").select("node", F.coalesce("component", "part").alias("part"))
+
+
 def _grouped_links(spark: SparkSession, nodes: DataFrame, percent: int) -> DataFrame:
     """Links inside chunks of nodes that share a least token in one of several orders.
 
@@ -278,7 +288,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 75)
     if far.isEmpty() and own.isEmpty():
         final = parts.select("node", "part")
     else:
-        final = _parts(spark, names.select("node").union(owned.select("node")).distinct(), links.union(far).union(own))
+        final = _joined(spark, parts, owned, tc.written(far.union(own), spark))
 
     # 5. back to the rows
     classes = same.join(final, "node", "left").select("digest", F.coalesce("part", "node").alias("part"))

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from clauseframe.llm import decontaminate, ngram_join
+from clauseframe.llm import components, decontaminate, ngram_join
 from tests.llm.conftest import sentence
 
 
@@ -171,3 +171,39 @@ def test_large_ids_and_repeated_ids(spark):
     rows += [(3, other), (5, other), (5, sentence(24, 60)), (7, sentence(24, 60) + " more"), (9, sentence(25, 40)), (9, sentence(26, 40)), (2, sentence(26, 40))]
     got = {(r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(big + 1, big + 1), (big + 3, big + 1), (big + 5, big + 1), (None, None), (big + 7, big + 7), (3, 3), (5, 3), (7, 3), (9, 2), (2, 2)}
+
+
+def test_the_driver_plans_no_round_for_stars_and_one_step_at_a_time(spark, monkeypatch):
+    """Each round is more than a thousand tasks on many partitions, which the driver keeps account of."""
+    plans = []
+
+    def written(df, session, write=components.written):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+        return write(df, session)
+
+    monkeypatch.setattr(components, "written", written)
+    stars = [(k, 1) for k in range(2, 60)] + [(1, 70), (100, 90), (90, 101)]
+    got = components.connected_components(spark, spark.createDataFrame(stars, "u long, v long")).collect()
+    assert dict(map(tuple, got)) == {**{k: 1 for k in range(1, 60)}, 70: 1, 90: 90, 100: 90, 101: 90} and len(got) == 63
+    assert len(plans) == 1
+    path = [(k, k + 1) for k in range(1, 40)] + [(60, 50), (60, 40), (200, 201), (201, 200), (300, 300)]
+    got = components.connected_components(spark, spark.createDataFrame(path, "u long, v long")).collect()
+    assert dict(map(tuple, got)) == {**{k: 1 for k in range(1, 41)}, 50: 1, 60: 1, 200: 200, 201: 200} and len(got) == 44
+    assert max(plans) <= 6
+
+
+def test_components_are_joined_as_wholes(spark, monkeypatch):
+    """Links inside a component are not looked at again when components are linked."""
+    seen = []
+
+    def connected(session, links, find=components.connected_components):
+        seen.append({tuple(sorted(r)) for r in links.collect() if r[0] != r[1]})
+        return find(session, links)
+
+    monkeypatch.setattr(ngram_join, "connected_components", connected)
+    one, two = sentence(31, 90), sentence(32, 90)
+    rows = [(10 + i, one.replace(one.split()[9 * i], "x", 1)) for i in range(1, 9)] + [(30 + i, two.replace(two.split()[9 * i], "y", 1)) for i in range(1, 9)]
+    rows += [(5, one), (6, two), (50, one), (50, two)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict.fromkeys([i for i, _ in rows], 5)
+    assert len(seen) == 2 and len(seen[0]) >= 16 and seen[1] == {(5, 6)}
