@@ -22,7 +22,6 @@ import math
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +34,7 @@ VOCABULARY = "piece_bpe_32k.model"
 PER_LANGUAGE = 2_000
 TOGETHER = 32
 ROUNDS = 3
-CACHED = 250_000
+CACHED = 100_000
 CACHED_LENGTH = 64
 STRETCH = 8_192
 MOST_CHARACTERS = 1 << 19
@@ -205,11 +204,13 @@ def _expect(path: str, langs: list[str], broadcast):
 
     def run(batches):
         v, prob = pieces(path), broadcast.value
-        for pdf in batches:
-            for lang, some in pdf[pdf["lang"].isin(index)].groupby("lang"):
-                got = v.expected([MARK + w for w in some["word"]], some["n"].to_numpy(dtype=float), prob[:, index[lang]])
+        for batch in batches:
+            of, words, n = batch.column("lang").to_pylist(), batch.column("word").to_pylist(), batch.column("n").to_numpy().astype(float)
+            for lang in sorted(index.keys() & set(of)):
+                some = [i for i, x in enumerate(of) if x == lang]
+                got = v.expected([MARK + words[i] for i in some], n[some], prob[:, index[lang]])
                 ids = np.flatnonzero(got > 1e-9)
-                yield pd.DataFrame({"lang": lang, "piece": ids, "n": got[ids]})
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(ids)), pa.array(ids, pa.int64()), pa.array(got[ids])], ["lang", "piece", "n"])
 
     return run
 
@@ -225,14 +226,14 @@ def fit(docs: DataFrame, vocabulary: str, per_language: int = PER_LANGUAGE, roun
     whole = np.full((size, len(langs)), 1.0 / size, dtype=np.float32)
     for at in range(0, len(langs), TOGETHER):
         some = langs[at : at + TOGETHER]  # languages are learned apart, so a few at a time give the same model
-        share = F.broadcast(spark.createDataFrame([(x, per_language / sizes[x]) for x in some], "lang string, share double"))
+        share = F.broadcast(tc.local_table(spark, {"lang": pa.array(some, pa.string()), "share": pa.array([per_language / sizes[x] for x in some], pa.float64())}))
         sample = known.select("doc_id", "text", "lang").join(share, "lang").where("pmod(xxhash64(doc_id, 5), 1000003) < share * 1000003")
         words = sample.select("lang", F.explode(F.split("text", r"\s+")).alias("word")).where("word <> ''")
         counts = tc.written(words.groupBy("lang", "word").agg(F.count("*").alias("n")), spark)
         prob, index = np.full((size, len(some)), 1.0 / size), {x: i for i, x in enumerate(some)}
         for _ in range(rounds):
             sent = spark.sparkContext.broadcast(prob)
-            got = counts.mapInPandas(_expect(vocabulary, some, sent), "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+            got = counts.mapInArrow(_expect(vocabulary, some, sent), "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
             sent.destroy()
             total = np.full(prob.shape, 0.01)
             total[got["piece"].to_numpy(), got["lang"].map(index).to_numpy()] += got["n"].to_numpy()
@@ -252,11 +253,13 @@ class Scorer:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         cut = [t.split() for t in texts]
-        if len(self.known) > CACHED:
-            self.known, self.table = {}, self.table[:0]
+        own = {w for words in cut for w in words}
+        if len(self.known) > CACHED:  # what these texts need stays
+            again = own & self.known.keys()
+            self.table = self.table[np.fromiter(map(self.known.__getitem__, again), dtype=np.int64, count=len(again))]
+            self.known = dict(zip(again, range(len(again))))
         known = self.known
-        new = list({w for words in cut for w in words if w not in known})
-        new.sort(key=len)
+        new = sorted(own - known.keys(), key=len)
         at, kept = len(known), sum(len(w) <= CACHED_LENGTH for w in new)
         if new:
             got = self.pieces.log_prob([MARK + w for w in new], self.prob.astype(np.float64))

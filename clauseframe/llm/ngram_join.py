@@ -33,7 +33,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,6 +101,13 @@ def _emit_sets(batches):
             row += len(n)
 
 
+def _rows(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """A column of lists as arrays; nothing is copied."""
+    lists = column.combine_chunks()
+    at, flat = lists.offsets.to_pylist(), lists.values.to_numpy(zero_copy_only=False)
+    return [flat[a:b] for a, b in zip(at, at[1:])]
+
+
 def _overlap(x: np.ndarray, y: np.ndarray, percent: int) -> int | None:
     """Common tokens of two sorted sets; None if their sizes alone rule a link out."""
     small, large = (x, y) if len(x) < len(y) else (y, x)
@@ -112,16 +118,18 @@ def _overlap(x: np.ndarray, y: np.ndarray, percent: int) -> int | None:
 
 
 def _local_links(percent: int):
-    def run(key, pdf):
+    def run(key, table):
         """A chunk's links, found with as few comparisons as its components need, and its most central node.
 
         The centre, whose tokens most of the chunk has, is a row without v; centres are compared first.
         """
         tc.release()
+        nodes, sets = table.column("node").to_pylist(), _rows(table.column("tokens"))
         # a centre may stand in its own chunk again; rows of one doc_id with other texts stay
-        pdf = pdf.assign(same=[hash(np.asarray(x).tobytes()) for x in pdf["tokens"]])
-        pdf = pdf.sort_values(["first", "node"], ascending=[False, True]).drop_duplicates(["node", "same"])
-        nodes, sets = pdf["node"].to_numpy(), [np.asarray(x) for x in pdf["tokens"]]
+        once: dict[tuple[int, bytes], int] = {}
+        for i in np.lexsort((nodes, -table.column("first").to_numpy())).tolist():
+            once.setdefault((nodes[i], sets[i].tobytes()), i)
+        nodes, sets = [nodes[i] for i in once.values()], [sets[i] for i in once.values()]
         parent = list(range(len(nodes)))
 
         def root(i):
@@ -145,18 +153,16 @@ def _local_links(percent: int):
         best = int(np.argmax(central))
         found.append((nodes[best], None, central[best] / len(sets)))
         u, v, score = zip(*found)
-        # columns of their own: in a frame, a missing v would make all numbers doubles
-        return pd.DataFrame({"u": pd.array(u, "Int64"), "v": pd.array(v, "Int64"), "central": score}).assign(chunk=key[0])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "central": pa.array(score, pa.float64()), "chunk": pa.repeat(key[0], len(found))})
 
     return run
 
 
 def _cross_links(percent: int):
-    def run(pdf):
+    def run(table):
         """One link of each query to a member of the opened group, if there is any: the members are one component already."""
         tc.release()
-        sets = [np.asarray(x) for x in pdf["tokens"]]
-        nodes, member = pdf["node"].to_numpy(), pdf["member"].to_numpy()
+        nodes, sets, member = table.column("node").to_pylist(), _rows(table.column("tokens")), np.array(table.column("member").to_pylist())
         found = []
         for i in np.flatnonzero(~member):
             for j in np.flatnonzero(member):
@@ -164,7 +170,8 @@ def _cross_links(percent: int):
                 if both is not None and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                     found.append((nodes[i], nodes[j]))
                     break
-        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+        u, v = zip(*found) if found else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
@@ -214,7 +221,7 @@ def _grouped_links(spark: SparkSession, nodes: DataFrame, percent: int) -> DataF
 
     def turn(rows: DataFrame) -> DataFrame:
         rows = _small(rows.select("node", "chunk", "first"), spark)
-        return tc.written(nodes.select("node", "tokens").join(rows, "node").groupBy("chunk").applyInPandas(_local_links(percent), schema), spark)
+        return tc.written(nodes.select("node", "tokens").join(rows, "node").groupBy("chunk").applyInArrow(_local_links(percent), schema), spark)
 
     found = turn(placed)
     links = found.where("v IS NOT NULL").select("u", "v")
@@ -247,7 +254,7 @@ def _open_links(spark: SparkSession, grouped: DataFrame, percent: int) -> DataFr
     place = ["other.part", "other.slot", "slice"]
     queries = asked.join(grouped.select("node", "tokens"), "node").select(*place, "node", "tokens", F.lit(False).alias("member"))
     members = asked.select("other", "slice").distinct().join(grouped.select(F.col("group").alias("other"), "node", "tokens"), "other").select(*place, "node", "tokens", F.lit(True).alias("member"))
-    found = queries.union(members).groupBy("part", "slot", "slice").applyInPandas(_cross_links(percent), "u long, v long")
+    found = queries.union(members).groupBy("part", "slot", "slice").applyInArrow(_cross_links(percent), "u long, v long")
     return tc.written(found, spark)
 
 

@@ -30,7 +30,6 @@ import re
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +48,7 @@ RIDGE = 1e-5
 TOPS = 3
 SPAN, DECAY = 7, 0.7
 WINDOW = 24
-CACHED = 300_000
+CACHED = 100_000
 THRESHOLD = 0.3
 FLOOR = -1.0
 
@@ -212,10 +211,11 @@ class Scorer:
     def tops(self, texts: list[str]) -> np.ndarray:
         """The highest margins of each text's words, and the logarithm of their number."""
         cut = [_words(t, self.model.pairs) for t in texts]
-        if len(self.known) > CACHED:
-            self.known.clear()
+        own = {w for words in cut for w in words}
+        if len(self.known) > CACHED:  # what these texts need stays
+            self.known = {w: self.known[w] for w in own & self.known.keys()}
         known = self.known
-        new = list({w for words in cut for w in words if w not in known})
+        new = list(own - known.keys())
         if new:
             known.update(zip(new, word_margins(self.model, new).tolist()))
         out = np.full((len(texts), TOPS + 1), FLOOR)
@@ -311,6 +311,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, landmark
     The bounds are per_class labelled rows of each class, and landmarks of the kernel. start is the size of the first working set of
     clean words, which grows by all those that the machine doesn't settle.
     """
+    import pandas as pd  # for the driver alone
+
     spark = docs.sparkSession
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
@@ -353,7 +355,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, landmark
     alike = table.where("pos < neg").select("word", heads.alias("unit")).join(named.select("unit"), "unit", "left_semi").select("word").distinct()
     pool = table.where("pos < neg").join(alike, "word", "left_anti").select("word", "neg")
     if begins:  # neighbours in clean rows that will be read as one word
-        near = spark.createDataFrame(begins, "a2 string, b2 string")
+        near = tc.local_table(spark, {"a2": pa.array([a for a, _ in begins], pa.string()), "b2": pa.array([b for _, b in begins], pa.string())})
         joined = _pairs(bags.where("toxic = 0")).join(near, F.expr(f"left(a, {PAIRED}) = a2 AND left(b, {PAIRED}) = b2"), "left_semi")
         pool = pool.union(joined.groupBy(F.concat("a", "b")).agg(F.count(F.lit(1)).alias("neg")))
     pool = tc.written(pool, spark)
