@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseframe.llm.textcore import written
+from clauseframe.llm.textcore import in_few_files, written
 
 
 def _star(both: DataFrame, small: bool) -> DataFrame:
@@ -33,12 +33,12 @@ def connected_components(spark: SparkSession, links: DataFrame, most_rounds: int
     for links that are stars already. Both steps of a round are written, so that the driver plans each by itself.
     """
     edges = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), spark)
-    rounds = 0
+    rounds, rows = 0, edges.count()
     while not _settled(edges):
         if rounds == most_rounds:
             raise RuntimeError(f"components did not settle in {most_rounds} rounds")
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        edges = written(_star(both, small=False), spark)
-        edges = written(_star(edges, small=True), spark)
+        edges = written(in_few_files(_star(both, small=False), rows), spark)
+        edges = written(in_few_files(_star(edges, small=True), rows), spark)
         rounds += 1
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

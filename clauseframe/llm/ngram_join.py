@@ -176,9 +176,9 @@ def _cross_links(percent: int):
     return run
 
 
-def _small(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """A slim table, written once; broadcast only if its number of rows is within the bound."""
-    df = tc.written(df, spark)
+def _small(df: DataFrame, spark: SparkSession, rows: int | None = None) -> DataFrame:
+    """A slim table, written once; broadcast only if its number of rows is within the bound. rows: as for in_few_files."""
+    df = tc.written(df if rows is None else tc.in_few_files(df, rows), spark)
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
@@ -195,12 +195,12 @@ def _parts(spark: SparkSession, nodes: DataFrame, links: DataFrame) -> DataFrame
     return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("part"))
 
 
-def _joined(spark: SparkSession, parts: DataFrame, owned: DataFrame, links: DataFrame) -> DataFrame:
+def _joined(spark: SparkSession, parts: DataFrame, owned: DataFrame, links: DataFrame, n_rows: int) -> DataFrame:
     """(node, part) for the nodes of both tables, after links between the parts: components are joined as wholes, their own links are not looked at again."""
     parts = parts.select("node", "part")
     for end in ("u", "v"):
         links = links.join(parts.select(F.col("node").alias(end), "part"), end, "left").withColumn(end, F.coalesce("part", end)).drop("part")
-    found = _small(connected_components(spark, links).select(F.col("node").alias("part"), "component"), spark)
+    found = _small(connected_components(spark, links).select(F.col("node").alias("part"), "component"), spark, n_rows)
     others = owned.select("node").distinct().join(parts, "node", "left_anti").select("node", F.col("node").alias("part"))
     return parts.union(others).join(found, "part", "left").select("node", F.coalesce("component", "part").alias("part"))
 
@@ -216,11 +216,12 @@ def _grouped_links(spark: SparkSession, nodes: DataFrame, percent: int) -> DataF
     sizes = keyed.groupBy("k", "key").agg(F.count("*").alias("c"), F.sum("n").alias("s")).where("c > 1")
     chunks = F.greatest(F.ceil(F.col("c") / CHUNK_DOCS), F.ceil(F.col("s") / CHUNK_TOKENS))
     placed = keyed.drop("n").join(sizes.select("k", "key", chunks.alias("chunks")), ["k", "key"]).select("node", "k", "key", "chunks", F.xxhash64("k", "key", F.pmod(F.xxhash64("node", "k"), "chunks")).alias("chunk"), F.lit(0).alias("first"))
-    placed = tc.written(placed, spark)
+    rows_placed = ORDERS * nodes.count()
+    placed = tc.written(tc.in_few_files(placed, rows_placed), spark)
     schema = "u long, v long, central double, chunk long"
 
     def turn(rows: DataFrame) -> DataFrame:
-        rows = _small(rows.select("node", "chunk", "first"), spark)
+        rows = _small(rows.select("node", "chunk", "first"), spark, rows_placed)
         return tc.written(nodes.select("node", "tokens").join(rows, "node").groupBy("chunk").applyInArrow(_local_links(percent), schema), spark)
 
     found = turn(placed)
@@ -270,32 +271,33 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 75)
     marked = docs.join(ids, docs["doc_id"] == ids["node"], "left").select(docs["doc_id"], docs["text"], F.coalesce("wanted", F.lit(False)).alias("wanted"))
     table = marked.mapInArrow(_emit_sets, "doc_id long, n long, digest binary, tokens array<long>")
     table = tc.written(table.withColumn("rid", F.monotonically_increasing_id()), spark)
+    n_rows = table.count()
 
     # 2. equal sets are one node, the smallest doc_id
     member = table.where("digest IS NOT NULL").select("doc_id", "digest").distinct()
-    same = tc.written(table.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "rid")).alias("head")).select("digest", F.col("head.doc_id").alias("node"), F.col("head.rid").alias("rid")), spark)
-    heads = table.join(_small(same.select("rid"), spark), "rid", "left_semi").select(F.col("doc_id").alias("node"), "n", "tokens")
+    same = tc.written(tc.in_few_files(table.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "rid")).alias("head")).select("digest", F.col("head.doc_id").alias("node"), F.col("head.rid").alias("rid")), n_rows), spark)
+    heads = table.join(_small(same.select("rid"), spark, n_rows), "rid", "left_semi").select(F.col("doc_id").alias("node"), "n", "tokens")
     first = heads.select("node", "n", F.explode(F.expr(f"slice(tokens, 1, cast(least(n, n - ceil({percent} * n / 100) + 1 + floor(0.25 * n)) as int))")).alias("token"))
-    likely = _small(_shared(first, _needed(0.25, percent)).distinct(), spark)
+    likely = _small(_shared(first, _needed(0.25, percent)).distinct(), spark, n_rows)
     # nodes with one doc_id (repeated rows with other texts) are one node of the graph, but sets of their own
     nodes = tc.written(heads.join(likely, "node", "left_semi"), spark)
 
     # 3. groups, 4. token-group matrix
     links = _grouped_links(spark, nodes, percent)
     names = nodes.groupBy("node").agg(F.sum("n").alias("n"))
-    parts = tc.written(_parts(spark, names, links).join(names, "node"), spark)
+    parts = tc.written(tc.in_few_files(_parts(spark, names, links).join(names, "node"), n_rows), spark)
     slots = parts.groupBy("part").agg(F.ceil(F.greatest(F.count("*") / CHUNK_DOCS, F.sum("n") / CHUNK_TOKENS)).alias("slots"))
-    dealt = _small(parts.drop("n").join(slots, "part").select("node", "part", F.struct("part", F.pmod(F.xxhash64("node"), "slots").alias("slot")).alias("group")), spark)
+    dealt = _small(parts.drop("n").join(slots, "part").select("node", "part", F.struct("part", F.pmod(F.xxhash64("node"), "slots").alias("slot")).alias("group")), spark, n_rows)
     grouped = nodes.join(dealt, "node").select("node", "n", "tokens", "part", "group")
     far = _open_links(spark, grouped, percent)
     # a doc_id with several texts links the nodes of all of them
     several = member.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
-    owned = tc.written(member.join(several, "doc_id", "left_semi").join(same, "digest").select("doc_id", "node").distinct(), spark)
+    owned = tc.written(tc.in_few_files(member.join(several, "doc_id", "left_semi").join(same, "digest").select("doc_id", "node").distinct(), n_rows), spark)
     own = owned.join(owned.groupBy("doc_id").agg(F.min("node").alias("u")), "doc_id").where("u <> node").select("u", F.col("node").alias("v"))
     if far.isEmpty() and own.isEmpty():
         final = parts.select("node", "part")
     else:
-        final = _joined(spark, parts, owned, tc.written(far.union(own), spark))
+        final = _joined(spark, parts, owned, tc.written(far.union(own), spark), n_rows)
 
     # 5. back to the rows
     classes = same.join(final, "node", "left").select("digest", F.coalesce("part", "node").alias("part"))

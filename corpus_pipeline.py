@@ -50,12 +50,13 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     row = tc.fresh(docs.columns, "row_number")
     docs = tc.written(docs.withColumn(row, F.monotonically_increasing_id()), spark)
     parts = jaccard_components(spark, docs.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
-    parts = tc.written(parts, spark)
+    n_rows = docs.count()
+    parts = tc.written(tc.in_few_files(parts, n_rows), spark)
     # rows outside groups need not be looked at again
     grouped = parts.join(parts.where("component_id <> row").select("component_id").distinct(), "component_id", "left_semi")
     named = grouped.join(docs.select(F.col(row).alias("row"), "doc_id"), "row")
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row"))
-    others = tc.written(grouped.join(first, ["component_id", "row"], "left_anti").select(F.col("row").alias(row)), spark)
+    others = tc.written(tc.in_few_files(grouped.join(first, ["component_id", "row"], "left_anti").select(F.col("row").alias(row)), n_rows), spark)
     hint = F.broadcast if others.count() <= BROADCAST_IDS else (lambda df: df)
     return docs.join(hint(others), row, "left_anti").drop(row)
 

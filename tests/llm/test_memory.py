@@ -78,3 +78,11 @@ def test_margins_of_words_met_again_are_computed_once(monkeypatch):
     got = np.concatenate([scorer.tops([t]) for t in TEXTS])
     assert asked.count("often") == asked.count("the") == 1 and len(asked) == 402 and len(scorer.known) <= 44
     assert got[-1, : toxicity.TOPS].tolist() == [0.7, 0.7, 0.5]
+
+
+def test_slim_tables_go_to_few_files(spark):
+    many = spark.range(0, 1000, 1, 50).repartition(50, "id")
+    cores = spark.sparkContext.defaultParallelism
+    got = tc.written(tc.in_few_files(many, 1000), spark)
+    assert len(got.inputFiles()) <= cores and got.agg(F.sum("id")).first()[0] == 499_500
+    assert cores < len(tc.written(tc.in_few_files(many, 30 * tc.SLIM_ROWS), spark).inputFiles()) <= 30
