@@ -2,7 +2,8 @@
 
 A benchmark item of n words has n - 4 five-word shingles (shorter items: the whole sequence is one). Every document window of
 as many shingles as an item that can reach the similarity at all gets a SimHash of 512 bits; to reach it, enough of its
-shingles must stand in the benchmark, which running sums tell.
+shingles must stand in the benchmark's items of that size, which running sums tell. Shingles of other sizes' items don't count:
+within a passage of a long item, every window of a shorter one's size is made of benchmark shingles.
 
 Fingerprints are matched by multi-index Hamming blocks: 64 blocks of 8 bits, each with an index from its value to the items. If two
 fingerprints differ in at most RADIUS bits, at most RADIUS // 3 blocks differ in three bits or more; so each block is looked
@@ -53,7 +54,7 @@ _FIRST = np.arange(BLOCKS, dtype=np.int64) * 256
 
 
 def possible(known: np.ndarray, size: int, span: int, percent: int) -> np.ndarray:
-    """Where windows of `span` shingles begin that may be as similar to an item of `size`; known: running number of benchmark shingles."""
+    """Where windows of `span` shingles begin that may be as similar to an item of `size`; known: running number of shingles that such items may have."""
     # both of them share at most the known shingles of the window
     need = percent * (span + size)
     if span >= len(known) or (100 + percent) * known[-1] < need:
@@ -182,25 +183,42 @@ class Items:
         for item, h in items:
             sizes.setdefault(len(h), []).append((item, h))
         self.by_size = {size: Cells([i for i, _ in some], [h for _, h in some], radius, percent) for size, some in sizes.items()}
+        self.sizes = np.array(list(sizes), dtype=np.int64)
+        # the shingles of each size as places in `all`, and the sizes (as numbers) of each shingle
+        self.own = [np.unique(np.searchsorted(self.all, np.concatenate([h for _, h in some]))).astype(np.int32) for some in sizes.values()]
+        place = np.concatenate(self.own)
+        self.numbers = np.repeat(np.arange(len(self.own), dtype=np.int32), [len(o) for o in self.own])[np.argsort(place, kind="stable")]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(self.all)))])
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
         maybe = np.flatnonzero(self.filter[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.all, hashes[maybe]), len(self.all) - 1)
         return maybe[self.all[at] == hashes[maybe]]
 
+    def in_reach(self, hashes: np.ndarray, hits: np.ndarray, percent: int, total: int):
+        """(size, which of the hits are shingles of its items) for the sizes of which a stretch has enough of them for a window."""
+        at = np.searchsorted(self.all, hashes[hits]).astype(np.int32)
+        place, often = np.unique(at, return_counts=True)
+        each = self.first[place + 1] - self.first[place]
+        numbers = self.numbers[np.repeat(self.first[place] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))]
+        hits_of = np.bincount(numbers, weights=np.repeat(often, each), minlength=len(self.sizes))
+        enough = (100 + percent) * hits_of >= percent * (np.minimum(self.sizes, total) + self.sizes)
+        for k in np.flatnonzero(enough).tolist():
+            own = self.own[k]
+            yield int(self.sizes[k]), hits[own[np.minimum(np.searchsorted(own, at), len(own) - 1)] == at]
+
     def search(self, hashes: np.ndarray, hits: np.ndarray, percent: int, total: int):
         """The best window of each item in a stretch of a document of `total` shingles: (item, start, shingles, similarity, distance)."""
-        known = running(hits, len(hashes))
-        for size, cells in self.by_size.items():
-            span = min(size, total)
-            starts = possible(known, size, span, percent)
+        for size, hits_of in self.in_reach(hashes, hits, percent, total):
+            cells, span = self.by_size[size], min(size, total)
+            starts = possible(running(hits_of, len(hashes)), size, span, percent)
             best: dict[int, tuple] = {}
             for some in np.split(starts, np.flatnonzero(np.diff(starts) > STRETCH) + 1):
                 for at in range(0, len(some), STRETCH):
                     part = some[at : at + STRETCH]
                     low, high = part[0], part[-1] + span
                     prints = fingerprints(hashes[low:high], part - low, part - low + span)
-                    own = hits[np.searchsorted(hits, low) : np.searchsorted(hits, high)]
+                    own = hits_of[np.searchsorted(hits_of, low) : np.searchsorted(hits_of, high)]
                     for index, windows in cells.of(hashes, own, part, span):
                         step = max(1, 4_000_000 // (BLOCKS * max(len(index.names), 16)))
                         for first in range(0, len(windows), step):

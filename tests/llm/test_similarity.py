@@ -112,6 +112,34 @@ def test_cells_leave_few_items_and_lose_none(monkeypatch):
     assert got[0] == got[1] == got[2] and {1} | set(range(0, 70, 3)) == {k for k, *_ in got[0]}
 
 
+def test_a_passage_is_asked_for_items_of_the_sizes_it_may_hold(monkeypatch):
+    """Every shingle of a long item's passage stands in the benchmark, but in no item of most sizes: those get no fingerprints. As brute force, with items in items, repeated shingles and short texts."""
+    rng = np.random.default_rng(3)
+    fresh = lambda n: rng.integers(1, 1 << 63, n).astype(np.uint64)
+    items = [(size, fresh(size)) for size in range(8, 120)]
+    long = items[-1][1]
+    items += [(200, long[20:70]), (201, np.tile(long[30:34], 9)), (202, np.concatenate([long[40:52], long[80:92]]))]
+    group = decontaminate.Items(5, items, decontaminate.RADIUS, 75)
+    asked = []
+
+    def counted(hashes, starts, ends, make=decontaminate.fingerprints):
+        asked.append(len(starts))
+        return make(hashes, starts, ends)
+
+    monkeypatch.setattr(decontaminate, "fingerprints", counted)
+    texts = [np.concatenate([fresh(50), long[:60], fresh(3), long[63:], fresh(50)]), long[:100], np.concatenate([long[40:52], long[80:91], np.tile(long[30:34], 8)]), long[:6], fresh(90)]
+    for text in texts:
+        want = {}
+        for name, item in items:
+            counts, span = Counter(item.tolist()), min(len(item), len(text))
+            both = max((Counter(text[k : k + span].tolist()) & counts).total() for k in range(len(text) - span + 1))
+            if 100 * both >= 75 * (span + len(item) - both):
+                want[name] = round(both / (span + len(item) - both), 9)
+        found = group.search(text, group.known(text), 75, len(text))
+        assert {name: round(similarity, 9) for name, _, _, similarity, _ in found} == want
+    assert 0 < sum(asked) < 300
+
+
 @pytest.mark.parametrize("block", [decontaminate.BLOCK_TEXT, 300])
 def test_decontamination(spark, docs, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_TEXT", block)
