@@ -81,3 +81,54 @@ def test_skipping_rules_changes_nothing(spark):
             mask.needed = always
 
     assert fast == column(spark, texts, slowly)
+
+
+def test_a_text_is_searched_for_its_own_type(spark):
+    """Looking for one type a row finds what all types' markers hold of it, whatever other types stand in the text."""
+    from clauseframe.functions import catalog as C
+    from clauseframe.operators import markers
+
+    texts = ["第一条 甲\n（一）乙\n1.1 丙\n根据第二条", "三、甲（3）乙 《规定》 要素4：5甲", "见第五条 意见第六条", "", None]
+    rows = spark.createDataFrame([(t, k) for t in texts for k in [*C.TYPES, "无", None]], "text string, kind string")
+    one, whole = markers.raw_markers(F.col("text"), kind=F.col("kind")), markers.raw_markers(F.col("text"))
+    got = rows.select("text", "kind", one.alias("one"), whole.alias("whole")).collect()
+    assert all(r["one"] == (r["whole"] if r["kind"] is None or r["whole"] is None else [m for m in r["whole"] if m["type"] == r["kind"]]) for r in got)
+    assert sum(len(r["one"] or ()) for r in got if r["kind"]) > 8
+
+
+def test_rules_need_what_every_match_holds():
+    """A text without a rule's characters isn't searched for it: whatever the rules match must hold them."""
+    import re
+
+    from clauseframe.functions.catalog import MASK_RULES
+    from clauseframe.operators import mask
+    from clauseframe.plans.queries import _MASKED
+
+    text = "。" + "甲。".join(re.sub("«=?|»", "", case) for case in _MASKED) + "甲 见3.2 自2020年1月2日 2020/1/2 一、联系方式：甲 010-12345678 3MPa 3cm 3dm 3μm 3h 3min H2N3 图3-4 年版的3.2"
+    hit = 0
+    for tag, _, pattern in MASK_RULES:
+        must = mask.needed(pattern)
+        some, digits = mask._some(must), mask._digits(must)
+        for m in re.finditer(pattern.replace(r"\z", r"\Z"), text):
+            hit += 1
+            assert not some or set(some) & set(m[0]), tag
+            assert some or not digits or any(d in m[0] for d in digits), tag
+        assert some or digits or tag == "PHONE", tag
+    assert hit > 80
+
+
+def test_short_sequences_are_looked_at_once():
+    from clauseframe.functions import sql
+
+    seen = []
+
+    def f(items):
+        seen.append(items)
+        if 0 in items:
+            raise ValueError("zero")
+        return [(x, x > 1) for x in items]
+
+    of = sql.remembered(f)
+    assert [of((1, 2)), of((1, 2)), of((0,)), of((0,))] == [([(1, False), (2, True)], None)] * 2 + [(None, "ValueError: zero")] * 2 and seen == [(1, 2), (0,)]
+    long = tuple(range(1, 100))
+    assert of(long) == of(long) and seen[2:] == [long, long]  # what is long isn't kept
